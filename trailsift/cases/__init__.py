@@ -1,6 +1,6 @@
 """Queries over the driver tables, one module per area."""
 
-from trailsift.cases import scalars
+from trailsift.cases import records, scalars, work
 from trailsift.cases.base import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "scalars"]
+__all__ = ["ORACLES", "QUERIES", "records", "scalars", "work"]

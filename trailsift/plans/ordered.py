@@ -11,6 +11,7 @@ shuffled once.  The result equals the plain window whatever the block size.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -44,6 +45,18 @@ def time_block(column: str, seconds: int = 3600) -> Column:
     return F.floor(F.unix_micros(F.col(column).cast("timestamp")) / F.lit(seconds * 1_000_000)).cast("bigint")
 
 
+def text_block(df: DataFrame, column: str) -> Column:
+    """Blocks of neighbouring strings, by the seven bytes that follow the prefix all of them share.
+
+    The prefix all strings share is the one the smallest and the largest share, so one aggregate
+    over the column finds it.
+    """
+    low, high = df.agg(F.min(column), F.max(column)).first() or (None, None)
+    shared = os.path.commonprefix([low or "", high or ""])
+    after = F.substr(F.encode(F.col(column), "utf-8"), F.lit(len(shared.encode()) + 1), F.lit(7))
+    return F.conv(F.hex(F.rpad(after, 7, b"\0")), 16, 10).cast("bigint")
+
+
 def _aggregate(kind: str, column: Column, ordinal: str) -> Column:
     if kind == "sum":
         return F.sum(column)
@@ -83,7 +96,7 @@ def scan(
 ) -> DataFrame:
     """Add running values over ``order`` within ``keys``.
 
-    ``block`` must not decrease along ``order``; ``order`` must be unique
+    ``block`` (any orderable type) must not decrease along ``order``; ``order`` must be unique
     within a key.  Rows keep all their columns.
     """
     keys = list(keys)
