@@ -315,7 +315,8 @@ def nodes(spark: SparkSession, sf: str) -> DataFrame:
         F.when(n % 7 == 5, "none").otherwise("block").alias("display"),
         F.col("k"),
     )
-    return base
+    pairs = [x for n in ("class", "id", "role", "name") for x in (F.lit(n), F.col(n))]
+    return base.withColumn("attrs", F.map_filter(F.create_map(*pairs), lambda name, v: v.isNotNull()))
 
 
 SQL["fx_nodes"] = r"""
