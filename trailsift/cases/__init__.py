@@ -1,6 +1,6 @@
 """Queries over the driver tables, one module per area."""
 
-from trailsift.cases import dom, records, scalars, work
+from trailsift.cases import dom, records, scalars, traffic, work
 from trailsift.cases.base import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "dom", "records", "scalars", "work"]
+__all__ = ["ORACLES", "QUERIES", "dom", "records", "scalars", "traffic", "work"]

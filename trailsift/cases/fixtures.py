@@ -388,7 +388,7 @@ def network(spark: SparkSession, sf: str) -> DataFrame:
 
 SQL["fx_requests"] = r"""
 SELECT 'r' || event_id AS request_id, 'f' || user_id AS frame_id, event_id AS pos, event_type, k,
-       epoch_us(ts) / 1e6 AS at, value / 1000 AS lag, k % 9 = 0 AS is_doc,
+       epoch_us(ts) / 1e6 AS sent, value / 1000 AS lag, k % 9 = 0 AS is_doc,
        CASE WHEN k % 5 > 0 THEN 'https' ELSE 'http' END || '://h' || (user_id % 11) || '.example.org/'
          || CASE WHEN k % 10 = 4 THEN 'favicon.ico' ELSE 'p/' || k END AS url
 FROM fx_events"""

@@ -58,9 +58,10 @@ def good_records(rows: DataFrame) -> DataFrame:
 def read_json_array(spark: SparkSession, path: str, fields: str) -> DataFrame:
     """Elements of JSON documents that are lists; any other document gives no rows."""
     docs = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value"))
-    items = F.from_json("value", f"array<struct<{fields}>>")
+    typed = ", ".join(f.strip().replace(" ", ": ", 1) for f in fields.split(","))
+    items = F.from_json("value", f"array<struct<{typed}>>")
     is_list = F.coalesce(F.schema_of_variant(F.try_parse_json("value")).startswith("ARRAY"), F.lit(False))
-    return docs.where(is_list).select("file", F.posexplode(items).alias("pos", "item")).select("file", "pos", "item.*")
+    return docs.where(is_list).select("file", F.posexplode(items).alias("item_index", "item")).select("file", "item_index", "item.*")
 
 
 HISTORY = (
