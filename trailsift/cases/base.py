@@ -11,7 +11,7 @@ from trailsift.cases import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
+_SQL: dict[str, str] = {}
 
 
 def case(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -22,7 +22,7 @@ def case(name: str, sql: str | None = None) -> Callable[[Query], Query]:
             raise ValueError(f"query registered twice: {name}")
         QUERIES[name] = fn
         if sql is not None:
-            ORACLES[name] = with_fixtures(sql)
+            _SQL[name] = sql
         return fn
 
     return register
@@ -49,3 +49,8 @@ def with_fixtures(sql: str) -> str:
     if re.match(r"(?i)with\b", body):
         return f"WITH {ctes},\n" + re.sub(r"(?i)^with\b", "", body, count=1)
     return f"WITH {ctes}\n{body}"
+
+
+def oracles() -> dict[str, str]:
+    """All SQL twins, complete with their fixtures."""
+    return {name: with_fixtures(sql) for name, sql in _SQL.items()}

@@ -178,19 +178,26 @@ def _(spark, sf):
     return nw.page_timings(fx.network(spark, sf)).select("frame_id", "page_url", "on_content_load", "on_load")
 
 
-MOMENT = 1705276800.0  # 2024-01-15
-_open = f"""SELECT request_id, url, is_doc, ({MOMENT} - sent) * 1000 AS ms FROM fx_requests WHERE sent <= {MOMENT}
-  AND NOT (event_type IN ('click', 'purchase', 'view') AND sent + 2 * lag <= {MOMENT}) AND NOT (event_type = 'error' AND sent + lag <= {MOMENT})"""
+# The fixture's events lie minutes apart; here time runs 5000 times faster, so that requests overlap.
+MOMENT = 259.2
+_SENT = "((sent - 1704067200) / 5000)"
+_open = f"""SELECT request_id, url, is_doc, ({MOMENT} - {_SENT}) * 1000 AS ms FROM fx_requests WHERE {_SENT} <= {MOMENT}
+  AND NOT (event_type IN ('click', 'purchase', 'view') AND {_SENT} + 2 * lag / 5000 <= {MOMENT}) AND NOT (event_type = 'error' AND {_SENT} + lag / 5000 <= {MOMENT})"""
+
+
+def _quick(spark, sf):
+    return fx.network(spark, sf).where("request_id IS NOT NULL").withColumn("at", (F.col("at") - 1704067200) / 5000)
 
 
 @case("str_5_request_timeouts", f"SELECT request_id, url FROM ({_open}) WHERE ms >= 30000")
 def _(spark, sf):
-    return nw.request_timeouts(fx.network(spark, sf), MOMENT, 30).select("request_id", "url")
+    return nw.request_timeouts(_quick(spark, sf), MOMENT, 30).select("request_id", "url")
 
 
-@case("str_6_pending_requests", f"SELECT request_id, url FROM ({_open}) WHERE ms <= 10000 AND (is_doc OR ms <= 3000) AND NOT (regexp_matches(url, '\\.ico$') AND ms > 3000)")
+@case("str_6_pending_requests", f"SELECT request_id, url FROM ({_open}) WHERE ms <= 10000 AND NOT (regexp_matches(url, '\\.ico$') AND ms > 3000)")
 def _(spark, sf):
-    return nw.pending_requests(fx.network(spark, sf), MOMENT).select("request_id", "url")
+    n = _quick(spark, sf).withColumn("type", F.lower("type").substr(1, 3))
+    return nw.pending_requests(n, MOMENT).select("request_id", "url")
 
 
 @case("fil_9_tracker_filter", """SELECT event_id, url FROM fx_urls WHERE NOT regexp_matches(url, 'doubleclick|analytics|ads|tracking|pixel|/log/|/events/') AND NOT starts_with(url, 'data:') AND k * 150 <= 10000
@@ -245,7 +252,7 @@ HISTORY_DOC = """
 concat('{"history": [', array_join(transform(array_sort(collect_list(struct(pos, js))), x -> x.js), ','), ']}')"""
 
 
-@case("src_4_read_history", """SELECT run, step, CASE WHEN k % 4 > 0 THEN true END AS has_output, url, round(seconds, 4) AS seconds, error, step = steps AS is_done FROM fx_steps""")
+@case("src_4_read_history", """SELECT run, step, CASE WHEN k % 4 > 0 THEN true END AS has_output, url, round(seconds, 5) AS seconds, error, step = steps AS is_done FROM fx_steps""")
 def _(spark, sf):
     path = case_path(spark, "histories")
     a = fx.actions(spark, sf)
@@ -261,7 +268,7 @@ def _(spark, sf):
     h = sr.read_history(spark, f"{path}/*")
     return h.select(
         F.regexp_extract("run", r"run=(\d+)", 1).cast("bigint").alias("run"), "step", F.when(F.col("model_output").isNotNull(), True).alias("has_output"),
-        URL, F.round("seconds", 4).alias("seconds"), "error", "is_done",
+        URL, F.round("seconds", 5).alias("seconds"), "error", "is_done",
     )
 
 
@@ -271,10 +278,8 @@ def _(spark, sf):
     path = case_path(spark, "inventory")
     fx.table(spark, sf, "part").select("p_brand", "p_type").repartition(4, "p_brand").write.partitionBy("p_brand").option("maxRecordsPerFile", 1).text(path)
     listed = sr.file_inventory(spark, f"{path}/*", (".txt", ".jpg"))
-    brand = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(f"{path}/*").select(
-        F.regexp_replace("path", r"^.*/", "").alias("file_name"), F.url_decode(F.regexp_extract("path", r"p_brand=([^/]*)/", 1)).alias("brand")
-    )
-    return listed.join(brand, "file_name").groupBy("brand").agg(
+    brand = F.url_decode(F.regexp_extract("file_path", r"p_brand=([^/]*)/", 1))
+    return listed.groupBy(brand.alias("brand")).agg(
         F.count("*").alias("files"), F.sum("file_size").alias("bytes"), F.countDistinct("sha256").alias("contents")
     )
 
@@ -334,9 +339,7 @@ def _(spark, sf):
     for at, factor in (("2024-01-02T10:00:00", 1), ("2024-01-02T02:00:00", 2), ("2023-12-30T00:00:00", 3)):
         # Only the newest document holds prices; the others must not be read.
         scaled = F.col("data") if factor == 1 else F.map_filter("data", lambda m, p: F.lit(False))
-        doc.select(F.to_json(F.struct(F.lit(at).alias("timestamp"), scaled.alias("data"))).alias("value")).coalesce(1).write.mode("append").option(
-            "compression", "none"
-        ).text(f"{path}/{factor}")
+        doc.select(F.lit(at).alias("timestamp"), scaled.alias("data")).write.mode("append").json(f"{path}/{factor}")
     snapshot = sr.pricing_snapshot(spark, f"{path}/*", "2024-01-02 12:00:00")
     return snapshot.select("model", "origin", "input")
 
@@ -408,28 +411,34 @@ def _(spark, sf):
 # ---- streams ------------------------------------------------------------------------------------------
 
 
-def _feed(df, label, parts=3, order="pos"):
-    """The frame as JSON files in ``order``, one folder after the other, so the stream meets them in order."""
+def _stream(df, label, build, parts=3, order="pos", mode="append"):
+    """Feed the frame in ``order`` as JSON files, part by part, and drain the stream after each part.
+
+    Every drain is a new start from the checkpoint, and its files are one micro-batch.
+    """
     spark = df.sparkSession
     path = case_path(spark, label)
     low, high = df.agg(F.min(order), F.max(order)).first()
     step = (high - low) // parts + 1
     for i in range(parts):
         df.where((F.col(order) >= low + i * step) & (F.col(order) < low + (i + 1) * step)).write.json(f"{path}/in/{i}")
-    return path
+        out = st.drain(build(f"{path}/in"), path, mode)
+    return out
+
+
+def _schema(df):
+    return ", ".join(f"{n} {t}" for n, t in df.dtypes)
 
 
 @case("src_9_records_stream", "SELECT pos, title FROM fx_records")
 def _(spark, sf):
-    path = _feed(fx.records(spark, sf).select("pos", "title", "status"), "records-stream")
-    stream = st.records_stream(spark, f"{path}/in", "pos bigint, title string, status string", 2)
-    return st.drain(stream, path).select("pos", "title")
+    r = fx.records(spark, sf).select("pos", "title", "status")
+    return _stream(r, "records-stream", lambda p: st.records_stream(spark, p, _schema(r))).select("pos", "title")
 
 
 @case("src_10_network_events_stream", """SELECT 'requestWillBeSent' AS event, count(*) AS n FROM fx_requests UNION ALL SELECT 'responseReceived', count(*) FROM fx_requests WHERE event_type <> 'signup'""")
 def _(spark, sf):
-    path = _feed(fx.network(spark, sf), "network-stream")
-    rows = st.drain(st.network_events_stream(spark, f"{path}/in"), path)
+    rows = _stream(fx.network(spark, sf), "network-stream", lambda p: st.network_events_stream(spark, p))
     return rows.where("event IN ('requestWillBeSent', 'responseReceived')").groupBy("event").agg(F.count("*").alias("n"))
 
 
@@ -441,29 +450,27 @@ def _(spark, sf):
 
 @case("str_1_har_stream", "SELECT request_id, url, received, failed, round(ts_finished, 3) AS ts_finished FROM fx_entries WHERE ts_finished IS NOT NULL OR failed")
 def _(spark, sf):
-    path = _feed(fx.network(spark, sf), "har-stream")
-    return st.drain(st.har_stream(st.network_events_stream(spark, f"{path}/in", 8)), path).select(
-        "request_id", URL, "received", "failed", F.round("ts_finished", 3).alias("ts_finished")
-    )
+    rows = _stream(fx.network(spark, sf), "har-stream", lambda p: st.har_stream(st.network_events_stream(spark, p)))
+    return rows.select("request_id", URL, "received", "failed", F.round("ts_finished", 3).alias("ts_finished"))
 
 
 @case("str_7_dedup_seen", """SELECT DISTINCT 'https://news/' || (doc_id % 50) AS url, md5('https://news/' || (doc_id % 50)) AS hash FROM documents""")
 def _(spark, sf):
     docs = fx.table(spark, sf, "documents").select("doc_id", F.concat(F.lit("https://news/"), (F.col("doc_id") % 50).cast("string")).alias(URL))
-    path = _feed(docs, "news", order="doc_id")
-    stream = st.json_stream(spark, f"{path}/in", "doc_id bigint, url string", 4)
-    return st.drain(st.dedup_seen(stream), path).select(URL, "hash")
+    rows = _stream(docs, "news", lambda p: st.dedup_seen(st.json_stream(spark, p, _schema(docs))), order="doc_id")
+    return rows.select(URL, "hash")
 
 
 @case("str_8_import_stream", """SELECT sha256, min(pos) AS pos FROM fx_records WHERE status = 'downloaded' GROUP BY sha256""")
 def _(spark, sf):
-    fields = "pos bigint, status string, sha256 string, page_url string, image_url string, title string"
-    names = [f.split()[0] for f in fields.split(", ")]
-    path = _feed(fx.records(spark, sf).select(*names), "import")
+    r = fx.records(spark, sf).select("pos", "status", "sha256", "page_url", "image_url", "title")
+    path = case_path(spark, "import")
+    for i in range(2):
+        r.where(F.col("pos") % 2 == i).write.json(f"{path}/in/{i}")
     table = VersionedTable(spark, case_path(spark, "images"))
     table.publish(spark.createDataFrame([], "sha256 string, pos bigint, page_url string, image_url string, title string, batch_id bigint"))
-    no_files = fx.files(spark, sf).limit(0)
-    st.import_stream(st.records_stream(spark, f"{path}/in", fields), table, no_files, path)
+    # All files are one micro-batch, so the first position of each content wins.
+    st.import_stream(st.records_stream(spark, f"{path}/in", _schema(r)), table, fx.files(spark, sf).limit(0), path)
     return table.read().select("sha256", "pos")
 
 
@@ -477,35 +484,34 @@ b AS (SELECT *, CASE WHEN f IS DISTINCT FROM lag(f) OVER (PARTITION BY run ORDER
 d AS (SELECT run, pos, rn - max(s) OVER (PARTITION BY run ORDER BY pos) AS stagnant FROM b)
 SELECT run, pos, coalesce(repetitions, 0) AS repetitions, stagnant FROM d LEFT JOIN m USING (run, pos)""")
 def _(spark, sf):
-    schema = "run bigint, pos bigint, name string, params string, url string, dom_text string, element_count bigint"
-    path = _feed(fx.actions(spark, sf).select(*[c.split()[0] for c in schema.split(", ")]), "loops")
-    stream = st.json_stream(spark, f"{path}/in", schema, 1)
-    return st.drain(st.loop_stream(stream), path).select("run", "pos", "repetitions", "stagnant")
+    a = fx.actions(spark, sf).select("run", "pos", "name", "params", URL, "dom_text", "element_count")
+    rows = _stream(a, "loops", lambda p: st.loop_stream(st.json_stream(spark, p, _schema(a))))
+    return rows.select("run", "pos", "repetitions", "stagnant")
 
 
 @case("str_10_page_progress_stream", "SELECT * FROM fx_progress WHERE attempts > 0")
 def _(spark, sf):
     b = fx.batches(spark, sf)
-    path = _feed(b, "progress")
-    schema = ", ".join(f"{n} {t}" for n, t in b.dtypes)
-    out = st.drain(st.page_progress_stream(st.json_stream(spark, f"{path}/in", schema, 1)), path, "update")
-    return st.latest(out, ["page"])
+    rows = _stream(b, "progress", lambda p: st.page_progress_stream(st.json_stream(spark, p, _schema(b))), mode="update")
+    return st.latest(rows, ["page"])
 
 
-@case("str_5_timeout_stream")
+@case("str_5_timeout_stream", f"""
+SELECT request_id, url FROM fx_requests WHERE event_type = 'signup'
+  AND ({_SENT} + 30) <= (SELECT max({_SENT} + CASE WHEN event_type IN ('click', 'purchase', 'view') THEN 2 * lag / 5000 WHEN event_type = 'error' THEN lag / 5000 WHEN is_doc THEN 0 ELSE 0 END) FROM fx_requests) - 10""")
 def _(spark, sf):
-    path = _feed(fx.network(spark, sf), "timeouts")
-    return st.drain(st.timeout_stream(st.network_events_stream(spark, f"{path}/in", 1), 30), path).select("request_id", URL)
+    rows = _stream(_quick(spark, sf), "timeouts", lambda p: st.timeout_stream(st.network_events_stream(spark, p), 30))
+    return rows.select("request_id", URL)
 
 
 @case("str_12_usage_stream", """SELECT model, CAST(sum(prompt_tokens) AS BIGINT) AS prompt_tokens, CAST(sum(completion_tokens) AS BIGINT) AS completion_tokens, count(*) AS invocations,
   round(coalesce(sum(prompt_cost + completion_cost), 0), 6) AS total_cost FROM fx_priced GROUP BY model""")
 def _(spark, sf):
     use = fx.usage(spark, sf).drop("ts")
-    path = _feed(use, "usage", order="conv_id")
-    schema = ", ".join(f"{n} {t}" for n, t in use.dtypes)
-    out = st.drain(st.usage_stream(st.json_stream(spark, f"{path}/in", schema, 4), *fx.pricing(spark)), path, "update")
-    return st.latest(out, ["model"]).select("model", "prompt_tokens", "completion_tokens", "invocations", F.round("total_cost", 6).alias("total_cost"))
+    rows = _stream(
+        use, "usage", lambda p: st.usage_stream(st.json_stream(spark, p, _schema(use)), *fx.pricing(spark)), order="conv_id", mode="update"
+    )
+    return st.latest(rows, ["model"]).select("model", "prompt_tokens", "completion_tokens", "invocations", F.round("total_cost", 6).alias("total_cost"))
 
 
 # ---- registered functions ----------------------------------------------------------------------------

@@ -94,7 +94,7 @@ def file_inventory(spark: SparkSession, folder: str, extensions: tuple[str, ...]
     """
     glob = "*.{" + ",".join(e.lstrip(".") for e in extensions) + "}"
     listed = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder).select(
-        F.regexp_replace("path", r"^.*/", "").alias("file_name"), F.col("length").alias("file_size"), F.col("modificationTime").alias("modified"), "content"
+        F.col("path").alias("file_path"), F.regexp_replace("path", r"^.*/", "").alias("file_name"), F.col("length").alias("file_size"), F.col("modificationTime").alias("modified"), "content"
     )
     if known is None:
         return listed.withColumn("sha256", F.sha2("content", 256)).drop("content")
