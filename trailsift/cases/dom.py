@@ -11,6 +11,7 @@ from trailsift.functions import elements as el
 from trailsift.operators import corpus as co
 from trailsift.operators import markdown as md
 from trailsift.operators import tree
+from trailsift.session import scratch_path
 from trailsift.sources import html as ht
 
 # ---- element trees ---------------------------------------------------------------------------
@@ -231,20 +232,20 @@ def _pages(spark, sf):
 
 
 def _nodes(spark, sf):
-    return ht.html_nodes(_pages(spark, sf))
+    return ht.stored_nodes(_pages(spark, sf), scratch_path(spark, "nodes"))
 
 
 @case("pg_1_html_nodes", r"""
 WITH t AS (SELECT page_id, unnest(regexp_extract_all(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?s)<script>.*?</script>', '<script>', 'g'), '<([a-zA-Z][a-zA-Z0-9]*)', 1)) AS tag FROM pages)
 SELECT page_id, tag, count(*) AS n FROM t GROUP BY page_id, tag""")
 def _(spark, sf):
-    n = _nodes(spark, sf)
+    n = ht.html_nodes(_pages(spark, sf))
     return n.where(~F.col("tag").startswith("#")).groupBy("page_id", "tag").agg(F.count("*").alias("n"))
 
 
 @case("pg_1_html_node_table")
 def _(spark, sf):
-    return _nodes(spark, sf).select(
+    return ht.html_nodes(_pages(spark, sf)).select(
         "page_id", "node_id", "parent_id", "depth", "tag", F.array_join("path", "/").alias("path"),
         F.array_join(F.transform(F.map_entries("attrs"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), " ").alias("attrs"), "text",
     )
@@ -309,7 +310,7 @@ concat('<html><body><h1 class="t">', p_name, '</h1><dl><dt>Brand</dt><dd>', p_br
 
 def _details(spark, sf):
     pages = fx.table(spark, sf, "part").selectExpr("p_partkey AS page_id", DETAIL)
-    return ht.html_nodes(pages)
+    return ht.stored_nodes(pages, scratch_path(spark, "nodes"))
 
 
 @case("pg_7_label_values_dl", """
@@ -378,14 +379,14 @@ def _image_pages(spark, sf):
 @case("pg_10_image_candidates", "SELECT * FROM fx_page_images UNION ALL SELECT p_partkey, 'https://h.example.org/d/xx', 'href', 0 FROM part")
 def _(spark, sf):
     pages = _image_pages(spark, sf)
-    return co.image_candidates(ht.html_nodes(pages), pages).select("page_id", "url", "source", F.col("score").cast("bigint").alias("score"))
+    return co.image_candidates(ht.stored_nodes(pages, scratch_path(spark, "nodes")), pages).select("page_id", "url", "source", F.col("score").cast("bigint").alias("score"))
 
 
 @case("top_6_image_candidates", """SELECT page_id, url FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, url) AS rn FROM (
   SELECT page_id, url, score FROM fx_page_images UNION ALL SELECT p_partkey, 'http://10.0.0.1/x.png', 80 FROM part)) WHERE rn <= 4 AND NOT starts_with(url, 'http://10.')""")
 def _(spark, sf):
     pages = _image_pages(spark, sf)
-    return co.image_candidates(ht.html_nodes(pages), pages, top=4).select("page_id", "url")
+    return co.image_candidates(ht.stored_nodes(pages, scratch_path(spark, "nodes")), pages, top=4).select("page_id", "url")
 
 
 def _markdown(spark, sf):

@@ -361,7 +361,10 @@ def network(spark: SparkSession, sf: str) -> DataFrame:
     none = F.lit(None)
     e = e.select("*", at.alias("at"), lag.alias("lag"), rid.alias("request_id"), url.alias("u"), frame.alias("f"))
 
-    def part(where, event, t, url=none, type_=none, size=none, name=none, request=True):
+    # The arrival order: the events of one request follow each other.
+    stages = ["requestWillBeSent", "responseReceived", "dataReceived", "loadingFinished", "loadingFailed", "DOMContentLoaded", "load"]
+
+    def part(where, event, t, url=none, type_=none, size=none, name=none, request=True, stage=None):
         return e.where(where).select(
             F.lit(event).alias("event"),
             (F.col("request_id") if request else none.cast("string")).alias("request_id"),
@@ -371,7 +374,7 @@ def network(spark: SparkSession, sf: str) -> DataFrame:
             type_.cast("string").alias("type"),
             size.cast("bigint").alias("size"),
             name.cast("string").alias("name"),
-            F.col("event_id").alias("pos"),
+            (F.col("event_id") * 8 + stages.index(stage or event)).alias("pos"),
         )
 
     finished = kind.isin("click", "purchase", "view")
@@ -381,8 +384,8 @@ def network(spark: SparkSession, sf: str) -> DataFrame:
         .unionByName(part(finished, "dataReceived", F.col("at") + F.col("lag"), size=F.col("k")))
         .unionByName(part(finished, "loadingFinished", F.col("at") + 2 * F.col("lag"), size=F.col("k") * 7))
         .unionByName(part(kind == "error", "loadingFailed", F.col("at") + F.col("lag"), name=F.lit("net::ERR")))
-        .unionByName(part(doc, "lifecycleEvent", F.col("at") + 0.25, name=F.lit("DOMContentLoaded"), request=False))
-        .unionByName(part(doc, "lifecycleEvent", F.col("at") + 0.5, name=F.lit("load"), request=False))
+        .unionByName(part(doc, "lifecycleEvent", F.col("at") + 0.25, name=F.lit("DOMContentLoaded"), request=False, stage="DOMContentLoaded"))
+        .unionByName(part(doc, "lifecycleEvent", F.col("at") + 0.5, name=F.lit("load"), request=False, stage="load"))
     )
 
 

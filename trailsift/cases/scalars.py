@@ -13,6 +13,7 @@ from trailsift.functions import elements as el
 from trailsift.functions import text as tx
 from trailsift.functions import trace as tr
 from trailsift.functions import urls as u
+from trailsift.plans.lookup import spread
 
 SITE = u.CollectionSite(page_host="idp.example.uk", data_host="data.example.uk")
 
@@ -526,11 +527,12 @@ SELECT doc_id, text || CASE doc_id % 3 WHEN 0 THEN ' see https://ex.org/p/' || d
 
 @case("fn_24_extract_urls")
 def _(spark, sf):
-    return _texts(spark, sf).select(
-        "doc_id",
-        F.array_join(tr.extract_urls(F.col("text")), " ").alias("urls"),
-        F.array_join(tr.extract_urls(F.col("text"), guarded=True), " ").alias("guarded_urls"),
-        tr.single_url(F.col("text")).alias("only_url"),
+    found = spread(_texts(spark, sf)).select(
+        "doc_id", tr.extract_urls(F.col("text")).alias("urls"), tr.extract_urls(F.col("text"), guarded=True).alias("guarded")
+    )
+    return found.select(
+        "doc_id", F.array_join("urls", " ").alias("urls"), F.array_join("guarded", " ").alias("guarded_urls"),
+        tr.only_url(F.col("guarded")).alias("only_url"),
     )
 
 

@@ -272,16 +272,14 @@ def _(spark, sf):
     )
 
 
-@case("src_5_file_inventory", """SELECT p_brand AS brand, count(*) AS files, CAST(sum(length(s)) AS BIGINT) AS bytes, count(DISTINCT sha256(s)) AS contents FROM (
-  SELECT p_brand, p_type || chr(10) AS s FROM part) GROUP BY p_brand""")
+@case("src_5_file_inventory", """SELECT p_partkey // 1000 AS folder, CAST(sum(length(p_type) + 1) AS BIGINT) AS file_size, sha256(string_agg(p_type || chr(10), '' ORDER BY p_partkey)) AS sha256
+  FROM part GROUP BY p_partkey // 1000""")
 def _(spark, sf):
     path = case_path(spark, "inventory")
-    fx.table(spark, sf, "part").select("p_brand", "p_type").repartition(4, "p_brand").write.partitionBy("p_brand").option("maxRecordsPerFile", 1).text(path)
+    rows = fx.table(spark, sf, "part").select("p_partkey", "p_type", F.floor(F.col("p_partkey") / 1000).cast("bigint").alias("folder"))
+    rows.repartition("folder").sortWithinPartitions("folder", "p_partkey").drop("p_partkey").write.partitionBy("folder").text(path)
     listed = sr.file_inventory(spark, f"{path}/*", (".txt", ".jpg"))
-    brand = F.url_decode(F.regexp_extract("file_path", r"p_brand=([^/]*)/", 1))
-    return listed.groupBy(brand.alias("brand")).agg(
-        F.count("*").alias("files"), F.sum("file_size").alias("bytes"), F.countDistinct("sha256").alias("contents")
-    )
+    return listed.select(F.regexp_extract("file_path", r"folder=(\d+)", 1).cast("bigint").alias("folder"), "file_size", "sha256")
 
 
 fx.SQL["fx_log_meta"] = """
@@ -344,16 +342,13 @@ def _(spark, sf):
     return snapshot.select("model", "origin", "input")
 
 
-@case("src_12_read_text_like", """SELECT doc_id, md5(text) AS digest FROM documents""")
+@case("src_12_read_text_like", """SELECT doc_id // 16 AS folder, md5(string_agg(text || chr(10), '' ORDER BY doc_id)) AS digest FROM documents GROUP BY doc_id // 16""")
 def _(spark, sf):
     path = case_path(spark, "texts")
-    fx.table(spark, sf, "documents").select("doc_id", F.col("text").alias("value")).repartition(8, "doc_id").write.option(
-        "maxRecordsPerFile", 1
-    ).option("lineSep", "\u0000").partitionBy("doc_id").text(path)
-    docs = sr.read_text_like(spark, f"{path}/*", "txt")
-    return docs.select(
-        F.regexp_extract("file", r"doc_id=(\d+)", 1).cast("bigint").alias("doc_id"), F.md5(F.regexp_replace("text", "\u0000$", "")).alias("digest")
-    )
+    docs = fx.table(spark, sf, "documents").select("doc_id", "text", F.floor(F.col("doc_id") / 16).cast("bigint").alias("folder"))
+    docs.repartition("folder").sortWithinPartitions("folder", "doc_id").drop("doc_id").write.partitionBy("folder").text(path)
+    read = sr.read_text_like(spark, f"{path}/*", "txt")
+    return read.select(F.regexp_extract("file", r"folder=(\d+)", 1).cast("bigint").alias("folder"), F.md5("text").alias("digest"))
 
 
 @case("snk_1_append_records", "SELECT pos, title, page_url FROM fx_records UNION ALL SELECT pos, '图 ' || title, page_url FROM fx_records WHERE pos % 2 = 0")
@@ -448,10 +443,15 @@ def _(spark, sf):
     return st.drain(st.log_stream(spark, path), case_path(spark, "log-stream")).agg(F.count("*").alias("lines"))
 
 
-@case("str_1_har_stream", "SELECT request_id, url, received, failed, round(ts_finished, 3) AS ts_finished FROM fx_entries WHERE ts_finished IS NOT NULL OR failed")
+# What the last watermark closes: the largest time seen, less the delay of ten seconds.
+_LAST = f"""(SELECT max({_SENT} + CASE WHEN event_type IN ('click', 'purchase', 'view') THEN 2 * lag / 5000 WHEN event_type = 'error' THEN lag / 5000 ELSE 0 END) FROM fx_requests) - 10"""
+
+
+@case("str_1_har_stream", f"""SELECT request_id, url, received, failed FROM fx_entries JOIN (SELECT request_id, {_SENT} + CASE event_type WHEN 'signup' THEN 0 WHEN 'error' THEN lag / 5000 ELSE 2 * lag / 5000 END AS last
+  FROM fx_requests) USING (request_id) WHERE last + 60 <= {_LAST}""")
 def _(spark, sf):
-    rows = _stream(fx.network(spark, sf), "har-stream", lambda p: st.har_stream(st.network_events_stream(spark, p)))
-    return rows.select("request_id", URL, "received", "failed", F.round("ts_finished", 3).alias("ts_finished"))
+    rows = _stream(_quick(spark, sf), "har-stream", lambda p: st.har_stream(st.network_events_stream(spark, p), "60 seconds"))
+    return rows.select("request_id", URL, "received", "failed")
 
 
 @case("str_7_dedup_seen", """SELECT DISTINCT 'https://news/' || (doc_id % 50) AS url, md5('https://news/' || (doc_id % 50)) AS hash FROM documents""")
@@ -496,9 +496,7 @@ def _(spark, sf):
     return st.latest(rows, ["page"])
 
 
-@case("str_5_timeout_stream", f"""
-SELECT request_id, url FROM fx_requests WHERE event_type = 'signup'
-  AND ({_SENT} + 30) <= (SELECT max({_SENT} + CASE WHEN event_type IN ('click', 'purchase', 'view') THEN 2 * lag / 5000 WHEN event_type = 'error' THEN lag / 5000 WHEN is_doc THEN 0 ELSE 0 END) FROM fx_requests) - 10""")
+@case("str_5_timeout_stream", f"SELECT request_id, url FROM fx_requests WHERE event_type = 'signup' AND {_SENT} + 30 <= {_LAST}")
 def _(spark, sf):
     rows = _stream(_quick(spark, sf), "timeouts", lambda p: st.timeout_stream(st.network_events_stream(spark, p), 30))
     return rows.select("request_id", URL)

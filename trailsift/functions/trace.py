@@ -254,7 +254,10 @@ def extract_urls(text: Column, guarded: bool = False) -> Column:
 
 def single_url(text: Column) -> Column:
     """The one address a text names; NULL for none or several."""
-    found = extract_urls(text, guarded=True)
+    return only_url(extract_urls(text, guarded=True))
+
+
+def only_url(found: Column) -> Column:
     return F.when(F.size(found) == 1, F.element_at(found, 1))
 
 

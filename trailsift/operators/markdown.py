@@ -9,6 +9,8 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from trailsift.plans.lookup import spread
+
 HEADER, FENCE, TABLE, LIST, PARAGRAPH, BLANK = "header", "fence", "table", "list", "paragraph", "blank"
 ROW = re.compile(r"^\s*\|.*\|\s*$")
 ITEM = re.compile(r"^(\s*)([-*+]|\d+[.)]) ")
@@ -151,7 +153,7 @@ def _per_document(docs: DataFrame, doc: str, text: str, columns: str, rows_of) -
             for key, content in zip(batch[doc], batch[text]):
                 yield pd.DataFrame([{doc: key, **row} for row in rows_of(content or "")], columns=names)
 
-    return docs.select(doc, text).mapInPandas(run, f"{doc} {kind}, {columns}")
+    return spread(docs.select(doc, text)).mapInPandas(run, f"{doc} {kind}, {columns}")
 
 
 def markdown_blocks(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:

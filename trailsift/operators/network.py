@@ -1,7 +1,7 @@
 """Network events of browser sessions: one entry per request, page timings, what is pending or too slow.
 
-Event rows have ``event, request_id, frame_id, at, url, type, size, name, pos``; ``pos`` is the order of
-arrival and ``at`` the time in seconds.
+Event rows have ``event, request_id, frame_id, at, url, type, size, name, pos``; ``pos`` is the (unique)
+order of arrival and ``at`` the time in seconds.
 """
 
 from __future__ import annotations
@@ -20,13 +20,17 @@ def _is(event: str) -> Column:
 def har_entries(events: DataFrame) -> DataFrame:
     """One row per https request, the later event winning; events before the request do not count.
 
-    The order of a request's events is (pos, at).  First the request is found, an aggregate per id;
-    the other events are then reduced per id as well, so no event list is ever built.
+    The request and the last event of each kind are found in one aggregate per id; no event list is built.
     """
-    order = F.struct("pos", "at")
-    https = _is("requestWillBeSent") & F.lower("url").startswith("https://")
     e = events.where("request_id IS NOT NULL")
-    facts = e.groupBy("request_id").agg(
+    return entry_columns(e.groupBy("request_id").agg(*entry_facts()).where("__since IS NOT NULL"))
+
+
+def entry_facts() -> list[Column]:
+    """Aggregates of one request's events, for batch and streaming grouping alike."""
+    order = F.col("pos")
+    https = _is("requestWillBeSent") & F.lower("url").startswith("https://")
+    return [
         F.min(F.when(https, order)).alias("__since"),
         F.max_by(F.struct("url", "frame_id", "type", F.col("at").alias("at")), F.when(https, order)).alias("q"),
         F.max_by(F.struct(F.col("at").alias("at"), F.col("size").alias("size")), F.when(_is("responseReceived"), order)).alias("__r"),
@@ -35,7 +39,10 @@ def har_entries(events: DataFrame) -> DataFrame:
         F.max(F.when(_is("loadingFinished"), order)).alias("__f_at"),
         F.max(F.when(_is("loadingFailed"), order)).alias("__x_at"),
         F.sum(F.when(_is("dataReceived"), F.col("size"))).alias("__data"),
-    ).where("__since IS NOT NULL")
+    ]
+
+
+def entry_columns(facts: DataFrame) -> DataFrame:
     after_r, after_f = F.col("__r_at") > F.col("__since"), F.col("__f_at") > F.col("__since")
     return facts.select(
         "request_id", F.col("q.url").alias("url"), F.col("q.frame_id").alias("frame_id"), F.col("q.type").alias("type"),
@@ -69,12 +76,12 @@ def page_timings(events: DataFrame) -> DataFrame:
     """Pages by frame: address of the first document, earliest start, ms to content and to load (-1 unknown)."""
     https_doc = _is("requestWillBeSent") & (F.col("type") == "Document") & F.lower("url").startswith("https://")
     pages = events.where(https_doc & F.col("frame_id").isNotNull()).groupBy("frame_id").agg(
-        F.min_by("url", F.struct("pos", "at")).alias("page_url"), F.min("at").alias("started"),
-        F.min(F.struct("pos", "at")).alias("__first"),
+        F.min_by("url", "pos").alias("page_url"), F.min("at").alias("started"),
+        F.min("pos").alias("__first"),
     )
     life = events.where(_is("lifecycleEvent") & F.col("name").isin("DOMContentLoaded", "load"))
     # A lifecycle event counts once its page is known; the last one of each kind stays.
-    joined = life.select("frame_id", "name", F.col("at").alias("__at"), F.struct("pos", "at").alias("__order")).join(pages, "frame_id")
+    joined = life.select("frame_id", "name", F.col("at").alias("__at"), F.col("pos").alias("__order")).join(pages, "frame_id")
     ms = F.greatest(F.lit(0), F.rint((F.col("__at") - F.col("started")) * 1000).cast("bigint"))
     seen = joined.where(F.col("__order") > F.col("__first")).groupBy("frame_id").agg(
         F.max_by(ms, F.when(F.col("name") == "DOMContentLoaded", F.col("__order"))).alias("on_content_load"),

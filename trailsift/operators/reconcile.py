@@ -21,8 +21,9 @@ def assign_files_once(records: DataFrame, files: DataFrame, names: Sequence[str]
     ``file_size``.  Adds ``assigned`` (NULL without a file).
 
     Rounds, each settling every record whose turn no open earlier record can still change.  A taken
-    file leaves all lists at once, and all records of one size between two such events are settled
-    together, so neither a hot file nor a hot size costs more rounds.
+    file leaves all lists at once; runs of records of one size that name their files, and runs of
+    records that must go by size, are settled together.  The rounds are as many as such runs
+    alternate within one size, not as many as there are records.
     """
     wanted = records.select(
         "pos", F.posexplode(F.array(*[F.regexp_replace(F.coalesce(n, F.lit("")), r"^.*/", "") for n in names])).alias("p", "file_name")
@@ -34,12 +35,18 @@ def assign_files_once(records: DataFrame, files: DataFrame, names: Sequence[str]
     won: DataFrame | None = None
     while not turns.isEmpty():
         spent = turns.join(pairs.select("pos"), "pos", "left_anti")
-        capable = turns.where("file_size IS NOT NULL").groupBy("file_size").agg(F.min("pos").alias("__capable"))
         namers = pairs.groupBy("file_name", "file_size").agg(F.min("pos").alias("pos"))
         best = pairs.groupBy("pos").agg(F.min_by("file_name", "p").alias("file_name"))
+        # A head is the first namer of its best file.  It cannot lose that file to the size rule while
+        # all earlier records of the file's size are heads with files of their own size.
+        heads = best.join(namers, ["pos", "file_name"]).withColumnRenamed("file_size", "__file_size")
+        sure = heads.join(turns, "pos").where(F.col("__file_size") == F.col("file_size")).select("pos")
+        doubtful = turns.join(sure, "pos", "left_anti").where("file_size IS NOT NULL").groupBy(
+            F.col("file_size").alias("__file_size")
+        ).agg(F.min("pos").alias("__doubt"))
         named = (
-            best.join(namers, ["pos", "file_name"]).join(capable, "file_size", "left")
-            .where(F.col("__capable").isNull() | (F.col("__capable") >= F.col("pos"))).select("pos", "file_name")
+            heads.join(doubtful, "__file_size", "left")
+            .where(F.col("__doubt").isNull() | (F.col("__doubt") >= F.col("pos"))).select("pos", "file_name")
         )
         waiting = turns.join(pairs.select("pos"), "pos", "left_semi").where("file_size IS NOT NULL").select("file_size", "pos")
         until = waiting.unionByName(namers.select("file_size", "pos")).groupBy("file_size").agg(F.min("pos").alias("__until"))

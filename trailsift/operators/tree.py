@@ -8,7 +8,8 @@ so ancestor questions are one explode and one equi join on ``(page_id, node_id)`
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -452,26 +453,39 @@ def find_elements(nodes: DataFrame, selector: str, attributes: Sequence[str] = (
 
 
 def occluded(nodes: DataFrame) -> DataFrame:
-    """Nodes whose box is wholly under opaque boxes painted above it (paint order, descending)."""
-    def sweep(rows: pd.DataFrame) -> pd.DataFrame:
-        covers: list[tuple[float, float, float, float]] = []
-        hidden = []
-        for _, layer in sorted(rows.groupby("paint_order"), key=lambda g: -g[0]):
-            fresh = []
-            for n in layer.itertuples():
-                rect = (n.x, n.y, n.x + n.w, n.y + n.h)
-                if _covered(rect, covers):
-                    hidden.append(n.node_id)
-                if n.opaque:
-                    fresh.append(rect)
-            covers += [r for r in fresh if not _covered(r, covers)]
-        return pd.DataFrame({"page_id": rows["page_id"].iloc[0], "node_id": hidden})
+    """Nodes whose box is wholly under opaque boxes painted above it (paint order, descending).
 
+    The boxes of a page are gathered by Spark; the rectangle cutting is a helper per page.
+    """
+    opaque = (F.coalesce("background", F.lit("rgba(0, 0, 0, 0)")) != "rgba(0, 0, 0, 0)") & (
+        F.coalesce("opacity", F.lit(1.0)) >= 0.8
+    )
     boxes = nodes.where("paint_order IS NOT NULL AND x IS NOT NULL").select(
-        *KEY, "paint_order", "x", "y", "w", "h",
-        ((F.coalesce("background", F.lit("rgba(0, 0, 0, 0)")) != "rgba(0, 0, 0, 0)") & (F.coalesce("opacity", F.lit(1.0)) >= 0.8)).alias("opaque"),
+        "page_id", F.struct((-F.col("paint_order")).alias("layer"), "node_id", "x", "y", "w", "h", opaque.alias("opaque")).alias("b")
     )
-    return boxes.groupBy("page_id").applyInPandas(sweep, "page_id bigint, node_id bigint")
+    pages = boxes.groupBy("page_id").agg(F.array_sort(F.collect_list("b")).alias("boxes"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            hidden = [(page, n) for page, found in zip(batch["page_id"], batch["boxes"]) for n in _hidden(found)]
+            yield pd.DataFrame(hidden, columns=["page_id", "node_id"])
+
+    return pages.mapInPandas(run, "page_id bigint, node_id bigint")
+
+
+def _hidden(boxes: list[dict]) -> Iterator[int]:
+    """Covered boxes; the input is sorted from the top layer down, a layer does not cover itself."""
+    covers: list[tuple[float, float, float, float]] = []
+    for _, layer in groupby(boxes, key=lambda b: b["layer"]):
+        fresh = []
+        for b in layer:
+            rect = (b["x"], b["y"], b["x"] + b["w"], b["y"] + b["h"])
+            covered = _covered(rect, covers)
+            if covered:
+                yield b["node_id"]
+            elif b["opaque"]:
+                fresh.append(rect)
+        covers += fresh
 
 
 def _covered(rect: tuple, covers: list[tuple]) -> bool:

@@ -26,3 +26,12 @@ def pick(df: DataFrame, keys: Sequence[str], order: Column, columns: Sequence[st
     """
     chosen = (F.max_by if last else F.min_by)(F.struct(*columns), order)
     return df.groupBy(*keys).agg(chosen.alias("__picked")).select(*keys, "__picked.*")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread rows over all cores where the input has fewer splits than there are cores.
+
+    For costly per-row work on a small input.  An input of many splits is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

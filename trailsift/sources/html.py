@@ -12,6 +12,8 @@ from html.parser import HTMLParser
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from trailsift.plans.lookup import spread
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 # An opening tag that ends an open element of these names, unless a boundary lies between.
 CLOSES = {
@@ -119,7 +121,13 @@ def html_nodes(pages: DataFrame, page: str = "page_id", html: str = "html") -> D
                         [pa.array(list(c), type=f.type) for c, f in zip(columns, NODE_SCHEMA)], schema=NODE_SCHEMA
                     )
 
-    return pages.selectExpr(f"cast({page} as bigint)", html).mapInArrow(run, NODE_COLUMNS)
+    return spread(pages.selectExpr(f"cast({page} as bigint)", html)).mapInArrow(run, NODE_COLUMNS)
+
+
+def stored_nodes(pages: DataFrame, path: str, page: str = "page_id", html: str = "html") -> DataFrame:
+    """The node table, parsed once and stored; every later operator reads the columns it needs."""
+    html_nodes(pages, page, html).write.mode("overwrite").parquet(path)
+    return pages.sparkSession.read.schema(NODE_COLUMNS).parquet(path)
 
 
 # ---- markdown ------------------------------------------------------------------------------------
@@ -258,4 +266,4 @@ def html_to_markdown(pages: DataFrame, page: str = "page_id", html: str = "html"
             texts = [markdown_of(source or "", extract_links) for source in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["page_id", "markdown"])
 
-    return pages.selectExpr(f"cast({page} as bigint) as page_id", html).mapInArrow(run, "page_id bigint, markdown string")
+    return spread(pages.selectExpr(f"cast({page} as bigint) as page_id", html)).mapInArrow(run, "page_id bigint, markdown string")

@@ -15,6 +15,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from trailsift.functions import trace as tr
 from trailsift.operators import catalog as ca
+from trailsift.operators import network as nw
 from trailsift.operators import progress as pr
 from trailsift.operators import usage as us
 from trailsift.sources.tables import VersionedTable
@@ -136,94 +137,36 @@ def loop_stream(actions: DataFrame, window: int = 20) -> DataFrame:
     )
 
 
-ENTRY = (
-    "request_id string, url string, frame_id string, type string, ts_request double, ts_response double, ts_finished double, "
-    "content_length bigint, encoded_length bigint, received bigint, failed boolean"
-)
-ENTRY_FIELDS = [f.split()[0] for f in ENTRY.split(", ")]
+def _timed(events: DataFrame, delay: str) -> DataFrame:
+    at = F.timestamp_micros((F.col("at") * 1_000_000).cast("bigint"))
+    return events.where("request_id IS NOT NULL").withColumn("time", at).withWatermark("time", delay)
 
 
-def har_stream(events: DataFrame, timeout_ms: int | None = None) -> DataFrame:
-    """One entry per https request, out when it finishes, fails or (with ``timeout_ms``) falls silent.
+def har_stream(events: DataFrame, silence: str = "5 minutes", delay: str = "10 seconds") -> DataFrame:
+    """One entry per https request, out once the request has been silent for ``silence``.
 
-    Responses, data and endings of a request that was not seen are ignored.
+    A request's events are one session of the request id: built-in incremental state, dropped when the
+    watermark closes the session.  Events after that are late and do not count.
     """
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        entry = dict(zip(ENTRY_FIELDS[1:], state.get)) if state.exists else None
-        if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame([[key[0], *entry.values()]], columns=ENTRY_FIELDS)
-            return
-        done = []
-        rows = pd.concat(list(batches)).sort_values(["pos", "at"])
-        for e in rows.itertuples():
-            if e.event == "requestWillBeSent" and str(e.url).lower().startswith("https://"):
-                known = entry or dict.fromkeys(ENTRY_FIELDS[1:])
-                entry = {**known, "url": e.url, "frame_id": e.frame_id, "type": e.type, "ts_request": e.at}
-                entry["received"], entry["failed"] = entry["received"] or 0, bool(entry["failed"])
-            elif entry is None:
-                continue
-            elif e.event == "responseReceived":
-                entry |= {"ts_response": e.at, "content_length": None if pd.isna(e.size) else int(e.size)}
-            elif e.event == "dataReceived":
-                entry["received"] += 0 if pd.isna(e.size) else int(e.size)
-            elif e.event == "loadingFinished":
-                entry |= {"ts_finished": e.at, "encoded_length": None if pd.isna(e.size) else int(e.size)}
-            elif e.event == "loadingFailed":
-                entry["failed"] = True
-            if e.event in ("loadingFinished", "loadingFailed"):
-                done.append([key[0], *entry.values()])
-                entry = None
-        if entry is not None:
-            state.update(tuple(entry.values()))
-            if timeout_ms:
-                state.setTimeoutDuration(timeout_ms)
-        elif state.exists:
-            state.remove()
-        yield pd.DataFrame(done, columns=ENTRY_FIELDS)
-
-    kind = GroupStateTimeout.ProcessingTimeTimeout if timeout_ms else GroupStateTimeout.NoTimeout
-    state_schema = ENTRY.split(", ", 1)[1]
-    return events.where("request_id IS NOT NULL").groupBy("request_id").applyInPandasWithState(step, ENTRY, state_schema, "append", kind)
+    session = F.session_window("time", silence)
+    facts = _timed(events, delay).groupBy("request_id", session).agg(*nw.entry_facts()).where("__since IS NOT NULL")
+    return nw.entry_columns(facts)
 
 
 def timeout_stream(events: DataFrame, threshold_seconds: float, delay: str = "10 seconds") -> DataFrame:
-    """A row for every request that was active longer than the threshold, once (event time).
+    """A row for every request that was active for the threshold, once.
 
-    The watermark is the clock: a request times out when the event time passes its start plus the
-    threshold without an end.  A request that ends leaves no state.
+    Only starts and ends count, so a session of the request id with the threshold as its gap holds both
+    if the request ended in time; a session that closes with a start and no end has timed out.
     """
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            started, url = state.get
-            state.remove()
-            yield pd.DataFrame({"request_id": [key[0]], "url": [url], "started": [started]})
-            return
-        open_request = state.get if state.exists else None
-        for e in pd.concat(list(batches)).sort_values(["at", "pos"]).itertuples():
-            if e.event == "requestWillBeSent":
-                open_request = (float(e.at), e.url)
-            elif e.event in ("loadingFinished", "loadingFailed"):
-                open_request = None
-        late: list = []
-        if open_request is None:
-            if state.exists:
-                state.remove()
-        elif (open_request[0] + threshold_seconds) * 1000 <= state.getCurrentWatermarkMs():
-            late.append([key[0], open_request[1], open_request[0]])
-            if state.exists:
-                state.remove()
-        else:
-            state.update(open_request)
-            state.setTimeoutTimestamp(int((open_request[0] + threshold_seconds) * 1000))
-        yield pd.DataFrame(late, columns=["request_id", "url", "started"])
-
-    timed = events.where("request_id IS NOT NULL").withColumn("time", F.timestamp_micros((F.col("at") * 1_000_000).cast("bigint")))
-    return timed.withWatermark("time", delay).groupBy("request_id").applyInPandasWithState(
-        step, "request_id string, url string, started double", "started double, url string", "append", GroupStateTimeout.EventTimeTimeout
+    is_start = F.col("event") == "requestWillBeSent"
+    marks = events.where(F.col("event").isin("requestWillBeSent", "loadingFinished", "loadingFailed"))
+    gap = f"{int(threshold_seconds * 1000)} milliseconds"
+    sessions = _timed(marks, delay).groupBy("request_id", F.session_window("time", gap)).agg(
+        F.max_by("url", F.when(is_start, F.col("pos"))).alias("url"), F.max(F.when(is_start, F.col("pos"))).alias("__start"),
+        F.max(F.when(~is_start, F.col("pos"))).alias("__end"),
     )
+    return sessions.where("__start IS NOT NULL AND (__end IS NULL OR __end < __start)").select("request_id", "url")
 
 
 def import_stream(records: DataFrame, table: VersionedTable, files: DataFrame, path: str) -> None:
