@@ -56,18 +56,26 @@ def segments(url: Column) -> Column:
 
 
 def clean_url(url: Column) -> Column:
-    """Trim blanks, quotes and backticks, then closing brackets and punctuation at the end."""
-    text = F.regexp_replace(F.coalesce(url, F.lit("")), r"(?U)^\s+|\s+$", "")
-    text = F.regexp_replace(text, "^[`\"' \\t\\r\\n]+|[`\"' \\t\\r\\n]+$", "")
+    """Trim blanks, then quotes and backticks, then closing brackets and punctuation at the end."""
+    text = F.regexp_replace(
+        F.coalesce(url, F.lit("")), "(?U)^\\s*[`\"' \\t\\r\\n]*|[`\"' \\t\\r\\n]*\\s*$", ""
+    )
     return F.regexp_replace(text, r"[\])},，.;；]+$", "")
 
 
+SITE = r"[^:/?#]+://[^/?#]+"
+# Path and query behind the site, without trailing slashes, an empty query and the fragment.
+REST = rf"(?s)^{SITE}(?:([^?#]*\?[^#]+?)/*|([^?#]*?)/*\??)(?:#.*)?$"
+
+
 def normalize_url(url: Column) -> Column:
-    """Cleaned URL with a lower-case host, no fragment and no trailing slash."""
+    """Cleaned URL with a lower-case host, no fragment, no empty query and no trailing slash.
+
+    A text without scheme and host matches neither pattern and stays as it is.  The cleaned address is
+    mentioned twice only, since not every operator shares common subexpressions.
+    """
     u = clean_url(url)
-    tail = F.when(query(u) != "", F.concat(F.lit("?"), query(u))).otherwise("")
-    whole = F.concat(scheme(u), F.lit("://"), F.lower(netloc(u)), path(u), tail)
-    return F.when((scheme(u) == "") | (netloc(u) == ""), u).otherwise(F.regexp_replace(whole, "/+$", ""))
+    return F.concat(F.lower(F.regexp_extract(u, f"^{SITE}", 0)), F.regexp_replace(u, REST, "$1$2"))
 
 
 def source_hash(page_url: Column, image_url: Column, index: Column | None = None) -> Column:

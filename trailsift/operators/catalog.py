@@ -37,7 +37,7 @@ def resolve_files(records: DataFrame, files: DataFrame, names: Sequence[str], ke
     """
     by_name = records.select(
         key,
-        F.posexplode(F.array(*[_base_name(F.col(n)) for n in names])).alias("priority", "__name"),
+        F.posexplode_outer(F.array(*[_base_name(F.col(n)) for n in names])).alias("priority", "__name"),
     ).where("__name <> ''")
     named = by_name.join(
         files.withColumnRenamed("file_name", "__file"), F.col("__name") == F.col("__file")
@@ -135,11 +135,17 @@ def duplicate_hash_groups(files: DataFrame) -> DataFrame:
 # ---- new against known --------------------------------------------------------------------------
 
 
-def _keys(records: DataFrame, kinds: dict[str, Column]) -> DataFrame:
-    pairs = [F.struct(F.lit(kind).alias("kind"), value.alias("key")) for kind, value in kinds.items()]
+def _keys(records: DataFrame, kinds: dict[str, Column], carried: Sequence[str] = ("pos",)) -> DataFrame:
+    """One narrow row per record and kind of key.
+
+    The keys are computed in a projection of their own: a generator shares no subexpressions.  Its array
+    is never empty; the outer form keeps Spark from inferring a filter that would compute the keys again.
+    """
+    computed = records.select(*carried, *[value.alias(f"__{kind}") for kind, value in kinds.items()])
+    pairs = [F.struct(F.lit(kind).alias("kind"), F.col(f"__{kind}").alias("key")) for kind in kinds]
     return (
-        records.select("pos", F.explode(F.array(*pairs)).alias("p"))
-        .select("pos", "p.kind", "p.key")
+        computed.select(*carried, F.explode_outer(F.array(*pairs)).alias("p"))
+        .select(*carried, "p.kind", "p.key")
         .where(F.coalesce("key", F.lit("")) != "")
     )
 
@@ -297,13 +303,7 @@ def record_index(records: DataFrame) -> DataFrame:
         "content": tx.valid_sha256(F.col("sha256")),
         "source": u.source_hash(F.col("page_url"), F.col("image_url")),
     }
-    pairs = [F.struct(F.lit(k).alias("kind"), v.alias("key")) for k, v in kinds.items()]
-    exploded = (
-        downloaded(records)
-        .select("pos", "sequence", F.explode(F.array(*pairs)).alias("p"))
-        .select("pos", "sequence", "p.kind", "p.key")
-        .where(F.coalesce("key", F.lit("")) != "")
-    )
+    exploded = _keys(downloaded(records), kinds, ["pos", "sequence"])
     return exploded.groupBy("kind", "key").agg(
         F.max_by("sequence", "pos").alias("sequence"), F.count("*").alias("records")
     )

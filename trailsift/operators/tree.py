@@ -296,6 +296,10 @@ def _match_keys() -> Column:
     return F.array(*[F.struct(F.lit(level).alias("level"), key.alias("key")) for level, key in keys])
 
 
+def _with_keys(elements: DataFrame) -> DataFrame:
+    return elements.withColumn("__keys", _match_keys())
+
+
 def rematch_elements(history: DataFrame, current: DataFrame, scope: str = "page_id") -> DataFrame:
     """For each historic element the current one it is, by the strictest level that finds any.
 
@@ -303,12 +307,12 @@ def rematch_elements(history: DataFrame, current: DataFrame, scope: str = "page_
     key has more than one partner and all levels share one join.
     """
     targets = (
-        current.select(scope, "node_id", "ord", F.explode(_match_keys()).alias("m"))
+        _with_keys(current).select(scope, "node_id", "ord", F.explode_outer("__keys").alias("m"))
         .select(scope, "node_id", "ord", "m.level", "m.key").where("key IS NOT NULL")
         .groupBy(scope, "level", "key").agg(F.min_by("node_id", "ord").alias("match_id"))
     )
     wanted = (
-        history.select(scope, F.col("node_id"), F.explode(_match_keys()).alias("m"))
+        _with_keys(history).select(scope, "node_id", F.explode_outer("__keys").alias("m"))
         .select(scope, "node_id", "m.level", "m.key").where("key IS NOT NULL")
     )
     hits = wanted.join(targets, [scope, "level", "key"]).groupBy(scope, "node_id").agg(
