@@ -13,7 +13,7 @@ from trailsift.plans import ordered
 @pytest.fixture(scope="module")
 def rows():
     rng = random.Random(7)
-    keys = ["hot"] * 60 + ["a", "b", "c"] * 10
+    keys = ["hot"] * 60 + ["a", "b", "c", None] * 10
     positions = rng.sample(range(400), len(keys))
     return [(k, p, rng.choice([None, 1, 2, 3])) for k, p in zip(keys, positions)]
 

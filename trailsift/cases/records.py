@@ -336,3 +336,9 @@ def _(spark, sf):
     ledger.start("run-1", "records", "images", started_at="2024-01-01T00:00:00+00:00")
     ledger.finish("run-1", ca.import_run_stats(_classified(spark, sf), _orphans(spark, sf)), "2024-01-01T01:00:00+00:00")
     return ledger.read().select("id", "status", "total_records", "imported_count")
+
+
+@case("top_7_capped_list", """SELECT status, pos, total, total > 20 AS has_more FROM (SELECT status, pos, row_number() OVER (PARTITION BY status ORDER BY pos) AS rn,
+  count(*) OVER (PARTITION BY status) AS total FROM fx_records) WHERE rn <= 20""")
+def _(spark, sf):
+    return ca.capped_list(fx.records(spark, sf).select("status", "pos"), ["status"], "pos", 20)

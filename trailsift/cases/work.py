@@ -239,14 +239,34 @@ f AS (SELECT site, CAST(0 AS BIGINT) AS rn, CAST(-1 AS BIGINT) AS pos, '' AS las
   FROM f JOIN e ON e.site = f.site AND e.rn = f.rn + 1)
 SELECT site, pos, streak, nullif(preferred, '') AS preferred FROM f WHERE rn > 0""")
 def _(spark, sf):
+    return methodlock.method_lock(_method_events(spark, sf), METHODS, block_rows=512).select("site", "pos", "streak", "preferred")
+
+
+def _method_events(spark, sf):
     k = F.col("k")
     index = F.when(k % 20 < 17, F.floor(F.col("event_id") / 400) % 2 + 1).otherwise(k % 3 + 1)
-    e = fx.events(spark, sf).select(
+    return fx.events(spark, sf).select(
         (F.col("user_id") % 5).alias("site"), F.col("event_id").alias("pos"),
         F.element_at(F.array(*[F.lit(m) for m in METHODS]), index.cast("int")).alias("method"),
         ((F.col("event_type") != "error") | (k % 2 == 0)).alias("ok"),
     )
-    return methodlock.method_lock(e, METHODS, block_rows=512).select("site", "pos", "streak", "preferred")
+
+
+@case("udf_4_method_order", """
+WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY pos) AS rn, count(*) OVER (PARTITION BY site) AS n FROM fx_methods),
+f AS (SELECT site, CAST(0 AS BIGINT) AS rn, CAST(-1 AS BIGINT) AS n, '' AS last_method, CAST(0 AS BIGINT) AS streak, '' AS preferred FROM (SELECT DISTINCT site FROM e)
+  UNION ALL
+  SELECT e.site, e.rn, e.n, CASE WHEN ok THEN method ELSE last_method END,
+    CASE WHEN ok THEN CASE WHEN method = last_method THEN streak + 1 ELSE 1 END WHEN preferred = method THEN 0 ELSE streak END,
+    CASE WHEN ok THEN CASE WHEN method = last_method AND streak + 1 >= 5 THEN method ELSE preferred END WHEN preferred = method THEN '' ELSE preferred END
+  FROM f JOIN e ON e.site = f.site AND e.rn = f.rn + 1)
+SELECT site, CASE preferred WHEN 'browser_context_fetch' THEN 'browser_context_fetch,python_direct,clean_screenshot'
+  WHEN 'clean_screenshot' THEN 'clean_screenshot,python_direct,browser_context_fetch' ELSE 'python_direct,browser_context_fetch,clean_screenshot' END AS methods
+FROM f WHERE rn = n""")
+def _(spark, sf):
+    locked = methodlock.method_lock(_method_events(spark, sf), METHODS)
+    final = locked.groupBy("site").agg(F.max_by("preferred", "pos").alias("preferred"))
+    return final.select("site", F.array_join(methodlock.method_order(F.col("preferred"), METHODS), ",").alias("methods"))
 
 
 # ---- run histories -----------------------------------------------------------------------------

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailsift.functions import text as tx
@@ -483,3 +483,14 @@ def record_order() -> list[Column]:
 
 def recent_runs(runs: DataFrame, n: int = 10) -> DataFrame:
     return runs.orderBy(F.col("started_at").desc(), F.col("id")).limit(n)
+
+
+def capped_list(rows: DataFrame, keys: Sequence[str], order: str, n: int) -> DataFrame:
+    """The first ``n`` rows per key with the total and whether there are more.
+
+    Spark applies the rank limit before the shuffle, so a hot key sends at most ``n`` rows per task.
+    """
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
+    totals = rows.groupBy(*keys).agg(F.count("*").alias("total"))
+    top = rows.withColumn("__rank", rank).where(F.col("__rank") <= n).drop("__rank")
+    return top.join(totals, list(keys)).withColumn("has_more", F.col("total") > n)

@@ -12,10 +12,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trailsift.plans import ordered
+from trailsift.session import cut
 
 THRESHOLD = 5  # fixed value: successes in a row that lock a method
 
@@ -44,7 +45,8 @@ def method_lock(events: DataFrame, methods: list[str], site: str = "site", order
     numbered = ordered.number_rows(events, [site], [order], ordered.position_block(order), "__n")
     block = F.floor((F.col("__n") - 1) / block_rows).cast("bigint")
     symbol = F.array_position(F.array(*[F.lit(m) for m in methods]), F.col("method")) * 2 - 2 + F.col("ok").cast("int")
-    coded = numbered.withColumn("__b", block).withColumn("__e", symbol.cast("int"))
+    # Cut here and after the replay: both results are read several times.
+    coded = cut(numbered.withColumn("__b", block).withColumn("__e", symbol.cast("int")))
 
     def reduce_block(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         state = np.arange(states, dtype=np.int32)
@@ -76,7 +78,7 @@ def method_lock(events: DataFrame, methods: list[str], site: str = "site", order
 
     ready = coded.join(starts, [site, "__b"]).repartition(F.col(site), F.col("__b")).sortWithinPartitions(site, "__b", "__n")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in numbered.schema.fields)
-    played = ready.mapInPandas(replay, f"{fields}, __last string, __capped bigint, preferred string")
+    played = cut(ready.mapInPandas(replay, f"{fields}, __last string, __capped bigint, preferred string"))
     # The streak beyond the threshold: successes since the run began (capped streak 1 after a success)
     # or since it was set to zero.
     success = F.col("ok") & (F.col("__last") == F.col("method"))
@@ -108,3 +110,11 @@ def _walk(site: str):
         return pd.DataFrame({site: key[0], "__b": ordered_maps["__b"], "__start": starts})
 
     return walk
+
+
+def method_order(preferred: Column, methods: list[str]) -> Column:
+    """Methods to try: the preferred one first, the others in their own order."""
+    base = F.array(*[F.lit(m) for m in methods])
+    return F.when(
+        F.array_contains(base, preferred), F.concat(F.array(preferred), F.filter(base, lambda m: m != preferred))
+    ).otherwise(base)

@@ -443,7 +443,9 @@ def find_elements(nodes: DataFrame, selector: str, attributes: Sequence[str] = (
     totals = hits.groupBy("page_id").agg(F.count("*").alias("total"))
     # Spark prunes a rank filter before the shuffle, so at most max_results rows per task and page move.
     rank = F.row_number().over(Window.partitionBy("page_id").orderBy("ord"))
-    top = hits.withColumn("index", (rank - 1).cast("bigint")).where(F.col("index") < max_results)
+    top = hits.withColumn("__rank", rank).where(F.col("__rank") <= max_results).withColumn(
+        "index", (F.col("__rank") - 1).cast("bigint")
+    ).drop("__rank")
     children = nodes.where(~F.col("tag").startswith("#")).groupBy("page_id", F.col("parent_id").alias("node_id")).agg(
         F.count("*").alias("children_count")
     )

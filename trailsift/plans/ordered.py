@@ -37,12 +37,12 @@ class Scan:
 
 def position_block(column: str, rows: int = DEFAULT_BLOCK_ROWS) -> Column:
     """Blocks of ``rows`` neighbouring integer positions."""
-    return F.floor(F.col(column) / F.lit(rows)).cast("bigint")
+    return F.expr(f"`{column}` div {rows}")
 
 
 def time_block(column: str, seconds: int = 3600) -> Column:
     """Blocks of a time slice."""
-    return F.floor(F.unix_micros(F.col(column).cast("timestamp")) / F.lit(seconds * 1_000_000)).cast("bigint")
+    return F.expr(f"unix_seconds(cast(`{column}` AS timestamp)) div {seconds}")
 
 
 def text_block(df: DataFrame, column: str) -> Column:
@@ -102,32 +102,29 @@ def scan(
     keys = list(keys)
     order = list(order)
     ordinal = "__local_ordinal"
-    inner = Window.partitionBy(*keys, BLOCK).orderBy(*order)
+    # Keys and block are one struct column.  Null keys are equal inside a struct, so a plain equi join
+    # does, and window and join share one partitioning and one sort: the wide rows move once.
+    inner = Window.partitionBy(BLOCK).orderBy(*order)
     upto = inner.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ahead = inner.rowsBetween(Window.unboundedPreceding, -1)
 
-    local = df.withColumn(BLOCK, block)
+    local = df.withColumn(BLOCK, F.struct(*[F.col(k).alias(f"k{n}") for n, k in enumerate(keys)], block.alias("b")))
     for i, s in enumerate(scans):
         local = local.withColumn(f"__v{i}", s.value)
-    summary_input = local.select(
-        *keys, BLOCK, *[f"__v{i}" for i in range(len(scans))], F.struct(*order).alias(ordinal)
-    )
-    summary = summary_input.groupBy(*keys, BLOCK).agg(
+    summary = local.select(BLOCK, *[f"__v{i}" for i in range(len(scans))], F.struct(*order).alias(ordinal)).groupBy(BLOCK).agg(
         *[_aggregate(s.kind, F.col(f"__v{i}"), ordinal).alias(f"__s{i}") for i, s in enumerate(scans)]
     )
-    outer = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    outer = (
+        Window.partitionBy(*[F.col(BLOCK)[f"k{n}"] for n in range(len(keys))])
+        .orderBy(F.col(BLOCK)["b"]).rowsBetween(Window.unboundedPreceding, -1)
+    )
     carries = summary.select(
-        *[F.col(k).alias(f"__k{n}") for n, k in enumerate(keys)],
-        F.col(BLOCK).alias("__b"),
-        *[_running(s.kind, F.col(f"__s{i}")).over(outer).alias(f"__c{i}") for i, s in enumerate(scans)],
+        BLOCK, *[_running(s.kind, F.col(f"__s{i}")).over(outer).alias(f"__c{i}") for i, s in enumerate(scans)]
     )
     for i, s in enumerate(scans):
         local = local.withColumn(f"__l{i}", _running(s.kind, F.col(f"__v{i}")).over(ahead if s.before else upto))
-    condition = F.col(BLOCK) == F.col("__b")
-    for n, k in enumerate(keys):
-        condition = condition & F.col(k).eqNullSafe(F.col(f"__k{n}"))
-    joined = local.join(carries, condition, "left")
-    drop = [BLOCK, "__b", *[f"__k{n}" for n in range(len(keys))]]
+    joined = local.join(carries, BLOCK, "left")
+    drop = [BLOCK]
     for i, s in enumerate(scans):
         joined = joined.withColumn(s.out, _combine(s.kind, F.col(f"__c{i}"), F.col(f"__l{i}")))
         drop += [f"__v{i}", f"__l{i}", f"__c{i}"]
@@ -186,9 +183,8 @@ def rolling_list(
     keys = list(keys)
     block_rows = max(block_rows, size)
     numbered = number_rows(df, keys, order, block, "__n").withColumn("__value", value)
-    n0 = F.col("__n") - 1
-    home = F.floor(n0 / F.lit(block_rows)).cast("bigint")
-    in_halo = (n0 % block_rows) >= block_rows - (size - 1)
+    home = F.expr(f"(__n - 1) div {block_rows}")
+    in_halo = ((F.col("__n") - 1) % block_rows) >= block_rows - (size - 1)
     spread = numbered.withColumn("__home", home).withColumn(
         "__target", F.explode(F.when(in_halo, F.array(home, home + 1)).otherwise(F.array(home)))
     )
