@@ -314,19 +314,19 @@ def _details(spark, sf):
 
 
 @case("pg_7_label_values_dl", """
-SELECT p_partkey AS page_id, 1 AS ordinal, 'Title' AS label, trim(regexp_replace(p_name, '\\s+', ' ', 'g')) AS value FROM part
+SELECT p_partkey AS page_id, CAST(1 AS BIGINT) AS ordinal, 'Title' AS label, trim(regexp_replace(p_name, '\\s+', ' ', 'g')) AS value FROM part
 UNION ALL SELECT p_partkey, 2, 'Brand', p_brand || ' ' || p_size FROM part UNION ALL SELECT p_partkey, 3, 'Type', p_type FROM part""")
 def _(spark, sf):
     return co.label_values(_details(spark, sf), {"mode": "dl", "header_fields": [{"selector": "h1.t", "label": "Title"}]})
 
 
 @case("pg_7_label_values_sections", """
-SELECT p_partkey AS page_id, 1 AS ordinal, 'Kinds' AS label, p_brand || ', ' || p_type AS value FROM part UNION ALL SELECT p_partkey, 2, 'Size', 'about ' || p_size || ' cm' FROM part""")
+SELECT p_partkey AS page_id, CAST(1 AS BIGINT) AS ordinal, 'Kinds' AS label, p_brand || ', ' || p_type AS value FROM part UNION ALL SELECT p_partkey, 2, 'Size', 'about ' || p_size || ' cm' FROM part""")
 def _(spark, sf):
     return co.label_values(_details(spark, sf), {"section_selector": "section"})
 
 
-@case("pg_7_label_values_table", "SELECT p_partkey AS page_id, 1 AS ordinal, 'Price' AS label, CAST(p_size AS VARCHAR) AS value FROM part")
+@case("pg_7_label_values_table", "SELECT p_partkey AS page_id, CAST(1 AS BIGINT) AS ordinal, 'Price' AS label, CAST(p_size AS VARCHAR) AS value FROM part")
 def _(spark, sf):
     return co.label_values(_details(spark, sf), {"mode": "table"})
 
@@ -364,7 +364,7 @@ concat('<html><head><meta property="og:image" content="/og/', p_partkey, '.png">
 
 
 fx.SQL["fx_page_images"] = """
-SELECT p_partkey AS page_id, 'https://h.example.org/a/full/max/x' || p_partkey || '.jpg' AS url, 'srcset' AS source, 260 AS score FROM part
+SELECT p_partkey AS page_id, 'https://h.example.org/a/full/max/x' || p_partkey || '.jpg' AS url, 'srcset' AS source, CAST(260 AS BIGINT) AS score FROM part
 UNION ALL SELECT p_partkey, 'https://h.example.org/d/pic' || p_partkey || '-L.jpg', 'src', 160 FROM part
 UNION ALL SELECT p_partkey, 'https://cdn.example.org/media/' || p_partkey || '/z.jpg', 'html', 80 FROM part
 UNION ALL SELECT p_partkey, 'https://h.example.org/bg/' || p_partkey || '.webp', 'background', 80 FROM part
@@ -547,8 +547,8 @@ CASE p_partkey % 8 WHEN 0 THEN concat('{"name": "', p_brand, '", "count": ', p_s
 
 @case("pg_12_validate_extraction", """
 SELECT p_partkey AS id, p_partkey % 8 < 2 AS accepted, CASE WHEN p_partkey % 8 < 2 THEN p_brand END AS name,
-  CASE p_partkey % 8 WHEN 0 THEN p_size WHEN 1 THEN 0 END AS count, CAST(NULL AS DOUBLE) AS price, CAST(NULL AS VARCHAR) AS kind,
-  CASE p_partkey % 8 WHEN 0 THEN 'x,y' WHEN 1 THEN '' END AS tags, CASE p_partkey % 8 WHEN 0 THEN p_size END AS side,
+  CAST(CASE p_partkey % 8 WHEN 0 THEN p_size WHEN 1 THEN 0 END AS BIGINT) AS count, CAST(NULL AS DOUBLE) AS price, CAST(NULL AS VARCHAR) AS kind,
+  CASE p_partkey % 8 WHEN 0 THEN 'x,y' WHEN 1 THEN '' END AS tags, CAST(CASE p_partkey % 8 WHEN 0 THEN p_size END AS BIGINT) AS side,
   CASE p_partkey % 8 WHEN 0 THEN 'cm' WHEN 1 THEN 'mm' END AS unit FROM part""")
 def _(spark, sf):
     rows = fx.table(spark, sf, "part").selectExpr("p_partkey AS id", PAYLOAD)

@@ -525,15 +525,21 @@ SELECT doc_id, text || CASE doc_id % 3 WHEN 0 THEN ' see https://ex.org/p/' || d
   WHEN 1 THEN ' never go to www.bad.example/x' || doc_id ELSE ' mail a@b.org or shop.example.com/report.pdf' END AS text FROM documents"""
 
 
-@case("fn_24_extract_urls")
+@case("fn_24_extract_urls", r"""
+WITH a AS (SELECT doc_id, regexp_replace(text, '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b', '', 'g') AS t FROM fx_texts),
+m AS (SELECT doc_id, list_concat(regexp_extract_all(t, 'https?://[^\s<>"'']+'),
+  regexp_extract_all(t, '(?:www\.)?[a-zA-Z0-9-]+(?:\.[a-zA-Z0-9-]+)*\.[a-zA-Z]{2,}(?:/[^\s<>"'']*)?')) AS l FROM a),
+u AS (SELECT doc_id, list_transform(list_transform(l, lambda x: regexp_replace(x, '[.,;:!?()\[\]]+$', '')),
+  lambda x: CASE WHEN regexp_matches(x, '^https?://') THEN x ELSE 'https://' || x END) AS l FROM m)
+SELECT doc_id, array_to_string(list_sort(list_distinct(l)), ' ') AS urls FROM u""")
 def _(spark, sf):
-    found = spread(_texts(spark, sf)).select(
-        "doc_id", tr.extract_urls(F.col("text")).alias("urls"), tr.extract_urls(F.col("text"), guarded=True).alias("guarded")
-    )
-    return found.select(
-        "doc_id", F.array_join("urls", " ").alias("urls"), F.array_join("guarded", " ").alias("guarded_urls"),
-        tr.only_url(F.col("guarded")).alias("only_url"),
-    )
+    return spread(_texts(spark, sf)).select("doc_id", F.array_join(F.array_sort(tr.extract_urls(F.col("text"))), " ").alias("urls"))
+
+
+@case("fn_24_single_url")
+def _(spark, sf):
+    found = spread(_texts(spark, sf)).select("doc_id", tr.extract_urls(F.col("text"), guarded=True).alias("guarded"))
+    return found.select("doc_id", F.array_join("guarded", " ").alias("guarded_urls"), tr.only_url(F.col("guarded")).alias("only_url"))
 
 
 _tail = "'?q=' || repeat('z', 40) || '#end.'"
