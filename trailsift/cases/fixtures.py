@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trailsift.plans.lookup import spread
+
 SQL: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    # Texts are costly per row; a small file is one split and would keep one core busy.
+    return spread(df) if name == "documents" else df
 
 
 def events(spark: SparkSession, sf: str) -> DataFrame:

@@ -13,7 +13,6 @@ from trailsift.functions import elements as el
 from trailsift.functions import text as tx
 from trailsift.functions import trace as tr
 from trailsift.functions import urls as u
-from trailsift.plans.lookup import spread
 
 SITE = u.CollectionSite(page_host="idp.example.uk", data_host="data.example.uk")
 
@@ -533,12 +532,12 @@ u AS (SELECT doc_id, list_transform(list_transform(l, lambda x: regexp_replace(x
   lambda x: CASE WHEN regexp_matches(x, '^https?://') THEN x ELSE 'https://' || x END) AS l FROM m)
 SELECT doc_id, array_to_string(list_sort(list_distinct(l)), ' ') AS urls FROM u""")
 def _(spark, sf):
-    return spread(_texts(spark, sf)).select("doc_id", F.array_join(F.array_sort(tr.extract_urls(F.col("text"))), " ").alias("urls"))
+    return _texts(spark, sf).select("doc_id", F.array_join(F.array_sort(tr.extract_urls(F.col("text"))), " ").alias("urls"))
 
 
 @case("fn_24_single_url")
 def _(spark, sf):
-    found = spread(_texts(spark, sf)).select("doc_id", tr.extract_urls(F.col("text"), guarded=True).alias("guarded"))
+    found = _texts(spark, sf).select("doc_id", tr.extract_urls(F.col("text"), guarded=True).alias("guarded"))
     return found.select("doc_id", F.array_join("guarded", " ").alias("guarded_urls"), tr.only_url(F.col("guarded")).alias("only_url"))
 
 

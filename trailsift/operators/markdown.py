@@ -138,6 +138,7 @@ def chunk(text: str, limit: int = 100_000, overlap_lines: int = 5, start_from: i
     return chunks
 
 
+FLUSH_CHARS = 16 << 20  # results of about this much text go to Spark together
 BLOCK_COLUMNS = "block_index bigint, kind string, content string, start bigint, end bigint"
 CHUNK_COLUMNS = (
     "chunk_index bigint, total_chunks bigint, content string, start bigint, end bigint, overlap string, has_more boolean"
@@ -150,8 +151,14 @@ def _per_document(docs: DataFrame, doc: str, text: str, columns: str, rows_of) -
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            rows, held = [], 0
             for key, content in zip(batch[doc], batch[text]):
-                yield pd.DataFrame([{doc: key, **row} for row in rows_of(content or "")], columns=names)
+                rows += [{doc: key, **row} for row in rows_of(content or "")]
+                held += len(content or "")
+                if held > FLUSH_CHARS:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows, held = [], 0
+            yield pd.DataFrame(rows, columns=names)
 
     return spread(docs.select(doc, text)).mapInPandas(run, f"{doc} {kind}, {columns}")
 
