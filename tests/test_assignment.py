@@ -36,15 +36,19 @@ def one_by_one(records, files):
     return out
 
 
-@pytest.mark.parametrize("seed", range(5))
+@pytest.mark.parametrize("seed", range(8))
 def test_assign_files_once(spark, seed):
     rng = random.Random(seed)
-    files = [(f"f{i}", rng.randrange(1, 6)) for i in range(25)]
+    files = [(f"f{i}", rng.randrange(1, 3 + seed)) for i in range(25)]
 
     def name():
-        return rng.choice([None, "gone.jpg", *[f for f, _ in files]])
+        return rng.choice([None, None, "gone.jpg", *[f for f, _ in files]]) if seed % 2 else rng.choice([None, "gone.jpg", *[f for f, _ in files]])
 
-    records = [(i, name(), name(), rng.choice([None, 0, 1, 2, 3, 4, 5])) for i in range(60)]
+    def size(a):
+        own = dict(files).get(a)
+        return own if own and rng.random() < 0.8 else rng.choice([None, 0, 1, 2, 3, 4, 5])
+
+    records = [(i, a := name(), name(), size(a)) for i in range(60)]
     got = rc.assign_files_once(
         spark.createDataFrame(records, "pos bigint, a string, b string, file_size bigint"),
         spark.createDataFrame(files, "file_name string, file_size bigint"), ["a", "b"],

@@ -468,7 +468,7 @@ def _(spark, sf):
     for i in range(2):
         r.where(F.col("pos") % 2 == i).write.json(f"{path}/in/{i}")
     table = VersionedTable(spark, case_path(spark, "images"))
-    table.publish(spark.createDataFrame([], "sha256 string, pos bigint, page_url string, image_url string, title string, batch_id bigint"))
+    table.publish(spark.createDataFrame([], "sha256 string, pos bigint, page_url string, image_url string, title string"))
     # All files are one micro-batch, so the first position of each content wins.
     st.import_stream(st.records_stream(spark, f"{path}/in", _schema(r)), table, fx.files(spark, sf).limit(0), path)
     return table.read().select("sha256", "pos")

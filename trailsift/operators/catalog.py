@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from trailsift.functions import text as tx
 from trailsift.functions import urls as u
 from trailsift.plans import ordered
-from trailsift.plans.lookup import pick
+from trailsift.plans.lookup import narrowed, pick
 from trailsift.session import cut
 
 SEQUENCE_LAST = 10**9
@@ -162,10 +162,13 @@ def dedup_new(candidates: DataFrame, existing: DataFrame, files: DataFrame) -> D
     is settled in one round, whatever its size.
     """
     source = u.source_hash(F.col("page_url"), F.col("image_url"))
-    new_keys = _keys(
-        candidates,
-        {"1_image_url": F.trim("image_url"), "2_content": tx.valid_sha256(F.col("sha256")),
-         "3_file": tx.valid_sha256(F.col("sha256")), "4_source": source},
+    # The narrow keys are read three times, so they are computed once.
+    new_keys = cut(
+        _keys(
+            candidates,
+            {"1_image_url": F.trim("image_url"), "2_content": tx.valid_sha256(F.col("sha256")),
+             "3_file": tx.valid_sha256(F.col("sha256")), "4_source": source},
+        )
     )
     known = downloaded(existing)
     known_keys = (
@@ -175,9 +178,9 @@ def dedup_new(candidates: DataFrame, existing: DataFrame, files: DataFrame) -> D
         )
         .select("kind", "key")
         .unionByName(files.select(F.lit("3_file").alias("kind"), F.col("sha256").alias("key")))
-        .distinct()
     )
-    by_rule = new_keys.join(known_keys, ["kind", "key"], "left_semi").groupBy("pos").agg(F.min("kind").alias("rule"))
+    known_keys = narrowed(known_keys, new_keys, ["kind", "key"]).distinct()
+    by_rule = cut(new_keys.join(known_keys, ["kind", "key"], "left_semi").groupBy("pos").agg(F.min("kind").alias("rule")))
     wide = candidates.join(by_rule, "pos", "left")
     fresh = cut(
         wide.where("rule IS NULL").select(

@@ -52,11 +52,11 @@ def method_lock(events: DataFrame, methods: list[str], site: str = "site", order
         state = np.arange(states, dtype=np.int32)
         for e in rows.sort_values("__n")["__e"].to_numpy():
             state = table[e][state]
-        return pd.DataFrame({site: [key[0]], "__b": [key[1]], "__map": [state.tolist()]})
+        return pd.DataFrame({site: [key[0]], "__b": [key[1]], "__map": [state.tobytes()]})
 
     kind = dict(events.dtypes)[site]
     maps = coded.select(site, "__b", "__n", "__e").groupBy(site, "__b").applyInPandas(
-        reduce_block, f"{site} {kind}, __b bigint, __map array<int>"
+        reduce_block, f"{site} {kind}, __b bigint, __map binary"
     )
     # The state at a block's start: fold the maps of the earlier blocks, 1/block_rows of the data.
     starts = maps.groupBy(site).applyInPandas(_walk(site), f"{site} {kind}, __b bigint, __start int")
@@ -106,7 +106,7 @@ def _walk(site: str):
         state, starts = 0, []
         for m in ordered_maps["__map"]:
             starts.append(state)
-            state = int(m[state])
+            state = int(np.frombuffer(m, dtype=np.int32)[state])
         return pd.DataFrame({site: key[0], "__b": ordered_maps["__b"], "__start": starts})
 
     return walk

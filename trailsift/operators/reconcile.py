@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from trailsift.functions import text as tx
 from trailsift.functions import urls as u
+from trailsift.plans import ordered
 from trailsift.session import cut
 
 GRAM = 8
@@ -21,9 +22,10 @@ def assign_files_once(records: DataFrame, files: DataFrame, names: Sequence[str]
     ``file_size``.  Adds ``assigned`` (NULL without a file).
 
     Rounds, each settling every record whose turn no open earlier record can still change.  A taken
-    file leaves all lists at once; runs of records of one size that name their files, and runs of
-    records that must go by size, are settled together.  The rounds are as many as such runs
-    alternate within one size, not as many as there are records.
+    file leaves all lists at once.  Within one size, records that are sure of a named file and records
+    that must go by size are replayed together: the unused files before each are the files of the size
+    less the sure takers before it, a running count over blocks, so neither a hot file nor a hot size
+    costs more rounds.
     """
     wanted = records.select(
         "pos", F.posexplode(F.array(*[F.regexp_replace(F.coalesce(n, F.lit("")), r"^.*/", "") for n in names])).alias("p", "file_name")
@@ -48,11 +50,33 @@ def assign_files_once(records: DataFrame, files: DataFrame, names: Sequence[str]
             heads.join(doubtful, "__file_size", "left")
             .where(F.col("__doubt").isNull() | (F.col("__doubt") >= F.col("pos"))).select("pos", "file_name")
         )
-        waiting = turns.join(pairs.select("pos"), "pos", "left_semi").where("file_size IS NOT NULL").select("file_size", "pos")
-        until = waiting.unionByName(namers.select("file_size", "pos")).groupBy("file_size").agg(F.min("pos").alias("__until"))
-        due = spent.join(until, "file_size", "left").where(F.col("__until").isNull() | (F.col("pos") < F.col("__until")))
-        single = unused.groupBy("file_size").agg(F.count("*").alias("n"), F.min("file_name").alias("file_name")).where("n = 1")
-        sized = due.groupBy("file_size").agg(F.min("pos").alias("pos")).join(single, "file_size").select("pos", "file_name")
+        safe = heads.join(sure, "pos", "left_semi").select("pos", "file_name", F.col("__file_size").alias("file_size"))
+        # What could still change a size: records neither sure nor out of names, and all other open wishes.
+        unsure = turns.where("file_size IS NOT NULL").join(safe, "pos", "left_anti").join(spent, "pos", "left_anti").select("file_size", "pos")
+        wishes = pairs.join(safe, ["pos", "file_name"], "left_anti").select("file_size", "pos")
+        horizon = cut(unsure.unionByName(wishes).groupBy("file_size").agg(F.min("pos").alias("__until")))
+
+        def before(rows: DataFrame) -> DataFrame:
+            return rows.join(horizon, "file_size", "left").where(F.col("__until").isNull() | (F.col("pos") < F.col("__until"))).drop("__until")
+
+        due = cut(before(spent))
+        takers = cut(before(safe))
+        line = takers.select("file_size", "pos", F.lit(1).cast("bigint").alias("takes")).unionByName(
+            due.where("file_size IS NOT NULL").select("file_size", "pos", F.lit(0).cast("bigint").alias("takes"))
+        )
+        replay = ordered.scan(
+            line, ["file_size"], ["pos"], ordered.position_block("pos"), [ordered.Scan("gone", "sum", F.col("takes"), before=True)]
+        )
+        stock = unused.groupBy("file_size").agg(F.count("*").alias("stock"))
+        # The first record by size that finds one file left takes it; after it the size is empty.
+        last = cut(
+            replay.join(stock, "file_size").where("takes = 0 AND stock - gone = 1").groupBy("file_size").agg(F.min("pos").alias("__last"))
+        )
+        kept = takers.join(last, "file_size", "left").where(F.col("__last").isNull() | (F.col("pos") < F.col("__last")))
+        sized = unused.join(last, "file_size").join(kept.select("file_name"), "file_name", "left_anti").select(
+            F.col("__last").alias("pos"), "file_name"
+        )
+        named = named.unionByName(kept.select("pos", "file_name")).distinct()
         taken = cut(named.unionByName(sized))
         settled = cut(due.select("pos").unionByName(taken.select("pos")))
         won = taken if won is None else won.unionByName(taken)

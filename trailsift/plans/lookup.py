@@ -10,12 +10,23 @@ from pyspark.sql import functions as F
 BROADCAST_ROW_BOUND = 100_000
 
 
+def is_small(df: DataFrame, rows: int = BROADCAST_ROW_BOUND) -> bool:
+    """At most ``rows`` rows?  The count stops after ``rows + 1``."""
+    return df.limit(rows + 1).count() <= rows
+
+
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROW_BOUND) -> DataFrame:
-    """Hint a broadcast only when at most ``rows`` rows were counted.
+    """Hint a broadcast only when a count showed a small side; a larger one joins by shuffle."""
+    return F.broadcast(df) if is_small(df, rows) else df
+
+
+def narrowed(big: DataFrame, few: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Rows of ``big`` whose key is among ``few``, if those are few; else ``big`` as it is.
 
-    The count stops after ``rows + 1`` rows; a larger side joins by shuffle.
+    A small batch against a large table then moves the batch's keys, not the table.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    keys = few.select(*on).distinct()
+    return big.join(F.broadcast(keys), list(on), "left_semi") if is_small(keys) else big
 
 
 def pick(df: DataFrame, keys: Sequence[str], order: Column, columns: Sequence[str], last: bool = False) -> DataFrame:

@@ -29,28 +29,32 @@ def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
 class VersionedTable:
     """A table whose every change is a new folder.
 
-    Parquet has no MERGE, and a job must not overwrite the files it reads.  A change therefore
-    writes the next version whole, with Spark's ``_SUCCESS`` mark as the commit; readers take the
-    highest version that has one.  A lost job leaves an unmarked folder that nobody reads.
+    Parquet has no MERGE, and a job must not overwrite the files it reads.  A change writes the next
+    version whole; rows that are only added are a *part* beside the version they belong to.  Spark's
+    ``_SUCCESS`` mark is the commit; readers take the highest version that has one, with its marked
+    parts.  A lost job leaves an unmarked folder that nobody reads, and a part that is written again
+    under its name replaces itself.
     """
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark = spark
         self.path = path.rstrip("/")
 
-    def versions(self) -> list[int]:
+    def _marked(self) -> list[str]:
         jvm = self.spark._jvm
         root = jvm.org.apache.hadoop.fs.Path(self.path)
         fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
         if not fs.exists(root):
             return []
-        found = []
-        for status in fs.listStatus(root):
-            name = status.getPath().getName()
-            if name.startswith("v") and name[1:].isdigit():
-                if fs.exists(jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")):
-                    found.append(int(name[1:]))
-        return sorted(found)
+        folders = [status.getPath() for status in fs.listStatus(root)]
+        return sorted(f.getName() for f in folders if fs.exists(jvm.org.apache.hadoop.fs.Path(f, "_SUCCESS")))
+
+    def versions(self) -> list[int]:
+        return [int(name[1:]) for name in self._marked() if name[0] == "v" and name[1:].isdigit()]
+
+    def append(self, rows: DataFrame, part: str) -> None:
+        """Add rows to the current version; nothing that is there is written again."""
+        rows.write.mode("overwrite").parquet(f"{self.path}/v{self.versions()[-1]:08d}+{part}")
 
     def publish(self, rows: DataFrame, partition_by: list[str] | None = None) -> int:
         version = (self.versions() or [0])[-1] + 1
@@ -60,8 +64,15 @@ class VersionedTable:
         writer.parquet(f"{self.path}/v{version:08d}")
         return version
 
-    def read(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/v{self.versions()[-1]:08d}")
+    def read(self, without_part: str | None = None) -> DataFrame:
+        current = f"v{self.versions()[-1]:08d}"
+        left_out = f"{current}+{without_part}"
+        folders = [n for n in self._marked() if n == current or (n.startswith(current + "+") and n != left_out)]
+        return self.spark.read.parquet(*[f"{self.path}/{n}" for n in folders])
+
+    def compact(self) -> int:
+        """Write version and parts as one new version."""
+        return self.publish(self.read())
 
     def upsert(self, source: DataFrame, key: str, order: str) -> int:
         return self.publish(upsert_by_key(self.read(), source, key, order))
