@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailsift.llm import exact_dedup, secrets, sharding
+from trailsift.llm import exact_dedup, language_id, mixing, secrets, sharding
 from trailsift.llm.common import Query, table
 
 QUERIES: dict[str, Query] = {}
@@ -32,6 +32,12 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op2_language_id")
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language_id.identify(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "held_out", "lang_pred", "score")
+
+
 @query("op5_secret_scan")
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -58,3 +64,19 @@ SELECT doc_id, keep_id, group_size, n = 1 AS kept, text_sha256 FROM w
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     report = exact_dedup.dedup_report(table(spark, sf_dir, "documents"))
     return report.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+# Domains of the label table, and the share of all tokens that each is to have.
+TARGETS = {"good": 0.85, "poor": 0.14, "toxic": 0.01}
+
+
+def labelled_domains(labels: DataFrame) -> DataFrame:
+    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "poor")
+    return labels.select("doc_id", domain.alias("domain"))
+
+
+@query("op7_mixing")
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rated = mixing.report(table(spark, sf_dir, "documents"), labelled_domains(table(spark, sf_dir, "labels")), TARGETS)
+    shares = [(F.col("steps")[k] / F.lit(float(mixing.STEPS))).alias(f"p_{name}") for k, name in enumerate(TARGETS)]
+    return rated.select(F.col("id").alias("doc_id"), F.col("tokens").alias("n_tokens"), *shares, "rate", "copies")
