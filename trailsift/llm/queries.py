@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailsift.llm import exact_dedup, language_id, mixing, secrets, sharding
+from trailsift.llm import byte_bpe, exact_dedup, language_id, mixing, secrets, sharding
 from trailsift.llm.common import Query, table
 
 QUERIES: dict[str, Query] = {}
@@ -38,6 +39,16 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "held_out", "lang_pred", "score")
 
 
+RANK_FILE = "byte_bpe_multi_50k.tiktoken"
+
+
+@query("op4_byte_bpe")
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = byte_bpe.read_ranks(public_tokenizers.path(RANK_FILE))
+    coded = byte_bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, with_ids=False)
+    return coded.withColumnRenamed("id", "doc_id")
+
+
 @query("op5_secret_scan")
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -67,7 +78,7 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Domains of the label table, and the share of all tokens that each is to have.
-TARGETS = {"good": 0.85, "poor": 0.14, "toxic": 0.01}
+TARGETS = {"good": 0.90, "poor": 0.09, "toxic": 0.01}
 
 
 def labelled_domains(labels: DataFrame) -> DataFrame:
