@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailsift.llm import byte_bpe, exact_dedup, language_id, mixing, secrets, sharding
+from trailsift.llm import byte_bpe, embedding_dedup, exact_dedup, language_id, mixing, secrets, sharding
 from trailsift.llm.common import Query, table
 
 QUERIES: dict[str, Query] = {}
@@ -91,3 +91,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rated = mixing.report(table(spark, sf_dir, "documents"), labelled_domains(table(spark, sf_dir, "labels")), TARGETS)
     shares = [(F.col("steps")[k] / F.lit(float(mixing.STEPS))).alias(f"p_{name}") for k, name in enumerate(TARGETS)]
     return rated.select(F.col("id").alias("doc_id"), F.col("tokens").alias("n_tokens"), *shares, "rate", "copies")
+
+
+@query("op8_embedding_dedup")
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = embedding_dedup.dedup(table(spark, sf_dir, "embeddings"))
+    kept = F.coalesce(F.col("id") == F.col("component_id"), F.lit(True))
+    return found.select(F.col("id").alias("vec_id"), "n_links", "component_id", kept.alias("kept"))
