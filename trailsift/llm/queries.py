@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailsift.llm import byte_bpe, embedding_dedup, exact_dedup, language_id, mixing, secrets, sharding
+from trailsift.llm import byte_bpe, embedding_dedup, exact_dedup, language_id, mixing, order_minhash, secrets, sharding
 from trailsift.llm.common import Query, table
 
 QUERIES: dict[str, Query] = {}
@@ -39,6 +39,13 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "held_out", "lang_pred", "score")
 
 
+@query("op3_order_minhash")
+def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = order_minhash.report(table(spark, sf_dir, "documents"))
+    kept = F.coalesce(F.col("id") == F.col("keep_id"), F.col("keep_id").isNull())
+    return found.select(F.col("id").alias("doc_id"), F.col("keep_id").alias("group_id"), "group_size", kept.alias("kept"))
+
+
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
 
 
