@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailsift.llm import byte_bpe, embedding_dedup, exact_dedup, language_id, mixing, order_minhash, secrets, sharding
+from trailsift.llm import byte_bpe, embedding_dedup, exact_dedup, html_extract, language_id, mixing, order_minhash, secrets, sharding
 from trailsift.llm.common import Query, table
 
 QUERIES: dict[str, Query] = {}
@@ -105,3 +105,9 @@ def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = embedding_dedup.dedup(table(spark, sf_dir, "embeddings"))
     kept = F.coalesce(F.col("id") == F.col("component_id"), F.lit(True))
     return found.select(F.col("id").alias("vec_id"), "n_links", "component_id", kept.alias("kept"))
+
+
+@query("op10_html_extraction")
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_extract.extract(table(spark, sf_dir, "pages"))
+    return found.select(F.col("id").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"))
