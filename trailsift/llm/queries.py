@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailsift.llm import byte_bpe, embedding_dedup, exact_dedup, html_extract, language_id, mixing, order_minhash, secrets, sharding
+from trailsift.llm import byte_bpe, embedding_dedup, exact_dedup, html_extract, language_id, mixing, order_minhash, secrets, sharding, suffix_dedup
 from trailsift.llm.common import Query, table
 
 QUERIES: dict[str, Query] = {}
@@ -111,3 +111,8 @@ def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = html_extract.extract(table(spark, sf_dir, "pages"))
     return found.select(F.col("id").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query("op9_suffix_dedup")
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removed(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
