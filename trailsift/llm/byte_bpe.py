@@ -3,7 +3,7 @@
 A text is cut into words by the tokenizer's pattern.  The words that a task has not seen yet become rows (word, position, token) of
 their bytes; a recursive query joins neighbours with the merge table and contracts the leftmost pair of the least rank of each word
 until no word has a pair left.  The ids of a word are its tokens in order of position; decoding joins ids with the vocabulary and
-puts the bytes together in order.  Each task keeps the words it has seen, up to a bound.  No shuffle.
+puts the bytes together in order.  Each worker keeps the words it has used lately, up to a bound.  No shuffle.
 
 A word of more than ``LONG_WORD`` bytes takes the same contractions from a heap, since a recursive query contracts one pair a round.
 
@@ -17,6 +17,7 @@ import hashlib
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import duckdb
 import numpy as np
@@ -29,9 +30,10 @@ from pyspark.sql import types as T
 from trailsift.llm.common import text_batches
 
 LONG_WORD = 256  # bytes
-KEPT_WORDS = 250_000  # words a task keeps; more start anew
-ROUND_WORDS = 20_000  # words of one recursive query
-CHUNK_CHARS = 1_000_000  # texts are taken together up to this size; a longer text is taken alone and whole
+KEPT_WORDS = 150_000  # words in use after which a task forgets those that were not used since it last did so
+ROUND_WORDS = 50_000  # words of one recursive query
+CHUNK_CHARS = 4_000_000  # texts are taken together up to this size; a longer text is taken alone and whole
+BATCH_ROWS = 1_000
 # White space as the tokenizer's own regex engine has it (fixed values).
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -73,12 +75,13 @@ def read_ranks(path: str) -> bytes:
 
 @dataclass
 class Tokenizer:
-    """Words to ids and back, for one task."""
+    """Words to ids and back, for one worker."""
 
     ranks: dict[bytes, int]
     pattern: str
     ids_of: dict[str, str] = field(default_factory=dict)  # word: ids joined by commas
     bytes_of: dict[str, bytes] = field(default_factory=dict)  # ids joined by commas: bytes
+    older: tuple[dict[str, str], dict[str, bytes]] = field(default_factory=lambda: ({}, {}))  # the same of words not used lately
 
     def __post_init__(self) -> None:
         self.words = regex.compile(self.pattern.replace(r"[^\s", f"[^{WHITE}").replace(r"\s", f"[{WHITE}]").replace(r"\S", f"[^{WHITE}]"))
@@ -157,11 +160,14 @@ class Tokenizer:
     def code(self, texts: list[str]) -> Iterator[tuple[str, bytes]]:
         """Per text: ids joined by commas, and the bytes that they decode to."""
         cut = [self.words.findall(t) for t in texts]
+        if len(self.ids_of) > KEPT_WORDS:
+            self.older, self.ids_of, self.bytes_of = (self.ids_of, self.bytes_of), {}, {}
         new = set().union(*cut).difference(self.ids_of)
-        if len(self.ids_of) + len(new) > KEPT_WORDS:
-            self.ids_of, self.bytes_of = {}, {}
-            new = set().union(*cut)
-        self.learn(sorted(new))
+        ids, plain = self.older
+        for word in new & ids.keys():
+            self.ids_of[word] = ids[word]
+            self.bytes_of[ids[word]] = plain[ids[word]]
+        self.learn(sorted(new - ids.keys()))
         for words in cut:
             ids = [self.ids_of[w] for w in words]
             yield ",".join(ids), b"".join([self.bytes_of[x] for x in ids])
@@ -171,6 +177,12 @@ def parse_ranks(content: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, content.splitlines()) if token}
 
 
+@lru_cache(maxsize=1)
+def _tokenizer(ranks: bytes, pattern: str) -> Tokenizer:
+    """Kept by a Python worker from task to task, with the words that it knows."""
+    return Tokenizer(parse_ranks(ranks), pattern)
+
+
 def _chunks(texts: list[str]) -> Iterator[list[str]]:
     chunk, size = [], 0
     for text in texts:
@@ -191,9 +203,8 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id",
                            T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = None
+        tokenizer = _tokenizer(ranks, pattern)
         for batch in batches:
-            tokenizer = tokenizer or Tokenizer(parse_ranks(ranks), pattern)
             counts, ids, coded, plain = [], [], [], []
             for chunk in _chunks([t or "" for t in batch["text"].to_pylist()]):
                 for joined, decoded in tokenizer.code(chunk):
@@ -205,5 +216,5 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id",
             lists = [pa.array(ids, pa.list_(pa.int32()))] if with_ids else []
             yield pa.RecordBatch.from_arrays([batch["id"], pa.array(counts, pa.int64()), *lists, pa.array(coded, pa.string()), pa.array(plain, pa.string())], schema.names)
 
-    text_batches(docs.sparkSession)
+    text_batches(docs.sparkSession, BATCH_ROWS)
     return asked.mapInArrow(run, schema)
