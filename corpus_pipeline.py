@@ -1,20 +1,52 @@
-"""From raw documents to token ids."""
+"""From raw documents to token ids: language, copies, near copies, mixture, tokens."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from trailsift.llm import exact_dedup
+from trailsift.llm import byte_bpe, exact_dedup, language_id, mixing, order_minhash
 from trailsift.llm.common import stored, table
+from trailsift.llm.queries import RANK_FILE, TARGETS, labelled_domains
 from trailsift.session import tune
 
+# Below an even draw between three languages a text is in none of those learned.
+LEAST_SCORE = 0.3
 
-def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts one row stays."""
+
+def in_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without letters, or in no language that was learned, go."""
+    return language_id.known_language(docs, LEAST_SCORE)
+
+
+def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the one with the most code points stays, then the least id."""
     return exact_dedup.keep_one(docs)
 
 
-STAGES = [("exact_dedup", exact_duplicates)]
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the least id stays."""
+    return order_minhash.keep_one(docs)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Domains of the label table get their target shares; no document is taken more than once."""
+    return mixing.mix(docs, labelled_domains(table(spark, sf_dir, "labels")), TARGETS)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document, and the digest of what they decode to."""
+    ranks = byte_bpe.read_ranks(public_tokenizers.path(RANK_FILE))
+    return byte_bpe.encode(docs, ranks, public_tokenizers.PATTERN).withColumnRenamed("id", "doc_id")
+
+
+STAGES = [
+    ("language_id", in_known_language),
+    ("exact_dedup", without_copies),
+    ("order_minhash", without_near_copies),
+    ("mixing", mixed),
+    ("byte_bpe", tokens),
+]
 
 # Language ID, order MinHash and the fitted rates have no SQL form; tests hold each stage against brute force.
 ORACLE_SQL = None

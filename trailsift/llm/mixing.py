@@ -102,10 +102,14 @@ def learn(docs: DataFrame, labels: DataFrame, domains: Sequence[str], id_col: st
     return fit([bytes(r.grams) for r in kept], [r.domain for r in kept], domains)
 
 
+def _draw(own: Column, text: Column) -> Column:
+    """A number from 0 to 1 that follows from id and text alone."""
+    return F.pmod(F.xxhash64(own, text_or_empty(text), F.lit("take")), F.lit(2**52)) / F.lit(float(2**52))
+
+
 def posteriors(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: id, draw (a number from 0 to 1 that follows from id and text), tokens, and posterior in steps of ``1 / STEPS``."""
-    draw = F.pmod(F.xxhash64(F.col(id_col), text_or_empty(text_col), F.lit("take")), F.lit(2**52)) / F.lit(float(2**52))
-    asked = docs.select(F.col(id_col).alias("id"), draw.alias("draw"), F.col(text_col).alias("text"))
+    asked = docs.select(F.col(id_col).alias("id"), _draw(F.col(id_col), F.col(text_col)).alias("draw"), F.col(text_col).alias("text"))
     schema = T.StructType([asked.schema["id"], *T.StructType.fromDDL("draw double, tokens long, steps array<int>").fields])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,67 +130,77 @@ def _in_steps(posterior: np.ndarray) -> np.ndarray:
     return steps
 
 
-def _rate(residuals: list[list[float]], speed: float, most: float) -> Column:
-    """The rate of a posterior after the steps taken so far, which their residuals determine."""
-    steps = F.array(*(F.array(*map(F.lit, r)) for r in residuals)) if residuals else F.array().cast("array<array<double>>")
-    along = lambda r: F.aggregate(F.zip_with("steps", r, lambda p, g: p * g), F.lit(0.0), lambda a, x: a + x)
-    return F.aggregate(steps, F.lit(1.0), lambda rate, r: F.least(F.lit(most), F.greatest(F.lit(0.0), rate - F.lit(speed / STEPS) * along(r))))
+@dataclass
+class Rates:
+    """The rate of a posterior: the residuals of the steps taken determine it."""
+
+    residuals: list[list[float]]
+    speed: float
+    most: float
+
+    def column(self) -> Column:
+        steps = F.array(*(F.array(*map(F.lit, r)) for r in self.residuals)) if self.residuals else F.array().cast("array<array<double>>")
+        along = lambda r: F.aggregate(F.zip_with("steps", r, lambda p, g: p * g), F.lit(0.0), lambda a, x: a + x)
+        step = lambda rate, r: F.least(F.lit(self.most), F.greatest(F.lit(0.0), rate - F.lit(self.speed / STEPS) * along(r)))
+        return F.aggregate(steps, F.lit(1.0), step)
 
+    def of(self, steps: np.ndarray) -> np.ndarray:
+        rate = np.ones(len(steps))
+        for residual in self.residuals:
+            rate = np.clip(rate - self.speed / STEPS * (steps @ np.array(residual)), 0.0, self.most)
+        return rate
 
-def fit_rates(judged: DataFrame, targets: Sequence[float], budget: float | None = None, most: float = 1.0) -> DataFrame:
-    """One row per posterior: ``steps`` and ``rate``.  ``targets`` are weights of the domains, in the order of the classifier."""
+
+def fit_rates(judged: DataFrame, targets: Sequence[float], budget: float | None = None, most: float = 1.0) -> Rates:
+    """``targets`` are weights of the domains, in the order of the classifier."""
     cells = stored(judged.groupBy("steps").agg(F.sum("tokens").alias("tokens")), "posterior-tokens")
     k = len(targets)
     share = [F.col("steps")[i] / F.lit(float(STEPS)) for i in range(k)]
     sums = [F.sum(F.col("tokens") * s).alias(f"s{i}") for i, s in enumerate(share)]
     curve = [F.sum(F.col("tokens") * share[i] * share[j]).alias(f"h{i}_{j}") for i in range(k) for j in range(k)]
     first = cells.agg(F.sum("tokens").alias("all"), *sums, *curve).first()
+    rates = Rates([], 0.0, most)
     if not first["all"]:
-        return cells.select("steps", F.lit(1.0).alias("rate"))
+        return rates
     supply = np.array([first[f"s{i}"] for i in range(k)])
     weights = np.array(targets, float) / sum(targets)
     if budget is None:
         budget = min((s / w for s, w in zip(supply, weights, strict=True) if w > 0 and s > 0), default=0.0)
     hessian = np.array([first[f"h{i}_{j}"] for i in range(k) for j in range(k)]).reshape(k, k) / first["all"]
-    speed = 1.0 / max(np.linalg.eigvalsh(hessian).max(), 1e-9)
-    residuals: list[list[float]] = []
+    rates.speed = float(1.0 / max(np.linalg.eigvalsh(hessian).max(), 1e-9))
     for _ in range(ROUNDS):
-        rate = _rate(residuals, speed, most)
+        rate = rates.column()
         got = cells.agg(*(F.sum(F.col("tokens") * s * rate).alias(f"s{i}") for i, s in enumerate(share))).first()
         step = [float((got[f"s{i}"] - budget * weights[i]) / first["all"]) for i in range(k)]
-        if residuals and np.abs(np.subtract(step, residuals[-1])).max() < CLOSE * budget / first["all"]:
+        if rates.residuals and np.abs(np.subtract(step, rates.residuals[-1])).max() < CLOSE * budget / first["all"]:
             break
-        residuals.append(step)
-    return cells.select("steps", _rate(residuals, speed, most).alias("rate"))
-
-
-def rated(judged: DataFrame, rates: DataFrame) -> DataFrame:
-    """Adds ``rate`` and ``copies``, how often the document is taken."""
-    copies = (F.floor("rate") + F.when(F.col("draw") < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("int")
-    return judged.join(rates, "steps").withColumn("copies", copies)
+        rates.residuals.append(step)
+    return rates
 
 
 def report(docs: DataFrame, labels: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: id, tokens, posterior steps, rate and copies."""
     judged = stored(posteriors(docs, learn(docs, labels, list(targets), id_col, text_col), id_col, text_col), "posteriors")
-    return rated(judged, fit_rates(judged, list(targets.values())))
+    rated = judged.withColumn("rate", fit_rates(judged, list(targets.values())).column())
+    copies = F.floor("rate") + F.when(F.col("draw") < F.col("rate") - F.floor("rate"), 1).otherwise(0)
+    return rated.withColumn("copies", copies.cast("int"))
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents as often as their rate says, with all their columns."""
     model = learn(docs, labels, list(targets), id_col, text_col)
     rates = fit_rates(posteriors(docs, model, id_col, text_col), list(targets.values()))
-    table = {tuple(r.steps): float(r.rate) for r in rates.collect()}  # one entry per posterior, of which there are boundedly many
-    renamed = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
-    draw = F.pmod(F.xxhash64(F.col(f"c{docs.columns.index(id_col)}"), text_or_empty(f"c{docs.columns.index(text_col)}"), F.lit("take")), F.lit(2**52)) / F.lit(float(2**52))
-    asked, at = renamed.withColumn("draw", draw), docs.columns.index(text_col)
+    at = docs.columns.index(text_col)
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    renamed = docs.toDF(*names)  # any column names may come in
+    asked = renamed.withColumn("draw", _draw(F.col(f"c{docs.columns.index(id_col)}"), F.col(f"c{at}")))
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            steps = _in_steps(model.posterior(presence([t or "" for t in batch.column(at).to_pylist()], LENGTHS, False)))
-            rate = np.array([table[tuple(s)] for s in steps.tolist()])
+            rate = rates.of(_in_steps(model.posterior(presence([t or "" for t in batch.column(at).to_pylist()], LENGTHS, False))))
             copies = np.floor(rate) + (batch["draw"].to_numpy() < rate - np.floor(rate))
             chosen = batch.take(pa.array(np.repeat(np.arange(len(rate)), copies.astype(int))))
-            yield pa.RecordBatch.from_arrays(chosen.columns[:-1], renamed.columns)
+            yield pa.RecordBatch.from_arrays(chosen.columns[:-1], names)
 
+    text_batches(docs.sparkSession)
     return asked.mapInArrow(take, renamed.schema).toDF(*docs.columns)

@@ -85,7 +85,7 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Domains of the label table, and the share of all tokens that each is to have.
-TARGETS = {"good": 0.90, "poor": 0.09, "toxic": 0.01}
+TARGETS = {"good": 0.93, "poor": 0.06, "toxic": 0.01}
 
 
 def labelled_domains(labels: DataFrame) -> DataFrame:
