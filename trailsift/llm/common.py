@@ -32,6 +32,16 @@ def text_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def positional(df: DataFrame) -> DataFrame:
+    """The same rows with columns c0, c1, ..., so that names of any kind can't clash with an operator's own."""
+    return df.toDF(*(f"c{k}" for k in range(len(df.columns))))
+
+
+def place_of(df: DataFrame, column: str) -> str:
+    """The name that ``column`` has in ``positional(df)``."""
+    return f"c{df.columns.index(column)}"
+
+
 def text_or_empty(column: str | Column) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trailsift.llm.common import mix64, stored, text_or_empty
+from trailsift.llm.common import mix64, place_of, positional, stored, text_or_empty
 
 # Characters deleted before texts are compared (fixed values).
 WHITE_SPACE = " \t\n\x0b\x0c\r"
@@ -187,11 +187,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     The winners are picked on narrow rows; texts move once, to meet the winner of their digest.
     """
     rows = stored(records(docs, id_col, text_col), "digests")
-    winners = groups_of(rows, earlier_half(rows)).select(
-        F.col("digest").alias("__digest"), F.col("points").alias("__points"), F.when(F.col("has_id"), F.col("id")).alias("__id")
-    )
-    named = docs.withColumn("__digest", digest_of(text_col)).withColumn("__length", F.length(text_or_empty(text_col)).cast("long"))
-    matched = named.join(winners, "__digest").filter((F.col("__length") == F.col("__points")) & F.col(id_col).eqNullSafe(F.col("__id")))
-    return matched.dropDuplicates(["__digest"]).select(*docs.columns)
-
-
+    winners = groups_of(rows, earlier_half(rows)).select("digest", F.col("points").alias("most"), F.when(F.col("has_id"), F.col("id")).alias("keep_id"))
+    own_id, own_text = place_of(docs, id_col), place_of(docs, text_col)
+    named = positional(docs).withColumn("digest", digest_of(own_text)).withColumn("length", F.length(text_or_empty(own_text)).cast("long"))
+    matched = named.join(winners, "digest").filter((F.col("length") == F.col("most")) & F.col(own_id).eqNullSafe(F.col("keep_id")))
+    return matched.dropDuplicates(["digest"]).select(*positional(docs).columns).toDF(*docs.columns)

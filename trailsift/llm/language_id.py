@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trailsift.llm.common import text_batches
+from trailsift.llm.common import positional, text_batches
 from trailsift.llm.grams import DIMS, presence
 
 LENGTHS = (1, 2, 3)
@@ -106,10 +106,10 @@ def fit(rows: list[tuple[str, bytes]], landmarks: int = LANDMARKS, ridge: float
 
 
 def predict(docs: DataFrame, model: Model | None, text_col: str = "text", keep_text: bool = True) -> DataFrame:
-    """All columns of ``docs`` (the text may be left out) plus ``lang_pred`` and ``score``."""
+    """All columns of ``docs`` by position (the text may be left out) plus ``lang_pred`` and ``score``."""
     at = docs.columns.index(text_col)
     held = [k for k in range(len(docs.columns)) if keep_text or k != at]
-    renamed = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))  # any column names may come in
+    renamed = positional(docs)
     schema = T.StructType([*(renamed.schema[k] for k in held), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,7 +128,7 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text", keep_t
             yield pa.RecordBatch.from_arrays(columns, schema.names)
 
     text_batches(docs.sparkSession)
-    return renamed.mapInArrow(label, schema).toDF(*(docs.columns[k] for k in held), "lang_pred", "score")
+    return renamed.mapInArrow(label, schema)
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> DataFrame:
@@ -136,11 +136,12 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     text_batches(docs.sparkSession)
     model = fit(training_rows(docs, id_col, text_col, lang_col, per_language))
     asked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), held_out(id_col).alias("held_out"))
-    return predict(asked, model, keep_text=False)
+    return predict(asked, model, keep_text=False).toDF("id", "held_out", "lang_pred", "score")
 
 
 def known_language(docs: DataFrame, least: float, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Documents whose language is recognised with a score of ``least`` or more, with all their columns."""
     text_batches(docs.sparkSession)
     model = fit(training_rows(docs, id_col, text_col, lang_col, PER_LANGUAGE))
-    return predict(docs, model, text_col).toDF(*docs.columns, "__lang", "__score").filter((F.col("__lang") != UNKNOWN) & (F.col("__score") >= least)).drop("__lang", "__score")
+    named = predict(docs, model, text_col).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
+    return named.drop("lang_pred", "score").toDF(*docs.columns)

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trailsift.llm.common import stored, text_batches, text_or_empty
+from trailsift.llm.common import place_of, positional, stored, text_batches, text_or_empty
 from trailsift.llm.grams import DIMS, presence
 
 LENGTHS = (1, 2, 3, 5)
@@ -191,9 +191,9 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], id_col: s
     model = learn(docs, labels, list(targets), id_col, text_col)
     rates = fit_rates(posteriors(docs, model, id_col, text_col), list(targets.values()))
     at = docs.columns.index(text_col)
-    names = [f"c{i}" for i in range(len(docs.columns))]
-    renamed = docs.toDF(*names)  # any column names may come in
-    asked = renamed.withColumn("draw", _draw(F.col(f"c{docs.columns.index(id_col)}"), F.col(f"c{at}")))
+    renamed = positional(docs)
+    schema, names = renamed.schema, renamed.columns
+    asked = renamed.withColumn("draw", _draw(F.col(place_of(docs, id_col)), F.col(place_of(docs, text_col))))
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -203,4 +203,4 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], id_col: s
             yield pa.RecordBatch.from_arrays(chosen.columns[:-1], names)
 
     text_batches(docs.sparkSession)
-    return asked.mapInArrow(take, renamed.schema).toDF(*docs.columns)
+    return asked.mapInArrow(take, schema).toDF(*docs.columns)

@@ -16,6 +16,7 @@ null ids come last; repeated rows are copies; an empty table gives an empty resu
 
 from __future__ import annotations
 
+import hashlib
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trailsift.llm.common import mix64, stored, text_batches, text_or_empty
+from trailsift.llm.common import mix64, place_of, positional, stored, text_batches, text_or_empty
 from trailsift.llm.components import components
 from trailsift.llm.rolling import running, stretches
 
@@ -108,8 +109,6 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     asked = docs.select(F.col(id_col).cast("long").alias("id"), plain(text_col).alias("text"))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import hashlib
-
         for batch in batches:
             texts = batch["text"].to_pylist()
             labels = [labels_of(t) for t in texts]
@@ -229,7 +228,7 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leas
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
     """One document of each group, with all its columns."""
     _, grouped = groups(docs, id_col, text_col, least)
-    heads = _heads(grouped).select(F.col("keep_key").alias("__key"), F.col("keep_id").alias("__id"))
-    named = docs.withColumn("__key", F.unhex(F.md5(plain(text_col))))
-    matched = named.join(heads, "__key").filter(F.col(id_col).cast("long").eqNullSafe(F.col("__id")))
-    return matched.dropDuplicates(["__key"]).select(*docs.columns)
+    heads = _heads(grouped).select(F.col("keep_key").alias("key"), "keep_id")
+    named = positional(docs).withColumn("key", F.unhex(F.md5(plain(place_of(docs, text_col)))))
+    matched = named.join(heads, "key").filter(F.col(place_of(docs, id_col)).cast("long").eqNullSafe(F.col("keep_id")))
+    return matched.dropDuplicates(["key"]).select(*positional(docs).columns).toDF(*docs.columns)
