@@ -332,9 +332,9 @@ def _(spark, sf):
 
 
 MANIFEST = """
-concat('{"id":"https://data.example.uk/iiif/3/manifest/', p_partkey, '","label":{"en":["', p_brand, '"]},"metadata":[{"label":{"en":["Type"]},"value":{"en":["', p_type,
- '"]}}],"items":[{"items":[{"body":{"type":"Image","id":"https://data.example.uk/image/iiif/3/a', p_partkey, '","service":[{"id":"https://data.example.uk/image/iiif/3/a', p_partkey,
- '"}]}},{"type":"Image","id":"https://cdn.example.org/full/max/0/', p_partkey, '.jpg"}]}],"thumbnail":[{"type":"Image","id":"https://data.example.uk/image/iiif/2/t', p_partkey,
+concat('{"id":"https://data.example.org/iiif/3/manifest/', p_partkey, '","label":{"en":["', p_brand, '"]},"metadata":[{"label":{"en":["Type"]},"value":{"en":["', p_type,
+ '"]}}],"items":[{"items":[{"body":{"type":"Image","id":"https://data.example.org/image/iiif/3/a', p_partkey, '","service":[{"id":"https://data.example.org/image/iiif/3/a', p_partkey,
+ '"}]}},{"type":"Image","id":"https://cdn.example.org/full/max/0/', p_partkey, '.jpg"}]}],"thumbnail":[{"type":"Image","id":"https://data.example.org/image/iiif/2/t', p_partkey,
  '/full/200,/0/thumb.jpg"}],"logo":{"type":"Image","id":"ftp://x/y"}}') AS manifest"""
 
 
@@ -343,8 +343,8 @@ def _manifest_images(spark, sf):
 
 
 fx.SQL["fx_manifest_images"] = """
-SELECT p_partkey AS id, 'https://data.example.uk/image/iiif/3/a' || p_partkey || '/full/max/0/default.jpg' AS url, 950 AS score, p_brand AS label, p_type FROM part
-UNION ALL SELECT p_partkey, 'https://data.example.uk/image/iiif/2/t' || p_partkey || '/full/200,/0/thumb.jpg/full/max/0/default.jpg', 650, p_brand, p_type FROM part
+SELECT p_partkey AS id, 'https://data.example.org/image/iiif/3/a' || p_partkey || '/full/max/0/default.jpg' AS url, 950 AS score, p_brand AS label, p_type FROM part
+UNION ALL SELECT p_partkey, 'https://data.example.org/image/iiif/2/t' || p_partkey || '/full/200,/0/thumb.jpg/full/max/0/default.jpg', 650, p_brand, p_type FROM part
 UNION ALL SELECT p_partkey, 'https://cdn.example.org/full/max/0/' || p_partkey || '.jpg', 370, p_brand, p_type FROM part"""
 
 
@@ -504,8 +504,8 @@ def _(spark, sf):
 
 
 ANSWER = """
-CASE doc_id % 5 WHEN 0 THEN concat('Sure\n```js view\nlet x = ', doc_id, ';\n```\n```python\nprint(1)\n```\n```Python\nprint(2)\n```\n') WHEN 1 THEN concat('```\n plain ', doc_id, ' \n```')
- WHEN 2 THEN concat('```sh\nls -l\n```\n```bash\nignored ', doc_id, '\n```') WHEN 3 THEN 'no code' ELSE concat('```md\na b\n```\n```markdown\nc d ', doc_id, '\n```\n') END AS text"""
+concat(text, '\n', CASE doc_id % 5 WHEN 0 THEN concat('Sure\n```js view\nlet x = ', doc_id, ';\n```\n```python\nprint(1)\n```\n```Python\nprint(2)\n```\n') WHEN 1 THEN concat('```\n plain ', doc_id, ' \n```')
+ WHEN 2 THEN concat('```sh\nls -l\n```\n```bash\nignored ', doc_id, '\n```') WHEN 3 THEN 'no code' ELSE concat('```md\na b\n```\n```markdown\nc d ', doc_id, '\n```\n') END) AS text"""
 
 
 @case("fn_38_code_blocks", """
@@ -518,15 +518,19 @@ def _(spark, sf):
     return co.code_blocks(fx.table(spark, sf, "documents").selectExpr("doc_id", ANSWER))
 
 
+# The text of the document, with its line breaks as they are, is a member of the object.
 JSON_ANSWER = r"""
-CASE doc_id % 6 WHEN 0 THEN concat('<json>{"id": ', doc_id, '}</json>') WHEN 1 THEN concat('Here is the result: {"id": ', doc_id, '}') WHEN 2 THEN concat('```json\n{"id": ', doc_id, '}\n```')
- WHEN 3 THEN concat('noise {"id": ', doc_id, ', "t": "a\nb"} more {"id": 0}') WHEN 4 THEN concat('{"id": ', doc_id, '}') ELSE 'nothing {here' END AS text"""
+CASE doc_id % 6 WHEN 0 THEN concat('<json>', obj, '</json>') WHEN 1 THEN concat('Here is the result: ', obj) WHEN 2 THEN concat('```json\n', obj, '\n```')
+ WHEN 3 THEN concat('noise ', obj, ' more {"id": 0}') WHEN 4 THEN obj ELSE concat('nothing {here ', body) END AS text"""
 
 
-@case("fn_37_repair_json", "SELECT doc_id, CASE WHEN doc_id % 6 < 5 THEN doc_id END AS id FROM documents")
+@case("fn_37_repair_json", """
+SELECT doc_id, CASE WHEN doc_id % 6 < 5 THEN doc_id END AS id, CASE WHEN doc_id % 6 < 5 THEN md5(regexp_replace(text, '["\\\\{}\\r]', '', 'g')) END AS digest FROM documents""")
 def _(spark, sf):
-    answers = fx.table(spark, sf, "documents").selectExpr("doc_id", JSON_ANSWER)
-    return co.repair_json(answers).select("doc_id", F.get_json_object("json", "$.id").cast("bigint").alias("id"))
+    bodies = fx.table(spark, sf, "documents").withColumn("body", F.regexp_replace("text", r'["\\{}\r]', ""))
+    answers = bodies.withColumn("obj", F.concat(F.lit('{"id": '), "doc_id", F.lit(', "t": "'), "body", F.lit('"}'))).selectExpr("doc_id", JSON_ANSWER)
+    found = co.repair_json(answers)
+    return found.select("doc_id", F.get_json_object("json", "$.id").cast("bigint").alias("id"), F.md5(F.get_json_object("json", "$.t")).alias("digest"))
 
 
 SCHEMA = {

@@ -402,12 +402,12 @@ FROM fx_events"""
 
 # Address shapes of crawled data; {n} is the user, {h} a 32-digit hex id.
 URL_SHAPES = [
-    "https://idp.example.uk/collection/{h}/",
-    "  `https://IDP.example.uk/collection/{h}/?x=1#top`.,  ",
+    "https://coll.example.uk/collection/{h}/",
+    "  `https://COLL.example.uk/collection/{h}/?x=1#top`.,  ",
     "https://data.example.uk/iiif/3/manifest/{h}/",
     "https://data.example.uk/iiif/3/{h}/canvas/1",
-    "https://idp.example.uk/collection/",
-    "https://idp.example.uk/collection/search?q=temple&page={n}",
+    "https://coll.example.uk/collection/",
+    "https://coll.example.uk/collection/search?q=temple&page={n}",
     "http://User{n}:pw@WWW.Shop.example.com:8080/Item/{n}/?b=2#f",
     "https://data.example.uk/image/iiif/3/{h}",
     "https://data.example.uk/image/iiif/2/{h}/full/max/0/default.jpg",

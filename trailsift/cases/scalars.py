@@ -14,7 +14,7 @@ from trailsift.functions import text as tx
 from trailsift.functions import trace as tr
 from trailsift.functions import urls as u
 
-SITE = u.CollectionSite(page_host="idp.example.uk", data_host="data.example.uk")
+SITE = u.CollectionSite(page_host="coll.example.uk", data_host="data.example.uk")
 
 # ---- SQL fragments ---------------------------------------------------------------------------
 
@@ -82,7 +82,7 @@ WITH a AS (
   SELECT event_id, url, """ + s_host("trim(url)") + r""" AS h, """ + s_segments("url") + r""" AS p FROM fx_urls
 )
 SELECT event_id, """
-_site_id = """coalesce(CASE WHEN h = 'idp.example.uk' AND len(p) >= 2 AND p[1] = 'collection' THEN p[2]
+_site_id = """coalesce(CASE WHEN h = 'coll.example.uk' AND len(p) >= 2 AND p[1] = 'collection' THEN p[2]
   WHEN h = 'data.example.uk' THEN coalesce(
     CASE WHEN list_position(p, 'manifest') > 0 THEN p[list_position(p, 'manifest') + 1] END,
     CASE WHEN list_contains(p, 'iiif') AND list_position(p, '3') > 0 THEN p[list_position(p, '3') + 1] END) END, '')"""
@@ -112,7 +112,7 @@ urls_case(
     "fn_8_manifest_url",
     lambda: {"manifest": u.manifest_url(F.col("url"), SITE)},
     {
-        "manifest": f"""CASE WHEN {s_host('trim(url)')} = 'idp.example.uk' AND regexp_matches({_page_id}, '^[A-Fa-f0-9]{{24,64}}$')
+        "manifest": f"""CASE WHEN {s_host('trim(url)')} = 'coll.example.uk' AND regexp_matches({_page_id}, '^[A-Fa-f0-9]{{24,64}}$')
           THEN 'https://data.example.uk/iiif/3/manifest/' || upper({_page_id})
           WHEN {s_host('trim(url)')} = 'data.example.uk' AND contains({s_path('trim(url)')} || '/', '/iiif/3/manifest/')
           THEN rtrim(trim(url), '/') ELSE '' END"""
@@ -242,9 +242,9 @@ urls_case(
     "fil_7_item_page",
     lambda: {"valid": u.valid_item_page(F.col("url"), SITE), "invalid": u.invalid_item_page(F.col("url"), SITE)},
     {
-        "valid": f"""{s_host(s_clean('url'))} = 'idp.example.uk' AND (trim({s_path(s_clean('url'))}, '/') = 'collection'
+        "valid": f"""{s_host(s_clean('url'))} = 'coll.example.uk' AND (trim({s_path(s_clean('url'))}, '/') = 'collection'
            OR regexp_matches(regexp_extract({s_path(s_clean('url'))}, '^/*collection/([^/]*)', 1), '^[A-Fa-f0-9]{{24,64}}$'))""",
-        "invalid": f"""{s_host(s_clean('url'))} = 'idp.example.uk' AND trim({s_path(s_clean('url'))}, '/') <> 'collection'
+        "invalid": f"""{s_host(s_clean('url'))} = 'coll.example.uk' AND trim({s_path(s_clean('url'))}, '/') <> 'collection'
            AND regexp_matches({s_path(s_clean('url'))}, '^/*collection/[^/]')
            AND NOT regexp_matches(regexp_extract({s_path(s_clean('url'))}, '^/*collection/([^/]*)', 1), '^[A-Fa-f0-9]{{24,64}}$')""",
     },
@@ -590,10 +590,10 @@ def _(spark, sf):
     return fx.table(spark, sf, "documents").select("doc_id", F.md5(tr.mask_secrets(F.col("text"), SECRETS)).alias("masked"))
 
 
-SCOPED = [("*.allowed.example.net", "pass", "P1"), (None, "user", "U1"), ("https://idp.example.uk", "pass", "P2"), (None, "gone", "")]
+SCOPED = [("*.allowed.example.net", "pass", "P1"), (None, "user", "U1"), ("https://coll.example.uk", "pass", "P2"), (None, "gone", "")]
 _unmask_sql = f"""
 WITH a AS (SELECT event_id, url, CASE WHEN k % 3 = 0 THEN 'user' ELSE 'say <secret>pass</secret> as <secret>user</secret> <secret>gone</secret>' END AS t,
-  CASE WHEN {s_scheme('url')} = 'https' AND {s_host('url')} = 'idp.example.uk' THEN 'P2'
+  CASE WHEN {s_scheme('url')} = 'https' AND {s_host('url')} = 'coll.example.uk' THEN 'P2'
        WHEN {s_scheme('url')} = 'https' AND ({s_host('url')} = 'allowed.example.net' OR ends_with({s_host('url')}, '.allowed.example.net')) THEN 'P1' END AS pass FROM fx_urls)
 SELECT event_id, CASE WHEN t = 'user' THEN 'U1' ELSE 'say ' || coalesce(pass, '<secret>pass</secret>') || ' as U1 <secret>gone</secret>' END AS filled,
   CASE WHEN t = 'user' THEN '' WHEN pass IS NULL THEN 'gone,pass' ELSE 'gone' END AS missing FROM a"""

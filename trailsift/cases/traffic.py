@@ -26,10 +26,10 @@ URL = "url"
 
 # ---- rules -----------------------------------------------------------------------------------
 
-RULES = ["*.allowed.example.net", "library.example.gov", "https://idp.example.uk/collection/", "http://*.local/*", "data.*.uk", "shop.example.com", "http*://8.8.*"]
+RULES = ["*.allowed.example.net", "library.example.gov", "https://coll.example.uk/collection/", "http://*.local/*", "data.*.uk", "shop.example.com", "http*://8.8.*"]
 _h, _s = s_host("url"), s_scheme("url")
 _RULE_SQL = f"""((({_s}) IN ('http', 'https') AND ({_h} = 'allowed.example.net' OR ends_with({_h}, '.allowed.example.net')))
- OR {_h} = 'library.example.gov' OR starts_with(url, 'https://idp.example.uk/collection/') OR regexp_matches(url, '^http://.*\\.local/.*$')
+ OR {_h} = 'library.example.gov' OR starts_with(url, 'https://coll.example.uk/collection/') OR regexp_matches(url, '^http://.*\\.local/.*$')
  OR regexp_matches({_h}, '^data\\..*\\.uk$') OR {_h} = 'shop.example.com' OR regexp_matches({_s} || '://' || {_h}, '^http.*://8\\.8\\..*$'))"""
 
 
@@ -64,12 +64,12 @@ def _(spark, sf):
 
 
 @case("fil_5_domain_pattern", f"""SELECT event_id, {_s} = 'https' AND ({_h} = 'allowed.example.net' OR ends_with({_h}, '.allowed.example.net')) AS below,
-  {_s} = 'https' AND {_h} = 'idp.example.uk' AS exact, {_s} IN ('http', 'https') AND {_h} <> '' AS any_web, false AS unsafe FROM fx_urls""")
+  {_s} = 'https' AND {_h} = 'coll.example.uk' AS exact, {_s} IN ('http', 'https') AND {_h} <> '' AS any_web, false AS unsafe FROM fx_urls""")
 def _(spark, sf):
     c = F.col(URL)
     return fx.urls(spark, sf).select(
         "event_id", u.domain_pattern_match(c, "*.allowed.example.net").alias("below"),
-        u.domain_pattern_match(c, "IDP.example.uk:443").alias("exact"), u.domain_pattern_match(c, "http*://*").alias("any_web"),
+        u.domain_pattern_match(c, "COLL.example.uk:443").alias("exact"), u.domain_pattern_match(c, "http*://*").alias("any_web"),
         (u.domain_pattern_match(c, "*.*.example.net") | u.domain_pattern_match(c, "example.*") | u.domain_pattern_match(c, "ex*mple.org")).alias("unsafe"),
     )
 
@@ -81,7 +81,7 @@ _c, _ch = s_clean("url"), s_host(s_clean("url"))
   WHEN {_ch} = 'example.org' OR ends_with({_ch}, '.example.org') THEN 'org' END AS hint FROM fx_urls""")
 def _(spark, sf):
     hints = spark.createDataFrame(
-        [("idp.example.uk", 0, ""), ("data.example.uk", 1, "data"), ("example.uk", 2, "uk"), ("example.org", 3, "org")], "host string, ord int, result string"
+        [("coll.example.uk", 0, ""), ("data.example.uk", 1, "data"), ("example.uk", 2, "uk"), ("example.org", 3, "org")], "host string, ord int, result string"
     )
     return ru.site_dispatch(fx.urls(spark, sf), hints).select("event_id", "hint")
 
