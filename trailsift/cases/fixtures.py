@@ -116,12 +116,8 @@ FROM fx_events WHERE event_id % 17 = 0"""
 def halves(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """(already recorded, incoming batch): split at half of the largest position."""
     r = records(spark, sf)
-    middle = r.agg((F.max("pos") / 2).alias("middle"))
-    both = r.join(F.broadcast(middle))  # one row
-    return (
-        both.where("pos < middle").drop("middle"),
-        both.where("pos >= middle").drop("middle"),
-    )
+    middle = r.agg((F.max("pos") / 2).alias("middle")).scalar()
+    return r.where(F.col("pos") < middle), r.where(F.col("pos") >= middle)
 
 
 SQL["fx_existing"] = "SELECT * FROM fx_records WHERE pos < (SELECT max(pos) / 2 FROM fx_records)"
@@ -366,7 +362,7 @@ def network(spark: SparkSession, sf: str) -> DataFrame:
     e = e.select("*", at.alias("at"), lag.alias("lag"), rid.alias("request_id"), url.alias("u"), frame.alias("f"))
 
     # The arrival order: the events of one request follow each other.
-    stages = ["requestWillBeSent", "responseReceived", "dataReceived", "loadingFinished", "loadingFailed", "DOMContentLoaded", "load"]
+    stages = ["early", "requestWillBeSent", "responseReceived", "dataReceived", "loadingFinished", "loadingFailed", "DOMContentLoaded", "load"]
 
     def part(where, event, t, url=none, type_=none, size=none, name=none, request=True, stage=None):
         return e.where(where).select(
@@ -384,6 +380,8 @@ def network(spark: SparkSession, sf: str) -> DataFrame:
     finished = kind.isin("click", "purchase", "view")
     return (
         part(F.lit(True), "requestWillBeSent", F.col("at"), F.col("u"), F.when(doc, "Document").otherwise("Image"))
+        # Bytes of a request that was not seen yet do not count.
+        .unionByName(part(F.col("k") % 4 == 0, "dataReceived", F.col("at"), size=F.lit(1000), stage="early"))
         .unionByName(part(kind != "signup", "responseReceived", F.col("at") + F.col("lag"), size=F.col("k") * 10))
         .unionByName(part(finished, "dataReceived", F.col("at") + F.col("lag"), size=F.col("k")))
         .unionByName(part(finished, "loadingFinished", F.col("at") + 2 * F.col("lag"), size=F.col("k") * 7))

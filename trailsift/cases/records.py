@@ -286,18 +286,23 @@ def _(spark, sf):
 
 
 @case("set_4_append_recovered", """
-WITH r AS (SELECT pos, CASE WHEN pos % 2 = 0 THEN sha256(CAST(pos AS VARCHAR)) ELSE sha256 END AS sha256,
-   CASE WHEN pos % 5 = 0 THEN 'item_0_error.jpg' ELSE file_name END AS file_name FROM fx_incoming)
-SELECT pos, sha256, file_name FROM fx_existing
-UNION ALL SELECT pos, sha256, file_name FROM r WHERE sha256 NOT IN (SELECT sha256 FROM fx_existing) AND file_name NOT IN (SELECT file_name FROM fx_existing)""")
+WITH r AS (SELECT pos, status, CASE WHEN pos % 2 = 0 THEN sha256(CAST(pos AS VARCHAR)) ELSE sha256 END AS sha256,
+   CASE WHEN pos % 5 < 2 THEN (SELECT CASE WHEN r0.pos % 5 = 0 THEN min(file_name) FILTER (WHERE status = 'downloaded') ELSE min(file_name) FILTER (WHERE status <> 'downloaded') END FROM fx_existing)
+     ELSE file_name END AS file_name FROM fx_incoming r0)
+SELECT pos, status, sha256, file_name FROM fx_existing
+UNION ALL SELECT pos, status, sha256, file_name FROM r WHERE sha256 NOT IN (SELECT sha256 FROM fx_existing WHERE status = 'downloaded')
+  AND file_name NOT IN (SELECT file_name FROM fx_existing WHERE status = 'downloaded')""")
 def _(spark, sf):
     old, new = fx.halves(spark, sf)
+    # Some recovered files have the name of a downloaded record, some that of a failed one.
+    taken = old.where("status = 'downloaded'").agg(F.min("file_name")).scalar()
+    failed = old.where("status <> 'downloaded'").agg(F.min("file_name")).scalar()
     recovered = new.select(
-        "pos",
+        "pos", "status",
         F.when(F.col("pos") % 2 == 0, F.sha2(F.col("pos").cast("string"), 256)).otherwise(F.col("sha256")).alias("sha256"),
-        F.when(F.col("pos") % 5 == 0, "item_0_error.jpg").otherwise(F.col("file_name")).alias("file_name"),
+        F.when(F.col("pos") % 5 == 0, taken).when(F.col("pos") % 5 == 1, failed).otherwise(F.col("file_name")).alias("file_name"),
     )
-    return ca.append_recovered(old.select("pos", "sha256", "file_name"), recovered)
+    return ca.append_recovered(old.select("pos", "status", "sha256", "file_name"), recovered)
 
 
 @case("win_8_assign_sequences", """

@@ -547,21 +547,20 @@ _tail = "'?q=' || repeat('z', 40) || '#end.'"
 @case(
     "fn_25_shorten_urls",
     f"""SELECT doc_id, url AS original, 'https://ex.org/p/' || doc_id || substr({_tail}, 1, 25) || '...' || substr(md5({_tail}), 1, 7) AS short_url,
-      true AS restored FROM (SELECT doc_id, 'https://ex.org/p/' || doc_id || {_tail} AS url FROM documents WHERE doc_id % 3 = 0)""",
+      true AS restored FROM (SELECT doc_id, 'https://ex.org/p/' || doc_id || {_tail} AS url FROM documents)""",
 )
 def _(spark, sf):
-    # The texts' own addresses are left out of this check; the spliced one is the subject.
-    url = F.regexp_extract("text", r"https://ex\.org/p/\S+$", 0)
-    out, pairs = tr.shorten_urls(F.concat(F.lit("go "), F.col("url"), F.lit(" now")), 25)
+    # Every whole text takes part; its address stands at the end, so all other words have to come through unchanged.
+    address = F.concat(F.lit("https://ex.org/p/"), F.col("doc_id").cast("string"), F.lit("?q="), F.repeat(F.lit("z"), 40), F.lit("#end."))
+    whole = F.concat(F.regexp_replace("text", r"(?i)https?://|www\.", ""), F.lit(" see "), address)
+    out, pairs = tr.shorten_urls(F.col("whole"), 25)
     return (
-        _texts(spark, sf).where("doc_id % 3 = 0")
-        .select("doc_id", url.alias("url"))
-        .select("doc_id", "url", out.alias("t"), F.explode(pairs).alias("p"), pairs.alias("pairs"))
+        fx.table(spark, sf, "documents").select("doc_id", whole.alias("whole"))
+        .select("doc_id", "whole", out.alias("t"), pairs.alias("pairs"))
+        .select("doc_id", "whole", "t", "pairs", F.explode("pairs").alias("p"))
         .select(
-            "doc_id",
-            F.col("p.original").alias("original"),
-            F.col("p.short").alias("short_url"),
-            (tr.restore_urls(F.col("t"), F.col("pairs")) == F.concat(F.lit("go "), F.col("url"), F.lit(" now"))).alias("restored"),
+            "doc_id", F.col("p.original").alias("original"), F.col("p.short").alias("short_url"),
+            (tr.restore_urls(F.col("t"), F.col("pairs")) == F.col("whole")).alias("restored"),
         )
     )
 
@@ -575,7 +574,7 @@ def _(spark, sf):
     t = tx.strip(F.col("text"))
     noisy = F.when(
         F.col("doc_id") % 2 == 0, F.concat(F.lit("<think>plan\n a</think>"), t, F.lit("<think>b</think>"))
-    ).otherwise(F.concat(F.substring(t, 1, 19), F.lit("</think>"), F.substring(t, 20, 10_000_000)))
+    ).otherwise(F.concat(F.substring(t, 1, 19), F.lit("</think>"), F.substr(t, F.lit(20))))
     return fx.table(spark, sf, "documents").select("doc_id", tx.strip_think(noisy).alias("answer"))
 
 

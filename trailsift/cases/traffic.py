@@ -94,7 +94,7 @@ def _(spark, sf):
 
     def cookies(parity, by):
         return ca.upsert_by_key(
-            e.limit(0).select((F.col("user_id") % by).alias("name"), F.col("k").alias("value")),
+            spark.createDataFrame([], "name bigint, value bigint"),
             e.where(F.col("event_id") % 2 == parity).select((F.col("user_id") % by).alias("name"), F.col("k").alias("value"), "event_id"), "name", "event_id", keep=(),
         )
 
@@ -219,20 +219,31 @@ def _(spark, sf):
 # ---- files on disk ----------------------------------------------------------------------------------
 
 
+def _in_parts(lines, position, rows, path):
+    """Text files of ``rows`` neighbouring positions each, in order; no task holds more than a few of them."""
+    named = lines.withColumn("part", F.lpad(F.floor(F.col(position) / rows).cast("string"), 9, "0"))
+    named.repartition("part").sortWithinPartitions("part", position).drop(position).write.partitionBy("part").text(path)
+    return f"{path}/*"
+
+
+def _part():
+    return F.regexp_extract("file", r"part=(\d+)", 1).cast("bigint").alias("part")
+
+
 def _record_lines(spark, sf, path):
     """fx_records as JSON lines with some blank, broken and non-object ones."""
     r = fx.records(spark, sf).withColumn("recorded_at", F.col("recorded_at").cast("string"))
     good = F.to_json(F.struct("pos", "sequence", "status", "title", "page_url", "image_url", "sha256", "file_name"))
     line = F.when(F.col("pos") % 50 == 7, "").when(F.col("pos") % 50 == 8, F.lit('{"broken": ')).when(F.col("pos") % 50 == 9, "[1, 2]").otherwise(good)
-    r.select("pos", line.alias("value")).orderBy("pos").select("value").coalesce(1).write.mode("overwrite").text(path)
-    return path
+    return _in_parts(r.select("pos", line.alias("value")), "pos", 1000, path)
 
 
-@case("src_1_read_records", """SELECT pos + 1 AS line_number, CASE pos % 50 WHEN 8 THEN 'line ' || (pos + 1) || ': invalid JSON' WHEN 9 THEN 'line ' || (pos + 1) || ': JSON value is not an object' END AS error,
+@case("src_1_read_records", """SELECT pos // 1000 AS part, pos % 1000 + 1 AS line_number,
+  CASE pos % 50 WHEN 8 THEN 'line ' || (pos % 1000 + 1) || ': invalid JSON' WHEN 9 THEN 'line ' || (pos % 1000 + 1) || ': JSON value is not an object' END AS error,
   CASE WHEN pos % 50 NOT IN (8, 9) THEN title END AS title, CASE WHEN pos % 50 NOT IN (8, 9) THEN sha256 END AS sha256 FROM fx_records WHERE pos % 50 <> 7""")
 def _(spark, sf):
     rows = sr.read_records(spark, _record_lines(spark, sf, case_path(spark, "records")))
-    return rows.select("line_number", "error", "title", "sha256")
+    return rows.select(_part(), "line_number", "error", "title", "sha256")
 
 
 @case("src_3_read_json_array", "SELECT pos, url, status FROM fx_queue WHERE file = 0")
@@ -288,6 +299,13 @@ SELECT event_id // 3 + 1 AS sequence, 'pic_' || (event_id // 3 + 1) || '.jpg' AS
 FROM fx_events GROUP BY event_id // 3"""
 
 
+LOG_ROWS = 1000  # of a log file; groups of three lines run over from one file to the next
+fx.SQL["fx_log_lines"] = f"""
+SELECT event_id // {LOG_ROWS} AS part, event_id % {LOG_ROWS} + 1 AS line_number, CASE event_id % 3
+  WHEN 0 THEN 'INFO 已记录图片 #' || (event_id // 3 + 1) || ': `pic_' || (event_id // 3 + 1) || '.jpg`, ok' WHEN 1 THEN 'page_url: https://h/p' || k ELSE '  image_url: https://h/i' || k || ';' END AS line
+FROM fx_events"""
+
+
 def _logs(spark, sf):
     """Log files of three-line groups: a recorded picture, its page, its image."""
     path = case_path(spark, "logs")
@@ -299,13 +317,12 @@ def _logs(spark, sf):
         .when(F.col("event_id") % 3 == 1, F.concat(F.lit("page_url: https://h/p"), k))
         .otherwise(F.concat(F.lit("  image_url: https://h/i"), k, F.lit(";")))
     )
-    e.select("event_id", line.alias("value")).orderBy("event_id").select("value").coalesce(1).write.text(f"{path}/a")
-    return f"{path}/a"
+    return _in_parts(e.select("event_id", line.alias("value")), "event_id", LOG_ROWS, path)
 
 
-@case("src_6_read_logs", "SELECT count(*) AS lines, max(event_id) + 1 AS last_line FROM events")
+@case("src_6_read_logs", "SELECT part, line_number, line FROM fx_log_lines")
 def _(spark, sf):
-    return sr.read_logs(spark, _logs(spark, sf)).agg(F.count("*").alias("lines"), F.max("line_number").alias("last_line"))
+    return sr.read_logs(spark, _logs(spark, sf)).select(_part(), "line_number", "line")
 
 
 @case("win_7_log_carry_forward", "SELECT * FROM fx_log_meta")
@@ -313,19 +330,17 @@ def _(spark, sf):
     return sr.log_carry_forward(sr.read_logs(spark, _logs(spark, sf)))
 
 
-@case("src_11_recent_lines", "SELECT event_id + 1 AS line_number FROM events ORDER BY event_id DESC LIMIT 300")
+@case("src_11_recent_lines", "SELECT part, line_number, line FROM fx_log_lines ORDER BY part DESC, line_number DESC LIMIT 300")
 def _(spark, sf):
-    return sr.recent_lines(sr.read_logs(spark, _logs(spark, sf)), 300).select("line_number")
+    return sr.recent_lines(sr.read_logs(spark, _logs(spark, sf)), 300).select(_part(), "line_number", "line")
 
 
-@case("src_7_read_catalog", "SELECT count(*) AS images, CAST(0 AS BIGINT) AS missing FROM fx_records")
+@case("src_7_read_catalog", "SELECT pos, title, CAST(0 AS BIGINT) AS missing FROM fx_records")
 def _(spark, sf):
     path = case_path(spark, "catalog")
     fx.records(spark, sf).select("pos", "title").write.parquet(path)
     absent = read_or_empty(spark, path + "-absent", "pos bigint, title string")
-    return read_or_empty(spark, path, "pos bigint, title string").agg(F.count("*").alias("images")).withColumn(
-        "missing", absent.agg(F.count("*")).scalar()
-    )
+    return read_or_empty(spark, path, "pos bigint, title string").withColumn("missing", absent.agg(F.count("*")).scalar())
 
 
 @case("src_8_pricing_snapshot", """SELECT p_brand AS model, 'list' AS origin, max(p_size) / 1e6 AS input FROM part GROUP BY p_brand""")
@@ -431,16 +446,23 @@ def _(spark, sf):
     return _stream(r, "records-stream", lambda p: st.records_stream(spark, p, _schema(r))).select("pos", "title")
 
 
-@case("src_10_network_events_stream", """SELECT 'requestWillBeSent' AS event, count(*) AS n FROM fx_requests UNION ALL SELECT 'responseReceived', count(*) FROM fx_requests WHERE event_type <> 'signup'""")
+@case("src_10_network_events_stream", """
+WITH e AS (SELECT *, event_type IN ('click', 'purchase', 'view') AS ended FROM fx_requests)
+SELECT 'requestWillBeSent' AS event, frame_id, count(*) AS n, CAST(NULL AS BIGINT) AS size, count(DISTINCT url) AS urls FROM e GROUP BY frame_id
+UNION ALL SELECT 'responseReceived', frame_id, count(*), CAST(sum(k * 10) AS BIGINT), 0 FROM e WHERE event_type <> 'signup' GROUP BY frame_id
+UNION ALL SELECT 'dataReceived', frame_id, count(*), CAST(sum(size) AS BIGINT), 0 FROM (SELECT frame_id, k AS size FROM e WHERE ended UNION ALL SELECT frame_id, 1000 FROM e WHERE k % 4 = 0) GROUP BY frame_id
+UNION ALL SELECT 'loadingFinished', frame_id, count(*), CAST(sum(k * 7) AS BIGINT), 0 FROM e WHERE ended GROUP BY frame_id
+UNION ALL SELECT 'loadingFailed', frame_id, count(*), NULL, 0 FROM e WHERE event_type = 'error' GROUP BY frame_id
+UNION ALL SELECT 'lifecycleEvent', frame_id, 2 * count(*), NULL, 0 FROM e WHERE is_doc GROUP BY frame_id""")
 def _(spark, sf):
     rows = _stream(fx.network(spark, sf), "network-stream", lambda p: st.network_events_stream(spark, p))
-    return rows.where("event IN ('requestWillBeSent', 'responseReceived')").groupBy("event").agg(F.count("*").alias("n"))
+    return rows.groupBy("event", "frame_id").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.count_distinct("url").alias("urls"))
 
 
-@case("src_11_log_stream", "SELECT count(*) AS lines FROM events")
+@case("src_11_log_stream", "SELECT line, count(*) AS n FROM fx_log_lines GROUP BY line")
 def _(spark, sf):
     path = _logs(spark, sf)
-    return st.drain(st.log_stream(spark, path), case_path(spark, "log-stream")).agg(F.count("*").alias("lines"))
+    return st.drain(st.log_stream(spark, path), case_path(spark, "log-stream")).groupBy("line").agg(F.count("*").alias("n"))
 
 
 # What the last watermark closes: the largest time seen, less the delay of ten seconds.
@@ -461,7 +483,7 @@ def _(spark, sf):
     return rows.select(URL, "hash")
 
 
-@case("str_8_import_stream", """SELECT sha256, min(pos) AS pos FROM fx_records WHERE status = 'downloaded' GROUP BY sha256""")
+@case("str_8_import_stream", """SELECT sha256, min(pos) AS pos FROM fx_records WHERE status = 'downloaded' AND sha256 NOT IN (SELECT sha256 FROM fx_files WHERE file_name LIKE '%_error.jpg') GROUP BY sha256""")
 def _(spark, sf):
     r = fx.records(spark, sf).select("pos", "status", "sha256", "page_url", "image_url", "title")
     path = case_path(spark, "import")
@@ -470,7 +492,7 @@ def _(spark, sf):
     table = VersionedTable(spark, case_path(spark, "images"))
     table.publish(spark.createDataFrame([], "sha256 string, pos bigint, page_url string, image_url string, title string"))
     # All files are one micro-batch, so the first position of each content wins.
-    st.import_stream(st.records_stream(spark, f"{path}/in", _schema(r)), table, fx.files(spark, sf).limit(0), path)
+    st.import_stream(st.records_stream(spark, f"{path}/in", _schema(r)), table, fx.files(spark, sf).where("file_name LIKE '%_error.jpg'"), path)
     return table.read().select("sha256", "pos")
 
 

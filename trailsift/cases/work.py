@@ -95,14 +95,16 @@ def _(spark, sf):
 
 
 @case("top_4_next_item", """
-WITH done AS (SELECT DISTINCT url FROM fx_queue WHERE status IN ('downloaded', 'failed')),
+WITH done AS (SELECT DISTINCT url FROM fx_queue WHERE status IN ('downloaded', 'failed')
+  UNION SELECT 'https://site/item/' || (user_id * 10 + k % 10) FROM fx_events WHERE event_id % 7 = 0),
 i AS (SELECT event_id % 97 AS page, event_id AS index, 'https://site/item/' || (user_id * 10 + k % 10) AS url FROM fx_events),
 m AS (SELECT *, url NOT IN (SELECT url FROM done) AS open FROM i)
 SELECT page, arg_min(url, index) FILTER (WHERE open) AS next_url, coalesce(min(index) FILTER (WHERE open), -1) AS next_index, count(*) AS total_found,
   count(*) FILTER (WHERE NOT open) AS processed_count, NOT bool_or(open) AS page_done FROM m GROUP BY page""")
 def _(spark, sf):
     done = qu.processed_set(
-        fx.queue(spark, sf).where("status IN ('downloaded', 'failed')").select("url"), fx.records(spark, sf).limit(0)
+        fx.queue(spark, sf).where("status IN ('downloaded', 'failed')").select("url"),
+        fx.events(spark, sf).where("event_id % 7 = 0").select(F.concat(F.lit("https://site/item/"), (F.col("user_id") * 10 + F.col("k") % 10).cast("string")).alias("page_url")),
     )
     items = fx.events(spark, sf).select(
         (F.col("event_id") % 97).alias("page"), F.col("event_id").alias("index"),
@@ -354,14 +356,14 @@ def _(spark, sf):
 
 
 @case("agg_11_agent_event", """
-WITH t AS (SELECT model, CAST(sum(prompt_tokens) AS BIGINT) AS prompt_tokens, CAST(sum(completion_tokens) AS BIGINT) AS completion_tokens FROM fx_usage GROUP BY model)
-SELECT run, steps, error_steps, is_done, verdict, s.model, prompt_tokens, completion_tokens
-FROM (SELECT *, list_extract(['small', 'premium', 'smart', 'other'], run % 4 + 1) AS model FROM fx_summary) s LEFT JOIN t ON t.model = s.model""")
-def _(spark, sf):
-    names = F.array(*[F.lit(m) for m in ("small", "premium", "smart", "other")])
-    summary = hi.run_summary(_steps(spark, sf)).withColumn("model", F.element_at(names, (F.col("run") % 4 + 1).cast("int")))
-    return hi.agent_event(summary, us.usage_for_model(fx.usage(spark, sf))).select(
-        "run", "steps", "error_steps", "is_done", "verdict", "model", "prompt_tokens", "completion_tokens"
+WITH t AS (SELECT conv_id AS run, CAST(sum(prompt_tokens) AS BIGINT) AS prompt_tokens, CAST(sum(completion_tokens) AS BIGINT) AS completion_tokens, count(*) AS calls
+  FROM fx_usage GROUP BY conv_id)
+SELECT s.run, steps, error_steps, is_done, verdict, prompt_tokens, completion_tokens, calls FROM fx_summary s LEFT JOIN t USING (run)""")
+def _(spark, sf):
+    # A conversation is the talk of the run with its number.
+    tokens = us.usage_for_run(fx.usage(spark, sf).withColumnRenamed("conv_id", "run"))
+    return hi.agent_event(hi.run_summary(_steps(spark, sf)), tokens).select(
+        "run", "steps", "error_steps", "is_done", "verdict", "prompt_tokens", "completion_tokens", "calls"
     )
 
 
@@ -459,7 +461,7 @@ def _priced(spark, sf):
   FROM fx_usage u LEFT JOIN fx_prices p ON p.model = u.model""")
 def _(spark, sf):
     prices = us.price_table(*fx.pricing(spark))
-    return fx.usage(spark, sf).join(F.broadcast(prices), "model", "left").select(
+    return fx.usage(spark, sf).join(prices, "model", "left").select(
         "conv_id", "turn", "model", F.col("price").isNotNull().alias("priced"),
         (F.col("price.input") * 1e9).alias("nano_input"), (F.col("price.output") * 1e9).alias("nano_output"),
     )

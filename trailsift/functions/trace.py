@@ -24,16 +24,13 @@ def sorted_json(params: Column) -> Column:
     """
     keys = F.array_sort(F.coalesce(F.json_object_keys(params), F.array().cast("array<string>")))
     members = F.from_json(params, "map<string,string>")
-    # Strings come unquoted out of the map; the untouched document tells which ones were quoted.
+    # Strings come unquoted out of the map; the parsed member tells whether it was one.
+    kinds = F.try_variant_get(F.try_parse_json(params), "$", "map<string,variant>")
+    in_quotes = lambda text: F.to_json(F.array(text)).substr(F.lit(2), F.length(F.to_json(F.array(text))) - 2)
     pairs = F.transform(
         F.filter(keys, lambda k: members[k].isNotNull()),
         lambda k: F.concat(
-            F.to_json(F.array(k)).substr(F.lit(2), F.length(F.to_json(F.array(k))) - 2),
-            F.lit(": "),
-            F.when(
-                F.rlike(params, F.concat(F.lit('"'), tx.escape_regex(k), F.lit('"\\s*:\\s*"'))),
-                F.to_json(F.array(members[k])).substr(F.lit(2), F.length(F.to_json(F.array(members[k]))) - 2),
-            ).otherwise(members[k]),
+            in_quotes(k), F.lit(": "), F.when(F.schema_of_variant(kinds[k]) == "STRING", in_quotes(members[k])).otherwise(members[k])
         ),
     )
     return F.concat(F.lit("{"), F.array_join(pairs, ", "), F.lit("}"))

@@ -13,8 +13,6 @@ from trailsift.plans import ordered
 from trailsift.plans.lookup import narrowed, pick
 from trailsift.session import cut
 
-SEQUENCE_LAST = 10**9
-
 
 def downloaded(records: DataFrame, titled: bool = False) -> DataFrame:
     """Records that were downloaded (and, if asked, have a title)."""
@@ -289,9 +287,10 @@ def update_by_sequence(records: DataFrame, renames: DataFrame) -> DataFrame:
 
 
 def append_recovered(existing: DataFrame, recovered: DataFrame) -> DataFrame:
-    """Existing records and the recovered ones whose hash and file name are both new."""
-    fresh = recovered.join(existing.select("sha256"), "sha256", "left_anti").join(
-        existing.select("file_name"), "file_name", "left_anti"
+    """Existing records and the recovered ones whose hash and file name no downloaded record has."""
+    known = downloaded(existing)
+    fresh = recovered.join(known.select("sha256"), "sha256", "left_anti").join(
+        known.select("file_name"), "file_name", "left_anti"
     )
     return existing.unionByName(fresh, allowMissingColumns=True)
 
@@ -383,11 +382,12 @@ def assign_sequences(
 
 def rank_records(records: DataFrame) -> DataFrame:
     """Records with their place in the order (sequence, file name)."""
-    keyed = records.withColumn("__seq", record_order()[0]).withColumn("__name", record_order()[1])
+    names = ["__last", "__seq", "__name"]
+    keyed = records.withColumns(dict(zip(names, record_order(), strict=True)))
     # Only "no sequence" can hold many rows; those are cut further by name.
-    among_last = F.when(F.col("__seq") == SEQUENCE_LAST, ordered.text_block(keyed, "__name")).otherwise(F.lit(0))
-    block = F.struct(ordered.position_block("__seq"), among_last.cast("bigint"))
-    return ordered.number_rows(keyed, [], ["__seq", "__name"], block, "nth").drop("__seq", "__name")
+    among_last = F.when(F.col("__last"), ordered.text_block(keyed, "__name")).otherwise(F.lit(0))
+    block = F.struct("__last", ordered.position_block("__seq").alias("s"), among_last.cast("bigint").alias("t"))
+    return ordered.number_rows(keyed, [], names, block, "nth").drop(*names)
 
 
 def catalog_stats(images: DataFrame, orphan_files: DataFrame) -> DataFrame:
@@ -480,8 +480,9 @@ def get_by_id(images: DataFrame, image_id: str) -> DataFrame:
 
 
 def record_order() -> list[Column]:
-    """Sequence, unparsable ones last, then file name."""
-    return [F.coalesce(F.col("sequence").try_cast("bigint"), F.lit(SEQUENCE_LAST)), F.coalesce("file_name", F.lit(""))]
+    """Sequence, missing and unparsable ones last, then file name."""
+    sequence = F.col("sequence").try_cast("bigint")
+    return [sequence.isNull(), F.coalesce(sequence, F.lit(0)), F.coalesce("file_name", F.lit(""))]
 
 
 def recent_runs(runs: DataFrame, n: int = 10) -> DataFrame:

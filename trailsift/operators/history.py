@@ -114,9 +114,9 @@ def filter_actions(actions: DataFrame, include: Sequence[str]) -> DataFrame:
     return actions.withColumn("__hit", F.explode(F.array_compact(times))).drop("__hit")
 
 
-def agent_event(summary: DataFrame, usage_tokens: DataFrame, run: str = "run") -> DataFrame:
-    """One event per run: its summary and the tokens of its model."""
-    return summary.join(usage_tokens, "model", "left")
+def agent_event(summary: DataFrame, run_tokens: DataFrame, run: str = "run") -> DataFrame:
+    """One event per run: its summary and the tokens that this run used."""
+    return summary.join(run_tokens, run, "left")
 
 
 def expected_elements(actions: DataFrame, run: str = "run", step: str = "step") -> DataFrame:

@@ -20,10 +20,15 @@ def _is(event: str) -> Column:
 def har_entries(events: DataFrame) -> DataFrame:
     """One row per https request, the later event winning; events before the request do not count.
 
-    The request and the last event of each kind are found in one aggregate per id; no event list is built.
+    The request and the last event of each kind are found in one aggregate per id; received bytes are summed from the
+    request on.  No event list is built.
     """
     e = events.where("request_id IS NOT NULL")
-    return entry_columns(e.groupBy("request_id").agg(*entry_facts()).where("__since IS NOT NULL"))
+    facts = e.groupBy("request_id").agg(*entry_facts()).where("__since IS NOT NULL")
+    data = e.where(_is("dataReceived")).select("request_id", "pos", "size")
+    later = data.join(facts.select("request_id", "__since"), "request_id").where(F.col("pos") > F.col("__since"))
+    received = later.groupBy("request_id").agg(F.sum("size").alias("__data"))
+    return entry_columns(facts.join(received, "request_id", "left"))
 
 
 def entry_facts() -> list[Column]:
@@ -38,7 +43,6 @@ def entry_facts() -> list[Column]:
         F.max_by(F.struct(F.col("at").alias("at"), F.col("size").alias("size")), F.when(_is("loadingFinished"), order)).alias("__f"),
         F.max(F.when(_is("loadingFinished"), order)).alias("__f_at"),
         F.max(F.when(_is("loadingFailed"), order)).alias("__x_at"),
-        F.sum(F.when(_is("dataReceived"), F.col("size"))).alias("__data"),
     ]
 
 

@@ -99,8 +99,8 @@ def next_pending(queue: DataFrame, n: int = 1) -> DataFrame:
 
 
 def claim_pending(queue: DataFrame, n: int = 1) -> DataFrame:
-    """The whole queue after ``next_pending``; ``n`` bounds the broadcast."""
-    taken = F.broadcast(next_pending(queue, n).select("pos", F.lit(True).alias("__taken")))
+    """The whole queue after ``next_pending``."""
+    taken = next_pending(queue, n).select("pos", F.lit(True).alias("__taken"))
     marked = queue.join(taken, "pos", "left")
     return marked.withColumn("error", F.when(F.col("__taken"), F.lit(None)).otherwise(F.col("error"))).withColumn(
         "status", F.when(F.col("__taken"), "in_progress").otherwise(_status(F.col("status")))

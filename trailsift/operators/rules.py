@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trailsift.functions import urls as u
-from trailsift.plans.lookup import broadcast_if_small
 
 
 def policy(
@@ -37,7 +36,7 @@ def policy_by_sets(urls: DataFrame, hosts: DataFrame, allowing: bool, url: str =
     special = F.col(url).isin("about:blank", "chrome://new-tab-page/", "chrome://new-tab-page", "chrome://newtab/")
     inline = u.scheme(F.col(url)).isin("data", "blob")
     sites = urls.select(u.host(F.col(url)).alias("__host")).distinct().where("__host <> ''")
-    known = broadcast_if_small(hosts.select(F.lower("host").alias("__form")).distinct())
+    known = hosts.select(F.lower("host").alias("__form")).distinct()
     hit = sites.select("__host", F.explode(u.www_variants(F.col("__host"))).alias("__form")).join(known, "__form").select(
         "__host"
     ).distinct().withColumn("__hit", F.lit(True))
@@ -72,7 +71,7 @@ def apply_rules(urls: DataFrame, rules: Sequence[str], url: str = "url") -> Data
     sites = keyed.select("__host").distinct().where("__host <> ''")
     names = sites.select("__host", F.explode(host_suffixes(F.col("__host"))).alias("__name"))
     hits = (
-        names.join(broadcast_if_small(named), "__name")
+        names.join(named, "__name")
         .where((F.col("__kind") == "below") | (F.col("__name") == F.col("__host")))
         .groupBy("__host").agg(F.max(F.col("__kind") == "exact").alias("__exact"), F.max(F.col("__kind") == "below").alias("__below"))
     )
@@ -91,7 +90,7 @@ def site_dispatch(urls: DataFrame, hints: DataFrame, url: str = "url") -> DataFr
     sites = keyed.select("__host").distinct().where("__host <> ''")
     best = (
         sites.select("__host", F.explode(host_suffixes(F.col("__host"))).alias("host"))
-        .join(broadcast_if_small(hints.where(F.coalesce("result", F.lit("")) != "")), "host")
+        .join(hints.where(F.coalesce("result", F.lit("")) != ""), "host")
         .groupBy("__host").agg(F.min_by("result", "ord").alias("hint"))
     )
     return keyed.join(best, "__host", "left").drop("__host")

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trailsift.plans.lookup import broadcast_if_small
 
 
 def price_table(prices: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -21,7 +20,7 @@ def price_table(prices: DataFrame, aliases: DataFrame) -> DataFrame:
 
 def price_usage(usage: DataFrame, prices: DataFrame, aliases: DataFrame) -> DataFrame:
     """Usage rows with the parts of their cost; every part is NULL for a model without a price."""
-    priced = usage.join(broadcast_if_small(price_table(prices, aliases)), "model", "left")
+    priced = usage.join(price_table(prices, aliases), "model", "left")
     p = F.col("price")
     known = p.isNotNull()
 
@@ -70,6 +69,13 @@ def usage_summary(priced: DataFrame) -> DataFrame:
     return out.withColumn("average_tokens", F.col("total_tokens") / F.col("invocations"))
 
 
+def usage_for_run(usage: DataFrame, run: str = "run") -> DataFrame:
+    """Token sums per run."""
+    return usage.groupBy(run).agg(
+        F.sum("prompt_tokens").alias("prompt_tokens"), F.sum("completion_tokens").alias("completion_tokens"), F.count("*").alias("calls")
+    )
+
+
 def usage_for_model(usage: DataFrame) -> DataFrame:
     """Token sums per model."""
     return usage.groupBy("model").agg(

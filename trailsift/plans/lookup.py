@@ -1,4 +1,4 @@
-"""Joins whose broadcast is decided by a measured size, and first/last-by-order picks."""
+"""Lookups and first/last-by-order picks."""
 
 from __future__ import annotations
 
@@ -7,26 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_ROW_BOUND = 100_000
-
-
-def is_small(df: DataFrame, rows: int = BROADCAST_ROW_BOUND) -> bool:
-    """At most ``rows`` rows?  The count stops after ``rows + 1``."""
-    return df.limit(rows + 1).count() <= rows
-
-
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROW_BOUND) -> DataFrame:
-    """Hint a broadcast only when a count showed a small side; a larger one joins by shuffle."""
-    return F.broadcast(df) if is_small(df, rows) else df
-
 
 def narrowed(big: DataFrame, few: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Rows of ``big`` whose key is among ``few``, if those are few; else ``big`` as it is.
+    """Rows of ``big`` whose key is among ``few``.
 
-    A small batch against a large table then moves the batch's keys, not the table.
+    No hint: the runtime plan measures the distinct keys in bytes and broadcasts them if they are small.
     """
-    keys = few.select(*on).distinct()
-    return big.join(F.broadcast(keys), list(on), "left_semi") if is_small(keys) else big
+    return big.join(few.select(*on).distinct(), list(on), "left_semi")
 
 
 def pick(df: DataFrame, keys: Sequence[str], order: Column, columns: Sequence[str], last: bool = False) -> DataFrame:
@@ -42,7 +29,8 @@ def pick(df: DataFrame, keys: Sequence[str], order: Column, columns: Sequence[st
 def spread(df: DataFrame) -> DataFrame:
     """Spread rows over all cores where the input has fewer splits than there are cores.
 
-    For costly per-row work on a small input.  An input of many splits is left as it is.
+    For costly per-row work on a few splits that would leave most cores idle.  An input with splits for a quarter of
+    the cores or more is left as it is: moving it would cost more than the idle cores.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    return df if 4 * df.rdd.getNumPartitions() >= cores else df.repartition(cores)

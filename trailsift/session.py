@@ -46,13 +46,15 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, name: str = "tr
 def shared_dir(spark: SparkSession) -> str:
     """Root folder all executors can reach: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session names none, as in local tests, a folder of our own is set.
+    Only a local session without one, as in tests, gets a folder of our own; on a cluster it is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
         current = spark.sparkContext.getCheckpointDir()
         if current:
             return current
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="trailsift-", dir=os.environ.get("TMPDIR", "/tmp"))
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(configured)

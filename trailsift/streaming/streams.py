@@ -149,8 +149,11 @@ def har_stream(events: DataFrame, silence: str = "5 minutes", delay: str = "10 s
     watermark closes the session.  Events after that are late and do not count.
     """
     session = F.session_window("time", silence)
-    facts = _timed(events, delay).groupBy("request_id", session).agg(*nw.entry_facts()).where("__since IS NOT NULL")
-    return nw.entry_columns(facts)
+    parts = F.collect_list(F.when(F.col("event") == "dataReceived", F.struct("pos", "size"))).alias("__parts")
+    facts = _timed(events, delay).groupBy("request_id", session).agg(*nw.entry_facts(), parts).where("__since IS NOT NULL")
+    later = F.filter("__parts", lambda x: x["pos"] > F.col("__since"))
+    received = F.aggregate(later, F.lit(0).cast("bigint"), lambda total, x: total + F.coalesce(x["size"], F.lit(0)))
+    return nw.entry_columns(facts.withColumn("__data", received))
 
 
 def timeout_stream(events: DataFrame, threshold_seconds: float, delay: str = "10 seconds") -> DataFrame:
