@@ -1,10 +1,14 @@
 """Markdown blocks and chunks, page parsing, selectors, extraction."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from trailsift.functions import registry as rg
+from trailsift.functions import trace as tr
+from trailsift.operators import catalog as ca
 from trailsift.operators import corpus as co
 from trailsift.operators import markdown as md
+from trailsift.operators import network as nw
 from trailsift.operators import tree
 from trailsift.sources import html as ht
 
@@ -131,3 +135,45 @@ def test_schema_defaults(spark):
 def test_profile_lacks_fields():
     with pytest.raises(ValueError, match="item_id_regex"):
         rg.SiteProfile.of({"site_id": "x", "item_link_selector": "a", "manifest_template": "m"})
+
+
+def test_markdown_of_lists_tables_and_depth():
+    nested = ht.markdown_of("<ul><li>a<ol><li>b<li>c <b>d</b></ol><li>e</ul>")
+    assert nested == "- a\n  1. b\n  2. c **d**\n- e"
+    assert ht.markdown_of("<table><tbody><tr><td>x <i>y</i></td><td>z</td></tr></tbody></table>") == "| x *y* | z |\n| --- | --- |"
+    assert ht.markdown_of("<div>" * 3000 + "deep") == "deep" and ht.markdown_of("<b>" * 3000 + "x").strip("*") == "x"
+
+
+def test_model_answers(spark):
+    answers = {
+        '{"a": {"b": "x"}, "b": 3}': '{"a": {"b": "x"}, "b": 3}', 'Here is it: {"t": "a\nb"} bye': '{"t": "a\\nb"}', "```json\n{\"a\": 1}\n```": '{"a": 1}',
+        "[" * 2000 + "]" * 2000: None, "[1, 2]": None, "": None, 'x {bad} {"ok": true}': '{"ok": true}',
+    }
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(answers)], "doc_id bigint, text string")
+    found = {r["text"]: r["json"] for r in co.repair_json(df).collect()}
+    assert found == answers
+
+
+def test_code_blocks_by_lines(spark):
+    text = "see ```js view\nlet x;\n```\n````python\n```\nprint(1)\n````\n```nolang\nq\n```\n```sh\nopen"
+    rows = co.code_blocks(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).collect()
+    assert {(r["key"], r["content"]) for r in rows} == {("view", "let x;"), ("python_0", "```\nprint(1)"), ("python", "```\nprint(1)")}
+
+
+def test_members_keep_their_own_kind(spark):
+    df = spark.createDataFrame([('{"a": {"b": "x"}, "b": 3, "c": "7"}',)], "params string")
+    assert df.select(tr.sorted_json(df["params"])).first()[0] == '{"a": {"b":"x"}, "b": 3, "c": "7"}'
+
+
+def test_order_of_large_and_missing_sequences(spark):
+    rows = [(1, 10**9 + 1, "a"), (2, None, "b"), (3, 5, "c"), (4, None, "a")]
+    ranked = ca.rank_records(spark.createDataFrame(rows, "pos bigint, sequence bigint, file_name string"))
+    assert {r["pos"]: r["nth"] for r in ranked.collect()} == {3: 1, 1: 2, 4: 3, 2: 4}
+
+
+def test_bytes_before_the_request_do_not_count(spark):
+    rows = [("dataReceived", "r", 0, 100, None), ("requestWillBeSent", "r", 1, None, "https://h/"), ("dataReceived", "r", 2, 7, None)]
+    df = spark.createDataFrame(rows, "event string, request_id string, pos bigint, size bigint, url string")
+    for name, kind in (("frame_id", "string"), ("type", "string"), ("name", "string"), ("at", "double")):
+        df = df.withColumn(name, F.lit(None).cast(kind))
+    assert nw.har_entries(df).first()["received"] == 7

@@ -47,26 +47,32 @@ def test_frontier(spark):
         return spark.createDataFrame([(p,) for p in pages], "source_page bigint")
 
     none = spark.createDataFrame([], "page bigint, status string, next_index bigint")
-    done = pr.reconcile_frontier(records([1, 2, 3, 3, None]), none)
+    done = pr.reconcile_frontier(records([1, 2, 3, 3, None]), none, 200)
     assert {r["page"]: r["status"] for r in done.collect()} == {1: "done", 2: "done", 3: "in_progress"}
-    assert pr.frontier_summary(done, records([1, 2, 3, 3, None])).first().asDict() == {
-        "frontier": 3, "healed_pages": 2, "pages_with_records": 3, "gap_pages": 0,
+    assert pr.frontier_summary(done, records([1, 2, 3, 3, None]), 200).first().asDict() == {
+        "frontier": 3, "healed_pages": 2, "pages_with_records": 3, "gap_pages": 0, "pages_beyond": 0,
     }
-    gaps = pr.reconcile_frontier(records([1, 4]), none)
+    gaps = pr.reconcile_frontier(records([1, 4]), none, 200)
     assert {r["page"]: r["status"] for r in gaps.collect()} == {1: "done", 2: "pending", 3: "pending", 4: "in_progress"}
-    assert pr.frontier_summary(gaps, records([1, 4])).first()["gap_pages"] == 2
-    empty = pr.reconcile_frontier(records([None]), none)
-    assert pr.frontier_summary(empty, records([None])).count() == 0
+    assert pr.frontier_summary(gaps, records([1, 4]), 200).first()["gap_pages"] == 2
+    empty = pr.reconcile_frontier(records([None]), none, 200)
+    assert pr.frontier_summary(empty, records([None]), 200).count() == 0
+
+
+def test_pages_beyond_reason_are_flagged(spark):
+    far = spark.createDataFrame([(1,), (2,), (999,)], "source_page bigint")
+    out = pr.reconcile_frontier(far, spark.createDataFrame([], "page bigint, status string, next_index bigint"), 200)
+    assert {(r["page"], r["status"], r["beyond"]) for r in out.collect()} == {(1, "done", False), (2, "in_progress", False), (999, None, True)}
 
 
 def test_next_page(spark):
     def pages(*rows_):
         return spark.createDataFrame(list(rows_), "page bigint, status string, next_index bigint")
 
-    assert tuple(pr.next_page(pages((1, "done", 0), (5, "pending", 2), (7, "in_progress", 3))).first()) == (7, 3)
-    assert tuple(pr.next_page(pages((1, "done", 0), (3, "blocked", 0))).first()) == (4, 0)
-    assert tuple(pr.next_page(pages((200, "done", 0)), fallback=2).first()) == (2, 0)
-    assert tuple(pr.next_page(pages((999, "in_progress", 4)), fallback=1).first()) == (1, 0)
+    assert tuple(pr.next_page(pages((1, "done", 0), (5, "pending", 2), (7, "in_progress", 3)), 200).first()) == (7, 3)
+    assert tuple(pr.next_page(pages((1, "done", 0), (3, "blocked", 0)), 200).first()) == (4, 0)
+    assert tuple(pr.next_page(pages((200, "done", 0)), 200, fallback=2).first()) == (2, 0)
+    assert tuple(pr.next_page(pages((999, "in_progress", 4)), 200, fallback=1).first()) == (1, 0)
 
 
 def test_tolerant_lines_over_several_files(spark):

@@ -290,16 +290,15 @@ def _(spark, sf):
 
 
 @case("pg_4_search_text", r"""
-WITH a AS (SELECT doc_id, text, string_split(lower(text), 'ing') AS p FROM documents),
+WITH a AS (SELECT doc_id, text, string_split_regex(text, '(?i)ing') AS p FROM documents),
 b AS (SELECT doc_id, text, len(p) - 1 AS total, unnest(range(1, len(p))) AS nth, p FROM a),
 c AS (SELECT doc_id, text, total, nth, CAST(list_sum(list_transform(p[1:nth], lambda x: length(x))) + 3 * (nth - 1) AS BIGINT) AS position FROM b WHERE nth <= 6)
 SELECT doc_id, nth, substr(text, position + 1, 3) AS match_text, position,
   CASE WHEN position > 20 THEN '...' ELSE '' END || substr(text, greatest(position - 20, 0) + 1, least(position + 23, length(text)) - greatest(position - 20, 0))
    || CASE WHEN position + 23 < length(text) THEN '...' ELSE '' END AS context, total, total > 6 AS has_more
-FROM c WHERE length(lower(text)) = length(text)""")
+FROM c""")
 def _(spark, sf):
-    docs = fx.table(spark, sf, "documents").where(F.length(F.lower("text")) == F.length("text"))
-    return co.search_text(docs, "ing", context=20, max_results=6, doc="doc_id", text="text")
+    return co.search_text(fx.table(spark, sf, "documents"), "ing", context=20, max_results=6, doc="doc_id", text="text")
 
 
 DETAIL = """
@@ -451,20 +450,16 @@ def _(spark, sf):
 
 _POSITIONS = """
 WITH t AS (SELECT unnest(['the', 'ing', 'der']) AS term),
-a AS (SELECT doc_id, term, string_split(lower(text), term) AS p FROM documents, t WHERE length(lower(text)) = length(text)),
+a AS (SELECT doc_id, term, string_split_regex(text, '(?i)' || term) AS p FROM documents, t),
 b AS (SELECT doc_id, term, unnest(range(1, len(p))) AS nth, p FROM a),
 c AS (SELECT doc_id, term, CAST(list_sum(list_transform(p[1:nth], lambda x: length(x))) + 3 * (nth - 1) AS BIGINT) AS position FROM b)
 """
 TERMS = ["the", "ing", "der"]
 
 
-def _same_case_length(spark, sf):
-    return fx.table(spark, sf, "documents").where(F.length(F.lower("text")) == F.length("text"))
-
-
 @case("agg_16_term_relevance", _POSITIONS + "SELECT doc_id, position // 2000 AS chunk, count(*) AS score FROM c GROUP BY doc_id, position // 2000")
 def _(spark, sf):
-    return co.term_relevance(_same_case_length(spark, sf), TERMS)
+    return co.term_relevance(fx.table(spark, sf, "documents"), TERMS)
 
 
 @case("agg_16_page_relevance", """SELECT source, doc_id, contains(lower(text), 'the')::BIGINT + contains(lower(text), 'ing')::BIGINT + contains(lower(text), 'der')::BIGINT AS score
@@ -474,9 +469,9 @@ def _(spark, sf):
 
 
 @case("pg_13_relevant_sections", """
-WITH RECURSIVE l AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE length(lower(text)) = length(text)),
+WITH RECURSIVE l AS (SELECT doc_id, text, length(text) AS n FROM documents),
 t AS (SELECT unnest(['thening', 'handand']) AS term),
-a AS (SELECT doc_id, term, string_split(lower(text), term) AS p FROM l, t WHERE n > 5000),
+a AS (SELECT doc_id, term, string_split_regex(text, '(?i)' || term) AS p FROM l, t WHERE n > 5000),
 b AS (SELECT doc_id, unnest(range(1, len(p))) AS nth, p FROM a),
 c AS (SELECT DISTINCT doc_id, CAST(list_sum(list_transform(p[1:nth], lambda x: length(x))) + 7 * (nth - 1) AS BIGINT) // 2000 AS chunk FROM b),
 s AS (SELECT doc_id, chunk FROM c UNION SELECT doc_id, 0 FROM c),
@@ -485,7 +480,7 @@ u AS (SELECT doc_id, chunk, text, sum(least(2000, n - chunk * 2000)) OVER (PARTI
 g AS (SELECT doc_id, string_agg(CASE WHEN gap THEN chr(10) || '[...]' || chr(10) ELSE '' END || substr(text, chunk * 2000 + 1, 2000), '' ORDER BY chunk) AS body FROM u WHERE used <= 5000 GROUP BY doc_id)
 SELECT l.doc_id, md5(CASE WHEN n <= 5000 THEN text WHEN l.doc_id NOT IN (SELECT doc_id FROM c) THEN substr(text, 1, 5000) ELSE coalesce(body, '') END) AS digest FROM l LEFT JOIN g USING (doc_id)""")
 def _(spark, sf):
-    out = co.relevant_sections(_same_case_length(spark, sf), ["thening", "handand"], 5000)
+    out = co.relevant_sections(fx.table(spark, sf, "documents"), ["thening", "handand"], 5000)
     return out.select("doc_id", F.md5("content").alias("digest"))
 
 

@@ -138,45 +138,51 @@ def _(spark, sf):
     return _progress(spark, sf)
 
 
+# A bound that cuts into the pages of the fixture.
+LAST_PAGE = 18
+
+
 def _sparse(spark, sf):
     return fx.records(spark, sf).where("source_page IS NULL OR source_page NOT IN (4, 9, 20)")
 
 
 fx.SQL["fx_frontier"] = """
 WITH have AS (SELECT DISTINCT source_page AS page FROM fx_records WHERE source_page NOT IN (4, 9, 20)),
-fr AS (SELECT max(page) AS f FROM have),
+fr AS (SELECT max(page) AS f FROM have WHERE page <= 18),
 old AS (SELECT page, CASE WHEN page = 4 THEN 'failed' ELSE status END AS status, next_index FROM fx_progress WHERE page <> 9),
-allp AS (SELECT coalesce(old.page, r.range) AS page, old.status, old.next_index FROM old FULL JOIN (SELECT range FROM range(1, (SELECT f + 1 FROM fr))) r ON r.range = old.page)
+allp AS (SELECT coalesce(old.page, r.range) AS page, old.status, old.next_index FROM old FULL JOIN (SELECT range FROM range(1, (SELECT f + 1 FROM fr)) UNION SELECT page FROM have) r ON r.range = old.page)
 SELECT a.page, a.page IN (SELECT page FROM have) AND coalesce(a.status, '') NOT IN ('done', 'blocked') AND a.page < f AS healed,
   a.page NOT IN (SELECT page FROM have) AND coalesce(a.status, '') NOT IN ('done', 'blocked', 'in_progress', 'pending') AND a.page < f AS gap,
-  a.status AS old, a.next_index AS old_index, f FROM allp a, fr"""
+  a.page IN (SELECT page FROM have) AND a.page > 18 AS beyond, a.status AS old, a.next_index AS old_index, f FROM allp a, fr"""
 
 
 def _frontier(spark, sf):
     progress = _progress(spark, sf).where("page <> 9").withColumn(
         "status", F.when(F.col("page") == 4, "failed").otherwise(F.col("status"))
     )
-    return pr.reconcile_frontier(_sparse(spark, sf), progress)
+    return pr.reconcile_frontier(_sparse(spark, sf), progress, LAST_PAGE)
 
 
 @case("str_11_frontier_reconcile", """
-SELECT page, healed, gap, CASE WHEN healed THEN 'done' WHEN page = f AND coalesce(old, '') NOT IN ('done', 'blocked') THEN 'in_progress' WHEN gap THEN 'pending' ELSE old END AS status,
+SELECT page, healed, gap, beyond, CASE WHEN healed THEN 'done' WHEN page = f AND coalesce(old, '') NOT IN ('done', 'blocked') THEN 'in_progress' WHEN gap THEN 'pending' ELSE old END AS status,
   CASE WHEN healed OR (page = f AND coalesce(old, '') NOT IN ('done', 'blocked')) THEN 0 ELSE coalesce(old_index, 0) END AS next_index FROM fx_frontier""")
 def _(spark, sf):
     return _frontier(spark, sf)
 
 
 @case("str_11_frontier_summary", """SELECT max(f) AS frontier, count(*) FILTER (WHERE healed) AS healed_pages,
-  (SELECT count(DISTINCT source_page) FROM fx_records WHERE source_page NOT IN (4, 9, 20)) AS pages_with_records, count(*) FILTER (WHERE gap) AS gap_pages FROM fx_frontier""")
+  (SELECT count(DISTINCT source_page) FROM fx_records WHERE source_page NOT IN (4, 9, 20) AND source_page <= 18) AS pages_with_records,
+  count(*) FILTER (WHERE gap) AS gap_pages, count(*) FILTER (WHERE beyond) AS pages_beyond FROM fx_frontier""")
 def _(spark, sf):
-    return pr.frontier_summary(_frontier(spark, sf), _sparse(spark, sf))
+    return pr.frontier_summary(_frontier(spark, sf), _sparse(spark, sf), LAST_PAGE)
 
 
 @case("top_3_next_page", """
-SELECT coalesce((SELECT page FROM fx_progress WHERE status IN ('in_progress', 'pending', 'failed') ORDER BY status <> 'in_progress', page LIMIT 1), (SELECT max(page) + 1 FROM fx_progress)) AS page,
-  coalesce((SELECT next_index FROM fx_progress WHERE status IN ('in_progress', 'pending', 'failed') ORDER BY status <> 'in_progress', page LIMIT 1), 0) AS next_index""")
+SELECT coalesce((SELECT page FROM fx_progress WHERE status IN ('in_progress', 'pending', 'failed') AND page <= 18 ORDER BY status <> 'in_progress', page LIMIT 1),
+    (SELECT CASE WHEN max(page) + 1 > 18 THEN 1 ELSE max(page) + 1 END FROM fx_progress WHERE page <= 18)) AS page,
+  coalesce((SELECT next_index FROM fx_progress WHERE status IN ('in_progress', 'pending', 'failed') AND page <= 18 ORDER BY status <> 'in_progress', page LIMIT 1), 0) AS next_index""")
 def _(spark, sf):
-    return pr.next_page(_progress(spark, sf))
+    return pr.next_page(_progress(spark, sf), LAST_PAGE)
 
 
 @case("fil_16_page_bound", """SELECT event_id, CASE WHEN user_id > 60 THEN 3 ELSE user_id END AS page, CASE WHEN user_id > 60 THEN 0 ELSE k END AS next_index,

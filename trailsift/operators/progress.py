@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from trailsift.operators.catalog import missing_numbers
 from trailsift.plans import ordered
 
-MAX_PAGE = 200
+DEFAULT_LAST_PAGE = 200  # fixed value
 
 
 def max_reasonable_page(target: int | None = None, fallback: int = 1) -> int:
     """Fixed rule: target/25 + 20 where a target is known, else 200."""
-    return MAX_PAGE if target is None else max(fallback, target // 25 + 20)
+    return DEFAULT_LAST_PAGE if target is None else max(fallback, target // 25 + 20)
 
 
 def bound_page(page: Column, index: Column, limit: int, fallback: int = 1) -> tuple[Column, Column]:
@@ -60,21 +60,21 @@ def fold_batches(batches: DataFrame) -> DataFrame:
     return seen.unionByName(opened)
 
 
-def _pages_with_records(records: DataFrame, max_page: int) -> DataFrame:
-    return (
-        records.select(F.col("source_page").try_cast("bigint").alias("page"))
-        .where(F.col("page").between(1, max_page)).distinct()
-    )
+def _pages_with_records(records: DataFrame) -> DataFrame:
+    return records.select(F.col("source_page").try_cast("bigint").alias("page")).where("page >= 1").distinct()
 
 
-def reconcile_frontier(records: DataFrame, progress: DataFrame, max_page: int = MAX_PAGE) -> DataFrame:
+def reconcile_frontier(records: DataFrame, progress: DataFrame, max_page: int) -> DataFrame:
     """Pages after the repair: those below the frontier with records are done, gaps become pending,
     the frontier itself is in progress.  Finished and blocked pages stay.  No source page, no change.
+
+    Pages with records beyond ``max_page`` are out of reason: they keep their status and are flagged ``beyond``.
     """
-    have = _pages_with_records(records, max_page)
+    every = _pages_with_records(records)
+    have = every.where(F.col("page") <= max_page)
     frontier = have.agg(F.max("page")).scalar()
     gaps = missing_numbers(have, "page", frontier)
-    known = have.withColumn("has", F.lit(True)).unionByName(gaps.withColumn("has", F.lit(False)))
+    known = every.withColumn("has", F.lit(True)).unionByName(gaps.withColumn("has", F.lit(False)))
     both = progress.select("page", F.col("status").alias("old"), F.col("next_index").alias("old_index")).join(
         known, "page", "full_outer"
     )
@@ -85,25 +85,29 @@ def reconcile_frontier(records: DataFrame, progress: DataFrame, max_page: int =
     at_front = F.coalesce("has", F.lit(False)) & ~terminal & (F.col("page") == frontier)
     gap = F.coalesce(~F.col("has"), F.lit(False)) & ~held & (F.col("page") < frontier)
     reset = healed | at_front
+    beyond = F.coalesce("has", F.lit(False)) & (F.col("page") > max_page)
     return both.select(
         "page",
         F.when(healed, "done").when(at_front, "in_progress").when(gap, "pending").otherwise(old).alias("status"),
         F.when(reset, F.lit(0)).otherwise(F.coalesce("old_index", F.lit(0))).cast("bigint").alias("next_index"),
-        healed.alias("healed"), gap.alias("gap"),
+        F.coalesce(healed, F.lit(False)).alias("healed"), F.coalesce(gap, F.lit(False)).alias("gap"), beyond.alias("beyond"),
     )
 
 
-def frontier_summary(reconciled: DataFrame, records: DataFrame, max_page: int = MAX_PAGE) -> DataFrame:
-    """frontier, healed pages, pages with records, gap pages; no row when no record names a page."""
-    have = _pages_with_records(records, max_page).agg(F.max("page").alias("frontier"), F.count("*").alias("pages_with_records"))
+def frontier_summary(reconciled: DataFrame, records: DataFrame, max_page: int) -> DataFrame:
+    """frontier, healed pages, pages with records, gap pages, pages beyond reason; no row when no record names a page."""
+    near = F.col("page") <= max_page
+    have = _pages_with_records(records).agg(
+        F.max(F.when(near, F.col("page"))).alias("frontier"), F.count_if(near).alias("pages_with_records"), F.count_if(~near).alias("pages_beyond")
+    )
     counts = reconciled.agg(F.count_if("healed").alias("healed_pages"), F.count_if("gap").alias("gap_pages"))
     return have.select(
         "frontier", counts.select("healed_pages").scalar().alias("healed_pages"), "pages_with_records",
-        counts.select("gap_pages").scalar().alias("gap_pages"),
+        counts.select("gap_pages").scalar().alias("gap_pages"), "pages_beyond",
     ).where("frontier IS NOT NULL")
 
 
-def next_page(progress: DataFrame, fallback: int = 1, max_page: int = MAX_PAGE) -> DataFrame:
+def next_page(progress: DataFrame, max_page: int, fallback: int = 1) -> DataFrame:
     """The page to work on: one in progress first, else the lowest open one, else the one after the last."""
     status = F.coalesce("status", F.lit("pending"))
     open_page = status.isin("in_progress", "pending", "failed") & (F.col("page") <= max_page)
@@ -117,7 +121,7 @@ def next_page(progress: DataFrame, fallback: int = 1, max_page: int = MAX_PAGE)
     )
 
 
-def block_far_pages(progress: DataFrame, max_page: int = MAX_PAGE) -> DataFrame:
+def block_far_pages(progress: DataFrame, max_page: int) -> DataFrame:
     """Open pages beyond reason are blocked."""
     far = (F.col("page") > max_page) & ~F.coalesce(F.col("status").isin("blocked", "done"), F.lit(False))
     return progress.withColumn("status", F.when(far, "blocked").otherwise(F.col("status")))

@@ -134,6 +134,7 @@ def stored_nodes(pages: DataFrame, path: str, page: str = "page_id", html: str =
 
 # Elements without readable content.
 SKIPPED = frozenset("style script head meta link title".split())
+ROW_GROUPS = frozenset("tr thead tbody tfoot".split())
 HEADINGS = {f"h{i}": "#" * i for i in range(1, 7)}
 BLOCKS = frozenset("address article aside body div dl dt dd fieldset figure footer form header html main nav p section".split())
 
@@ -160,15 +161,33 @@ class _Markdown:
             (self.below[row[0]] if row[0] >= 0 else self.top).append(i)
 
     def text(self) -> str:
-        return "".join(self.node(i, 0) for i in self.top).strip()
-
-    def inner(self, i: int, level: int) -> str:
-        return "".join(self.node(c, level) for c in self.below[i])
+        """Children stand behind their parent, so going backwards every node finds its children written: no recursion, any depth."""
+        self.levels = [0] * len(self.rows)
+        for i, (parent, tag, _, _) in enumerate(self.rows):
+            if parent >= 0:
+                self.levels[i] = self._level_below(parent)
+        self.done = [""] * len(self.rows)
+        for i in range(len(self.rows) - 1, -1, -1):
+            self.done[i] = self.node(i)
+            if self.rows[i][1] not in ROW_GROUPS:  # cells are still wanted by their table
+                for c in self.below[i]:
+                    self.done[c] = ""
+        return "".join(self.done[i] for i in self.top).strip()
+
+    def _level_below(self, i: int) -> int:
+        parent, tag, _, _ = self.rows[i]
+        around = self.rows[parent][1] if parent >= 0 else ""
+        if tag in HEADINGS or (tag in ("td", "th") and around == "tr"):
+            return 0
+        return self.levels[i] + (tag == "li" and around in ("ul", "ol"))
+
+    def inner(self, i: int) -> str:
+        return self.done[i] or "".join(self.done[c] for c in self.below[i])
 
     def flat(self, i: int) -> str:
-        return " ".join(self.inner(i, 0).split())
+        return " ".join(self.inner(i).split())
 
-    def node(self, i: int, level: int) -> str:
+    def node(self, i: int) -> str:
         _, tag, attrs, text = self.rows[i]
         if tag == TEXT:
             return self.plain(text or "")
@@ -177,9 +196,9 @@ class _Markdown:
         if tag in HEADINGS:
             return f"\n\n{HEADINGS[tag]} {self.flat(i)}\n\n"
         if tag in ("b", "strong", "i", "em"):
-            return self.wrapped(self.inner(i, level), "**" if tag in ("b", "strong") else "*")
+            return self.wrapped(self.inner(i), "**" if tag in ("b", "strong") else "*")
         if tag == "a":
-            inside = self.inner(i, level)
+            inside = self.inner(i)
             href = attrs.get("href", "")
             return f"[{inside.strip()}]({href})" if self.links and href and inside.strip() else inside
         if tag == "br":
@@ -194,13 +213,13 @@ class _Markdown:
             inside = self.raw(i)
             return f"`{inside}`" if inside else ""
         if tag in ("ul", "ol"):
-            return self.listing(i, tag, level)
+            return self.listing(i, tag)
         if tag == "table":
             return self.table(i)
         if tag == "blockquote":
-            lines = self.inner(i, level).strip().split("\n")
+            lines = self.inner(i).strip().split("\n")
             return "\n\n" + "\n".join("> " + line for line in lines) + "\n\n"
-        inside = self.inner(i, level)
+        inside = self.inner(i)
         return f"\n\n{inside.strip()}\n\n" if tag in BLOCKS else inside
 
     @staticmethod
@@ -220,21 +239,26 @@ class _Markdown:
         return f"{head}{mark}{inside}{mark}{tail}"
 
     def raw(self, i: int) -> str:
-        _, tag, _, text = self.rows[i]
-        return (text or "") if tag == TEXT else "".join(self.raw(c) for c in self.below[i])
+        texts, stack = [], [i]
+        while stack:
+            at = stack.pop()
+            if self.rows[at][1] == TEXT:
+                texts.append(self.rows[at][3] or "")
+            stack.extend(reversed(self.below[at]))
+        return "".join(texts)
 
-    def listing(self, i: int, kind: str, level: int) -> str:
+    def listing(self, i: int, kind: str) -> str:
         lines, number = [], 0
         for c in self.below[i]:
             if self.rows[c][1] != "li":
                 continue
             number += 1
-            body = self.inner(c, level + 1).strip()
+            body = self.inner(c).strip()
             mark = "-" if kind == "ul" else f"{number}."
             indent = " " * (len(mark) + 1)
             lines.append(f"{mark} " + body.replace("\n", "\n" + indent))
         joined = "\n".join(lines)
-        return "\n" + joined if level else f"\n\n{joined}\n\n"
+        return "\n" + joined if self.levels[i] else f"\n\n{joined}\n\n"
 
     def table(self, i: int) -> str:
         rows = []
