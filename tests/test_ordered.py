@@ -63,7 +63,7 @@ def test_island_ordinal(spark):
 def test_text_block_keeps_the_order(spark):
     names = [f"item_{i}_x" for i in range(200)]
     df = spark.createDataFrame([(n,) for n in names], "n string")
-    out = ordered.number_rows(df, [], ["n"], ordered.text_block(df, "n"), "nth")
+    out = ordered.number_rows(df, [], ["n"], ordered.text_block(df, "n", 10), "nth")
     assert [r["n"] for r in sorted(out.collect(), key=lambda r: r["nth"])] == sorted(names)
 
 
@@ -106,3 +106,10 @@ def test_method_lock(spark, block_rows):
             preferred, run = None, 0
         state[site] = (last, run, preferred)
         assert got[site, pos] == (run, preferred), (site, pos)
+
+
+def test_one_outlier_does_not_make_one_block(spark):
+    names = [f"image_{k:08d}.jpg" for k in range(5000)] + ["Zebra.png"]
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    sizes = df.groupBy(ordered.text_block(df, "n", 100).alias("b")).count().collect()
+    assert len(sizes) > 30 and max(r["count"] for r in sizes) < 500

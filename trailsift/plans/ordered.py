@@ -11,7 +11,6 @@ shuffled once.  The result equals the plain window whatever the block size.
 
 from __future__ import annotations
 
-import os
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -20,6 +19,8 @@ from pyspark.sql import functions as F
 
 BLOCK = "__block"
 DEFAULT_BLOCK_ROWS = 1 << 16
+MOST_TEXT_BLOCKS = 512
+SAMPLED_PER_BLOCK = 100  # rows of the sample that finds the boundaries of text blocks
 
 
 @dataclass(frozen=True)
@@ -45,16 +46,17 @@ def time_block(column: str, seconds: int = 3600) -> Column:
     return F.expr(f"unix_seconds(cast(`{column}` AS timestamp)) div {seconds}")
 
 
-def text_block(df: DataFrame, column: str) -> Column:
-    """Blocks of neighbouring strings, by the seven bytes that follow the prefix all of them share.
-
-    The prefix all strings share is the one the smallest and the largest share, so one aggregate
-    over the column finds it.
-    """
-    low, high = df.agg(F.min(column), F.max(column)).first() or (None, None)
-    shared = os.path.commonprefix([low or "", high or ""])
-    after = F.substr(F.encode(F.col(column), "utf-8"), F.lit(len(shared.encode()) + 1), F.lit(7))
-    return F.conv(F.hex(F.rpad(after, 7, b"\0")), 16, 10).cast("bigint")
+def text_block(df: DataFrame, column: str, rows: int = DEFAULT_BLOCK_ROWS) -> Column:
+    """Blocks of about ``rows`` neighbouring strings, between boundaries drawn from a bounded sample."""
+    total = df.count()
+    blocks = min(MOST_TEXT_BLOCKS, 1 + total // rows)
+    if blocks == 1:
+        return F.lit(0).cast("bigint")
+    share = min(1.0, blocks * SAMPLED_PER_BLOCK / total)
+    names = sorted(r[0] for r in df.select(column).where(F.col(column).isNotNull()).sample(share, seed=7).collect())
+    bounds = sorted({names[k * len(names) // blocks] for k in range(1, blocks)}) if names else []
+    before = F.filter(F.lit(bounds).cast("array<string>"), lambda bound: bound <= F.col(column))
+    return F.coalesce(F.size(before), F.lit(0)).cast("bigint")
 
 
 def _aggregate(kind: str, column: Column, ordinal: str) -> Column:
