@@ -114,11 +114,7 @@ def _(spark, sf):
 @case("j_6_known_urls", """SELECT pos, page_url IN (SELECT page_url FROM fx_existing WHERE pos % 2 = 0) AS known FROM fx_incoming""")
 def _(spark, sf):
     old, new = fx.halves(spark, sf)
-    done = old.where("pos % 2 = 0").select(u.normalize_url(F.col("page_url")).alias("address")).distinct()
-    keyed = new.select("pos", u.normalize_url(F.col("page_url")).alias("address"))
-    return keyed.join(done.withColumn("hit", F.lit(True)), "address", "left").select(
-        "pos", F.coalesce("hit", F.lit(False)).alias("known")
-    )
+    return ca.known_urls(new, old.where("pos % 2 = 0")).select("pos", "known")
 
 
 @case("j_7_backfill", """

@@ -87,18 +87,27 @@ def _(spark, sf):
 
 
 @case("j_12_merge_state", """
-WITH o AS (SELECT user_id % 40 AS name, arg_max(k, event_id) AS v FROM fx_events WHERE event_id % 2 = 0 GROUP BY 1), n AS (SELECT user_id % 60 AS name, arg_max(k, event_id) AS v FROM fx_events WHERE event_id % 2 = 1 GROUP BY 1)
-SELECT coalesce(o.name, n.name) AS name, coalesce(n.v, o.v) AS value FROM o FULL JOIN n ON o.name = n.name""")
+WITH o AS (SELECT user_id % 40 AS name, user_id % 3 AS place, arg_max(k, event_id) AS v FROM fx_events WHERE event_id % 2 = 0 GROUP BY ALL),
+n AS (SELECT user_id % 60 AS name, user_id % 3 AS place, arg_max(k, event_id) AS v FROM fx_events WHERE event_id % 2 = 1 GROUP BY ALL)
+SELECT coalesce(o.name, n.name) AS name, coalesce(o.place, n.place) AS place, coalesce(n.v, o.v) AS value FROM o FULL JOIN n ON o.name = n.name AND o.place = n.place""")
 def _(spark, sf):
     e = fx.events(spark, sf)
 
     def cookies(parity, by):
-        return ca.upsert_by_key(
-            spark.createDataFrame([], "name bigint, value bigint"),
-            e.where(F.col("event_id") % 2 == parity).select((F.col("user_id") % by).alias("name"), F.col("k").alias("value"), "event_id"), "name", "event_id", keep=(),
-        )
+        place = (F.col("user_id") % 3).alias("place")
+        return e.where(F.col("event_id") % 2 == parity).select((F.col("user_id") % by).alias("name"), place, F.col("k").alias("value"), "event_id")
 
-    return ca.upsert_by_key(cookies(0, 40), cookies(1, 60).withColumn("ord", F.lit(0)), "name", "ord", keep=())
+    return ca.merge_state(cookies(0, 40), cookies(1, 60), ["name", "place"], "event_id")
+
+
+@case("j_12_merge_origins", """
+WITH e AS (SELECT 'https://h' || (user_id % 7) AS origin, 'key' || (k % 20) AS name, event_id, value FROM fx_events)
+SELECT origin, name, coalesce(arg_max(value, event_id) FILTER (WHERE event_id % 3 > 0), arg_max(value, event_id)) AS value FROM e GROUP BY origin, name""")
+def _(spark, sf):
+    e = fx.events(spark, sf).select(
+        F.concat(F.lit("https://h"), (F.col("user_id") % 7).cast("string")).alias("origin"), F.concat(F.lit("key"), (F.col("k") % 20).cast("string")).alias("name"), "event_id", "value"
+    )
+    return ca.merge_state(e.where("event_id % 3 = 0"), e.where("event_id % 3 > 0"), ["origin", "name"], "event_id")
 
 
 # ---- one-to-one assignment -----------------------------------------------------------------------
@@ -366,6 +375,29 @@ def _(spark, sf):
     return read.select(F.regexp_extract("file", r"folder=(\d+)", 1).cast("bigint").alias("folder"), F.md5("text").alias("digest"))
 
 
+@case("src_12_read_csv", "SELECT p_partkey, p_name, p_type FROM part")
+def _(spark, sf):
+    path = case_path(spark, "sheets")
+    fx.table(spark, sf, "part").select("p_partkey", "p_name", "p_type").write.option("header", True).csv(path)
+    return sr.read_text_like(spark, path, "csv").withColumn("p_partkey", F.col("p_partkey").cast("bigint"))
+
+
+@case("src_12_read_jsonl", "SELECT pos, title FROM fx_records")
+def _(spark, sf):
+    path = case_path(spark, "lines")
+    fx.records(spark, sf).select("pos", "title").write.json(path)
+    parsed = sr.read_text_like(spark, path, "jsonl").select(F.from_json("line", "pos bigint, title string").alias("r"))
+    return parsed.select("r.pos", "r.title")
+
+
+@case("src_12_read_xml", "SELECT p_partkey AS id, p_name AS name, p_brand AS brand FROM part")
+def _(spark, sf):
+    path = case_path(spark, "markup")
+    rows = fx.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("brand"))
+    rows.write.format("xml").option("rootTag", "items").option("rowTag", "item").save(path)
+    return sr.read_xml_rows(spark, path, "item", "id bigint, name string, brand string")
+
+
 @case("snk_1_append_records", "SELECT pos, title, page_url FROM fx_records UNION ALL SELECT pos, '图 ' || title, page_url FROM fx_records WHERE pos % 2 = 0")
 def _(spark, sf):
     path = case_path(spark, "append")
@@ -537,22 +569,27 @@ def _(spark, sf):
 # ---- registered functions ----------------------------------------------------------------------------
 
 
+# An e and its accent as two code points.
+DECOMPOSED = " cafe\N{COMBINING ACUTE ACCENT}"
+
+
 @case("udf_1_register_action", f"""SELECT event_id, CASE WHEN {_s} = 'https' AND ({_h} = 'allowed.example.net' OR ends_with({_h}, '.allowed.example.net')) THEN upper(event_type) END AS shouted,
-  length(event_type) AS letters, false AS has_hidden FROM fx_urls""")
+  nfc_normalize(event_type || '{DECOMPOSED}') AS composed, false AS has_hidden FROM fx_urls""")
 def _(spark, sf):
     actions = rg.ActionRegistry(exclude=["hidden"])
     actions.action("shout", ["*.allowed.example.net"])(F.upper)
     actions.action("hidden")(F.lower)
-    actions.pandas_action(spark, "letters", _letters, "bigint")
+    actions.pandas_action(spark, "composed", _composed, "string")
     rows = fx.urls(spark, sf)
     return rows.select(
         "event_id", actions.call("shout", F.col(URL), F.col("event_type")).alias("shouted"),
-        actions.call("letters", F.col(URL), F.col("event_type")).alias("letters"), F.lit("hidden" in actions.actions).alias("has_hidden"),
+        actions.call("composed", F.col(URL), F.concat("event_type", F.lit(DECOMPOSED))).alias("composed"), F.lit("hidden" in actions.actions).alias("has_hidden"),
     )
 
 
-def _letters(text: pd.Series) -> pd.Series:
-    return text.str.len()
+def _composed(text: pd.Series) -> pd.Series:
+    """Unicode composition, which SQL functions lack."""
+    return text.str.normalize("NFC")
 
 
 PROFILE = {

@@ -346,6 +346,22 @@ def _(spark, sf):
     return hi.run_errors(_steps(spark, sf))
 
 
+@case("agg_9_run_urls", "SELECT run, step, url FROM fx_history WHERE url <> ''")
+def _(spark, sf):
+    return hi.run_urls(_steps(spark, sf))
+
+
+@case("agg_9_step_actions", "SELECT run, pos // 50 AS step, row_number() OVER (PARTITION BY run, pos // 50 ORDER BY pos) AS nth, name FROM fx_actions")
+def _(spark, sf):
+    return hi.step_actions(fx.actions(spark, sf).withColumn("step", F.floor(F.col("pos") / 50).cast("bigint")))
+
+
+@case("agg_9_judgements", """SELECT run, arg_max(verdict, step) AS verdict, max(step) AS judged_at, count(*) AS times, min(verdict) <> max(verdict) AS changed
+  FROM fx_history WHERE verdict IS NOT NULL GROUP BY run""")
+def _(spark, sf):
+    return hi.judgements(_steps(spark, sf))
+
+
 @case("agg_9_run_contents", "SELECT run, step, extracted FROM fx_history WHERE extracted IS NOT NULL")
 def _(spark, sf):
     return hi.run_contents(_steps(spark, sf))

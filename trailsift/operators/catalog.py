@@ -133,6 +133,24 @@ def duplicate_hash_groups(files: DataFrame) -> DataFrame:
 # ---- new against known --------------------------------------------------------------------------
 
 
+def known_urls(incoming: DataFrame, existing: DataFrame, url: str = "page_url") -> DataFrame:
+    """Adds ``known``: does an existing row have the same normalised address?"""
+    addresses = existing.select(u.normalize_url(F.col(url)).alias("__address")).distinct().withColumn("__hit", F.lit(True))
+    keyed = incoming.withColumn("__address", u.normalize_url(F.col(url)))
+    joined = keyed.join(addresses, "__address", "left").withColumn("known", F.coalesce("__hit", F.lit(False)))
+    return joined.select(*incoming.columns, "known")
+
+
+def merge_state(old: DataFrame, new: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """Entries of a stored browser state (cookies by name and place, items by origin): the newest of each key stays.
+
+    A key's new entry replaces its old one; keys on one side only stay.  ``order`` tells the newest of a side.
+    """
+    payload = [c for c in old.columns if c not in (*keys, order)]
+    sides = old.select(*keys, F.lit(0).alias("__side"), order, *payload).unionByName(new.select(*keys, F.lit(1).alias("__side"), order, *payload))
+    return pick(sides, keys, F.struct("__side", order), payload, last=True)
+
+
 def _keys(records: DataFrame, kinds: dict[str, Column], carried: Sequence[str] = ("pos",)) -> DataFrame:
     """One narrow row per record and kind of key.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailsift.functions import trace as tr
@@ -104,6 +104,26 @@ def run_contents(steps: DataFrame, run: str = "run", step: str = "step") -> Data
     return steps.where(F.coalesce("extracted", F.lit("")) != "").select(run, step, "extracted")
 
 
+def run_urls(steps: DataFrame, run: str = "run", step: str = "step") -> DataFrame:
+    """The address of each step that has one (a row each, in step order)."""
+    return steps.where(F.coalesce("url", F.lit("")) != "").select(run, step, "url")
+
+
+def step_actions(actions: DataFrame, run: str = "run", step: str = "step", position: str = "pos") -> DataFrame:
+    """Action names of each step with their place in it; long runs are cut into blocks."""
+    placed = actions.withColumn("nth", F.row_number().over(Window.partitionBy(run, step).orderBy(position)))
+    return placed.select(run, step, F.col("nth").cast("bigint").alias("nth"), "name")
+
+
+def judgements(steps: DataFrame, run: str = "run", step: str = "step") -> DataFrame:
+    """Per judged run: the last verdict, the step it was given at, how often it was given, and whether it ever changed."""
+    judged = steps.where("verdict IS NOT NULL")
+    return judged.groupBy(run).agg(
+        F.max_by("verdict", step).alias("verdict"), F.max(step).alias("judged_at"), F.count("*").alias("times"),
+        (F.min("verdict") != F.max("verdict")).alias("changed"),
+    )
+
+
 def action_counts(actions: DataFrame, run: str = "run") -> DataFrame:
     return actions.groupBy(run, "name").agg(F.count("*").alias("n"))
 

@@ -173,6 +173,11 @@ def read_text_like(spark: SparkSession, path: str, extension: str) -> DataFrame:
     raise ValueError(f"unsupported extension: {extension}")
 
 
+def read_xml_rows(spark: SparkSession, path: str, element: str, fields: str) -> DataFrame:
+    """Rows of the elements named ``element``; files are split, so none is one task."""
+    return spark.read.format("xml").option("rowTag", element).schema(fields).load(path)
+
+
 def recent_lines(lines: DataFrame, n: int = 4000) -> DataFrame:
     """The last ``n`` lines, in order (a sort with a limit: every task sends at most ``n`` rows)."""
     return lines.orderBy(F.col("file_rank").desc(), F.col("line_number").desc()).limit(n)
