@@ -25,7 +25,26 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-@query("op1_sharding")
+@query(
+    "op1_sharding",
+    """
+WITH RECURSIVE crc_step(n, k, c) AS (
+  SELECT range, 0, range FROM range(256)
+  UNION ALL SELECT n, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM crc_step WHERE k < 8
+), crc_table AS (SELECT list(c ORDER BY n) AS entries FROM crc_step WHERE k = 8),
+k AS (
+  SELECT doc_id, coalesce(text, '') AS t, strlen(coalesce(text, '')) + 16 AS size, ('0x' || substr(md5(coalesce(text, '')), 1, 15))::BIGINT AS h FROM documents
+), c AS (
+  SELECT *, 2 * sum(size) OVER w - size AS centre, row_number() OVER w AS n, sum(size) OVER () AS total
+  FROM k WINDOW w AS (ORDER BY h, doc_id NULLS FIRST ROWS UNBOUNDED PRECEDING)
+), s AS (SELECT *, CAST((centre * 40) // (2 * total) AS INTEGER) AS shard FROM c)
+SELECT doc_id, CAST(size AS BIGINT) AS size,
+  xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(t)), '..'), lambda p: ('0x' || p)::BIGINT)),
+    lambda a, b: xor(a >> 8, entries[(xor(a, b) & 255) + 1])), 4294967295) AS text_crc32,
+  'bytes' AS law, shard, CAST(n - min(n) OVER (PARTITION BY shard) AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM s, crc_table
+""",
+)
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.place(table(spark, sf_dir, "documents"), 40)
     return placed.select(
@@ -56,7 +75,44 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.withColumnRenamed("id", "doc_id")
 
 
-@query("op5_secret_scan")
+@query(
+    "op5_secret_scan",
+    r"""
+WITH kinds(kind, name, pattern, part, least) AS (VALUES
+  (0, 'assign', '((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2, 8),
+  (1, 'access', 'AKIA[A-Z0-9]+', 0, 16), (2, 'hex', '[0-9a-f]+', 0, 32), (3, 'live', '[A-Za-z0-9+/_-]{24,}', 0, 24)
+), texts AS (
+  SELECT doc_id, coalesce(text, '') AS t, coalesce(source, '') AS owner FROM documents
+), cut AS (
+  SELECT doc_id, owner, kind, least, string_split_regex(t, pattern) AS gaps, regexp_extract_all(t, pattern, 0) AS hits,
+    CASE part WHEN 2 THEN regexp_extract_all(t, pattern, 2) ELSE regexp_extract_all(t, pattern, 0) END AS vals
+  FROM texts, kinds
+), places AS (
+  SELECT *, list_transform(gaps, lambda x: length(x)) AS g, list_transform(hits, lambda x: length(x)) AS h, unnest(range(1, len(hits) + 1)) AS i FROM cut
+), found AS (
+  SELECT doc_id, owner, kind, vals[i] AS val, CAST(list_sum(g[1:i]) + coalesce(list_sum(h[1:i - 1]), 0) AS BIGINT) AS a, h[i] AS size
+  FROM places WHERE length(vals[i]) >= least
+), spans AS (SELECT doc_id, owner, kind, val, a, a + size AS b FROM found),
+base AS (SELECT * FROM spans WHERE kind < 3),
+tokens AS (
+  SELECT * FROM spans s WHERE kind = 3 AND regexp_matches(val, '[a-z]') AND regexp_matches(val, '[A-Z]') AND regexp_matches(val, '[0-9]')
+    AND len(list_distinct(string_split(val, ''))) >= 12
+    AND NOT EXISTS (SELECT 1 FROM base WHERE base.doc_id = s.doc_id AND base.a < s.b AND s.a < base.b)
+), both_kinds AS (SELECT * FROM base UNION ALL SELECT * FROM tokens),
+owners AS (SELECT val, count(DISTINCT owner) > 3 AS copied FROM both_kinds GROUP BY val),
+judged AS (SELECT b.*, copied FROM both_kinds b JOIN owners USING (val)),
+sums AS (
+  SELECT doc_id, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access, count(*) FILTER (WHERE kind = 2) AS n_hex,
+    coalesce(string_agg(name || ':' || a || ':' || b, ',' ORDER BY a, kind) FILTER (WHERE kind < 3), '') AS base_text,
+    coalesce(string_agg(name || ':' || a || ':' || b, ',' ORDER BY a, kind) FILTER (WHERE kind < 3 OR NOT copied), '') AS spans,
+    CAST(count(*) FILTER (WHERE kind = 3 AND NOT copied) AS INTEGER) AS n_live, CAST(count(*) FILTER (WHERE kind < 3 AND copied) AS INTEGER) AS n_copied
+  FROM judged JOIN kinds USING (kind) GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base_text, '')) AS base_sha256,
+  coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied
+FROM texts LEFT JOIN sums USING (doc_id)
+""",
+)
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = secrets.scan(docs, F.col("source"), F.concat_ws("/", "source", "lang"))
