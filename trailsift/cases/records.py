@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from trailsift.cases import fixtures as fx
@@ -254,10 +256,10 @@ def _(spark, sf):
     ).select("pos", "title", "total")
 
 
-@case("fil_2_get_by_id", "SELECT 'img_' || substr(sha256, 1, 16) AS id, pos FROM fx_records WHERE substr(sha256, 1, 16) = substr(sha256('100'), 1, 16)")
+@case("fil_2_get_by_id", "SELECT 'img_' || substr(sha256(CAST(pos AS VARCHAR)), 1, 16) AS id, pos, title FROM fx_records WHERE pos = 100")
 def _(spark, sf):
-    images = fx.records(spark, sf).select(tx.row_id(F.col("sha256"), "img_").alias("id"), "pos")
-    return images.where(F.col("id") == F.concat(F.lit("img_"), F.substring(F.sha2(F.lit("100"), 256), 1, 16)))
+    images = fx.records(spark, sf).select(tx.row_id(F.sha2(F.col("pos").cast("string"), 256), "img_").alias("id"), "pos", "title")
+    return ca.get_by_id(images, "img_" + hashlib.sha256(b"100").hexdigest()[:16])
 
 
 @case("fil_10_image_quality", """SELECT file_name FROM fx_files WHERE NOT (file_size < 10240 OR width < 200 OR height < 200)""")

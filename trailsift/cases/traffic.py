@@ -508,10 +508,16 @@ def _(spark, sf):
     return rows.select("request_id", URL, "received", "failed")
 
 
-@case("str_7_dedup_seen", """SELECT DISTINCT 'https://news/' || (doc_id % 50) AS url, md5('https://news/' || (doc_id % 50)) AS hash FROM documents""")
+@case("str_7_dedup_seen", """
+WITH a AS (SELECT 'https://news/' || (doc_id % 50) AS url, doc_id FROM documents)
+SELECT DISTINCT url, md5(url) AS hash FROM a""")
 def _(spark, sf):
-    docs = fx.table(spark, sf, "documents").select("doc_id", F.concat(F.lit("https://news/"), (F.col("doc_id") % 50).cast("string")).alias(URL))
-    rows = _stream(docs, "news", lambda p: st.dedup_seen(st.json_stream(spark, p, _schema(docs))), order="doc_id")
+    docs = fx.table(spark, sf, "documents").select(
+        "doc_id", F.concat(F.lit("https://news/"), (F.col("doc_id") % 50).cast("string")).alias(URL),
+        F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id")).alias("pulled_at"),
+    )
+    # A second per document: all of them lie within the delay.
+    rows = _stream(docs, "news", lambda p: st.dedup_seen(st.json_stream(spark, p, _schema(docs)), "pulled_at", "30 days"), order="doc_id")
     return rows.select(URL, "hash")
 
 

@@ -80,11 +80,9 @@ def latest(rows: DataFrame, keys: list[str]) -> DataFrame:
 # ---- operators -----------------------------------------------------------------------------------------
 
 
-def dedup_seen(articles: DataFrame, time: str | None = None, delay: str = "1 day") -> DataFrame:
-    """The first article per address hash.  With ``time`` the memory of hashes is bounded by a watermark."""
+def dedup_seen(articles: DataFrame, time: str, delay: str) -> DataFrame:
+    """The first article per address hash among those at most ``delay`` apart; older hashes are forgotten."""
     hashed = articles.withColumn("hash", F.md5("url"))
-    if time is None:
-        return hashed.dropDuplicates(["hash"])
     return hashed.withWatermark(time, delay).dropDuplicatesWithinWatermark(["hash"])
 
 
