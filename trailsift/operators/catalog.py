@@ -99,12 +99,19 @@ def hash_mismatch(records: DataFrame, files: DataFrame) -> DataFrame:
 def orphans(files: DataFrame, referenced: DataFrame) -> DataFrame:
     """Files whose hash and name are both unreferenced.
 
-    ``NOT (hash = … OR name = …)`` would be a nested-loop join, so it is split into two anti joins.
-    ``referenced`` has ``found_name`` and ``actual_sha256``.
+    ``NOT (hash = … OR name = …)`` would be a nested-loop join.  Both become keys of one kind of row, so that
+    ``referenced`` (``found_name`` and ``actual_sha256``), the costly side, is computed once.
     """
-    return files.join(
-        referenced.select(F.col("actual_sha256").alias("sha256")), "sha256", "left_anti"
-    ).join(referenced.select(F.col("found_name").alias("file_name")), "file_name", "left_anti")
+
+    def marks(sha256: str, name: str) -> Column:
+        kinds = [F.struct(F.lit(kind).alias("kind"), F.col(c).alias("key")) for kind, c in (("hash", sha256), ("name", name))]
+        return F.explode(F.array(*kinds)).alias("__m")
+
+    used = referenced.select(marks("actual_sha256", "found_name")).where("__m.key IS NOT NULL").distinct()
+    hit = files.select("sha256", "file_name", marks("sha256", "file_name")).join(used, "__m", "left_semi")
+    taken = hit.select(F.col("sha256").alias("__sha256"), F.col("file_name").alias("__name")).distinct()
+    same = F.col("sha256").eqNullSafe(F.col("__sha256")) & F.col("file_name").eqNullSafe(F.col("__name"))
+    return files.join(taken, same, "left_anti")
 
 
 def orphans_by_name(files: DataFrame, records: DataFrame) -> DataFrame:
