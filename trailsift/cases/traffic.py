@@ -415,24 +415,59 @@ def _(spark, sf):
     return spark.read.text(f"{path}/01-rows").select(F.col("value").alias("line"))
 
 
-@case("snk_4_write_report", """SELECT '- downloaded_records: ' || count(*) AS line FROM fx_records WHERE status = 'downloaded'
-  UNION ALL SELECT 'Final download validation: INCOMPLETE' UNION ALL SELECT '- image_files: ' || count(*) FROM fx_files""")
+fx.SQL["fx_report"] = """
+SELECT (SELECT count(*) FROM fx_records WHERE status = 'downloaded') AS done, (SELECT count(*) FROM fx_files) AS images,
+  (SELECT count(*) FROM fx_files WHERE file_size < 10240 OR width < 200 OR height < 200) AS bad,
+  (SELECT count(*) FROM (SELECT sha256 FROM fx_files GROUP BY 1 HAVING count(*) > 1)) AS twice,
+  5000 - (SELECT count(*) FROM fx_records WHERE status = 'downloaded' AND sequence <= 5000) AS gaps,
+  (SELECT count(*) FROM fx_files WHERE file_name NOT IN (SELECT file_name FROM fx_records WHERE status = 'downloaded')) AS stray"""
+
+
+@case("snk_4_write_report", """
+SELECT 'summary' AS part, 'Final download validation: INCOMPLETE' AS line
+UNION ALL SELECT 'summary', '- ' || unnest(['downloaded_records: ' || done, 'remaining_records_needed: ' || greatest(0, 5000 - done), 'image_files: ' || images, 'sequence_gaps_warning_only: ' || gaps,
+  'bad_or_empty_images: ' || bad, 'duplicate_image_hash_groups: ' || twice, 'orphan_files_warning_only: ' || stray]) FROM fx_report
+UNION ALL SELECT 'bad', '- bad or empty image: ' || file_name FROM fx_files WHERE file_size < 10240 OR width < 200 OR height < 200
+UNION ALL SELECT 'duplicate', '- duplicate ' || sha256 || ': ' || file_name FROM fx_files WHERE sha256 IN (SELECT sha256 FROM fx_files GROUP BY 1 HAVING count(*) > 1)
+UNION ALL SELECT 'gap', '- missing sequence: ' || range FROM range(1, 5001) WHERE range NOT IN (SELECT sequence FROM fx_records WHERE status = 'downloaded')""")
 def _(spark, sf):
     path = case_path(spark, "report")
-    sinks.write_report(ca.validate_completeness(fx.records(spark, sf), fx.files(spark, sf), 5000), path)
-    return spark.read.text(path).select(F.col("value").alias("line")).where("line rlike '^(Final|- downloaded|- image_files)'")
+    r, f = fx.records(spark, sf), fx.files(spark, sf)
+    sinks.write_report(ca.validate_completeness(r, f, 5000), sinks.report_details(r, f, 5000), path)
+    summary = spark.read.text(f"{path}/summary").select(F.lit("summary").alias("part"), F.col("value").alias("line"))
+    return summary.unionByName(spark.read.text(f"{path}/details").select(F.col("kind").alias("part"), F.col("value").alias("line")))
+
+
+@case("snk_5_write_har", """
+SELECT request_id, strftime(make_timestamp(CAST(round_even(ts_request * 1000, 0) AS BIGINT) * 1000), '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS started, e.url, coalesce(CAST(round_even((ts_response - ts_request) * 1000, 0) AS BIGINT), 0) AS wait,
+  coalesce(CAST(round_even((ts_finished - ts_response) * 1000, 0) AS BIGINT), 0) AS receive, CASE WHEN ts_response IS NOT NULL AND NOT failed THEN 200 ELSE 0 END AS status,
+  coalesce(content_length, 0) AS size, coalesce(encoded_length, -1) AS body, received, CASE WHEN p.frame_id IS NOT NULL THEN 'page@' || e.frame_id END AS pageref
+FROM fx_entries e LEFT JOIN fx_doc_pages p ON p.frame_id = e.frame_id WHERE NOT contains(lower(e.url), '/favicon.ico')""")
+def _(spark, sf):
+    field = lambda name, path, kind="string": F.get_json_object("value", path).cast(kind).alias(name)
+    return spark.read.text(f"{_har(spark, sf)}/entries").select(
+        field("request_id", "$._id"), field("started", "$.startedDateTime"), field(URL, "$.request.url"), field("wait", "$.timings.wait", "bigint"),
+        field("receive", "$.timings.receive", "bigint"), field("status", "$.response.status", "int"), field("size", "$.response.content.size", "bigint"),
+        field("body", "$.response.bodySize", "bigint"), field("received", "$.response._transferSize", "bigint"), field("pageref", "$.pageref"),
+    )
 
 
-@case("snk_5_write_har", """SELECT request_id, coalesce(CAST(round_even((ts_response - ts_request) * 1000, 0) AS BIGINT), 0) AS wait FROM fx_entries e
-  WHERE NOT contains(lower(url), '/favicon.ico')""")
+@case("snk_5_write_har_pages", """
+SELECT 'page@' || frame_id AS id, page_url AS title, strftime(make_timestamp(CAST(round_even(started * 1000, 0) AS BIGINT) * 1000), '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS started, '1.2' AS version FROM fx_doc_pages""")
 def _(spark, sf):
+    path = _har(spark, sf)
+    version = spark.read.text(f"{path}/log").select(F.get_json_object("value", "$.version")).scalar()
+    return spark.read.text(f"{path}/pages").select(
+        F.get_json_object("value", "$.id").alias("id"), F.get_json_object("value", "$.title").alias("title"), F.get_json_object("value", "$.startedDateTime").alias("started"), version.alias("version")
+    )
+
+
+def _har(spark, sf):
     path = case_path(spark, "har")
     n = fx.network(spark, sf)
-    entries = nw.har_document(nw.har_timings(nw.har_filter(nw.har_entries(n), nw.page_timings(n))))
-    sinks.write_har(entries.withColumn("entry", F.concat(F.substring("entry", 1, 1), F.lit('"_id":"'), "request_id", F.lit('",'), F.expr("substring(entry, 2)"))), path)
-    return spark.read.text(path).select(
-        F.get_json_object("value", "$._id").alias("request_id"), F.get_json_object("value", "$.timings.wait").cast("bigint").alias("wait")
-    )
+    pages = nw.page_timings(n)
+    sinks.write_har(nw.har_document(nw.har_timings(nw.har_filter(nw.har_entries(n), pages))), nw.har_pages(pages), path)
+    return path
 
 
 @case("snk_6_write_inventory", """SELECT 'queue.' || status AS name, count(*) AS n FROM fx_queue GROUP BY status

@@ -133,11 +133,39 @@ def pending_requests(events: DataFrame, moment: float) -> DataFrame:
     return tracker_filter(_open_at(events, moment))
 
 
+def _iso(seconds: Column) -> Column:
+    return F.date_format(F.timestamp_millis(F.rint(seconds * 1000).cast("bigint")), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
+def har_pages(pages: DataFrame) -> DataFrame:
+    """Pages as JSON, one per row."""
+    timings = F.struct(F.col("on_content_load").alias("onContentLoad"), F.col("on_load").alias("onLoad"))
+    body = F.struct(
+        _iso(F.col("started")).alias("startedDateTime"), F.concat(F.lit("page@"), "frame_id").alias("id"), F.col("page_url").alias("title"), timings.alias("pageTimings")
+    )
+    return pages.select("frame_id", F.to_json(body).alias("page"))
+
+
 def har_document(entries: DataFrame) -> DataFrame:
     """Entries as JSON, one per row: sessions have no bound on their requests."""
+    unknown = F.lit(-1)
+    query = F.coalesce(F.filter(F.split(F.regexp_extract("url", r"\?([^#]*)", 1), "&"), lambda p: p != ""), F.array().cast("array<string>"))
+    named = F.transform(query, lambda p: F.struct(F.substring_index(p, "=", 1).alias("name"), F.regexp_extract(p, "^[^=]*=(.*)$", 1).alias("value")))
+    none = F.array().cast("array<struct<name: string, value: string>>")
+    request = F.struct(
+        F.lit("GET").alias("method"), F.col("url"), F.lit("HTTP/1.1").alias("httpVersion"), none.alias("cookies"), none.alias("headers"),
+        named.alias("queryString"), unknown.alias("headersSize"), F.lit(0).alias("bodySize"),
+    )
+    # A request without a response has status 0.
+    answered = F.col("ts_response").isNotNull()
+    content = F.struct(F.coalesce("content_length", F.lit(0)).alias("size"), F.col("compression"), F.lower(F.coalesce("type", F.lit(""))).alias("mimeType"))
+    response = F.struct(
+        F.when(answered & ~F.col("failed"), 200).otherwise(0).alias("status"), F.lit("HTTP/1.1").alias("httpVersion"), none.alias("cookies"), none.alias("headers"),
+        content.alias("content"), unknown.alias("headersSize"), F.coalesce("encoded_length", unknown).alias("bodySize"), F.col("received").alias("_transferSize"),
+    )
     body = F.struct(
-        F.col("ts_request").alias("startedDateTime"), F.col("total_ms").alias("time"),
-        F.struct(F.lit("GET").alias("method"), F.col("url")).alias("request"),
+        F.col("request_id").alias("_id"), _iso(F.col("ts_request")).alias("startedDateTime"), F.col("total_ms").alias("time"),
+        request.alias("request"), response.alias("response"), F.struct().alias("cache"),
         F.struct(F.lit(0).alias("dns"), F.lit(0).alias("connect"), F.lit(0).alias("ssl"), F.lit(0).alias("send"),
                  F.col("wait_ms").alias("wait"), F.col("receive_ms").alias("receive")).alias("timings"),
         F.col("pageref"),

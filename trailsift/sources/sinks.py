@@ -51,8 +51,19 @@ def report_lines(validation: DataFrame) -> DataFrame:
     return validation.select(F.posexplode(F.array(*lines)).alias("nth", "value"))
 
 
-def write_report(validation: DataFrame, path: str) -> None:
-    report_lines(validation).orderBy("nth").select("value").coalesce(1).write.mode("overwrite").text(path)
+def report_details(records: DataFrame, files: DataFrame, target: int, min_bytes: int = 10 * 1024) -> DataFrame:
+    """A line for each bad file, each file of a duplicate group and each missing sequence: kind, value."""
+    bad = files.where(ca.bad_image(min_bytes)).select(F.lit("bad").alias("kind"), F.concat(F.lit("- bad or empty image: "), "file_name").alias("value"))
+    twice = ca.duplicate_hash_groups(files).select(F.lit("duplicate").alias("kind"), F.concat(F.lit("- duplicate "), "sha256", F.lit(": "), "file_name").alias("value"))
+    missing = ca.missing_numbers(ca.used_sequences(ca.downloaded(records)), "sequence", target)
+    gaps = missing.select(F.lit("gap").alias("kind"), F.concat(F.lit("- missing sequence: "), F.col("sequence").cast("string")).alias("value"))
+    return bad.unionByName(twice).unionByName(gaps)
+
+
+def write_report(validation: DataFrame, details: DataFrame, path: str) -> None:
+    """The report's few lines as one file, its details as one folder per kind."""
+    report_lines(validation).orderBy("nth").select("value").coalesce(1).write.mode("overwrite").text(f"{path}/summary")
+    details.write.mode("overwrite").partitionBy("kind").text(f"{path}/details")
 
 
 def inventory_counts(queue: DataFrame, files: DataFrame, records: DataFrame) -> DataFrame:
@@ -80,6 +91,9 @@ def write_history(steps: DataFrame, path: str, secrets: list[tuple[str, str]]) -
     masked_history(steps, secrets).write.mode("overwrite").json(path)
 
 
-def write_har(entries: DataFrame, path: str) -> None:
-    """One JSON entry per line."""
-    entries.select(F.col("entry").alias("value")).write.mode("overwrite").text(path)
+def write_har(entries: DataFrame, pages: DataFrame, path: str) -> None:
+    """The parts of a log as one folder: its head, and one page or entry per line (a session has no bound on either)."""
+    head = F.to_json(F.struct(F.lit("1.2").alias("version"), F.struct(F.lit("trailsift").alias("name"), F.lit("1").alias("version")).alias("creator")))
+    entries.sparkSession.range(1).select(head.alias("value")).write.mode("overwrite").text(f"{path}/log")
+    pages.select(F.col("page").alias("value")).write.mode("overwrite").text(f"{path}/pages")
+    entries.select(F.col("entry").alias("value")).write.mode("overwrite").text(f"{path}/entries")
