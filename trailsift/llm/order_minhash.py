@@ -193,7 +193,9 @@ def links(docs: DataFrame, classes: DataFrame, clumps: DataFrame, least: float,
     blocks = sized.groupBy("clump").agg(F.ceil(F.sum("labels") / F.lit(BLOCK_LABELS)).cast("int").alias("blocks"))
     placed = sized.join(blocks, "clump").withColumn("block", F.pmod(F.xxhash64("node"), F.greatest("blocks", F.lit(1))).cast("int"))
     named = docs.select(F.col(id_col).cast("long").alias("id"), plain(text_col).alias("text")).withColumn("key", F.unhex(F.md5("text")))
-    texts = named.join(placed.select("key", F.col("least_id"), "node", "clump", "block", "blocks"), "key").filter(F.col("id").eqNullSafe(F.col("least_id")))
+    # A merge at every size: what is moved then grows as the input does.
+    wanted = placed.select("key", "least_id", "node", "clump", "block", "blocks").hint("merge")
+    texts = named.join(wanted, "key").filter(F.col("id").eqNullSafe(F.col("least_id")))
     # Each block meets itself and every other one of its clump once.
     others = F.explode(F.sequence(F.lit(0), F.greatest("blocks", F.lit(1)) - 1))
     met = texts.select("clump", "node", "block", "text", others.alias("other"))
