@@ -145,19 +145,24 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
     """Suffixes in order, by doubling the length they are compared on; ``symbols`` tells all suffixes apart within ``depth``."""
-    rank = np.unique(symbols, return_inverse=True)[1].astype(np.int64)
-    length = 1
+    width = int(symbols.max()) + 2
+    # As many symbols as fit in 62 bits make the first key.
+    length = max(1, int(62 / np.log2(width)))
+    key = np.zeros(len(symbols), np.int64)
+    for k in range(length):
+        key *= width
+        key[: max(len(symbols) - k, 0)] += symbols[k:] + 1
     while True:
-        ahead = np.zeros(len(rank), np.int64)
-        ahead[: len(rank) - length] = rank[length:] + 1
-        key = rank * (len(rank) + 1) + ahead
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         ranked = key[order]
-        new = np.concatenate([[0], (ranked[1:] != ranked[:-1]).astype(np.int64)])
-        rank[order] = np.cumsum(new)
-        length *= 2
-        if new.sum() == len(rank) - 1 or length >= depth:
+        new = ranked[1:] != ranked[:-1]
+        if new.all() or length >= depth:
             return order
+        rank = np.zeros(len(key), np.int64)
+        rank[order[1:]] = np.cumsum(new)
+        key = rank * (len(key) + 1)
+        key[: max(len(key) - length, 0)] += rank[length:] + 1
+        length *= 2
 
 
 def long_neighbours(symbols: np.ndarray, order: np.ndarray, least: int) -> np.ndarray:
@@ -169,7 +174,7 @@ def long_neighbours(symbols: np.ndarray, order: np.ndarray, least: int) -> np.nd
     n = len(order)
     before = symbols[order - 1]
     back = np.empty(n, np.int64)
-    back[np.argsort(before, kind="stable")] = np.arange(n)  # where the suffix one symbol longer stands
+    back[np.argsort(before * n + np.arange(n))] = np.arange(n)  # where the suffix one symbol longer stands
     unknown = np.ones(n + 1, bool)
     unknown[0] = unknown[n] = False
     low, high = np.array([0]), np.array([n - 1])
@@ -178,7 +183,7 @@ def long_neighbours(symbols: np.ndarray, order: np.ndarray, least: int) -> np.nd
         owner = np.repeat(np.arange(len(low)), sizes)
         places = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + low[owner]
         longer = back[places]
-        by = np.argsort(longer, kind="stable")
+        by = np.argsort(longer)
         longer, owner, symbol = longer[by], owner[by], before[places][by]
         last = np.concatenate([(owner[1:] != owner[:-1]) | (symbol[1:] != symbol[:-1]), [True]])
         first = np.concatenate([[True], last[:-1]])
@@ -231,7 +236,9 @@ def shared_windows(cut: DataFrame) -> DataFrame:
     blocks = 1 + total // BLOCK_BYTES
     dealt = cut.filter(fits).withColumn("block", F.pmod(F.xxhash64("hash"), F.lit(blocks))).select("block", "rid", "start", "size", "bytes")
     searched = dealt.groupBy("block").applyInPandas(_search, FOUND_SCHEMA)
-    hashed = cut.filter(~fits).select("hash", "rid", "start", "size", "bytes").mapInArrow(_window_hashes, "hash long, rid long, start int, windows array<long>")
+    # Contexts of few anchors lie together; windows are made where they have been dealt out evenly.
+    spread = cut.filter(~fits).select("hash", "rid", "start", "size", "bytes").repartition("hash", "rid", "start")
+    hashed = spread.mapInArrow(_window_hashes, "hash long, rid long, start int, windows array<long>")
     each = hashed.select("hash", "rid", "start", F.posexplode("windows").alias("k", "window"))
     again = each.groupBy("hash", "window").agg(F.count("*").alias("n")).filter("n > 1").select("hash", "window")
     counted = each.filter(F.col("rid").isNotNull()).join(again, ["hash", "window"]).select("rid", (F.col("start") + F.col("k")).alias("start"), F.lit(1).alias("size"))
