@@ -1,7 +1,7 @@
 """Removal of byte strings that occur twice: sampled anchors, then a bounded search for common prefixes on a Burrows-Wheeler transform.
 
-Every 200-byte window has an anchor, the 32-byte string in it with the least hash; equal windows have equal anchors at equal places.
-Neighbouring windows with the same anchor form a context, a stretch of at most 368 bytes.  Spark counts anchors and contexts:
+Every 200-byte window has an anchor, the 64-byte string in it with the least hash; equal windows have equal anchors at equal places.
+Neighbouring windows with the same anchor form a context, a stretch of at most 336 bytes.  Spark counts anchors and contexts:
 
 * an anchor that occurs once: none of its windows occurs elsewhere;
 * a context that occurs more than once: all of its windows do;
@@ -34,7 +34,7 @@ from trailsift.llm.common import stored, text_batches, text_or_empty
 from trailsift.llm.rolling import running, stretches
 
 WINDOW = 200  # bytes
-ANCHOR = 32  # bytes
+ANCHOR = 64  # bytes; shorter ones are repeated by chance more often, longer ones are more in number
 REACH = WINDOW - ANCHOR + 1  # anchors of a window
 CONTEXTS = 1_000  # different contexts of an anchor that a block takes
 BLOCK_BYTES = 750_000  # of contexts, on average
