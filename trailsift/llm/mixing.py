@@ -28,7 +28,7 @@ from trailsift.llm.common import place_of, positional, stored, text_batches, tex
 from trailsift.llm.grams import DIMS, presence
 
 LENGTHS = (1, 2, 3, 5)
-LABELLED = 1_500  # bound of the labelled texts learned from
+LABELLED = 1_000  # bound of the labelled texts learned from
 STEPS = 100  # posteriors are multiples of 1 / STEPS
 RIDGES = (0.01, 0.03, 0.1, 0.3, 1.0)  # tried by the classifier
 SHARPNESS = (2.0, 4.0, 6.0, 8.0, 12.0)
@@ -65,7 +65,9 @@ def fit(texts: list[bytes], labels: list[str], domains: Sequence[str]) -> Classi
     """
     if not texts:
         return Classifier(list(domains), np.zeros((DIMS, len(domains)), np.float32), np.zeros(len(domains), np.float32), 1.0)
-    rows = _scaled(np.unpackbits(np.frombuffer(b"".join(texts), np.uint8).reshape(len(texts), -1), axis=1))
+    rows = np.unpackbits(np.frombuffer(b"".join(texts), np.uint8).reshape(len(texts), -1), axis=1).astype(np.float32)
+    # In place: this is the largest array of the driver, LABELLED rows of DIMS numbers.
+    rows /= np.sqrt(np.maximum(rows.sum(1), 1))[:, None]
     centre = rows.mean(0)
     rows -= centre
     truth = np.array(labels)[:, None] == np.array(domains)[None, :]
