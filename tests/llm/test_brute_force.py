@@ -107,6 +107,23 @@ def test_many_near_copies_in_blocks(spark, monkeypatch):
     assert {r.keep_id for r in found if r.id < 1000} == {0} and all(r.keep_id == r.id for r in found if r.id >= 1000)
 
 
+def test_near_copies_of_short_texts(spark):
+    rows, near = [], []
+    for n in range(5, 40):
+        for edit in range(3):
+            base = words(1000 * edit + n, n).split()
+            other = {0: [*base, "extra"], 1: ["extra", *base], 2: [*base[:-1], "extra"]}[edit]
+            a, b = order_minhash.labels_of(" ".join(base)), order_minhash.labels_of(" ".join(other))
+            common = len(np.intersect1d(a, b))
+            near.append(common >= 0.8 * (len(a) + len(b) - common) - 1e-9)
+            if near[-1] and min(len(a), len(b)) <= order_minhash.SHORT:
+                assert np.intersect1d(order_minhash.bands_of(a), order_minhash.bands_of(b)).size
+            rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(other))]
+    found = {r.id: r.keep_id for r in order_minhash.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {k: k - k % 2 if near[k // 2] else k for k in range(len(rows))}
+    assert any(near[:12]) and not all(near[:12])  # both sides of the similarity
+
+
 def test_tokens_are_those_of_the_library(spark, documents):
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb"))}
     encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})

@@ -4,6 +4,11 @@ Texts are compared as sequences of five-word shingles, each labelled with its oc
 with the least hashes and joins them in the order of the text, so two texts share a band if they agree on those shingles *and* on their
 order.  Texts that share a band are candidates; candidates that hang together form a clump.
 
+Bands miss pairs of short texts, which have few labels to choose from.  Texts of up to ``SHORT / SIMILARITY`` labels therefore have exact
+keys as well: of n labels the n - 0.8 n + 3 with the least values, every three of them in text order.  The chain of a pair that reaches the
+similarity leaves out at most n - 0.8 n labels of either text, so its three least labels are a key of both: no such pair is lost if both
+texts have keys, hence none in which one text has at most ``SHORT`` labels.
+
 A clump is compared in blocks of bounded size: a matrix product counts common labels, and pairs that may reach the similarity are
 aligned.  The alignment is the longest chain of common labels that rises in both texts, within the band of shifts that the threshold
 allows; the similarity is that chain over all labels of the two.  Blocks return a spanning forest of the links, never pairs.
@@ -19,6 +24,8 @@ from __future__ import annotations
 import hashlib
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import cache
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -34,7 +41,10 @@ WORDS = 5  # of a shingle
 SIMILARITY = 0.8
 ORDER = 8  # labels of a band
 BANDS = 64
+SHORT = 24  # labels of a text that meets every partner by exact keys
+TOGETHER = 3  # labels of an exact key
 BLOCK_LABELS = 300_000  # labels of a block, on average
+LEAST_LABELS = 100  # that a text counts for in a block, so that its texts are bounded too
 COLUMNS = 4096  # labels of one matrix product
 
 
@@ -70,18 +80,34 @@ _FACTORS = mix64(np.arange(1, BANDS + 1)) | np.uint64(1)
 _SEQUENCE = mix64(np.arange(1000, 1000 + ORDER)) | np.uint64(1)
 
 
+@cache
+def _subsets(head: int, size: int) -> np.ndarray:
+    return np.array(list(combinations(range(head), size)))
+
+
+def exact_keys(labels: np.ndarray) -> np.ndarray:
+    """Keys of a short text: it shares one with every short text that reaches the similarity."""
+    size = min(TOGETHER, len(labels))
+    head = len(labels) - int(np.ceil(SIMILARITY * len(labels) - 1e-9)) + size
+    least = labels[np.sort(np.argsort(labels)[:head])]
+    return mix64((least[_subsets(head, size)] * _SEQUENCE[None, :size]).sum(1, dtype=np.uint64)).view(np.int64)
+
+
 def bands_of(labels: np.ndarray) -> np.ndarray:
-    """One key per band: the least labels under the band's hash, in text order."""
+    """One key per band: the least labels under the band's hash, in text order.  Short texts have exact keys, too."""
     if not len(labels):
         return np.zeros(0, np.int64)
-    size = min(ORDER, len(labels))
+    exact = exact_keys(labels) if len(labels) * SIMILARITY <= SHORT + 1e-9 else np.zeros(0, np.int64)
+    if len(labels) <= ORDER:
+        return exact  # all bands would hold the same labels
+    size = ORDER
     step = max(1, 2_000_000 // len(labels))
     keys = []
     for k in range(0, BANDS, step):
         hashed = labels[None, :] * _FACTORS[k : k + step, None]
-        least = np.sort(np.argpartition(hashed, size - 1, axis=1)[:, :size], axis=1) if size < len(labels) else np.tile(np.arange(size), (len(hashed), 1))
+        least = np.sort(np.argpartition(hashed, size - 1, axis=1)[:, :size], axis=1)
         keys.append(mix64((labels[least] * _SEQUENCE[None, :size]).sum(1, dtype=np.uint64) + _FACTORS[k : k + step]))
-    return np.concatenate(keys).view(np.int64)
+    return np.concatenate([np.concatenate(keys).view(np.int64), exact])
 
 
 def aligned(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
@@ -190,7 +216,7 @@ def links(docs: DataFrame, classes: DataFrame, clumps: DataFrame, least: float,
     """A spanning forest of the links inside each clump: node, root."""
     spark = docs.sparkSession
     sized = stored(clumps.join(classes.select("node", "key", "least_id", "labels"), "node"), "clump-nodes")
-    blocks = sized.groupBy("clump").agg(F.ceil(F.sum("labels") / F.lit(BLOCK_LABELS)).cast("int").alias("blocks"))
+    blocks = sized.groupBy("clump").agg(F.ceil(F.sum(F.greatest("labels", F.lit(LEAST_LABELS))) / F.lit(BLOCK_LABELS)).cast("int").alias("blocks"))
     placed = sized.join(blocks, "clump").withColumn("block", F.pmod(F.xxhash64("node"), F.greatest("blocks", F.lit(1))).cast("int"))
     named = docs.select(F.col(id_col).cast("long").alias("id"), plain(text_col).alias("text")).withColumn("key", F.unhex(F.md5("text")))
     # A merge at every size: what is moved then grows as the input does.
