@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from trailsift.llm import byte_bpe, exact_dedup, language_id, mixing, order_minhash
 from trailsift.llm.common import stored, table
-from trailsift.llm.queries import RANK_FILE, TARGETS, labelled_domains
+from trailsift.llm.queries import KEPT, RANK_FILE, TARGETS, labelled_domains
 from trailsift.session import tune
 
 # Below an even draw between three languages a text is in none of those learned.
@@ -30,8 +30,8 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Domains of the label table get their target shares; no document is taken more than once."""
-    return mixing.mix(docs, labelled_domains(table(spark, sf_dir, "labels")), TARGETS)
+    """Domains of the label table get their target shares, as far as there is enough of those that are not kept; no document is taken more than once."""
+    return mixing.mix(docs, labelled_domains(table(spark, sf_dir, "labels")), TARGETS, kept=KEPT)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -213,6 +213,14 @@ def test_rates_of_one_domain_too_many(spark):
     assert np.allclose(rates.of(np.array([[100, 0], [0, 100]])), [2, 2 / 3], atol=1e-2)
 
 
+def test_scarce_domains_cost_the_kept_one_nothing(spark):
+    pure = np.array([[100, 0, 0], [0, 100, 0], [0, 0, 100]])
+    for supply in ((9700, 100, 200), (9600, 390, 10), (9990, 5, 5)):
+        judged = spark.createDataFrame([(p.tolist(), n) for p, n in zip(pure, supply, strict=True)], "steps array<int>, tokens long")
+        rate = mixing.fit_rates(judged, [0.93, 0.06, 0.01], kept=[0]).of(pure)
+        assert rate[0] == 1 and rate[1] == 1 and rate[2] <= 1
+
+
 def brute_links(vectors):
     unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
     close = unit @ unit.T >= 0.9

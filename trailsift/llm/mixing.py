@@ -6,7 +6,9 @@ distance between the expected tokens of each domain and its target, within [0, `
 posterior table, and only the residual of each domain (a handful of numbers) reaches the driver.  A document is then taken
 ``floor(rate)`` times, and once more with a chance of the rest that depends on its id and text alone.
 
-Targets are shares of a budget of tokens.  Without a given budget it is the largest one that asks of no domain more than there is.
+Targets are shares of a budget of tokens.  Without a given budget it is the largest one that asks of no domain to be ``kept`` more than
+there is; by default that is every domain.  What the budget asks of another domain ends at the tokens it has, so a scarce domain that is
+not kept stays below its share and costs the kept ones nothing.
 
 Defined results: a null text has no tokens and the posterior of the empty text; without usable labels every posterior is even;
 labels of a document that disagree, or with nulls, are not learned from; an empty table gives an empty result; repeated rows share
@@ -153,8 +155,8 @@ class Rates:
         return rate
 
 
-def fit_rates(judged: DataFrame, targets: Sequence[float], budget: float | None = None, most: float = 1.0) -> Rates:
-    """``targets`` are weights of the domains, in the order of the classifier."""
+def fit_rates(judged: DataFrame, targets: Sequence[float], budget: float | None = None, most: float = 1.0, kept: Sequence[int] = ()) -> Rates:
+    """``targets`` are weights of the domains, in the order of the classifier; ``kept`` are the places of those that set the budget."""
     cells = stored(judged.groupBy("steps").agg(F.sum("tokens").alias("tokens")), "posterior-tokens")
     k = len(targets)
     share = [F.col("steps")[i] / F.lit(float(STEPS)) for i in range(k)]
@@ -167,31 +169,33 @@ def fit_rates(judged: DataFrame, targets: Sequence[float], budget: float | None
     supply = np.array([first[f"s{i}"] for i in range(k)])
     weights = np.array(targets, float) / sum(targets)
     if budget is None:
-        budget = min((s / w for s, w in zip(supply, weights, strict=True) if w > 0 and s > 0), default=0.0)
+        asking = [i for i in range(k) if weights[i] > 0 and supply[i] > 0]
+        budget = min((supply[i] / weights[i] for i in [i for i in asking if i in kept] or asking), default=0.0)
+    wanted = np.minimum(budget * weights, supply * most)
     hessian = np.array([first[f"h{i}_{j}"] for i in range(k) for j in range(k)]).reshape(k, k) / first["all"]
     rates.speed = float(1.0 / max(np.linalg.eigvalsh(hessian).max(), 1e-9))
     for _ in range(ROUNDS):
         rate = rates.column()
         got = cells.agg(*(F.sum(F.col("tokens") * s * rate).alias(f"s{i}") for i, s in enumerate(share))).first()
-        step = [float((got[f"s{i}"] - budget * weights[i]) / first["all"]) for i in range(k)]
+        step = [float((got[f"s{i}"] - wanted[i]) / first["all"]) for i in range(k)]
         if rates.residuals and np.abs(np.subtract(step, rates.residuals[-1])).max() < CLOSE * budget / first["all"]:
             break
         rates.residuals.append(step)
     return rates
 
 
-def report(docs: DataFrame, labels: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def report(docs: DataFrame, labels: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", kept: Sequence[str] = ()) -> DataFrame:
     """Per document: id, tokens, posterior steps, rate and copies."""
     judged = stored(posteriors(docs, learn(docs, labels, list(targets), id_col, text_col), id_col, text_col), "posteriors")
-    rated = judged.withColumn("rate", fit_rates(judged, list(targets.values())).column())
+    rated = judged.withColumn("rate", fit_rates(judged, list(targets.values()), kept=[list(targets).index(d) for d in kept]).column())
     copies = F.floor("rate") + F.when(F.col("draw") < F.col("rate") - F.floor("rate"), 1).otherwise(0)
     return rated.withColumn("copies", copies.cast("int"))
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", kept: Sequence[str] = ()) -> DataFrame:
     """The documents as often as their rate says, with all their columns."""
     model = learn(docs, labels, list(targets), id_col, text_col)
-    rates = fit_rates(posteriors(docs, model, id_col, text_col), list(targets.values()))
+    rates = fit_rates(posteriors(docs, model, id_col, text_col), list(targets.values()), kept=[list(targets).index(d) for d in kept])
     at = docs.columns.index(text_col)
     renamed = positional(docs)
     schema, names = renamed.schema, renamed.columns

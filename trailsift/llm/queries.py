@@ -142,6 +142,8 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Domains of the label table, and the share of all tokens that each is to have.
 TARGETS = {"good": 0.93, "poor": 0.06, "toxic": 0.01}
+# Domains that are never thinned out for want of the others.
+KEPT = ("good",)
 
 
 def labelled_domains(labels: DataFrame) -> DataFrame:
@@ -151,7 +153,7 @@ def labelled_domains(labels: DataFrame) -> DataFrame:
 
 @query("op7_mixing")
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rated = mixing.report(table(spark, sf_dir, "documents"), labelled_domains(table(spark, sf_dir, "labels")), TARGETS)
+    rated = mixing.report(table(spark, sf_dir, "documents"), labelled_domains(table(spark, sf_dir, "labels")), TARGETS, kept=KEPT)
     shares = [(F.col("steps")[k] / F.lit(float(mixing.STEPS))).alias(f"p_{name}") for k, name in enumerate(TARGETS)]
     return rated.select(F.col("id").alias("doc_id"), F.col("tokens").alias("n_tokens"), *shares, "rate", "copies")
 
