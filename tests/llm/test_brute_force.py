@@ -221,6 +221,21 @@ def test_scarce_domains_cost_the_kept_one_nothing(spark):
         assert rate[0] == 1 and rate[1] == 1 and rate[2] <= 1
 
 
+def test_rare_domains_reach_their_targets(spark):
+    pure = np.array([[100, 0, 0], [0, 100, 0], [0, 0, 100]])
+    blurred = np.array([[96, 2, 2], [60, 30, 10], [10, 80, 10], [20, 5, 75], [0, 50, 50]])
+    for steps, tokens in ((pure, (94_000, 3_000, 3_000)), (pure, (97_000, 1_000, 2_000)), (blurred, (90_000, 3_000, 4_000, 2_000, 1_000))):
+        judged = spark.createDataFrame([(p.tolist(), n) for p, n in zip(steps, tokens, strict=True)], "steps array<int>, tokens long")
+        supply = np.array(tokens) @ steps / 100
+        wanted = np.minimum(supply, supply[0] / 0.93 * np.array([0.93, 0.06, 0.01]))
+        rate = mixing.fit_rates(judged, [0.93, 0.06, 0.01], kept=[0]).of(steps)
+        best = np.ones(len(steps))
+        for _ in range(50_000):
+            best = np.clip(best - steps / 100 @ (((np.array(tokens) * best) @ steps / 100 - wanted) / supply), 0, 1)
+        got, ideal = (np.array(tokens) * rate) @ steps / 100, (np.array(tokens) * best) @ steps / 100
+        assert (np.abs(got - ideal) <= 0.02 * wanted + 1e-6).all()
+
+
 def brute_links(vectors):
     unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
     close = unit @ unit.T >= 0.9

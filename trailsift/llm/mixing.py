@@ -2,9 +2,11 @@
 
 A classifier learned from a bounded sample of the label table gives every document its posterior over the domains, rounded to
 ``1 / STEPS``.  Documents of one posterior get one rate, so tokens are first summed by posterior.  The rates minimise the squared
-distance between the expected tokens of each domain and its target, within [0, ``most``]; each step is one Spark aggregate over the
-posterior table, and only the residual of each domain (a handful of numbers) reaches the driver.  A document is then taken
-``floor(rate)`` times, and once more with a chance of the rest that depends on its id and text alone.
+distance between the expected tokens of each domain and its target, over the tokens the domain has, within [0, ``most``]; steps carry
+momentum; each is one Spark aggregate over the posterior table, and only a handful of numbers reaches the driver.  They end when the gap
+to the least distance, which the gradient bounds, shows every domain to be within ``CLOSE`` of where the best rates bring it; a warning
+says so if ``ROUNDS`` steps did not reach that.  A document is then taken ``floor(rate)`` times, and once more with a chance of the rest
+that depends on its id and text alone.
 
 Targets are shares of a budget of tokens.  Without a given budget it is the largest one that asks of no domain to be ``kept`` more than
 there is; by default that is every domain.  What the budget asks of another domain ends at the tokens it has, so a scarce domain that is
@@ -17,6 +19,7 @@ their rate and draw; other columns pass through ``mix`` untouched.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -34,8 +37,8 @@ LABELLED = 1_000  # bound of the labelled texts learned from
 STEPS = 100  # posteriors are multiples of 1 / STEPS
 RIDGES = (0.01, 0.03, 0.1, 0.3, 1.0)  # tried by the classifier
 SHARPNESS = (2.0, 4.0, 6.0, 8.0, 12.0)
-ROUNDS = 60  # bound of the projected gradient steps
-CLOSE = 1e-5  # of the residual between two steps, as a share of the budget
+ROUNDS = 400  # bound of the projected gradient steps
+CLOSE = 0.02  # of each domain's expected tokens to those of the best rates, as a share of its target
 
 
 @dataclass
@@ -136,22 +139,32 @@ def _in_steps(posterior: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Rates:
-    """The rate of a posterior: the residuals of the steps taken determine it."""
+    """The rate of a posterior: the steps taken determine it.  A step is its momentum and the gradient of each domain."""
 
-    residuals: list[list[float]]
-    speed: float
+    steps: list[tuple[float, list[float]]]
     most: float
 
+    def states(self) -> Column:
+        """The rate, and the one before the last step."""
+        kind = "struct<momentum: double, gradient: array<double>>"
+        taken = F.array(*(F.struct(F.lit(m).alias("momentum"), F.array(*map(F.lit, g)).alias("gradient")) for m, g in self.steps))
+        along = lambda g: F.aggregate(F.zip_with("steps", g, lambda p, x: p * x), F.lit(0.0), lambda a, x: a + x) / F.lit(float(STEPS))
+
+        def step(s: Column, taken: Column) -> Column:
+            ahead = s["rate"] + taken["momentum"] * (s["rate"] - s["before"])
+            rate = F.least(F.lit(self.most), F.greatest(F.lit(0.0), ahead - along(taken["gradient"])))
+            return F.struct(rate.alias("rate"), s["rate"].alias("before"))
+
+        return F.aggregate(taken.cast(f"array<{kind}>"), F.struct(F.lit(1.0).alias("rate"), F.lit(1.0).alias("before")), step)
+
     def column(self) -> Column:
-        steps = F.array(*(F.array(*map(F.lit, r)) for r in self.residuals)) if self.residuals else F.array().cast("array<array<double>>")
-        along = lambda r: F.aggregate(F.zip_with("steps", r, lambda p, g: p * g), F.lit(0.0), lambda a, x: a + x)
-        step = lambda rate, r: F.least(F.lit(self.most), F.greatest(F.lit(0.0), rate - F.lit(self.speed / STEPS) * along(r)))
-        return F.aggregate(steps, F.lit(1.0), step)
+        return self.states()["rate"]
 
     def of(self, steps: np.ndarray) -> np.ndarray:
-        rate = np.ones(len(steps))
-        for residual in self.residuals:
-            rate = np.clip(rate - self.speed / STEPS * (steps @ np.array(residual)), 0.0, self.most)
+        rate = before = np.ones(len(steps))
+        for momentum, gradient in self.steps:
+            ahead = rate + momentum * (rate - before)
+            rate, before = np.clip(ahead - steps @ np.array(gradient) / STEPS, 0.0, self.most), rate
         return rate
 
 
@@ -161,9 +174,8 @@ def fit_rates(judged: DataFrame, targets: Sequence[float], budget: float | None
     k = len(targets)
     share = [F.col("steps")[i] / F.lit(float(STEPS)) for i in range(k)]
     sums = [F.sum(F.col("tokens") * s).alias(f"s{i}") for i, s in enumerate(share)]
-    curve = [F.sum(F.col("tokens") * share[i] * share[j]).alias(f"h{i}_{j}") for i in range(k) for j in range(k)]
-    first = cells.agg(F.sum("tokens").alias("all"), *sums, *curve).first()
-    rates = Rates([], 0.0, most)
+    first = cells.agg(F.sum("tokens").alias("all"), *sums).first()
+    rates = Rates([], most)
     if not first["all"]:
         return rates
     supply = np.array([first[f"s{i}"] for i in range(k)])
@@ -172,15 +184,33 @@ def fit_rates(judged: DataFrame, targets: Sequence[float], budget: float | None
         asking = [i for i in range(k) if weights[i] > 0 and supply[i] > 0]
         budget = min((supply[i] / weights[i] for i in [i for i in asking if i in kept] or asking), default=0.0)
     wanted = np.minimum(budget * weights, supply * most)
-    hessian = np.array([first[f"h{i}_{j}"] for i in range(k) for j in range(k)]).reshape(k, k) / first["all"]
-    rates.speed = float(1.0 / max(np.linalg.eigvalsh(hessian).max(), 1e-9))
-    for _ in range(ROUNDS):
-        rate = rates.column()
-        got = cells.agg(*(F.sum(F.col("tokens") * s * rate).alias(f"s{i}") for i, s in enumerate(share))).first()
-        step = [float((got[f"s{i}"] - wanted[i]) / first["all"]) for i in range(k)]
-        if rates.residuals and np.abs(np.subtract(step, rates.residuals[-1])).max() < CLOSE * budget / first["all"]:
-            break
-        rates.residuals.append(step)
+    # Over the tokens of its domain, a step of 1 is safe whatever the posteriors, and takes pure domains to their targets at once.
+    scale = np.where(supply > 0, supply, 1.0)
+    needed = min((0.5 * (CLOSE * wanted[i]) ** 2 / scale[i] for i in range(k) if wanted[i] > 0), default=0.0)
+    slope = np.zeros(k)  # at the rates before the last step
+    got_before, turn, gap = supply, 1.0, np.inf
+    for n in range(ROUNDS + 2):
+        state = cells.withColumn("state", rates.states())
+        # How far the distance may still fall from the rates before, at most: each rate moves to the bound its gradient leads to.
+        g = sum(s * F.lit(float(x)) for s, x in zip(share, slope, strict=True))
+        bound = F.sum(F.col("tokens") * F.greatest(g * F.col("state.before"), g * (F.col("state.before") - F.lit(most)))).alias("gap")
+        row = state.agg(bound, *(F.sum(F.col("tokens") * s * F.col("state.rate")).alias(f"s{i}") for i, s in enumerate(share))).first()
+        if n:
+            gap = row["gap"]
+            if gap <= needed or n > ROUNDS:
+                rates.steps.pop()  # those before it are shown to be good
+                break
+        got = np.array([row[f"s{i}"] for i in range(k)])
+        slope = (got - wanted) / scale
+        # Momentum starts anew when it leads uphill.
+        turn = 1.0 if slope @ (got - got_before) > 0 else turn
+        following = (1 + (1 + 4 * turn * turn) ** 0.5) / 2
+        momentum = (turn - 1) / following
+        ahead = got + momentum * (got - got_before)
+        rates.steps.append((float(momentum), ((ahead - wanted) / scale).tolist()))
+        got_before, turn = got, following
+    if gap > needed:
+        warnings.warn(f"mixing: {len(rates.steps)} steps leave a gap of {gap:.3g} to the best rates, {needed:.3g} was asked for", stacklevel=2)
     return rates
 
 
