@@ -342,6 +342,20 @@ def test_consensus_of_a_host(spark):
     assert {r.path for r in found.values()} == {"body>div.post.post-#"}
 
 
+def test_headings_and_leads_outside_the_body_stay():
+    nav, body = "<div class='nav'><p>Go</p></div><ul><li><a href='/'>Home</a></ul>", "<p>" + "Body text. " * 30 + "</p>"
+    want = ["Title", "A lead.", ("Body text. " * 30).strip()]
+    for page in (
+        f"<body>{nav}<div class=post><h1>Title</h1><p>A lead.</p><div class=body>{body}</div></div>",
+        f"<body>{nav}<div class=post><h1><a href='/1'>Title</a></h1><p>A lead.</p><div class=body>{body}</div></div>",
+        f"<body>{nav}<main><h1>Title</h1><section><p>A lead.</p></section><article>{body}</article></main>",
+        f"<body>{nav}<h1>Title</h1><div><p>A lead.</p></div><article>{body}</article>",
+    ):
+        for path in (None, "body>div.post>div.body", "body>main>article", "body>article"):
+            blocks = html_extract.Page(page).text(path).split("\n\n")
+            assert [b for b in blocks if b not in ("Home", "Go")] == want
+
+
 def test_deep_pages():
     for html in ("<b>" * 20_000 + "x", "<div>" * 20_000 + "x", "</p>" * 1000 + "<" * 1000 + "x", "<p " + "a='" * 500):
         html_extract.Page(html).text(None)

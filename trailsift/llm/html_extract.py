@@ -5,7 +5,8 @@ paths per host, combining before the shuffle, so a host of any size is one row p
 gives the text below its host's winning path.  The winners are a written table: Spark knows its size and broadcasts it if it is small,
 else it joins by shuffle and splits large hosts.
 
-A page without that path, or on which it holds less than half of what the page's own container holds, is read by its own container.
+A page's own container is the lowest that holds all of its running text and headings outside furniture; link lists may lie outside.  A page
+without the host's path, or on which the path holds less than all of that, is read by its own container.
 
 Defined results: a null or empty page has the empty text; a null address is a host of its own; a page that is cut off ends where it
 ends; text outside any tag belongs to the body; repeated rows each get the full result; other columns are never looked at.
@@ -57,8 +58,6 @@ _WORD = re.compile(r"[a-z0-9]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 LINKED = 0.5  # a block with a larger share of its letters in links is not running text
-HELD = 0.5  # share of the running text that makes an article or main element the container
-GATHERED = 0.7  # share that leads from a container to one inside it
 HARD, SOFT = 2, 1  # furniture by tag, by name
 
 
@@ -75,9 +74,14 @@ class Page:
         has_main = any(self.main[self._main_above(at)] for at, _, _ in self.blocks if not self.furniture[at])
         self.limit = SOFT if kept < 0.25 * (kept + soft) and not has_main else 0
         self.totals = [0] * len(self.tags)
-        for at, text, linked in self.blocks:
-            if self.furniture[at] <= self.limit and linked < LINKED:
-                self.totals[at] += len(text)
+        after = False  # is the next block outside furniture running text?
+        for at, text, linked in reversed(self.blocks):
+            if self.furniture[at] <= self.limit:
+                running = linked < LINKED
+                # A heading that is a link belongs to the text it stands over.
+                if running or (after and self._heading(at)):
+                    self.totals[at] += len(text)
+                after = running
         for at in range(len(self.tags) - 1, 0, -1):
             self.totals[self.parents[at]] += self.totals[at]
 
@@ -196,27 +200,16 @@ class Page:
         return ">".join(reversed(steps))
 
     def container(self) -> int:
-        """The element that holds the page's running text."""
-        wanted = HELD * self.totals[0]
-        mains = [k for k in range(len(self.tags)) if self.main[k] and self.furniture[k] <= self.limit and self.totals[k] and self.totals[k] >= wanted]
-        if mains:
-            return min(mains, key=lambda k: (self.totals[k], -k))
-        inside: dict[int, list[int]] = {}
-        for k in range(1, len(self.tags)):
-            if self.tags[k] in CONTAINERS and self.totals[k]:
-                inside.setdefault(self._outer(k), []).append(k)
-        at = 0
-        while True:
-            next_ = max(inside.get(at, []), key=lambda k: self.totals[k], default=None)
-            if next_ is None or self.totals[next_] < GATHERED * max(self.totals[at], 1):
-                return at
-            at = next_
-
-    def _outer(self, at: int) -> int:
-        at = self.parents[at]
+        """The lowest element that holds all of the page's running text."""
+        holding = [k for k in range(len(self.tags)) if (self.tags[k] in CONTAINERS or self.main[k]) and self.totals[k] == self.totals[0]]
+        return holding[-1] if self.totals[0] else 0  # each holds the next, as they hold the same text
+
+    def _heading(self, at: int) -> bool:
         while at > 0 and self.tags[at] not in CONTAINERS:
+            if self.tags[at] in HEADINGS:
+                return True
             at = self.parents[at]
-        return at
+        return False
 
     def text(self, winning: str | None) -> str:
         """The blocks below the winning path, or below the page's own container."""
@@ -230,7 +223,7 @@ class Page:
                 if (k == 0 or before >= 0) and before + 1 < len(steps) and steps[before + 1] == label:
                     along[k] = before + 1
             matched = {k for k, step in enumerate(along) if step == len(steps) - 1}
-            if matched and sum(self.totals[k] for k in matched) >= 0.5 * self.totals[own]:
+            if matched and sum(self.totals[k] for k in matched) >= self.totals[own]:
                 chosen = matched
         inside = [False] * len(self.tags)
         for k in range(len(self.tags)):
