@@ -236,6 +236,22 @@ def test_rare_domains_reach_their_targets(spark):
         assert (np.abs(got - ideal) <= 0.02 * wanted + 1e-6).all()
 
 
+def test_labels_of_documents_at_hand_are_learned(spark):
+    text = {"good": "abcdef", "poor": "uvwxyz"}
+    domain = {k: "poor" if k % 100 == 0 else "good" for k in range(3000)}
+    labels = spark.createDataFrame(list(domain.items()), "doc_id long, domain string")
+    docs = spark.createDataFrame([(k, words(k, 20, text[d])) for k, d in domain.items() if k % 10 == 0], "doc_id long, text string")
+    counts = mixing.quotas({"good": 270, "poor": 30}, 60)
+    assert counts == {"poor": 30, "good": 30} and mixing.quotas({"good": 270, "poor": 3}, 60) == {"poor": 3, "good": 57}
+    model = mixing.learn(docs, labels, ["good", "poor"], labelled=60)
+    assert np.allclose(model.prior, [0.9 / 0.5, 0.1 / 0.5])  # 30 texts of each were learned from
+    judged = {r.id: r.steps for r in mixing.posteriors(docs, model).collect()}
+    assert all((s[1] > 50) == (domain[k] == "poor") for k, s in judged.items())
+    unlabelled = docs.filter("doc_id % 100 != 0")
+    for some in (labels.filter("doc_id < 0"), labels):
+        assert mixing.mix(unlabelled, some, {"poor": 0.5, "good": 0.5}).count() == unlabelled.count()
+
+
 def brute_links(vectors):
     unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
     close = unit @ unit.T >= 0.9

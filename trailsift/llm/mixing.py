@@ -12,8 +12,11 @@ Targets are shares of a budget of tokens.  Without a given budget it is the larg
 there is; by default that is every domain.  What the budget asks of another domain ends at the tokens it has, so a scarce domain that is
 not kept stays below its share and costs the kept ones nothing.
 
-Defined results: a null text has no tokens and the posterior of the empty text; without usable labels every posterior is even;
-labels of a document that disagree, or with nulls, are not learned from; an empty table gives an empty result; repeated rows share
+A bounded number of labelled texts per domain is drawn among the documents at hand; a domain that has fewer leaves its part to the others.
+Posteriors are then weighted back to the shares that the domains have among all labelled documents at hand.
+
+Defined results: a null text has no tokens and the posterior of the empty text; without usable labels every posterior is even; if fewer
+than two domains have labelled documents nothing can be told apart, so all rates are 1 and documents pass through unchanged; labels of a document that disagree, or with nulls, are not learned from; an empty table gives an empty result; repeated rows share
 their rate and draw; other columns pass through ``mix`` untouched.
 """
 
@@ -22,6 +25,7 @@ from __future__ import annotations
 import warnings
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +37,7 @@ from trailsift.llm.common import place_of, positional, stored, text_batches, tex
 from trailsift.llm.grams import DIMS, presence
 
 LENGTHS = (1, 2, 3, 5)
-LABELLED = 1_000  # bound of the labelled texts learned from
+LABELLED = 1_000  # bound of the labelled texts learned from, dealt evenly over the domains
 STEPS = 100  # posteriors are multiples of 1 / STEPS
 RIDGES = (0.01, 0.03, 0.1, 0.3, 1.0)  # tried by the classifier
 SHARPNESS = (2.0, 4.0, 6.0, 8.0, 12.0)
@@ -49,9 +53,12 @@ class Classifier:
     weights: np.ndarray  # features x domains
     bias: np.ndarray
     sharpness: float
+    prior: np.ndarray  # share of each domain among the labels, over its share among the texts learned from
+    learned: bool  # are there labelled texts of two domains or more?
 
     def posterior(self, rows: np.ndarray) -> np.ndarray:
-        return _softmax((_scaled(rows) @ self.weights + self.bias) * self.sharpness)
+        share = _softmax((_scaled(rows) @ self.weights + self.bias) * self.sharpness) * self.prior
+        return share / share.sum(1, keepdims=True)
 
 
 def _scaled(rows: np.ndarray) -> np.ndarray:
@@ -63,13 +70,13 @@ def _softmax(margins: np.ndarray) -> np.ndarray:
     return share / share.sum(1, keepdims=True)
 
 
-def fit(texts: list[bytes], labels: list[str], domains: Sequence[str]) -> Classifier:
-    """``texts`` are packed presence rows.
+def fit(texts: list[bytes], labels: list[str], domains: Sequence[str], counts: dict[str, int] | None = None) -> Classifier:
+    """``texts`` are packed presence rows; ``counts`` are the labelled documents they were drawn from, by domain.
 
     The ridge and the sharpness of the softmax are those with the best likelihood when each text is left out of its own prediction.
     """
     if not texts:
-        return Classifier(list(domains), np.zeros((DIMS, len(domains)), np.float32), np.zeros(len(domains), np.float32), 1.0)
+        return Classifier(list(domains), np.zeros((DIMS, len(domains)), np.float32), np.zeros(len(domains), np.float32), 1.0, np.ones(len(domains)), False)
     rows = np.unpackbits(np.frombuffer(b"".join(texts), np.uint8).reshape(len(texts), -1), axis=1).astype(np.float32)
     # In place: this is the largest array of the driver, LABELLED rows of DIMS numbers.
     rows /= np.sqrt(np.maximum(rows.sum(1), 1))[:, None]
@@ -88,7 +95,9 @@ def fit(texts: list[bytes], labels: list[str], domains: Sequence[str]) -> Classi
             best = min(best, (loss, duals, sharpness), key=lambda found: found[0])
     _, duals, sharpness = best
     weights = (rows.T @ duals).astype(np.float32)
-    return Classifier(list(domains), weights, (shares - centre @ weights).astype(np.float32), sharpness)
+    among = np.array([(counts or {}).get(d, 0) for d in domains], float)
+    prior = np.where((among > 0) & (shares > 0), among / max(among.sum(), 1) / np.maximum(shares, 1e-12), 1.0)
+    return Classifier(list(domains), weights, (shares - centre @ weights).astype(np.float32), sharpness, prior, bool((shares > 0).sum() > 1))
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,16 +106,30 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch["draw"], batch["domain"], pa.array([r.tobytes() for r in rows], pa.binary())], ["draw", "domain", "grams"])
 
 
+def quotas(counts: dict[str, int], bound: int) -> dict[str, int]:
+    """An even part of the bound for each domain; what small ones leave goes to the others."""
+    out: dict[str, int] = {}
+    for n, domain in enumerate(sorted(counts, key=lambda d: (counts[d], d))):
+        out[domain] = min(counts[domain], (bound - sum(out.values())) // (len(counts) - n))
+    return out
+
+
 def learn(docs: DataFrame, labels: DataFrame, domains: Sequence[str], id_col: str = "doc_id", text_col: str = "text", labelled: int = LABELLED) -> Classifier:
     """Fit on a bounded sample of the labelled documents.  ``labels`` has the id column and ``domain``."""
     text_batches(docs.sparkSession)
     agreed = labels.filter(F.col("domain").isin(*domains)).groupBy(id_col).agg(F.min("domain").alias("domain"), F.max("domain").alias("last"))
     agreed = agreed.filter((F.col("domain") == F.col("last")) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), "domain")
-    drawn = agreed.withColumn("draw", F.xxhash64("id", F.lit("label"))).orderBy("draw", "id").limit(labelled)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(drawn), "id")
+    # Only labels of documents at hand count, and each once, however often its document is repeated.
+    held = stored(agreed.join(docs.select(F.col(id_col).alias("id")), "id", "left_semi"), "labels-at-hand")
+    counts = {r.domain: r.n for r in held.groupBy("domain").agg(F.count("*").alias("n")).collect()}
+    if not counts:
+        return fit([], [], domains)
+    drawn = held.withColumn("draw", F.xxhash64("id", F.lit("label")))
+    parts = [drawn.filter(F.col("domain") == d).orderBy("draw", "id").limit(n) for d, n in quotas(counts, labelled).items() if n]
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(reduce(DataFrame.union, parts)), "id")
     rows = texts.select("draw", "domain", "text").mapInArrow(_packed, "draw long, domain string, grams binary")
-    kept = rows.orderBy("draw", "domain", "grams").limit(labelled).collect()
-    return fit([bytes(r.grams) for r in kept], [r.domain for r in kept], domains)
+    kept = rows.groupBy("draw", "domain").agg(F.min("grams").alias("grams")).orderBy("draw", "domain").collect()
+    return fit([bytes(r.grams) for r in kept], [r.domain for r in kept], domains, counts)
 
 
 def _draw(own: Column, text: Column) -> Column:
@@ -214,10 +237,15 @@ def fit_rates(judged: DataFrame, targets: Sequence[float], budget: float | None
     return rates
 
 
+def _rates(judged: DataFrame, model: Classifier, targets: dict[str, float], kept: Sequence[str]) -> Rates:
+    return fit_rates(judged, list(targets.values()), kept=[list(targets).index(d) for d in kept]) if model.learned else Rates([], 1.0)
+
+
 def report(docs: DataFrame, labels: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", kept: Sequence[str] = ()) -> DataFrame:
     """Per document: id, tokens, posterior steps, rate and copies."""
-    judged = stored(posteriors(docs, learn(docs, labels, list(targets), id_col, text_col), id_col, text_col), "posteriors")
-    rated = judged.withColumn("rate", fit_rates(judged, list(targets.values()), kept=[list(targets).index(d) for d in kept]).column())
+    model = learn(docs, labels, list(targets), id_col, text_col)
+    judged = stored(posteriors(docs, model, id_col, text_col), "posteriors")
+    rated = judged.withColumn("rate", _rates(judged, model, targets, kept).column())
     copies = F.floor("rate") + F.when(F.col("draw") < F.col("rate") - F.floor("rate"), 1).otherwise(0)
     return rated.withColumn("copies", copies.cast("int"))
 
@@ -225,7 +253,9 @@ def report(docs: DataFrame, labels: DataFrame, targets: dict[str, float], id_col
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", kept: Sequence[str] = ()) -> DataFrame:
     """The documents as often as their rate says, with all their columns."""
     model = learn(docs, labels, list(targets), id_col, text_col)
-    rates = fit_rates(posteriors(docs, model, id_col, text_col), list(targets.values()), kept=[list(targets).index(d) for d in kept])
+    if not model.learned:
+        return docs
+    rates = _rates(posteriors(docs, model, id_col, text_col), model, targets, kept)
     at = docs.columns.index(text_col)
     renamed = positional(docs)
     schema, names = renamed.schema, renamed.columns
