@@ -54,6 +54,16 @@ def test_overfull_ranges_are_subdivided(spark):
     assert placed.select("shard", "slot").distinct().count() == 6000
 
 
+def test_long_texts_and_repeats_keep_the_key_order(spark):
+    rows = [(k, words(k, 20)) for k in range(3000)] + [(5000, words(1, 20_000)), (5001, words(2, 9_000))] + [(7, "copy " * 50)] * 300
+    rows += [(6000 + k, "same text") for k in range(500)]
+    placed = {}
+    for r in sharding.place(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), 8).collect():
+        placed.setdefault((r.shard, r.slot), r.id)
+    order = sorted(rows, key=lambda r: (int(hashlib.md5(r[1].encode()).hexdigest()[:15], 16), r[0]))
+    assert len(placed) == len(rows) and [placed[k] for k in sorted(placed)] == [r[0] for r in order]
+
+
 def test_languages_of_held_out_documents(spark):
     sf = "/root/testdata/sf0.01"
     lang = dict(duckdb.sql(f"SELECT doc_id, lang FROM '{sf}/documents.parquet'").fetchall())

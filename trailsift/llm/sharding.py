@@ -2,7 +2,8 @@
 
 The key of a record is (hash of its text, id), so equal texts lie side by side.  A size-weighted sample of keys, bounded by a parameter,
 gives quantile boundaries of many fine ranges.  The bytes of each range are then counted exactly; a range that the sample misjudged,
-or that repeated rows overfill, is subdivided.  Running sums inside the ranges plus the exact start of each range place every record
+or that repeated rows or a long text overfill, is subdivided by key: keys with more than the mean bytes get a range of their own, and more
+splitters are drawn between them.  Only rows of one and the same key are dealt by their row id.  Running sums inside the ranges plus the exact start of each range place every record
 at its byte offset of the whole, and equal steps of that offset are the shards.  Only narrow rows (key, size, id) are shuffled.
 
 Defined results: a null text has 0 bytes and the checksum of the empty text; null ids sort first; repeated rows lie side by side;
@@ -12,6 +13,7 @@ an empty table gives an empty result; other columns are never looked at.
 from __future__ import annotations
 
 from bisect import bisect_right
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -73,6 +75,38 @@ def range_of(rows: DataFrame, cuts: list[tuple[int, int]]) -> DataFrame:
     return keyed.withColumn("range", F.col("first") + before).drop("bucket", "first", "cuts")
 
 
+def _before(key: tuple[int, int]) -> tuple[int, int]:
+    return (key[0], key[1] - 1) if key[1] > NO_ID else (key[0] - 1, 2**63 - 1)
+
+
+def subdivide(rows: DataFrame, cuts: list[tuple[int, int]], mean: float, step: float) -> tuple[DataFrame, dict[int, int]]:
+    """(rows with their range; bytes of the overfull ranges, each of which holds one key).  ``step``: bytes for each key drawn."""
+    heavy: set[tuple[int, int]] = set()
+    for turn in count():
+        ranged = range_of(rows, cuts)
+        single = {k for k, c in enumerate(cuts) if c in heavy}
+        full = {r.range: r.bytes for r in ranged.groupBy("range").agg(F.sum("size").alias("bytes")).collect() if r.bytes > OVERFULL * mean}
+        mixed = [(k,) for k in full if k not in single]
+        if not mixed:
+            return ranged, full
+        inside = ranged.join(F.broadcast(rows.sparkSession.createDataFrame(mixed, "range int")), "range")
+        # At most one key for each mean of the bytes, so a bounded number comes to the driver.
+        keys = inside.groupBy("hash", "second").agg(F.sum("size").alias("bytes")).filter(F.col("bytes") > mean).select("hash", "second").collect()
+        found = {tuple(k) for k in keys}
+        draw = F.pmod(F.xxhash64("rid", F.lit(f"splitter-{turn}")), F.lit(2**52)) / F.lit(float(2**52))
+        drawn = inside.filter(draw < F.col("size") / F.lit(step)).select("range", "hash", "second", F.greatest("size", F.lit(step)).alias("weight")).collect()
+        more, reached, at = [], 0.0, None
+        for r in sorted(drawn, key=lambda r: (r.hash, r.second)):
+            reached = reached if r.range == at else 0.0
+            at = r.range
+            reached += 0 if (r.hash, r.second) in found else r.weight
+            if reached >= mean:
+                more.append((r.hash, r.second))
+                reached = 0.0
+        heavy |= found
+        cuts = sorted({*cuts, *more, *found, *map(_before, found)})
+
+
 def _offsets(counted: list, start: dict) -> list[tuple]:
     out, at, seen = [], 0, 0
     for r in sorted(counted, key=lambda r: (r.range, r.piece)):
@@ -89,10 +123,9 @@ def place(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_co
     total = rows.agg(F.sum("size")).first()[0]
     if total is None:
         return rows.select("id", "size", "text_crc32", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"), F.lit(0).alias("range"))
-    ranged = range_of(rows, splitters(rows, total, shards * RANGES_PER_SHARD))
     mean = total / (shards * RANGES_PER_SHARD)
-    # A bounded number of ranges comes to the driver: their exact bytes, and from them the pieces of those that are too full.
-    pieces = [(r.range, int(r.bytes // mean) + 1) for r in ranged.groupBy("range").agg(F.sum("size").alias("bytes")).collect() if r.bytes > OVERFULL * mean]
+    ranged, full = subdivide(rows, splitters(rows, total, shards * RANGES_PER_SHARD), mean, total / SAMPLE_KEYS)
+    pieces = [(k, int(size // mean) + 1) for k, size in full.items()]
     divided = F.broadcast(spark.createDataFrame(pieces, "range int, pieces int"))
     pieced = ranged.join(divided, "range", "left").withColumn("piece", F.coalesce(F.pmod(F.xxhash64("rid"), F.col("pieces")).cast("int"), F.lit(0)))
     pieced = stored(pieced.drop("pieces"), "shard-ranges") if pieces else pieced.drop("pieces")
