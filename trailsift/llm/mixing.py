@@ -1,12 +1,14 @@
 """Mixing to target weights: posteriors of a classifier, and rates fitted by projected gradient.
 
 A classifier learned from a bounded sample of the label table gives every document its posterior over the domains, rounded to
-``1 / STEPS``.  Documents of one posterior get one rate, so tokens are first summed by posterior.  The rates minimise the squared
-distance between the expected tokens of each domain and its target, over the tokens the domain has, within [0, ``most``]; steps carry
-momentum; each is one Spark aggregate over the posterior table, and only a handful of numbers reaches the driver.  They end when the gap
-to the least distance, which the gradient bounds, shows every domain to be within ``CLOSE`` of where the best rates bring it; a warning
-says so if ``ROUNDS`` steps did not reach that.  A document is then taken ``floor(rate)`` times, and once more with a chance of the rest
-that depends on its id and text alone.
+``1 / STEPS``.  Documents of one posterior get one rate, so tokens are first summed by posterior.  The rates, within [0, ``most``],
+minimise the squared distance between the expected tokens of each domain and its target, over the tokens the domain has, plus ``NEAR``
+times the squared distance of the rates from 1, which settles what the targets leave open.  The fit is a projected gradient: rates start
+at 1, move along the gradient summed over the rounds, and are projected on [0, ``most``].  The gradient is scaled by the second moments of
+the posteriors whose rates are still free, so about ten rounds suffice.  A round is one Spark aggregate over the posterior table that
+weighs a dozen steps at once, always with the same plan; a handful of numbers reaches the driver.  Should ``ROUNDS`` rounds not bring
+every domain to within ``CLOSE`` of where the best rates bring it, a warning and the column ``fit_gap`` of the report say so.  A document
+is then taken ``floor(rate)`` times, and once more with a chance of the rest that depends on its id and text alone.
 
 Targets are shares of a budget of tokens.  Without a given budget it is the largest one that asks of no domain to be ``kept`` more than
 there is; by default that is every domain.  What the budget asks of another domain ends at the tokens it has, so a scarce domain that is
@@ -16,12 +18,14 @@ A bounded number of labelled texts per domain is drawn among the documents at ha
 Posteriors are then weighted back to the shares that the domains have among all labelled documents at hand.
 
 Defined results: a null text has no tokens and the posterior of the empty text; without usable labels every posterior is even; if fewer
-than two domains have labelled documents nothing can be told apart, so all rates are 1 and documents pass through unchanged; labels of a document that disagree, or with nulls, are not learned from; an empty table gives an empty result; repeated rows share
-their rate and draw; other columns pass through ``mix`` untouched.
+than two domains have labelled documents nothing can be told apart, so all rates are 1 and documents pass through unchanged; labels
+of a document that disagree, or with nulls, are not learned from; an empty table gives an empty result; repeated rows share their rate
+and draw; a very long text is read whole, as one row of one task; other columns pass through ``mix`` untouched.
 """
 
 from __future__ import annotations
 
+import json
 import warnings
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -41,8 +45,11 @@ LABELLED = 1_000  # bound of the labelled texts learned from, dealt evenly over
 STEPS = 100  # posteriors are multiples of 1 / STEPS
 RIDGES = (0.01, 0.03, 0.1, 0.3, 1.0)  # tried by the classifier
 SHARPNESS = (2.0, 4.0, 6.0, 8.0, 12.0)
-ROUNDS = 400  # bound of the projected gradient steps
-CLOSE = 0.02  # of each domain's expected tokens to those of the best rates, as a share of its target
+ROUNDS = 30  # bound of the projected gradient rounds
+CLOSE = 0.001  # of each domain's expected tokens to those of the best rates, as a share of its target
+NEAR = 3e-4  # weight of staying near a rate of 1
+DAMPED = (0.0, 0.01, 0.1, 1.0)  # parts of the supply added to the second moments: at 1 a step is safe whatever the posteriors
+LENGTHS_TRIED = (1.0, 0.5, 0.25)
 
 
 @dataclass
@@ -162,90 +169,85 @@ def _in_steps(posterior: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Rates:
-    """The rate of a posterior: the steps taken determine it.  A step is its momentum and the gradient of each domain."""
+    """The rate of a posterior: from 1 along the summed gradient of the domains, projected on [0, ``most``]."""
 
-    steps: list[tuple[float, list[float]]]
+    slope: list[float]
     most: float
+    left: float = 0.0  # largest gap of a domain that the fit left, as a share of its target
 
-    def states(self) -> Column:
-        """The rate, and the one before the last step."""
-        kind = "struct<momentum: double, gradient: array<double>>"
-        taken = F.array(*(F.struct(F.lit(m).alias("momentum"), F.array(*map(F.lit, g)).alias("gradient")) for m, g in self.steps))
-        along = lambda g: F.aggregate(F.zip_with("steps", g, lambda p, x: p * x), F.lit(0.0), lambda a, x: a + x) / F.lit(float(STEPS))
+    def column(self) -> Column:
+        along = reduce(lambda a, b: a + b, (F.col("steps")[i] * F.lit(x) for i, x in enumerate(self.slope)))
+        return F.least(F.lit(self.most), F.greatest(F.lit(0.0), 1 - along / F.lit(float(STEPS))))
 
-        def step(s: Column, taken: Column) -> Column:
-            ahead = s["rate"] + taken["momentum"] * (s["rate"] - s["before"])
-            rate = F.least(F.lit(self.most), F.greatest(F.lit(0.0), ahead - along(taken["gradient"])))
-            return F.struct(rate.alias("rate"), s["rate"].alias("before"))
+    def of(self, steps: np.ndarray) -> np.ndarray:
+        return np.clip(1 - steps @ np.array(self.slope) / STEPS, 0.0, self.most)
 
-        return F.aggregate(taken.cast(f"array<{kind}>"), F.struct(F.lit(1.0).alias("rate"), F.lit(1.0).alias("before")), step)
 
-    def column(self) -> Column:
-        return self.states()["rate"]
+def _evaluated(cells: DataFrame, slopes: np.ndarray, most: float) -> list[tuple[np.ndarray, float, np.ndarray]]:
+    """For each of the slopes: expected tokens by domain, the potential of the rates, and the second moments of the posteriors free to move.
 
-    def of(self, steps: np.ndarray) -> np.ndarray:
-        rate = before = np.ones(len(steps))
-        for momentum, gradient in self.steps:
-            ahead = rate + momentum * (rate - before)
-            rate, before = np.clip(ahead - steps @ np.array(gradient) / STEPS, 0.0, self.most), rate
-        return rate
+    One aggregate over the posterior table.  The slopes travel as one literal, so every round has the same plan and the same compiled code.
+    """
+    k = slopes.shape[1]
+    given = F.from_json(F.lit(json.dumps(slopes.tolist())), T.ArrayType(T.ArrayType(T.DoubleType())))
+    share = [F.col("steps")[i] / F.lit(float(STEPS)) for i in range(k)]
+    along = reduce(lambda a, b: a + b, (s * F.col("slope")[i] for i, s in enumerate(share)))
+    tokens, rate, at, top = F.col("tokens"), F.col("rate"), F.col("at"), F.lit(most)
+    potential = F.when(at < 0, 0.0).when(at > top, top * at - top * top / 2).otherwise(at * at / 2)
+    free = F.when((at >= 0) & (at <= top), tokens).otherwise(F.lit(0))
+    moments = [F.sum(free * share[i] * share[j]).alias(f"m{i}_{j}") for i in range(k) for j in range(i + 1)]
+    placed = cells.select("tokens", "steps", F.posexplode(given).alias("n", "slope")).withColumn("at", 1 - along).withColumn("rate", F.least(top, F.greatest(F.lit(0.0), at)))
+    rows = placed.groupBy("n").agg(F.sum(tokens * potential).alias("potential"), *(F.sum(tokens * rate * s).alias(f"s{i}") for i, s in enumerate(share)), *moments).collect()
+    full = lambda r: np.array([[r[f"m{max(i, j)}_{min(i, j)}"] for j in range(k)] for i in range(k)], float)
+    return [(np.array([r[f"s{i}"] for i in range(k)]), r["potential"], full(r)) for r in sorted(rows, key=lambda r: r["n"])]
 
 
 def fit_rates(judged: DataFrame, targets: Sequence[float], budget: float | None = None, most: float = 1.0, kept: Sequence[int] = ()) -> Rates:
     """``targets`` are weights of the domains, in the order of the classifier; ``kept`` are the places of those that set the budget."""
-    cells = stored(judged.groupBy("steps").agg(F.sum("tokens").alias("tokens")), "posterior-tokens")
+    cells = stored(judged.groupBy("steps").agg(F.sum("tokens").alias("tokens")).filter("tokens > 0"), "posterior-tokens")
     k = len(targets)
-    share = [F.col("steps")[i] / F.lit(float(STEPS)) for i in range(k)]
-    sums = [F.sum(F.col("tokens") * s).alias(f"s{i}") for i, s in enumerate(share)]
-    first = cells.agg(F.sum("tokens").alias("all"), *sums).first()
-    rates = Rates([], most)
-    if not first["all"]:
-        return rates
-    supply = np.array([first[f"s{i}"] for i in range(k)])
+    slope = np.zeros(k)
+    first = _evaluated(cells, slope[None, :], most)
+    if not first:
+        return Rates(slope.tolist(), most)
+    supply, potential, moments = first[0]
+    supply = supply / min(most, 1.0)
     weights = np.array(targets, float) / sum(targets)
     if budget is None:
         asking = [i for i in range(k) if weights[i] > 0 and supply[i] > 0]
         budget = min((supply[i] / weights[i] for i in [i for i in asking if i in kept] or asking), default=0.0)
     wanted = np.minimum(budget * weights, supply * most)
-    # Over the tokens of its domain, a step of 1 is safe whatever the posteriors, and takes pure domains to their targets at once.
     scale = np.where(supply > 0, supply, 1.0)
-    needed = min((0.5 * (CLOSE * wanted[i]) ** 2 / scale[i] for i in range(k) if wanted[i] > 0), default=0.0)
-    slope = np.zeros(k)  # at the rates before the last step
-    got_before, turn, gap = supply, 1.0, np.inf
-    for n in range(ROUNDS + 2):
-        state = cells.withColumn("state", rates.states())
-        # How far the distance may still fall from the rates before, at most: each rate moves to the bound its gradient leads to.
-        g = sum(s * F.lit(float(x)) for s, x in zip(share, slope, strict=True))
-        bound = F.sum(F.col("tokens") * F.greatest(g * F.col("state.before"), g * (F.col("state.before") - F.lit(most)))).alias("gap")
-        row = state.agg(bound, *(F.sum(F.col("tokens") * s * F.col("state.rate")).alias(f"s{i}") for i, s in enumerate(share))).first()
-        if n:
-            gap = row["gap"]
-            if gap <= needed or n > ROUNDS:
-                rates.steps.pop()  # those before it are shown to be good
-                break
-        got = np.array([row[f"s{i}"] for i in range(k)])
-        slope = (got - wanted) / scale
-        # Momentum starts anew when it leads uphill.
-        turn = 1.0 if slope @ (got - got_before) > 0 else turn
-        following = (1 + (1 + 4 * turn * turn) ** 0.5) / 2
-        momentum = (turn - 1) / following
-        ahead = got + momentum * (got - got_before)
-        rates.steps.append((float(momentum), ((ahead - wanted) / scale).tolist()))
-        got_before, turn = got, following
-    if gap > needed:
-        warnings.warn(f"mixing: {len(rates.steps)} steps leave a gap of {gap:.3g} to the best rates, {needed:.3g} was asked for", stacklevel=2)
-    return rates
+    counts = np.maximum(wanted, CLOSE * supply.sum())
+    got = supply * min(most, 1.0)
+    for _ in range(ROUNDS):
+        gradient = got - wanted - NEAR * scale * slope
+        if (np.abs(gradient) <= CLOSE * counts).all():
+            break
+        directions = [np.linalg.solve(moments + np.diag(max(NEAR, damped) * scale), gradient) for damped in DAMPED]
+        tried = np.array([slope + length * d for d in directions for length in LENGTHS_TRIED])
+        found = _evaluated(cells, tried, most)
+        # The least potential: the rates minimise distance and potential together, so it falls from round to round.
+        value = [p + wanted @ x + NEAR / 2 * (scale * x * x).sum() for x, (_, p, _) in zip(tried, found, strict=True)]
+        n = int(np.argmin(value))
+        slope, (got, potential, moments) = tried[n], found[n]
+    gradient = got - wanted - NEAR * scale * slope
+    left = float((np.abs(gradient) / counts).max())
+    if left > CLOSE:
+        warnings.warn(f"mixing: {ROUNDS} rounds leave a domain {left:.3g} of its target away from the best rates", stacklevel=2)
+    return Rates(slope.tolist(), most, left)
 
 
 def _rates(judged: DataFrame, model: Classifier, targets: dict[str, float], kept: Sequence[str]) -> Rates:
-    return fit_rates(judged, list(targets.values()), kept=[list(targets).index(d) for d in kept]) if model.learned else Rates([], 1.0)
+    return fit_rates(judged, list(targets.values()), kept=[list(targets).index(d) for d in kept]) if model.learned else Rates([0.0] * len(targets), 1.0)
 
 
 def report(docs: DataFrame, labels: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", kept: Sequence[str] = ()) -> DataFrame:
-    """Per document: id, tokens, posterior steps, rate and copies."""
+    """Per document: id, tokens, posterior steps, rate, copies, and the gap that the fit left (0 to ``CLOSE`` unless it ended early)."""
     model = learn(docs, labels, list(targets), id_col, text_col)
     judged = stored(posteriors(docs, model, id_col, text_col), "posteriors")
-    rated = judged.withColumn("rate", _rates(judged, model, targets, kept).column())
+    rates = _rates(judged, model, targets, kept)
+    rated = judged.withColumn("rate", rates.column()).withColumn("fit_gap", F.lit(rates.left))
     copies = F.floor("rate") + F.when(F.col("draw") < F.col("rate") - F.floor("rate"), 1).otherwise(0)
     return rated.withColumn("copies", copies.cast("int"))
 
