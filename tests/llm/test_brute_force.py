@@ -14,7 +14,8 @@ import tiktoken
 
 import public_tokenizers
 from tests.llm.data import words
-from trailsift.llm import byte_bpe, embedding_dedup, exact_dedup, html_extract, mixing, order_minhash, secrets, sharding, suffix_dedup
+from trailsift.llm import byte_bpe, embedding_dedup, exact_dedup, html_extract, language_id, mixing, order_minhash, secrets, sharding, suffix_dedup
+from trailsift.llm import grams as grams_of
 from trailsift.llm.components import components
 from trailsift.llm.queries import QUERIES
 from trailsift.session import tune
@@ -73,6 +74,28 @@ def test_languages_of_held_out_documents(spark):
     assert len(right) > 100 and sum(right) / len(right) > 0.98
 
 
+def test_languages_are_those_of_a_plain_kernel_ridge(documents):
+    def grams(text):
+        letters = " " + " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split()) + " "
+        return {letters[i : i + n] for n in language_id.LENGTHS for i in range(len(letters) - n + 1)}
+
+    known = [d for d in sorted(documents) if documents[d][0].strip() and documents[d][1]][:80]
+    learned = [d for d in known if d % 3]
+    sets = {d: grams(documents[d][0]) for d in known}
+    alike = lambda a, b: len(sets[a] & sets[b]) / (len(sets[a]) * len(sets[b])) ** 0.5
+    names = sorted({documents[d][1] for d in learned})
+    signs = np.array([[1.0 if documents[d][1] == name else -1.0 for name in names] for d in learned])
+    count = Counter(documents[d][1] for d in learned)
+    penalty = np.diag([language_id.RIDGE * count[documents[d][1]] for d in learned])
+    duals = np.linalg.solve(np.array([[alike(a, b) for b in learned] for a in learned]) + penalty, signs)
+    plain = [names[int(np.argmax(np.array([alike(d, x) for x in learned]) @ duals))] for d in known]
+    packed = {d: np.packbits(grams_of.presence([documents[d][0]], language_id.LENGTHS, True), axis=1)[0].tobytes() for d in known}
+    model = language_id.fit([(documents[d][1], packed[d]) for d in learned], landmarks=len(names) * len(learned))
+    marks = language_id._unpacked(model.landmarks).astype(np.float32).T
+    margins = language_id.kernel(np.concatenate([language_id._unpacked(packed[d]) for d in known]), marks, marks.sum(0)) @ model.weights
+    assert len(names) > 1 and [model.languages[k] for k in margins.argmax(1)] == plain
+
+
 def test_near_copies_are_all_links(spark, documents):
     group = {r.doc_id: r.group_id for r in run(spark, "op3_order_minhash")}
     labels = {d: order_minhash.labels_of(" ".join(re.split(r"[\x09-\x0D ]+", t.lower().strip("\t\n\v\f\r ")))) for d, (t, _) in documents.items()}
@@ -382,6 +405,32 @@ def test_headings_and_leads_outside_the_body_stay():
             assert [b for b in blocks if b not in ("Home", "Go")] == want
 
 
+BODY = "Body text of the post. " * 8
+COMMENT = "<p>" + "A reader says a lot about it. " * 40 + "</p>"
+
+
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        (f"<article><header class='entry-header'><h1>Title</h1></header><p>{BODY}</article>", ["Title", BODY]),
+        (f"<article><div class='entry-header'><h1>Title</h1><p>Lead.</p></div><p>{BODY}</article>", ["Title", "Lead.", BODY]),
+        (f"<header><h1>Site</h1></header><div class='post'><header><h1>Title</h1></header><p>{BODY}</div><footer>End</footer>", ["Title", BODY]),
+        (f"<div class='post'><header><h2>Title</h2><p>Lead.</header><div class='body'><p>{BODY}</div></div>", ["Title", "Lead.", BODY]),
+        (f"<div id='page'><header><h1>Site</h1></header><nav><a href='/'>Home</a></nav><div class='post'><p>{BODY}</div></div>", [BODY]),
+        (f"<div class='site-header'><h1>Site</h1></div><div class='post'><p>{BODY}</div>", [BODY]),
+        (f"<div class='post'><p>Short post.</div><div class='comments'>{COMMENT}</div>", ["Short post."]),
+        (f"<div class='post'><p>Short post.</div><div id='comments-area'><article>{COMMENT}</article></div>", ["Short post."]),
+        (f"<article><p class='social'>{BODY}<div class='search-results'><p>Found.</div></article>", [BODY, "Found."]),
+        (f"<ul class='menu'><li>Menu words</ul><article class='post has-sidebar'><h1>T</h1><p>{BODY}</article><div class='post-comments'>{COMMENT}</div>", ["T", BODY]),
+        (f"<div class='sidebar'><article><p>{BODY}</article></div>", [BODY]),
+        (f"<article><p>{BODY}<p class='ad'>Buy</p><div class='cookie-notice'>Cookies</div><div class='related-posts'><p>More</p></div></article>", [BODY]),
+        (f"<div class='comments'>{COMMENT}</div><footer>End</footer>", []),
+    ],
+)
+def test_titles_stay_and_comments_go(html, want):
+    assert html_extract.Page(html).text(None) == "\n\n".join(" ".join(b.split()) for b in want)
+
+
 def test_deep_pages():
     for html in ("<b>" * 20_000 + "x", "<div>" * 20_000 + "x", "</p>" * 1000 + "<" * 1000 + "x", "<p " + "a='" * 500):
         html_extract.Page(html).text(None)

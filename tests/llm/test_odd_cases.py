@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from tests.llm.data import frame, odd_rows
+from tests.llm.data import frame, odd_rows, words
 from trailsift.llm import byte_bpe, embedding_dedup, exact_dedup, html_extract, language_id, mixing, order_minhash, secrets, sharding, suffix_dedup
 
 TARGETS = {"good": 0.8, "poor": 0.2}
@@ -81,6 +81,23 @@ def test_language(spark):
 def test_nothing_to_learn(spark):
     rows = [(i, t, None, s) for i, t, _, s in odd_rows()]
     assert {(r.lang_pred, r.score) for r in language_id.identify(frame(spark, rows)).collect()} == {("und", 0.0)}
+    assert language_id.known_language(frame(spark, rows), 0.3).count() == len(rows)
+
+
+def test_letters_of_all_planes(spark):
+    astral = {50: ("\U0001f600\U0001f600", False), 51: ("\U0001d7d8 \U0001f1e9", False), 52: ("\U00010400\U00010401", True), 53: ("\U00020000", True)}
+    rows = odd_rows() + [(k, t, None, "s") for k, (t, _) in astral.items()]
+    found = {r.id: r.lang_pred for r in language_id.identify(frame(spark, rows), per_language=5).collect()}
+    assert all((found[k] != "und") == letter for k, (_, letter) in astral.items())
+
+
+def test_every_language_is_learned(spark):
+    names = [f"l{k}" for k in range(80)]
+    alphabet = [chr(0x3400 + 7 * k) + chr(0x3401 + 7 * k) + chr(0x3402 + 7 * k) for k in range(80)]
+    docs = frame(spark, [(100 * k + n, words(k * 31 + n, 12, alphabet[k]), names[k], "s") for k in range(80) for n in range(12)])
+    found = language_id.identify(docs).collect()
+    assert all(r.lang_pred == names[r.id // 100] for r in found)
+    assert language_id.known_language(docs, 0.3).count() == len(found)
 
 
 def test_exact_copies(spark):

@@ -7,7 +7,8 @@ puts the bytes together in order.  Each worker keeps the words it has used latel
 
 A word of more than ``LONG_WORD`` bytes takes the same contractions from a heap, since a recursive query contracts one pair a round.
 
-Defined results: a null text counts as empty and has no ids; repeated rows each get the full result; other columns are never looked at.
+Defined results: a null text counts as empty and has no ids; repeated rows each get the full result; an empty table gives an
+empty result; other columns are never looked at.
 """
 
 from __future__ import annotations
@@ -27,13 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trailsift.llm.common import text_batches
+from trailsift.llm.common import pieces
 
 LONG_WORD = 256  # bytes
-KEPT_WORDS = 150_000  # words in use after which a task forgets those that were not used since it last did so
+KEPT_WORDS = 400_000  # words in use after which a task forgets those that were not used since it last did so
 ROUND_WORDS = 50_000  # words of one recursive query
 CHUNK_CHARS = 4_000_000  # texts are taken together up to this size; a longer text is taken alone and whole
-BATCH_ROWS = 1_000
 # White space as the tokenizer's own regex engine has it (fixed values).
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -204,7 +204,7 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(ranks, pattern)
-        for batch in batches:
+        for batch in pieces(batches):
             counts, ids, coded, plain = [], [], [], []
             for chunk in _chunks([t or "" for t in batch["text"].to_pylist()]):
                 for joined, decoded in tokenizer.code(chunk):
@@ -216,5 +216,4 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id",
             lists = [pa.array(ids, pa.list_(pa.int32()))] if with_ids else []
             yield pa.RecordBatch.from_arrays([batch["id"], pa.array(counts, pa.int64()), *lists, pa.array(coded, pa.string()), pa.array(plain, pa.string())], schema.names)
 
-    text_batches(docs.sparkSession, BATCH_ROWS)
     return asked.mapInArrow(run, schema)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +13,7 @@ from trailsift.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-# Rows of one Arrow batch.  Texts may be long, so batches are kept short.
+# Rows of an Arrow batch that are worked on together.
 BATCH_ROWS = 500
 
 
@@ -27,9 +28,11 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def text_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Short Arrow batches for columns of whole texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def pieces(batches: Iterable[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+    """Short pieces of Arrow batches, for work that keeps more in memory than a batch; Spark bounds the bytes of a batch itself."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
 
 
 def positional(df: DataFrame) -> DataFrame:

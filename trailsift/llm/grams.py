@@ -12,7 +12,7 @@ DIMS = 2**14
 
 @cache
 def _letters() -> np.ndarray:
-    return np.array([chr(c).isalpha() for c in range(2**16)])
+    return np.array([chr(c).isalpha() for c in range(0x110000)])
 
 
 def code_points(text: str) -> np.ndarray:
@@ -21,7 +21,7 @@ def code_points(text: str) -> np.ndarray:
 
 def only_letters(points: np.ndarray) -> np.ndarray:
     """Letters, with one space for each run of anything else and at both ends."""
-    letter = _letters()[np.minimum(points, 0xFFFF)] | (points > 0xFFFF)
+    letter = _letters()[points]
     if not letter.any():
         return points[:0]
     spaced = np.where(letter, points, 32)

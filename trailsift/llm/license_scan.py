@@ -30,10 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trailsift.llm.common import pieces
+
 RARE = 4
 AGREE = 2
 SLACK = 8
-SLICE_ROWS = 200
 
 # Base phrases and their labels.
 PHRASES = [("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved")]
@@ -158,8 +159,8 @@ def _frequencies(asked: DataFrame, index: Index) -> tuple[int, dict[bytes, int]]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             holding: Counter[bytes] = Counter()
-            for k in range(0, batch.num_rows, SLICE_ROWS):
-                for text in batch["text"].slice(k, SLICE_ROWS).to_pylist():
+            for piece in pieces([batch]):
+                for text in piece["text"].to_pylist():
                     holding.update(index.vocabulary.intersection(words_of(text or b"")))
             yield pa.RecordBatch.from_arrays([pa.array([None, *holding], pa.binary()), pa.array([batch.num_rows, *holding.values()], pa.int64())], ["word", "n"])
 
@@ -182,18 +183,16 @@ def scan(docs: DataFrame, templates: Sequence[Template] = TEMPLATES, phrases: Se
     phrase_words = frozenset(w for phrase, _ in index.phrases for w in phrase)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for k in range(0, whole.num_rows, SLICE_ROWS):
-                batch = whole.slice(k, SLICE_ROWS)
-                sizes, places, notices = [], [], []
-                for text in batch["text"].to_pylist():
-                    words = words_of(text or b"")
-                    present = set(words)
-                    sizes.append(len(words))
-                    places.append([{"start": s, "label": name} for s, name in index.base(words, present & phrase_words)])
-                    found = sorted(index.notices(words, present & index.vocabulary))
-                    notices.append([{"start": s, "label": name, "score": score} for s, name, score in found])
-                columns = [pa.array(column, kind) for column, kind in zip((sizes, places, notices), arrow, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch["id"], *columns], schema.names)
+        for batch in pieces(batches):
+            sizes, places, notices = [], [], []
+            for text in batch["text"].to_pylist():
+                words = words_of(text or b"")
+                present = set(words)
+                sizes.append(len(words))
+                places.append([{"start": s, "label": name} for s, name in index.base(words, present & phrase_words)])
+                found = sorted(index.notices(words, present & index.vocabulary))
+                notices.append([{"start": s, "label": name, "score": score} for s, name, score in found])
+            columns = [pa.array(column, kind) for column, kind in zip((sizes, places, notices), arrow, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch["id"], *columns], schema.names)
 
     return asked.mapInArrow(run, schema)

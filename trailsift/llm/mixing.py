@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trailsift.llm.common import place_of, positional, stored, text_batches, text_or_empty
+from trailsift.llm.common import pieces, place_of, positional, stored, text_or_empty
 from trailsift.llm.grams import DIMS, presence
 
 LENGTHS = (1, 2, 3, 5)
@@ -108,7 +108,7 @@ def fit(texts: list[bytes], labels: list[str], domains: Sequence[str], counts: d
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in pieces(batches):
         rows = np.packbits(presence([t or "" for t in batch["text"].to_pylist()], LENGTHS, False), axis=1)
         yield pa.RecordBatch.from_arrays([batch["draw"], batch["domain"], pa.array([r.tobytes() for r in rows], pa.binary())], ["draw", "domain", "grams"])
 
@@ -123,7 +123,6 @@ def quotas(counts: dict[str, int], bound: int) -> dict[str, int]:
 
 def learn(docs: DataFrame, labels: DataFrame, domains: Sequence[str], id_col: str = "doc_id", text_col: str = "text", labelled: int = LABELLED) -> Classifier:
     """Fit on a bounded sample of the labelled documents.  ``labels`` has the id column and ``domain``."""
-    text_batches(docs.sparkSession)
     agreed = labels.filter(F.col("domain").isin(*domains)).groupBy(id_col).agg(F.min("domain").alias("domain"), F.max("domain").alias("last"))
     agreed = agreed.filter((F.col("domain") == F.col("last")) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), "domain")
     # Only labels of documents at hand count, and each once, however often its document is repeated.
@@ -150,13 +149,12 @@ def posteriors(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_
     schema = T.StructType([asked.schema["id"], *T.StructType.fromDDL("draw double, tokens long, steps array<int>").fields])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             texts = [t or "" for t in batch["text"].to_pylist()]
             steps = _in_steps(model.posterior(presence(texts, LENGTHS, False)))
             tokens = pa.array([len(t.split()) for t in texts], pa.int64())
             yield pa.RecordBatch.from_arrays([batch["id"], batch["draw"], tokens, pa.array(steps.tolist(), pa.list_(pa.int32()))], schema.names)
 
-    text_batches(docs.sparkSession)
     return asked.mapInArrow(judge, schema)
 
 
@@ -264,11 +262,10 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], id_col: s
     asked = renamed.withColumn("draw", _draw(F.col(place_of(docs, id_col)), F.col(place_of(docs, text_col))))
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             rate = rates.of(_in_steps(model.posterior(presence([t or "" for t in batch.column(at).to_pylist()], LENGTHS, False))))
             copies = np.floor(rate) + (batch["draw"].to_numpy() < rate - np.floor(rate))
             chosen = batch.take(pa.array(np.repeat(np.arange(len(rate)), copies.astype(int))))
             yield pa.RecordBatch.from_arrays(chosen.columns[:-1], names)
 
-    text_batches(docs.sparkSession)
     return asked.mapInArrow(take, schema).toDF(*docs.columns)

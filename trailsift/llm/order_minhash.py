@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trailsift.llm.common import mix64, place_of, positional, stored, text_batches, text_or_empty
+from trailsift.llm.common import mix64, pieces, place_of, positional, stored, text_or_empty
 from trailsift.llm.components import components
 from trailsift.llm.rolling import running, stretches
 
@@ -135,14 +135,13 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     asked = docs.select(F.col(id_col).cast("long").alias("id"), plain(text_col).alias("text"))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             texts = batch["text"].to_pylist()
             labels = [labels_of(t) for t in texts]
             keys = pa.array([hashlib.md5(t.encode()).digest() for t in texts], pa.binary())
             sizes = pa.array([len(x) for x in labels], pa.int64())
             yield pa.RecordBatch.from_arrays([batch["id"], keys, sizes, pa.array([bands_of(x) for x in labels], pa.list_(pa.int64()))], ["id", "key", "labels", "bands"])
 
-    text_batches(docs.sparkSession)
     return asked.mapInArrow(sketch, "id long, key binary, labels long, bands array<long>")
 
 
@@ -226,7 +225,6 @@ def links(docs: DataFrame, classes: DataFrame, clumps: DataFrame, least: float,
     others = F.explode(F.sequence(F.lit(0), F.greatest("blocks", F.lit(1)) - 1))
     met = texts.select("clump", "node", "block", "text", others.alias("other"))
     met = met.select("clump", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "node", "block", "text")
-    text_batches(spark)
     return met.groupBy("clump", "left", "right").applyInPandas(_compare(least), "node long, root long")
 
 

@@ -27,11 +27,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trailsift.llm.common import pieces
+
 LEAST_WORDS = 6
 LEAST_TURNS = 4
-SLICE_ROWS = 200
-
-RUNS = "array<struct<start: long, length: long, period: long>>"
 
 
 def least_length(period: int) -> int:
@@ -117,16 +116,14 @@ def find_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     arrow_runs = pa.list_(pa.struct([(name, pa.int64()) for name in ("start", "length", "period")]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for k in range(0, whole.num_rows, SLICE_ROWS):
-                batch = whole.slice(k, SLICE_ROWS)
-                runs, left = [], []
-                for text in batch["text"].to_pylist():
-                    words = (text or b"").split()  # of bytes: at the space and at 09 to 0D, nowhere else
-                    number: dict[bytes, int] = {}
-                    found = runs_of(np.array([number.setdefault(w, len(number)) for w in words], np.int64))
-                    runs.append([{"start": s, "length": n, "period": q} for s, n, q in found])
-                    left.append(collapsed(words, found).decode("utf-8", "replace"))
-                yield pa.RecordBatch.from_arrays([batch["id"], pa.array(runs, arrow_runs), pa.array(left, pa.string())], schema.names)
+        for batch in pieces(batches):
+            runs, left = [], []
+            for text in batch["text"].to_pylist():
+                words = (text or b"").split()  # of bytes: at the space and at 09 to 0D, nowhere else
+                number: dict[bytes, int] = {}
+                found = runs_of(np.array([number.setdefault(w, len(number)) for w in words], np.int64))
+                runs.append([{"start": s, "length": n, "period": q} for s, n, q in found])
+                left.append(collapsed(words, found).decode("utf-8", "replace"))
+            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(runs, arrow_runs), pa.array(left, pa.string())], schema.names)
 
     return asked.mapInArrow(run, schema)

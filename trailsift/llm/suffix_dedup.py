@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trailsift.llm.common import stored, text_batches, text_or_empty
+from trailsift.llm.common import pieces, stored, text_or_empty
 from trailsift.llm.rolling import running, stretches
 
 WINDOW = 200  # bytes
@@ -73,7 +73,7 @@ def anchors_of(data: bytes) -> tuple[np.ndarray, ...]:
 
 
 def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in pieces(batches):
         found = [anchors_of(t.encode()) for t in batch["text"].to_pylist()]
         kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
         columns = [pa.array([f[k] for f in found], pa.list_(kind)) for k, kind in enumerate(kinds)]
@@ -132,7 +132,7 @@ def _runs(spans: list[dict] | None) -> list[tuple[int, int]]:
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of contexts that are to be compared; those known to be repeated take part without a row of their own."""
     names = [name.split()[0] for name in CUT_SCHEMA.split(", ")]
-    for batch in batches:
+    for batch in pieces(batches):
         rows: list[tuple] = []
         for rid, text, spans in zip(batch["rid"].to_pylist(), batch["text"].to_pylist(), batch["open"].to_pylist(), strict=True):
             data = text.encode()
@@ -220,7 +220,7 @@ def _search(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _window_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in pieces(batches):
         hashes = []
         for data, size in zip(batch["bytes"].to_pylist(), batch["size"].to_pylist(), strict=True):
             at = np.arange(size)
@@ -248,7 +248,6 @@ def shared_windows(cut: DataFrame) -> DataFrame:
 def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: ``id``, ``n_bytes``, ``n_removed``, ``n_spans`` (maximal removed runs), ``kept_sha256`` of the bytes that stay."""
     spark = docs.sparkSession
-    text_batches(spark)
     keyed = _keyed(docs, id_col, text_col)
     anchors = stored(keyed.select("row", "text").mapInArrow(_anchored, ANCHOR_SCHEMA).withColumn("rid", F.monotonically_increasing_id()), "anchors")
     spans = repeated_contexts(anchors)
@@ -267,7 +266,7 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     middle = T.StructType([*result.fields, *T.StructType.fromDDL("rid long, text string").fields, asked.schema["whole"], asked.schema["open"], *T.StructType.fromDDL("undecided boolean").fields])
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             rests = [_rest(t.encode(), _runs(w)) for t, w in zip(batch["text"].to_pylist(), batch["whole"].to_pylist(), strict=True)]
             numbers = [pa.array([r[k] for r in rests], pa.int64()) for k in range(3)]
             # Only texts that are needed again go on.
@@ -283,7 +282,7 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     late = decided.filter("undecided").select("id", "text", "rid", "whole").join(found, "rid", "left").select("id", "text", "whole", "found")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             columns = (batch[k].to_pylist() for k in ("text", "whole", "found"))
             rests = [_rest(t.encode(), _runs([*(w or ()), *(f or ())])) for t, w, f in zip(*columns, strict=True)]
             yield pa.RecordBatch.from_arrays([batch["id"], *(pa.array([r[k] for r in rests], pa.int64()) for k in range(3)), pa.array([r[3] for r in rests], pa.string())], result.names)
