@@ -1,37 +1,100 @@
 """Streams: replays change nothing, batch and stream agree."""
 
+import shutil
+from datetime import datetime, timezone
+
 from pyspark.sql import functions as F
 
 from trailsift.operators import progress as pr
 from trailsift.session import scratch_path
 from trailsift.sources import records as sr
 from trailsift.sources.tables import VersionedTable, read_or_empty
+from trailsift.streaming import keyed
 from trailsift.streaming import streams as st
 
-FIELDS = "pos bigint, status string, sha256 string, page_url string, image_url string, title string"
-
-
-def rows(n, base=0):
-    return [(base + i, "downloaded", f"{(base + i) % 7:064x}", f"https://h/p{(base + i) % 7}", f"https://h/i{base + i}", f"t{base + i}") for i in range(n)]
-
-
-def test_import_replay_is_idempotent(spark):
-    table = VersionedTable(spark, scratch_path(spark, "t"))
-    table.publish(spark.createDataFrame([], "sha256 string, pos bigint, page_url string, image_url string, title string"))
-    files = spark.createDataFrame([], "sha256 string")
-    path = scratch_path(spark, "in")
-    spark.createDataFrame(rows(10), FIELDS).write.json(f"{path}/in/0")
-    st.import_stream(st.records_stream(spark, f"{path}/in", FIELDS), table, files, path)
-    once = sorted(map(tuple, table.read().collect()))
-    assert len(once) == 7
-    # A lost checkpoint replays batch 0 over the same table.
-    st.import_stream(st.records_stream(spark, f"{path}/in", FIELDS), table, files, scratch_path(spark, "again"))
-    assert sorted(map(tuple, table.read().collect())) == once
-    # New files go on from the checkpoint.
-    spark.createDataFrame([(90, "downloaded", f"{99:064x}", "https://h/p99", "https://h/i99", "t99")], FIELDS).write.json(f"{path}/in/1")
-    st.import_stream(st.records_stream(spark, f"{path}/in", FIELDS), table, files, path)
-    assert table.read().count() == 8
-    assert table.compact() == 2 and table.versions() == [1, 2] and table.read().count() == 8
+FIELDS = "pos bigint, status string, sha256 string, file_name string, page_url string, image_url string, title string"
+INVENTORY = [(f"f{i}.jpg", f"{i % 7:064x}") for i in range(20)] + [("stray.png", "ab" * 32)]
+
+
+def record(i, status="downloaded", sha=None, name=None):
+    return (i, status, f"{i % 7:064x}" if sha is None else sha, name or f"dir/f{i % 20}.jpg", f"https://h/p{i % 7}", f"https://h/i{i}", f" t{i} ")
+
+
+def feed(spark, path, part, rows, schema=FIELDS):
+    spark.createDataFrame(rows, schema).write.json(f"{path}/in/{part}")
+
+
+def test_import_in_rounds_and_replayed(spark):
+    files = spark.createDataFrame(INVENTORY, "file_name string, sha256 string")
+    path, again = scratch_path(spark, "in"), scratch_path(spark, "again")
+    rounds = [
+        [record(i) for i in range(0, 5)] + [record(5, status="failed"), record(6, name="none.jpg")],
+        [record(i) for i in range(7, 13)] + [record(13, sha="0" * 64)],
+        [record(1000 + i, sha="", name="f3.jpg") for i in range(500)],
+    ]
+    for k, rows in enumerate(rounds):
+        feed(spark, path, k, rows)
+        changes = st.import_stream(st.records_stream(spark, f"{path}/in", FIELDS), files, path)
+    images = {int(r["sha256"], 16): tuple(r)[1:5] for r in keyed.images_of(changes).collect()}
+    assert images == {0: (7, 1, 7, "t7"), 1: (1, 2, 8, "t8"), 2: (2, 2, 9, "t9"), 3: (3, 502, 1499, "t1499"), 4: (4, 2, 11, "t11"), 5: (12, 1, 12, "t12")} | {0: (0, 2, 7, "t7")}
+    runs = {r["batch"]: r.asDict() for r in keyed.import_runs(changes).collect()}
+    assert [(r["total_records"], r["imported_count"], r["skipped_count"], r["error_count"], r["inserted"], r["refreshed"], r["adopted"]) for _, r in sorted(runs.items())] == [
+        (7, 5, 1, 1, 5, 0, 5), (7, 6, 0, 1, 1, 5, 1), (500, 500, 0, 0, 0, 1, 0),
+    ]
+    # A lost checkpoint replays everything: batches overwrite themselves.
+    once = sorted(map(str, changes.collect()))
+    shutil.copytree(f"{path}/in", f"{again}/in")
+    shutil.copytree(f"{path}/out", f"{again}/out")
+    replayed = st.drain(keyed.import_changes(st.records_stream(spark, f"{again}/in", FIELDS, 1000), files), again)
+    assert replayed.where("batch = 0").agg(F.sum("records")).first()[0] == sum(map(len, rounds)) and len(once) > 0
+    # Nothing that is stored is read by a batch: stored images come in as state.
+    stored = spark.createDataFrame([(f"{3:064x}", 1)], "sha256 string, first_pos bigint")
+    fresh = scratch_path(spark, "fresh")
+    feed(spark, fresh, 0, [record(3)])
+    only = st.import_stream(st.records_stream(spark, f"{fresh}/in", FIELDS), files, fresh, stored).collect()
+    assert [(r["kind"], r["first_pos"], r["adopted"]) for r in only] == [("refresh", 1, False)]
+
+
+def network(i, event, at, pos, url="https://h/x", size=None):
+    return (event, i, "f", 1e6 + at, url if event == "requestWillBeSent" else None, "Document", size, None, pos)
+
+
+def test_silent_requests_come_out_once_and_whole(spark):
+    path = scratch_path(spark, "har")
+    rounds = [
+        [network("slow", "requestWillBeSent", 0, 1), network("early", "dataReceived", 1, 2, size=5), network("early", "requestWillBeSent", 2, 3), network("early", "dataReceived", 3, 4, size=7),
+         network("never", "requestWillBeSent", 4, 5), network("plain", "requestWillBeSent", 5, 6, "http://h/x"), network("early", "loadingFailed", 6, 7)],
+        [network("slow", "responseReceived", 400, 8, size=100), network("tick", "requestWillBeSent", 401, 9)],
+        [network("slow", "dataReceived", 800, 10, size=60), network("slow", "loadingFinished", 810, 11, size=50)],
+        [network("other", "requestWillBeSent", 5000, 12)],
+        [network("tick", "loadingFinished", 5001, 13)],
+    ]
+    for k, rows in enumerate(rounds):
+        feed(spark, path, k, rows, st.NETWORK_EVENTS)
+        out = st.drain(keyed.har_stream(st.network_events_stream(spark, f"{path}/in"), "20 minutes"), path)
+    past = lambda t: None if t is None else t - 1e6
+    got = {r["request_id"]: (past(r["ts_request"]), past(r["ts_response"]), past(r["ts_finished"]), r["content_length"], r["encoded_length"], r["received"], r["failed"]) for r in out.collect()}
+    assert got["slow"] == (0.0, 400.0, 810.0, 100, 50, 60, False) and out.count() == len(got)
+    assert got["early"] == (2.0, None, None, None, None, 7, True) and got["never"] == (4.0, None, None, None, None, 0, False)
+    assert set(got) == {"slow", "early", "never", "tick"} and got["tick"][2] is None  # the end came after its time
+
+
+def test_loops_keep_little_and_are_forgotten(spark):
+    path = scratch_path(spark, "loops")
+    schema = "run bigint, pos bigint, ts timestamp, name string, params string, url string, dom_text string, element_count int"
+
+    def act(pos, at, run=1, k=0):
+        return (run, pos, datetime.fromtimestamp(at, timezone.utc), "click", f'{{"index": {k}}}', "https://h/", "text", 3)
+
+    feed(spark, path, 0, [act(i, 60 + i) for i in range(2000)], schema)  # one run holds the whole batch
+    feed(spark, path, 1, [act(3000, 100_000, run=2)], schema)
+    feed(spark, path, 2, [act(4000, 100_100), act(4001, 300_000, run=2)], schema)
+    for folder in ("0", "1", "2"):
+        shutil.copytree(f"{path}/in/{folder}", f"{path}/fed/{folder}")
+        out = st.drain(keyed.loop_stream(st.json_stream(spark, f"{path}/fed", schema), span="1 minute", keep="1 hour"), path)
+    rows = {r["pos"]: (r["run"], r["repetitions"], r["stagnant"]) for r in out.collect()}
+    assert len(rows) == 2002 and rows[0] == (1, 1, 0) and rows[10] == (1, 11, 10) and rows[1999] == (1, 20, 1999)
+    assert rows[4000] == (1, 1, 0) and rows[3000] == (2, 1, 0)  # forgotten after an hour
 
 
 def test_versions_skip_unfinished_writes(spark):

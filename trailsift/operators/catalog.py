@@ -23,7 +23,7 @@ def downloaded(records: DataFrame, titled: bool = False) -> DataFrame:
 # ---- files of records --------------------------------------------------------------------------
 
 
-def _base_name(column: Column) -> Column:
+def base_name(column: Column) -> Column:
     return F.regexp_replace(tx.strip(F.coalesce(column, F.lit(""))), r"^.*[/\\]", "")
 
 
@@ -35,7 +35,7 @@ def resolve_files(records: DataFrame, files: DataFrame, names: Sequence[str], ke
     """
     by_name = records.select(
         key,
-        F.posexplode_outer(F.array(*[_base_name(F.col(n)) for n in names])).alias("priority", "__name"),
+        F.posexplode_outer(F.array(*[base_name(F.col(n)) for n in names])).alias("priority", "__name"),
     ).where("__name <> ''")
     named = by_name.join(
         files.withColumnRenamed("file_name", "__file"), F.col("__name") == F.col("__file")
@@ -61,20 +61,24 @@ def _payload(files: DataFrame) -> list[str]:
     return [c for c in files.columns if c != "file_name"]
 
 
-def classify_import(records: DataFrame, files: DataFrame, names: Sequence[str] = ("file_name",)) -> DataFrame:
-    """Outcome of importing each record: skipped, no_file, hash_mismatch or imported."""
-    wanted = downloaded(records)
-    resolved = resolve_files(wanted, files.withColumnRenamed("sha256", "actual_sha256"), names).select(
-        "pos", "found_name", "actual_sha256"
-    )
+def import_outcome() -> Column:
+    """Outcome of a record next to its file: skipped, no_file, hash_mismatch or imported."""
     recorded = F.lower(tx.strip(F.coalesce("sha256", F.lit(""))))
-    outcome = (
+    return (
         F.when(F.coalesce("status", F.lit("")) != "downloaded", "skipped")
         .when(F.col("found_name").isNull(), "no_file")
         .when((recorded != "") & (recorded != F.col("actual_sha256")), "hash_mismatch")
         .otherwise("imported")
     )
-    return records.join(resolved, "pos", "left").withColumn("outcome", outcome)
+
+
+def classify_import(records: DataFrame, files: DataFrame, names: Sequence[str] = ("file_name",)) -> DataFrame:
+    """Outcome of importing each record: skipped, no_file, hash_mismatch or imported."""
+    wanted = downloaded(records)
+    resolved = resolve_files(wanted, files.withColumnRenamed("sha256", "actual_sha256"), names).select(
+        "pos", "found_name", "actual_sha256"
+    )
+    return records.join(resolved, "pos", "left").withColumn("outcome", import_outcome())
 
 
 def import_run_stats(classified: DataFrame, orphan_files: DataFrame) -> DataFrame:
@@ -120,7 +124,7 @@ def orphans_by_name(files: DataFrame, records: DataFrame) -> DataFrame:
     image = files.withColumn("__stem", F.regexp_replace("file_name", r"\.[^.]*$", "")).withColumn(
         "__known", F.lower(F.regexp_extract("file_name", r"(\.[^.]*)$", 1)).isin(tx.IMAGE_EXTENSIONS)
     ).where("__known")
-    names = kept.select(_base_name(F.col("file_name")).alias("file_name"))
+    names = kept.select(base_name(F.col("file_name")).alias("file_name"))
     titles = kept.select(tx.strip(F.coalesce("title", F.lit(""))).alias("__stem")).where("__stem <> ''")
     return image.join(names, "file_name", "left_anti").join(titles, "__stem", "left_anti").drop("__stem", "__known")
 

@@ -6,19 +6,14 @@ lost executor or driver replaces its own output.  State is bounded by a watermar
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from trailsift.functions import trace as tr
-from trailsift.operators import catalog as ca
-from trailsift.operators import network as nw
 from trailsift.operators import progress as pr
 from trailsift.operators import usage as us
-from trailsift.sources.tables import VersionedTable
+from trailsift.streaming import keyed
 
 # ---- sources and sinks -------------------------------------------------------------------------------
 
@@ -105,55 +100,11 @@ def page_progress_stream(batches: DataFrame) -> DataFrame:
     ).select("page", "attempts", "downloaded_count", "skipped_count", "error_count", "last.status", "last.next_index")
 
 
-def loop_stream(actions: DataFrame, window: int = 20) -> DataFrame:
-    """Repetition and page stagnation after each action, per run, as the actions come.
-
-    State per run: the last ``window`` hashes, the last fingerprint and its count.
-    """
-    ready = actions.select(
-        "run", "pos", tr.loop_exempt(F.col("name")).alias("exempt"), tr.action_hash(F.col("name"), F.col("params")).alias("hash"),
-        tr.page_fingerprint(F.col("url"), F.col("dom_text"), F.col("element_count")).alias("fingerprint"),
-    )
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        recent, last, stagnant = state.get if state.exists else ([], None, 0)
-        recent = list(recent)
-        rows = pd.concat(list(batches)).sort_values("pos")
-        out = []
-        for pos, exempt, digest, fingerprint in zip(rows["pos"], rows["exempt"], rows["hash"], rows["fingerprint"]):
-            stagnant = stagnant + 1 if fingerprint == last else 0
-            last = fingerprint
-            if not exempt:
-                recent = [*recent, digest][-window:]
-            out.append((key[0], pos, max(map(recent.count, recent), default=0), stagnant))
-        state.update((recent, last, stagnant))
-        yield pd.DataFrame(out, columns=["run", "pos", "repetitions", "stagnant"])
-
-    return ready.groupBy("run").applyInPandasWithState(
-        step, "run bigint, pos bigint, repetitions bigint, stagnant bigint",
-        "recent array<string>, last string, stagnant bigint", "append", GroupStateTimeout.NoTimeout,
-    )
-
-
 def _timed(events: DataFrame, delay: str) -> DataFrame:
     at = F.timestamp_micros((F.col("at") * 1_000_000).cast("bigint"))
     return events.where("request_id IS NOT NULL").withColumn("time", at).withWatermark("time", delay)
 
 
-def har_stream(events: DataFrame, silence: str = "5 minutes", delay: str = "10 seconds") -> DataFrame:
-    """One entry per https request, out once the request has been silent for ``silence``.
-
-    A request's events are one session of the request id: built-in incremental state, dropped when the
-    watermark closes the session.  Events after that are late and do not count.
-    """
-    session = F.session_window("time", silence)
-    parts = F.collect_list(F.when(F.col("event") == "dataReceived", F.struct("pos", "size"))).alias("__parts")
-    facts = _timed(events, delay).groupBy("request_id", session).agg(*nw.entry_facts(), parts).where("__since IS NOT NULL")
-    later = F.filter("__parts", lambda x: x["pos"] > F.col("__since"))
-    received = F.aggregate(later, F.lit(0).cast("bigint"), lambda total, x: total + F.coalesce(x["size"], F.lit(0)))
-    return nw.entry_columns(facts.withColumn("__data", received))
-
-
 def timeout_stream(events: DataFrame, threshold_seconds: float, delay: str = "10 seconds") -> DataFrame:
     """A row for every request that was active for the threshold, once.
 
@@ -170,17 +121,9 @@ def timeout_stream(events: DataFrame, threshold_seconds: float, delay: str = "10
     return sessions.where("__start IS NOT NULL AND (__end IS NULL OR __end < __start)").select("request_id", "url")
 
 
-def import_stream(records: DataFrame, table: VersionedTable, files: DataFrame, path: str) -> None:
-    """Per micro-batch: deduplicate against the table, then add what is new as the batch's own part.
+def import_stream(records: DataFrame, files: DataFrame, path: str, images: DataFrame | None = None) -> DataFrame:
+    """Run the import over everything there is; gives back the changes of all batches so far (with ``batch``).
 
-    Accepted contents are new by definition, so nothing that is stored is written again.  A batch that
-    is replayed is judged without its own part and replaces it, so a replay changes nothing.
+    A batch writes only its own changes, under its id, and reads nothing that is stored: a replay changes nothing.
     """
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        part = f"batch-{batch_id:08d}"
-        known = table.read(without_part=part).withColumn("status", F.lit("downloaded"))
-        fresh = ca.dedup_new(ca.downloaded(batch), known, files).where("reason IS NULL")
-        table.append(fresh.select("sha256", "pos", "page_url", "image_url", "title"), part)
-
-    drain_with(records, path, write)
+    return drain(keyed.import_changes(records, files, images), path)
