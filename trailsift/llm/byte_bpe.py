@@ -31,8 +31,8 @@ from pyspark.sql import types as T
 from trailsift.llm.common import pieces
 
 LONG_WORD = 256  # bytes
-KEPT_WORDS = 400_000  # words in use after which a task forgets those that were not used since it last did so
-ROUND_WORDS = 50_000  # words of one recursive query
+KEPT_WORDS = 300_000  # words in use after which a task forgets those that were not used since it last did so
+ROUND_WORDS = 30_000  # words of one recursive query
 CHUNK_CHARS = 4_000_000  # texts are taken together up to this size; a longer text is taken alone and whole
 # White space as the tokenizer's own regex engine has it (fixed values).
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -79,9 +79,8 @@ class Tokenizer:
 
     ranks: dict[bytes, int]
     pattern: str
-    ids_of: dict[str, str] = field(default_factory=dict)  # word: ids joined by commas
-    bytes_of: dict[str, bytes] = field(default_factory=dict)  # ids joined by commas: bytes
-    older: tuple[dict[str, str], dict[str, bytes]] = field(default_factory=lambda: ({}, {}))  # the same of words not used lately
+    coded: dict[str, tuple[str, bytes]] = field(default_factory=dict)  # word: ids joined by commas, and the bytes they decode to
+    older: dict[str, tuple[str, bytes]] = field(default_factory=dict)  # the same of words not used lately
 
     def __post_init__(self) -> None:
         self.words = regex.compile(self.pattern.replace(r"[^\s", f"[^{WHITE}").replace(r"\s", f"[{WHITE}]").replace(r"\S", f"[^{WHITE}]"))
@@ -126,9 +125,7 @@ class Tokenizer:
         self.db.register("coded", pa.table({"word": pa.array(range(len(words)), pa.int32()), "ids": ids}))
         plain = self.db.sql(DECODE).to_arrow_table()["hex"].to_pylist()
         for word, own, hexed in zip(words, ids.to_pylist(), plain, strict=True):
-            joined = ",".join(map(str, own))
-            self.ids_of[word] = joined
-            self.bytes_of[joined] = bytes.fromhex(hexed)
+            self.coded[word] = ",".join(map(str, own)), bytes.fromhex(hexed)
 
     def _from_heap(self, word: bytes) -> list[int]:
         """The contractions of ``CONTRACT`` for one long word: pairs wait in a heap by rank, then place."""
@@ -160,17 +157,15 @@ class Tokenizer:
     def code(self, texts: list[str]) -> Iterator[tuple[str, bytes]]:
         """Per text: ids joined by commas, and the bytes that they decode to."""
         cut = [self.words.findall(t) for t in texts]
-        if len(self.ids_of) > KEPT_WORDS:
-            self.older, self.ids_of, self.bytes_of = (self.ids_of, self.bytes_of), {}, {}
-        new = set().union(*cut).difference(self.ids_of)
-        ids, plain = self.older
-        for word in new & ids.keys():
-            self.ids_of[word] = ids[word]
-            self.bytes_of[ids[word]] = plain[ids[word]]
-        self.learn(sorted(new - ids.keys()))
+        if len(self.coded) > KEPT_WORDS:
+            self.older, self.coded = self.coded, {}
+        new = set().union(*cut).difference(self.coded)
+        for word in new & self.older.keys():
+            self.coded[word] = self.older.pop(word)
+        self.learn(sorted(new - self.coded.keys()))
         for words in cut:
-            ids = [self.ids_of[w] for w in words]
-            yield ",".join(ids), b"".join([self.bytes_of[x] for x in ids])
+            found = [self.coded[w] for w in words]
+            yield ",".join([ids for ids, _ in found]), b"".join([plain for _, plain in found])
 
 
 def parse_ranks(content: bytes) -> dict[bytes, int]:
