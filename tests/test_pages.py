@@ -1,9 +1,12 @@
 """Markdown blocks and chunks, page parsing, selectors, extraction."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from trailsift.functions import registry as rg
+from trailsift.functions import tables as tb
 from trailsift.functions import trace as tr
 from trailsift.operators import catalog as ca
 from trailsift.operators import corpus as co
@@ -13,52 +16,72 @@ from trailsift.operators import tree
 from trailsift.sources import html as ht
 
 
-def test_blocks_tile_the_text():
-    text = "# T\n\npara one\npara two\n```py\ncode # x\n```\n| a | b |\n| --- | --- |\n| 1 | 2 |\n| 3 | 4 |\n- i\n  more\n- j\nend"
-    blocks = md.parse_blocks(text)
-    assert [b.kind for b in blocks] == ["header", "blank", "paragraph", "fence", "table", "table", "table", "list", "paragraph"]
-    assert [b.start for b in blocks[1:]] == [b.end for b in blocks[:-1]]
-    assert blocks[-1].end == len(text)
-    assert blocks[4].lines == ["| a | b |", "| --- | --- |"]
-
-
-def test_open_fence_runs_to_the_end():
-    assert [b.kind for b in md.parse_blocks("a\n```\nx\n\n# y")] == ["paragraph", "fence"]
+def blocks(spark, text):
+    """Blocks of one text, the same by the operator and by the table function."""
+    rows = sorted(tuple(r)[1:] for r in md.markdown_blocks(spark.createDataFrame([(1, text)], "doc_id int, text string")).collect())
+    assert rows == tb.blocks_of(text or "")
+    return rows
 
 
-def test_small_text_is_one_chunk():
-    (only,) = md.chunk("hello\nworld", 100)
-    assert (only["content"], only["total_chunks"], only["has_more"], only["overlap"]) == ("hello\nworld", 1, False, "")
-    assert md.chunk("", 100)[0]["total_chunks"] == 1
+def chunks(spark, text, limit, overlap, start_from=0):
+    docs = spark.createDataFrame([(1, text)], "doc_id int, text string")
+    rows = sorted(tuple(r)[1:] for r in md.chunk_markdown(docs, limit, overlap, start_from).collect())
+    if not start_from:
+        assert rows == [(n, total, content, a, z, o, more) for n, total, content, a, z, o, more in tb.MarkdownChunks().eval(text, limit, overlap)]
+    return rows
 
 
-def test_chunks_prefer_headers_and_keep_offsets():
+def test_blocks_tile_the_text(spark):
+    text = "# T\n\npara one\npara two\n```py\ncode # x\n```\n| a | b |\n| --- | --- |\n| 1 | 2 |\n| 3 | 4 |\n- i\n  more\n- j\nend"
+    found = blocks(spark, text)
+    assert [b[1] for b in found] == ["header", "blank", "paragraph", "fence", "table", "table", "table", "list", "paragraph"]
+    assert [b[3] for b in found[1:]] == [b[4] for b in found[:-1]] and found[-1][4] == len(text)
+    assert found[4][2] == "| a | b |\n| --- | --- |"
+
+
+@pytest.mark.parametrize(
+    ("text", "kinds"),
+    [
+        ("a\n```\nx\n\n# y", ["paragraph", "fence"]),
+        ("- i\n  ```\n  code\n\n```\nx\n```", ["list", "blank", "fence"]),
+        ("```\n- x\n  ```\n  y\n\t# z", ["fence", "paragraph", "header"]),
+        ("|a|\n|---|\n|b|\n|---|\n|\n| c |", ["table", "table", "table", "paragraph", "table"]),
+        ("1) x\n2. y\n   | t |\n| u |\n1.z", ["list", "table", "paragraph"]),
+        ("", ["blank"]), (None, ["blank"]), ("x\n", ["paragraph", "blank"]), ("\n\n", ["blank"] * 3), ("  # h\n\u2003\u3000\n--\n* ", ["header", "blank", "paragraph", "list"]),
+    ],
+)
+def test_kinds_of_blocks(spark, text, kinds):
+    assert [b[1] for b in blocks(spark, text)] == kinds
+
+
+def test_chunks_of_random_texts(spark):
+    rng = random.Random(5)
+    parts = ["# head", "", "text " * 5, "- item", "  more", "| a | b |", "|---|---|", "| 1 | 2 |", "```", "code", "  ```"]
+    docs = [(k, "\n".join(rng.choice(parts) for _ in range(rng.randint(1, 60)))) for k in range(60)]
+    frame = spark.createDataFrame(docs + [(7, docs[7][1])], "doc_id int, text string")  # one of them twice
+    got = sorted(tuple(r) for r in md.chunk_markdown(frame, 90, 2).collect())
+    want = sorted((k, *row) for k, text in [*docs, docs[7]] for row in tb.MarkdownChunks().eval(text, 90, 2))
+    assert got == want
+    for k, text in docs:
+        own = [r for r in want if r[0] == k]
+        assert "\n".join(dict.fromkeys(r[3] if k != 7 else text for r in own)) in (text, "\n".join(dict.fromkeys(text.split("\n")))) or len(own) > 1
+
+
+def test_chunks(spark):
+    (only,) = chunks(spark, "hello\nworld", 100, 5)
+    assert only == (0, 1, "hello\nworld", 0, 11, "", False)
+    assert chunks(spark, "", 100, 5) == [(0, 1, "", 0, 0, "", False)]
     text = "# A\n\n" + "a" * 60 + "\n\n# B\n\n" + "b" * 60 + "\n"
-    chunks = md.chunk(text, 90, 0)
-    assert chunks[1]["content"].startswith("# B")
-    assert chunks[0]["start"] == 0 and chunks[0]["end"] == chunks[1]["start"]
-    assert [c["has_more"] for c in chunks] == [True, False]
-
-
-def test_oversize_block_stands_alone():
-    chunks = md.chunk("x\n\n```\n" + "y" * 300 + "\n```\n\nz", 50, 0)
-    assert any(len(c["content"]) > 300 for c in chunks)
-
-
-def test_table_header_is_carried_over_three_chunks():
+    found = chunks(spark, text, 90, 0)
+    assert found[1][2].startswith("# B") and found[0][3] == 0 and found[0][4] == found[1][3] and [c[6] for c in found] == [True, False]
+    assert any(len(c[2]) > 300 for c in chunks(spark, "x\n\n```\n" + "y" * 300 + "\n```\n\nz", 50, 0))
     rows = "\n".join(f"| r{i} | {i} |" for i in range(30))
-    chunks = md.chunk("| h | v |\n| --- | --- |\n" + rows, 120, 2)
-    assert len(chunks) >= 3
-    assert all(c["overlap"].startswith("| h | v |\n| --- | --- |") for c in chunks[1:])
-
-
-def test_overlap_and_start_offset():
+    found = chunks(spark, "| h | v |\n| --- | --- |\n" + rows, 120, 2)
+    assert len(found) >= 3 and all(c[5].startswith("| h | v |\n| --- | --- |") for c in found[1:])
     text = "\n\n".join(f"paragraph number {i}" for i in range(20))
-    chunks = md.chunk(text, 80, 2)
-    assert chunks[1]["overlap"] == "\n".join(chunks[0]["content"].split("\n")[-2:])
-    offset = chunks[2]["start"] + 1
-    assert md.chunk(text, 80, 2, offset)[0]["chunk_index"] == 2
-    assert md.chunk(text, 80, 2, len(text)) == []
+    found = chunks(spark, text, 80, 2)
+    assert found[1][5] == "\n".join(found[0][2].split("\n")[-2:])
+    assert chunks(spark, text, 80, 2, found[2][3] + 1)[0][0] == 2 and chunks(spark, text, 80, 2, len(text)) == []
 
 
 HTML = (

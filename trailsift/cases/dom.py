@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 
 from trailsift.cases import fixtures as fx
 from trailsift.cases.base import case
 from trailsift.functions import elements as el
-
 from trailsift.operators import corpus as co
 from trailsift.operators import markdown as md
 from trailsift.operators import tree
@@ -413,27 +414,76 @@ def _(spark, sf):
     return co.content_stats(both, "html", "markdown")
 
 
-@case("pg_3_markdown_blocks", r"""
-WITH a AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents)
-SELECT doc_id, CAST(length(text) AS BIGINT) AS chars, list_count(list_filter(l, lambda x: NOT regexp_matches(x, '[^\s\x{85}\x{a0}\x{2028}\x{2029}\x{3000}]'))) AS blank_lines FROM a""")
-def _(spark, sf):
-    docs = fx.table(spark, sf, "documents")
-    blocks = md.markdown_blocks(docs)
-    return blocks.groupBy("doc_id").agg(
-        # Blocks tile the text: their sizes add up to its length (a last line break counts once more).
-        (F.max("end") - F.max(F.when(F.col("content") == "", F.col("end") - F.col("start")).otherwise(0)) * 0).alias("last_end"),
-        F.sum(F.col("end") - F.col("start")).alias("sizes"),
-        F.count_if(F.col("kind") == "blank").alias("blank_lines"),
-    ).join(docs.select("doc_id", "text"), "doc_id").select(
-        "doc_id",
-        F.when((F.col("sizes") == F.col("last_end")) & (F.col("sizes") - F.col("text").endswith("\n").cast("int") == F.length("text")), F.length("text").cast("bigint")).alias("chars"),
-        "blank_lines",
+# The prose of the documents with markdown made of it: sentences are lines, and what a line begins with tells what it becomes.
+_MARKS = [(r"([.!?]) ", r"\1\n"), (r"\n([AEI])", r"\n\n# \1"), (r"\n([LM])", r"\n- \1"), (r"\n([SD])", r"\n  \1"), (r"\n(T)", r"\n| \1 | t |\n| --- | --- |\n| x | y |\n| z |\n\1"), (r"\n(U)", r"\n```\n\1")]
+fx.SQL["fx_markdown"] = "SELECT doc_id, " + functools.reduce(
+    lambda t, m: f"regexp_replace({t}, '{m[0]}', '" + m[1].replace(r"\n", "' || chr(10) || '") + "', 'g')", _MARKS, "coalesce(text, '')"
+) + " AS text FROM documents"
+
+
+def _prose(spark, sf):
+    text = functools.reduce(lambda t, m: F.regexp_replace(t, m[0], m[1].replace(r"\1", "$1").replace(r"\n", "\n")), _MARKS, F.coalesce("text", F.lit("")))
+    return fx.table(spark, sf, "documents").select("doc_id", text.alias("text"))
+
+
+# Lines, the letters they get, and the blocks that one expression cuts from the letters.
+_BLANK = r"[\s\x{0B}\x{85}\x{A0}\x{1C}-\x{1F}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+fx.SQL["fx_md_lines"] = rf"""
+SELECT doc_id, text, n, line, CASE WHEN regexp_matches(line, '^({_BLANK}{{2}}|\t)') AND letter NOT IN ('B', 'I') THEN lower(letter) ELSE letter END AS letter FROM (
+  SELECT *, CASE WHEN bare = '' THEN 'B' WHEN starts_with(bare, '```') THEN 'F' WHEN starts_with(bare, '#') THEN 'H'
+    WHEN starts_with(bare, '|') AND ends_with(bare, '|') AND length(bare) > 1 THEN CASE WHEN contains(line, '---') THEN 'S' ELSE 'T' END
+    WHEN regexp_matches(line, '^{_BLANK}*([-+*]|[0-9]+[).]) ') THEN 'I' ELSE 'P' END AS letter
+  FROM (SELECT doc_id, text, n, line, regexp_replace(regexp_replace(line, '^{_BLANK}+', ''), '{_BLANK}+$', '') AS bare
+    FROM (SELECT doc_id, coalesce(text, '') AS text, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS n FROM fx_markdown)))"""
+fx.SQL["fx_md_runs"] = """
+SELECT doc_id, run, ord, coalesce(sum(length(run)) OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+FROM (SELECT doc_id, unnest(r) AS run, generate_subscripts(r, 1) AS ord FROM (
+  SELECT doc_id, regexp_extract_all(string_agg(letter, '' ORDER BY n), 'B|[Ff][^Ff]*[Ff]?|[Hh]|[TtSs]+|I[Ifhtsp]*|[Pp]+') AS r FROM fx_md_lines GROUP BY doc_id))"""
+fx.SQL["fx_md_placed"] = """
+SELECT l.doc_id, l.n, l.line, l.text, r.ord, upper(left(r.run, 1)) AS kind,
+  CASE WHEN regexp_matches(r.run, '^[TtSs]') THEN CASE WHEN l.n - before = 2 AND upper(substr(r.run, 2, 1)) = 'S' THEN 1 ELSE l.n - before END ELSE 1 END AS sub
+FROM fx_md_lines l JOIN fx_md_runs r ON r.doc_id = l.doc_id AND l.n > r.before AND l.n <= r.before + length(r.run)"""
+fx.SQL["fx_md_blocks"] = """
+SELECT doc_id, row_number() OVER w - 1 AS i, kind, content, of_lines, CAST(sum(size) OVER w - size AS BIGINT) AS a, CAST(sum(size) OVER w AS BIGINT) AS z FROM (
+  SELECT doc_id, ord, sub, min(kind) AS kind, string_agg(line, chr(10) ORDER BY n) AS content, count(*) AS of_lines,
+    sum(length(line) + CASE WHEN n = last AND line <> '' THEN 0 ELSE 1 END) AS size
+  FROM (SELECT *, max(n) OVER (PARTITION BY doc_id) AS last FROM fx_md_placed) GROUP BY doc_id, ord, sub
+) WINDOW w AS (PARTITION BY doc_id ORDER BY ord, sub ROWS UNBOUNDED PRECEDING)"""
+
+
+@case("pg_3_markdown_blocks", """
+SELECT doc_id, i AS block_index, CASE kind WHEN 'B' THEN 'blank' WHEN 'F' THEN 'fence' WHEN 'H' THEN 'header' WHEN 'I' THEN 'list' WHEN 'P' THEN 'paragraph' ELSE 'table' END AS kind,
+  md5(content) AS digest, a AS start, z AS "end" FROM fx_md_blocks""")
+def _(spark, sf):
+    return md.markdown_blocks(_prose(spark, sf)).select("doc_id", "block_index", "kind", F.md5("content").alias("digest"), "start", "end")
+
+
+@case("win_14_chunk_markdown", """
+WITH RECURSIVE walk(doc_id, first, k, chunk) AS (
+  SELECT doc_id, 0::BIGINT, 0::BIGINT, 0 FROM fx_md_blocks WHERE i = 0
+  UNION ALL (
+    WITH over AS (
+      SELECT w.doc_id, w.first, w.chunk, min(f.a) AS a, min(b.i) AS k FROM walk w JOIN fx_md_blocks f ON f.doc_id = w.doc_id AND f.i = w.first
+      JOIN fx_md_blocks b ON b.doc_id = w.doc_id AND b.i > w.k AND b.z - f.a > 2000 GROUP BY w.doc_id, w.first, w.chunk
     )
-
-
-@case("win_14_chunk_markdown")
-def _(spark, sf):
-    return md.chunk_markdown(fx.table(spark, sf, "documents"), 2000, 3).select(
+    SELECT o.doc_id, coalesce(max(CASE WHEN 2 * (h.a - o.a) >= 2000 THEN h.i END), o.k), o.k, o.chunk + 1
+    FROM over o LEFT JOIN fx_md_blocks h ON h.doc_id = o.doc_id AND h.kind = 'H' AND h.i > o.first AND h.i < o.k GROUP BY o.doc_id, o.k, o.chunk
+  )
+), spans AS (SELECT doc_id, chunk, first, lead(first, 1, 9223372036854775807) OVER (PARTITION BY doc_id ORDER BY chunk) AS next, count(*) OVER (PARTITION BY doc_id) AS total FROM walk),
+c AS (
+  SELECT s.doc_id, s.chunk, total, string_agg(content, chr(10) ORDER BY i) AS content, min(a) AS start, max(z) AS z, arg_min(kind, i) AS kind,
+    arg_max(content, i) FILTER (WHERE kind IN ('T', 'S') AND of_lines = 2) AS heading
+  FROM spans s JOIN fx_md_blocks b ON b.doc_id = s.doc_id AND b.i >= s.first AND b.i < s.next GROUP BY s.doc_id, s.chunk, total
+), o AS (
+  SELECT *, string_split(last_value(heading IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY chunk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), chr(10)) AS carried,
+    string_split(lag(content) OVER (PARTITION BY doc_id ORDER BY chunk), chr(10))[-3:] AS tail FROM c
+), t AS (SELECT *, CASE WHEN chunk = 0 THEN '' WHEN kind IN ('T', 'S') AND carried IS NOT NULL
+    THEN array_to_string(list_concat(carried, list_transform(list_filter(tail, lambda x, k: NOT list_contains(carried, x) AND NOT list_contains(tail[:k - 1], x)), lambda x: x)), chr(10))
+  ELSE array_to_string(tail, chr(10)) END AS overlap FROM o)
+SELECT doc_id, CAST(chunk AS BIGINT) AS chunk_index, total AS total_chunks, md5(content) AS digest, start, CASE WHEN content = '' AND total = 1 AND z = 1 THEN 0 ELSE z END AS "end",
+  length(overlap) AS overlap_chars, chunk < total - 1 AS has_more FROM t""")
+def _(spark, sf):
+    return md.chunk_markdown(_prose(spark, sf), 2000, 3).select(
         "doc_id", "chunk_index", "total_chunks", F.md5("content").alias("digest"), "start", "end", F.length("overlap").alias("overlap_chars"), "has_more"
     )
 

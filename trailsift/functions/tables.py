@@ -1,25 +1,62 @@
-"""Table functions for lateral joins in SQL: markdown blocks and chunks of one text."""
+"""Table functions for lateral joins in SQL: markdown blocks and chunks of one text.
+
+They cut the same words of letters with the same expressions as ``operators.markdown``, which is the way for whole tables.
+"""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from itertools import accumulate
 
+import numpy as np
 from pyspark.sql import SparkSession
 from pyspark.sql.functions import udtf
 
 from trailsift.operators import markdown as md
 
 
+def letter_of(line: str) -> str:
+    bare = line.strip()
+    row = len(bare) > 1 and bare[0] == bare[-1] == "|"
+    item = "I" if re.match(md.ITEM, line) else "P"
+    letter = "B" if not bare else "F" if bare.startswith("```") else "H" if bare[0] == "#" else ("S" if "---" in line else "T") if row else item
+    return letter.lower() if letter not in "BI" and re.match(md.INDENT, line) else letter
+
+
+def blocks_of(text: str) -> list[tuple]:
+    """(index, kind, content, start, end) of each block."""
+    lines = text.split("\n")
+    runs = re.findall(md.BLOCKS, "".join(map(letter_of, lines)))
+    words = [w for run in runs for w in (re.findall(md.ROWS, run) if run[0] in "TtSs" else [run])]
+    last = list(accumulate(map(len, words)))
+    ends = list(accumulate(len(line) + 1 for line in lines))
+    ends[-1] -= lines[-1] != ""
+    return [
+        (k, md.KINDS[w[0].upper()], "\n".join(lines[at - len(w) : at]), ends[at - len(w) - 1] if at > len(w) else 0, ends[at - 1])
+        for k, (w, at) in enumerate(zip(words, last, strict=True))
+    ]
+
+
 class MarkdownBlocks:
     def eval(self, text: str) -> Iterator[tuple]:
-        for i, b in enumerate(md.parse_blocks(text or "")):
-            yield i, b.kind, "\n".join(b.lines), b.start, b.end
+        yield from blocks_of(text or "")
 
 
 class MarkdownChunks:
     def eval(self, text: str, max_chars: int, overlap_lines: int) -> Iterator[tuple]:
-        for c in md.chunk(text or "", max_chars, overlap_lines):
-            yield tuple(c.values())
+        blocks = blocks_of(text or "")
+        numbers = md.chunk_numbers(np.array([b[4] for b in blocks]), np.array([b[1] == "header" for b in blocks]), max_chars)
+        total, before, heading = int(numbers[-1]) + 1, [], None
+        for n in range(total):
+            own = [b for b, at in zip(blocks, numbers.tolist(), strict=True) if at == n]
+            content = "\n".join(b[2] for b in own)
+            carried = heading if heading and own[0][1] == "table" else []
+            overlap = [*carried, *(line for line in dict.fromkeys(before) if line not in carried)] if carried else before
+            yield n, total, content, own[0][3], own[-1][4] if text else 0, "\n".join(overlap), n < total - 1
+            before = content.split("\n")[-overlap_lines:] if overlap_lines > 0 else []
+            headings = [b[2].split("\n") for b in own if b[1] == "table" and "\n" in b[2]]
+            heading = headings[-1] if headings else heading
 
 
 def register_tables(spark: SparkSession) -> None:

@@ -1,179 +1,135 @@
-"""Markdown blocks and structure-aware chunks, per document, without a shuffle."""
+"""Markdown blocks and structure-aware chunks as Spark jobs.
 
-from __future__ import annotations
+A line gets a letter for what it looks like; the letters of a document make a word, and one regular expression cuts that word into
+blocks.  So the parse of a document is a few built-in string functions; lines, blocks and chunks are rows.  Rows of a document are kept
+together by one shuffle; a document comes as one cell, so that is never more than the cell itself.
+"""
 
-import re
-from collections.abc import Iterator
-from dataclasses import dataclass
+from __future__ import annotations
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
-
-from trailsift.plans.lookup import spread
-
-HEADER, FENCE, TABLE, LIST, PARAGRAPH, BLANK = "header", "fence", "table", "list", "paragraph", "blank"
-ROW = re.compile(r"^\s*\|.*\|\s*$")
-ITEM = re.compile(r"^(\s*)([-*+]|\d+[.)]) ")
-INDENTED = re.compile(r"^(\s{2,}|\t)")
-
-
-@dataclass
-class Block:
-    kind: str
-    lines: list[str]
-    start: int
-    end: int
-
-    @property
-    def size(self) -> int:
-        return self.end - self.start
-
-    def heading_rows(self) -> list[str] | None:
-        """Header and separator row of a table block that has them."""
-        if self.kind == TABLE and len(self.lines) > 1 and ("---" in self.lines[1] or "- -" in self.lines[1]):
-            return self.lines[:2]
-        return None
-
-
-def line_kind(line: str) -> str:
-    bare = line.strip()
-    if not bare:
-        return BLANK
-    if bare.startswith("```"):
-        return FENCE
-    if bare.startswith("#"):
-        return HEADER
-    if ROW.match(line):
-        return TABLE
-    return LIST if ITEM.match(line) else PARAGRAPH
-
-
-def _joins(block: Block, kind: str, line: str, in_table: bool, fence_open: bool) -> bool:
-    """Does a line go on with the open block?"""
-    if block.kind == FENCE:
-        return fence_open
-    if block.kind == TABLE:
-        return len(block.lines) == 1 and not in_table and kind == TABLE and "---" in line
-    if block.kind == LIST:
-        return bool(ITEM.match(line)) or (kind != BLANK and bool(INDENTED.match(line)))
-    return block.kind == PARAGRAPH and kind == PARAGRAPH
-
-
-def parse_blocks(text: str) -> list[Block]:
-    """Blocks that a chunk never splits.  A table's rows after the header are blocks of their own."""
-    blocks: list[Block] = []
-    position = 0
-    fence_open = in_table = False
-    for line in text.split("\n"):
-        kind = line_kind(line)
-        end = position + len(line) + 1
-        last = blocks[-1] if blocks else None
-        if last and _joins(last, kind, line, in_table, fence_open):
-            last.lines.append(line)
-            last.end = end
-            if last.kind == FENCE and kind == FENCE:
-                fence_open = False
-        else:
-            in_table = kind == TABLE and last is not None and last.kind == TABLE
-            blocks.append(Block(kind, [line], position, end))
-            fence_open = kind == FENCE
-        position = end
-    if text and not text.endswith("\n"):
-        blocks[-1].end = len(text)
-    return blocks
-
-
-def _cut(pending: list[Block], limit: int) -> int:
-    """Where to end a full chunk: before its last header that leaves at least half a chunk, else at the end."""
-    sizes = [b.size for b in pending]
-    for j in range(len(pending) - 1, 0, -1):
-        if pending[j].kind == HEADER and sum(sizes[:j]) >= limit * 0.5:
-            return j
-    return len(pending)
-
-
-def _groups(blocks: list[Block], limit: int) -> list[list[Block]]:
-    groups: list[list[Block]] = []
-    pending: list[Block] = []
-    for block in blocks:
-        # Blocks are adjacent, so a chunk's size is the distance between its ends.
-        if pending and pending[-1].end - pending[0].start + block.size > limit:
-            at = _cut(pending, limit)
-            groups.append(pending[:at])
-            pending = pending[at:]
-        pending.append(block)
-    return [*groups, pending] if pending else groups
-
-
-def chunk(text: str, limit: int = 100_000, overlap_lines: int = 5, start_from: int = 0) -> list[dict]:
-    """Chunks of whole blocks up to ``limit`` characters; a larger block stands alone.
-
-    Each chunk carries the last lines of the one before, or the table's header rows when it goes on
-    with a table.  ``start_from`` keeps the chunks from the one that reaches beyond that offset.
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from trailsift.functions import text as tx
+
+# Letters of lines; the small form is the same, indented by two blanks or a tab.  S is a table row that holds "---".
+KINDS = {"B": "blank", "F": "fence", "H": "header", "T": "table", "S": "table", "I": "list", "P": "paragraph"}
+# A fence runs to the next one or the end; a list takes further items and whatever is indented.
+BLOCKS = "B|[Ff][^Ff]*[Ff]?|[Hh]|[TtSs]+|I[Ifhtsp]*|[Pp]+"
+# The first row of a table keeps its separator; every other row stands alone.
+ROWS = "^[TtSs][Ss]?|[TtSs]"
+ITEM = r"^\s*(?:[-+*]|[0-9]+[).]) "
+INDENT = r"^(?:\s\s|\t)"
+
+
+def line_letter(line: Column) -> Column:
+    bare = tx.strip(line)
+    row = bare.startswith("|") & bare.endswith("|") & (F.length(bare) > 1)
+    letter = (
+        F.when(bare == "", "B").when(bare.startswith("```"), "F").when(bare.startswith("#"), "H")
+        .when(row & line.contains("---"), "S").when(row, "T").when(line.rlike(ITEM), "I").otherwise("P")
+    )
+    return F.when(line.rlike(INDENT) & ~letter.isin("B", "I"), F.lower(letter)).otherwise(letter)
+
+
+def block_words(letters: Column) -> Column:
+    """The letters of each block."""
+    runs = F.regexp_extract_all(letters, F.lit(BLOCKS), F.lit(0))
+    return F.flatten(F.transform(runs, lambda r: F.when(r.rlike("^[TtSs]"), F.regexp_extract_all(r, F.lit(ROWS), F.lit(0))).otherwise(F.array(r))))
+
+
+def _rows(docs: DataFrame, doc: str, text: str) -> DataFrame:
+    """A row per document: its lines, their sizes with the line break (the last line has none), and the letters of each block."""
+    rows = docs.select(doc, F.monotonically_increasing_id().alias("__row"), F.split(F.coalesce(text, F.lit("")), "\n", -1).alias("__lines"))
+    last = F.size("__lines") - 1
+    sizes = F.transform("__lines", lambda line, n: F.length(line) + F.when((n == last) & (line != ""), 0).otherwise(1))
+    return rows.withColumn("__words", block_words(F.array_join(F.transform("__lines", line_letter), ""))).withColumn("__sizes", sizes)
+
+
+def _lines(rows: DataFrame, doc: str, chunk: Column) -> DataFrame:
+    """A row per line with its block, the block's first letter and number of lines, and its chunk (by the block's number).
+
+    Documents are kept together by a row id of this one pass; no other pass looks for the same ids.
     """
-    if not text:
-        empty = {"chunk_index": 0, "total_chunks": 1, "content": "", "start": 0, "end": 0, "overlap": "", "has_more": False}
-        return [empty]
-    if start_from >= len(text):
-        return []
-    groups = _groups(parse_blocks(text), limit)
-    chunks: list[dict] = []
-    carried: list[str] | None = None
-    for i, group in enumerate(groups):
-        body = "\n".join("\n".join(b.lines) for b in group)
-        tail = chunks[-1]["content"].split("\n")[-overlap_lines:] if chunks and overlap_lines > 0 else []
-        if chunks and group[0].kind == TABLE and carried:
-            tail = carried + [t for n, t in enumerate(tail) if t not in carried and t not in tail[:n]]
-        for block in group:
-            carried = block.heading_rows() or carried
-        chunks.append(
-            {
-                "chunk_index": i, "total_chunks": len(groups), "content": body, "start": group[0].start,
-                "end": group[-1].end, "overlap": "\n".join(tail), "has_more": i < len(groups) - 1,
-            }
-        )
-    if start_from > 0:
-        first = next((i for i, c in enumerate(chunks) if c["end"] > start_from), len(chunks))
-        return chunks[first:]
-    return chunks
-
-
-FLUSH_CHARS = 16 << 20  # results of about this much text go to Spark together
-BLOCK_COLUMNS = "block_index bigint, kind string, content string, start bigint, end bigint"
-CHUNK_COLUMNS = (
-    "chunk_index bigint, total_chunks bigint, content string, start bigint, end bigint, overlap string, has_more boolean"
-)
-
-
-def _per_document(docs: DataFrame, doc: str, text: str, columns: str, rows_of) -> DataFrame:
-    kind = dict(docs.dtypes)[doc]
-    names = [doc, *[c.split()[0] for c in columns.split(", ")]]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows, held = [], 0
-            for key, content in zip(batch[doc], batch[text]):
-                rows += [{doc: key, **row} for row in rows_of(content or "")]
-                held += len(content or "")
-                if held > FLUSH_CHARS:
-                    yield pd.DataFrame(rows, columns=names)
-                    rows, held = [], 0
-            yield pd.DataFrame(rows, columns=names)
-
-    return spread(docs.select(doc, text)).mapInPandas(run, f"{doc} {kind}, {columns}")
+    of_block = lambda w, i: F.struct(i.alias("block"), F.upper(F.substring(w, 1, 1)).alias("letter"), F.length(w).alias("of"), F.get(chunk, i).alias("chunk"))
+    placed = F.flatten(F.transform("__words", lambda w, i: F.array_repeat(of_block(w, i), F.length(w))))
+    zipped = F.posexplode(F.arrays_zip(F.col("__lines").alias("line"), F.col("__sizes").alias("size"), placed.alias("at"))).alias("n", "z")
+    return rows.select(doc, "__row", zipped).repartition("__row").select(doc, "__row", "n", "z.line", "z.size", "z.at.*")
 
 
-def markdown_blocks(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    def rows(content: str) -> list[dict]:
-        return [
-            {"block_index": i, "kind": b.kind, "content": "\n".join(b.lines), "start": b.start, "end": b.end}
-            for i, b in enumerate(parse_blocks(content))
-        ]
+def _joined(lines: Column) -> Column:
+    return F.array_join(F.transform(lines, lambda x: x["line"]), "\n")
 
-    return _per_document(docs, doc, text, BLOCK_COLUMNS, rows)
+
+def markdown_blocks(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """Blocks that a chunk never splits, one row each; they tile the text.  An empty text is one blank block."""
+    letters = F.create_map(*(F.lit(x) for pair in KINDS.items() for x in pair))
+    grouped = _lines(_rows(docs, doc, text), doc, F.array().cast("array<int>")).groupBy("__row", "block").agg(
+        F.first(doc).alias(doc), F.first(letters[F.col("letter")]).alias("kind"), F.array_sort(F.collect_list(F.struct("n", "line"))).alias("__lines"), F.sum("size").alias("__size")
+    )
+    end = F.sum("__size").over(Window.partitionBy("__row").orderBy("block"))
+    return grouped.select(doc, F.col("block").cast("bigint").alias("block_index"), "kind", _joined(F.col("__lines")).alias("content"), (end - F.col("__size")).alias("start"), end.alias("end"))
+
+
+def chunk_numbers(ends: np.ndarray, headers: np.ndarray, limit: int) -> np.ndarray:
+    """The chunk of each block: filled up to ``limit`` characters, then cut before the last header if that leaves half a chunk."""
+    starts = np.concatenate([[0], ends[:-1]])
+    before = np.concatenate([[0], np.maximum.accumulate(np.where(headers, np.arange(len(ends)), 0))[:-1]])  # last header before a block
+    cuts, first = [0], 0
+    for k in np.arange(1, len(ends)):
+        if ends[k] - starts[first] > limit:
+            roomy = before[k] > first and 2 * (starts[before[k]] - starts[first]) >= limit
+            first = before[k] if roomy else k
+            cuts.append(first)
+    return np.searchsorted(cuts, np.arange(len(ends)), "right") - 1
 
 
 def chunk_markdown(
     docs: DataFrame, limit: int = 100_000, overlap_lines: int = 5, start_from: int = 0, doc: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    return _per_document(docs, doc, text, CHUNK_COLUMNS, lambda content: chunk(content, limit, overlap_lines, start_from))
+    """Chunks of whole blocks; a block beyond the limit stands alone.
+
+    Each chunk carries the last lines of the one before, or the table's header rows when it goes on with a table.  ``start_from`` keeps
+    the chunks from the one that reaches beyond that offset.
+    """
+
+    @F.pandas_udf("array<int>")
+    def numbers(sizes: pd.Series, words: pd.Series) -> pd.Series:
+        found = []
+        for own, blocks in zip(sizes, words, strict=True):
+            ends = np.cumsum(own)[np.cumsum([len(w) for w in blocks]) - 1]
+            found.append(chunk_numbers(ends, np.array([w in "Hh" for w in blocks]), limit).tolist())
+        return pd.Series(found)
+
+    rows = _rows(docs, doc, text).withColumn("__chunks", numbers("__sizes", "__words"))
+    # Two lines of a table in one block are its header and separator.
+    heading = F.max(F.when(F.col("letter").isin("T", "S") & (F.col("of") == 2), F.col("block")))
+    grouped = _lines(rows, doc, F.col("__chunks")).groupBy("__row", "chunk").agg(
+        F.first(doc).alias(doc), F.array_sort(F.collect_list(F.struct("n", "line", "block"))).alias("__lines"), F.sum("size").alias("__size"),
+        F.min_by("letter", "n").alias("__first"), heading.alias("__block"),
+    )
+    whole = F.sum("__size").over(Window.partitionBy("__row").orderBy("chunk"))
+    table_head = F.filter("__lines", lambda x: x["block"] == F.col("__block"))
+    chunks = grouped.withColumns({
+        "content": _joined(F.col("__lines")), "start": whole - F.col("__size"), "end": whole, "__heading": F.when(F.col("__block").isNotNull(), _joined(table_head)),
+    }).drop("__lines")
+    order = Window.partitionBy("__row").orderBy("chunk")
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+    carried = F.split(F.last("__heading", ignorenulls=True).over(earlier), "\n", -1)
+    lines = F.split(F.lag("content").over(order), "\n", -1)
+    tail = F.slice(lines, -F.least(F.size(lines), F.lit(overlap_lines)), F.lit(overlap_lines)) if overlap_lines > 0 else F.array().cast("array<string>")
+    goes_on = F.col("__first").isin("T", "S") & F.col("__carried").isNotNull()
+    overlap = F.when(goes_on, F.concat("__carried", F.array_except("__tail", "__carried"))).otherwise(F.col("__tail"))
+    total = F.count("*").over(Window.partitionBy("__row"))
+    empty = (F.col("content") == "") & (F.col("total_chunks") == 1) & (F.col("end") == 1)
+    out = chunks.withColumns({"__carried": carried, "__tail": tail, "total_chunks": total}).select(
+        doc, F.col("chunk").cast("bigint").alias("chunk_index"), "total_chunks", "content", "start",
+        # An empty text is one chunk without extent.
+        F.when(empty, 0).otherwise(F.col("end")).alias("end"),
+        F.when(F.col("chunk") > 0, F.array_join(overlap, "\n")).otherwise("").alias("overlap"), (F.col("chunk") < F.col("total_chunks") - 1).alias("has_more"),
+        F.max("end").over(Window.partitionBy("__row")).alias("__length"),
+    )
+    kept = out.where((F.col("end") > start_from) & (F.col("__length") > start_from)) if start_from > 0 else out
+    return kept.drop("__length")
