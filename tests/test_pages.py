@@ -200,3 +200,37 @@ def test_bytes_before_the_request_do_not_count(spark):
     for name, kind in (("frame_id", "string"), ("type", "string"), ("name", "string"), ("at", "double")):
         df = df.withColumn(name, F.lit(None).cast(kind))
     assert nw.har_entries(df).first()["received"] == 7
+
+
+def slow_hidden(boxes):
+    """boxes: (node, layer, x, y, w, h, opaque) in whole numbers"""
+    hidden = set()
+    for node, layer, x, y, w, h, _ in boxes:
+        covers = [(b[2], b[3], b[2] + b[4], b[3] + b[5]) for b in boxes if b[6] and b[1] > layer]
+        if all(any(c[0] <= px < c[2] and c[1] <= py < c[3] for c in covers) for px in range(x, x + w) for py in range(y, y + h)):
+            hidden.add(node)
+    return hidden
+
+
+@pytest.mark.parametrize("band", [5, 2_000])
+def test_boxes_under_others(spark, monkeypatch, band):
+    monkeypatch.setattr(tree, "BAND_BOXES", band)
+    rng = random.Random(band)
+    pages = {p: [(n, rng.randint(1, 12), rng.randint(0, 12), rng.randint(0, 12), rng.randint(1, 9), rng.randint(1, 9), rng.random() < 0.6) for n in range(40)] for p in range(6)}
+    rows = [(p, n, layer, float(x), float(y), float(w), float(h), "red" if opaque else "rgba(0, 0, 0, 0)", 1.0) for p, boxes in pages.items() for n, layer, x, y, w, h, opaque in boxes]
+    schema = "page_id bigint, node_id bigint, paint_order int, x double, y double, w double, h double, background string, opacity double"
+    odd = [(9, 1, 1, 2.0, 2.0, 0.0, 0.0, None, None), (9, 2, 2, 0.0, 0.0, 5.0, 5.0, "red", 0.9), (9, 3, 3, 0.0, 0.0, 9.0, 9.0, "red", 0.7), (9, 4, None, 0.0, 0.0, 1.0, 1.0, None, None), (9, 5, 1, 5.0, 1.0, 0.0, 1.0, None, None)]
+    got = {(r["page_id"], r["node_id"]) for r in tree.occluded(spark.createDataFrame(rows + odd, schema)).collect()}
+    want = {(p, n) for p, boxes in pages.items() for n in slow_hidden(boxes)}
+    assert got == want | {(9, 1)} and 20 < len(want) < 220
+
+
+def test_ten_thousand_boxes_on_a_page(spark):
+    n = spark.range(10_000).selectExpr(
+        "1L AS page_id", "id AS node_id", "CAST(id AS INT) AS paint_order", "CAST(id % 100 AS DOUBLE) AS x", "CAST(id DIV 100 AS DOUBLE) AS y", "2.0D AS w", "2.0D AS h", "'red' AS background", "1.0D AS opacity"
+    )
+    # A box lies under its right and lower neighbours but for its first cell; the last ones cover nothing further.
+    assert tree.occluded(n).count() == 0
+    assert tree.occluded(n.withColumn("w", F.when(F.col("node_id") == 9_999, 1000.0).otherwise(2.0)).withColumn("x", F.when(F.col("node_id") == 9_999, -1.0).otherwise(F.col("x")))).count() == 99
+    covered = n.unionByName(n.limit(1).selectExpr("page_id", "-1L AS node_id", "20000 AS paint_order", "-1.0D AS x", "-1.0D AS y", "60.0D AS w", "500.0D AS h", "background", "opacity"))
+    assert tree.occluded(covered).count() == 59 * 100  # the 59th column lies half under its neighbours

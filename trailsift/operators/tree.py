@@ -8,9 +8,9 @@ so ancestor questions are one explode and one equi join on ``(page_id, node_id)`
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
-from itertools import groupby
+from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -458,61 +458,63 @@ def find_elements(nodes: DataFrame, selector: str, attributes: Sequence[str] = (
     )
 
 
+# Boxes of a page in one band, on average.
+BAND_BOXES = 2_000
+
+
 def occluded(nodes: DataFrame) -> DataFrame:
-    """Nodes whose box is wholly under opaque boxes painted above it (paint order, descending).
+    """Nodes whose box is wholly under opaque boxes painted above it (a layer does not cover itself).
 
-    The boxes of a page are gathered by Spark; the rectangle cutting is a helper per page.
+    A box shows if somewhere in it no opaque box of a higher layer lies.  Pages are cut into bands, and a box is looked at in every band
+    it reaches into, so a page of any number of boxes is several tasks; a band is swept from left to right.  A box without width or
+    height counts as the least one that has both; nodes without place, size or paint order are no boxes.
     """
     opaque = (F.coalesce("background", F.lit("rgba(0, 0, 0, 0)")) != "rgba(0, 0, 0, 0)") & (
         F.coalesce("opacity", F.lit(1.0)) >= 0.8
     )
-    boxes = nodes.where("paint_order IS NOT NULL AND x IS NOT NULL").select(
-        "page_id", F.struct((-F.col("paint_order")).alias("layer"), "node_id", "x", "y", "w", "h", opaque.alias("opaque")).alias("b")
-    )
-    pages = boxes.groupBy("page_id").agg(F.array_sort(F.collect_list("b")).alias("boxes"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            hidden = [(page, n) for page, found in zip(batch["page_id"], batch["boxes"]) for n in _hidden(found)]
-            yield pd.DataFrame(hidden, columns=["page_id", "node_id"])
-
-    return pages.mapInPandas(run, "page_id bigint, node_id bigint")
-
-
-def _hidden(boxes: list[dict]) -> Iterator[int]:
-    """Covered boxes; the input is sorted from the top layer down, a layer does not cover itself."""
-    covers: list[tuple[float, float, float, float]] = []
-    for _, layer in groupby(boxes, key=lambda b: b["layer"]):
-        fresh = []
-        for b in layer:
-            rect = (b["x"], b["y"], b["x"] + b["w"], b["y"] + b["h"])
-            covered = _covered(rect, covers)
-            if covered:
-                yield b["node_id"]
-            elif b["opaque"]:
-                fresh.append(rect)
-        covers += fresh
-
-
-def _covered(rect: tuple, covers: list[tuple]) -> bool:
-    """Is the rectangle inside the union of the covers?  What is left of it is cut cover by cover."""
-    left = [rect]
-    for cx1, cy1, cx2, cy2 in covers:
-        rest = []
-        for x1, y1, x2, y2 in left:
-            if cx2 <= x1 or cx1 >= x2 or cy2 <= y1 or cy1 >= y2:
-                rest.append((x1, y1, x2, y2))
-                continue
-            if x1 < cx1:
-                rest.append((x1, y1, cx1, y2))
-            if cx2 < x2:
-                rest.append((cx2, y1, x2, y2))
-            mx1, mx2 = max(x1, cx1), min(x2, cx2)
-            if y1 < cy1:
-                rest.append((mx1, y1, mx2, cy1))
-            if cy2 < y2:
-                rest.append((mx1, cy2, mx2, y2))
-        left = rest
-        if not left:
-            return True
-    return not left
+    placed = nodes.where("paint_order IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL AND w IS NOT NULL AND h IS NOT NULL")
+    boxes = placed.select(
+        "page_id", "node_id", F.col("paint_order").cast("double").alias("layer"), opaque.alias("opaque"),
+        *(F.col(c).cast("double").alias(c) for c in ("x", "y")), (F.col("x") + F.greatest("w", F.lit(0))).cast("double").alias("right"), (F.col("y") + F.greatest("h", F.lit(0))).cast("double").alias("bottom"),
+    )
+    pages = boxes.groupBy("page_id").agg(F.min("x").alias("__from"), F.max("right").alias("__to"), (1 + F.floor(F.count("*") / BAND_BOXES)).cast("int").alias("__bands"))
+    wide = F.greatest((F.col("__to") - F.col("__from")) / F.col("__bands"), F.lit(1e-9))
+    # A little more on both sides, against rounding.
+    band_of = lambda at, by: F.least(F.greatest(F.floor((F.col(at) - F.col("__from")) / wide + by).cast("int"), F.lit(0)), F.col("__bands") - 1)
+    banded = boxes.join(pages, "page_id").withColumn("band", F.explode(F.sequence(band_of("x", -1e-6), band_of("right", 1e-6))))
+    start = F.when(F.col("band") > 0, F.col("__from") + F.col("band") * wide).otherwise(F.lit(float("-inf")))
+    stop = F.when(F.col("band") < F.col("__bands") - 1, F.col("__from") + (F.col("band") + 1) * wide).otherwise(F.lit(float("inf")))
+    banded = banded.select(*boxes.columns, "band", start.alias("start"), stop.alias("stop"))
+
+    def sweep(band: pd.DataFrame) -> pd.DataFrame:
+        return band.loc[_showing(band), ["page_id", "node_id"]]
+
+    showing = banded.groupBy("page_id", "band").applyInPandas(sweep, "page_id bigint, node_id bigint").distinct()
+    return boxes.select("page_id", "node_id").join(showing, ["page_id", "node_id"], "left_anti")
+
+
+def _showing(band: pd.DataFrame) -> np.ndarray:
+    """Which boxes of a band show: in a strip between edges of opaque boxes, the highest opaque layer along the height is known."""
+    x, right, y, bottom, layer = (band[c].to_numpy(float) for c in ("x", "right", "y", "bottom", "layer"))
+    right, bottom = np.maximum(right, np.nextafter(x, np.inf)), np.maximum(bottom, np.nextafter(y, np.inf))
+    start, stop = band["start"].iat[0], band["stop"].iat[0]
+    opaque = band["opaque"].to_numpy(bool)
+    edges = np.unique(np.concatenate([x[opaque], right[opaque]]))
+    edges = np.concatenate([[start], edges[(edges > start) & (edges < stop)], [stop]])
+    heights = np.unique(np.concatenate([y, bottom]))
+    top, low = np.searchsorted(heights, y), np.searchsorted(heights, bottom)
+    # Strips that a box reaches into: the first one, and the one after the last.
+    first, last = np.searchsorted(edges, x, "right") - 1, np.searchsorted(edges, right, "left")
+    first = np.maximum(first, 0)
+    covers = np.flatnonzero(opaque)[np.argsort(layer[opaque], kind="stable")]
+    shows = np.zeros(len(band), bool)
+    for strip in range(len(edges) - 1):
+        asked = np.flatnonzero(~shows & (first <= strip) & (last > strip))
+        if not len(asked):
+            continue
+        highest = np.full(len(heights), -np.inf)
+        for k in covers[(first[covers] <= strip) & (last[covers] > strip)]:
+            highest[top[k] : low[k]] = layer[k]
+        for k in asked:
+            shows[k] = highest[top[k] : low[k]].min() <= layer[k]
+    return shows
