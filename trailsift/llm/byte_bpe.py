@@ -33,7 +33,7 @@ from trailsift.llm.common import pieces
 LONG_WORD = 256  # bytes
 KEPT_WORDS = 300_000  # words in use after which a task forgets those that were not used since it last did so
 ROUND_WORDS = 30_000  # words of one recursive query
-CHUNK_CHARS = 4_000_000  # texts are taken together up to this size; a longer text is taken alone and whole
+CHUNK_CHARS = 3_000_000  # texts are taken together up to this size; a longer text is taken alone and whole
 # White space as the tokenizer's own regex engine has it (fixed values).
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -79,8 +79,9 @@ class Tokenizer:
 
     ranks: dict[bytes, int]
     pattern: str
-    coded: dict[str, tuple[str, bytes]] = field(default_factory=dict)  # word: ids joined by commas, and the bytes they decode to
-    older: dict[str, tuple[str, bytes]] = field(default_factory=dict)  # the same of words not used lately
+    coded: dict[str, str] = field(default_factory=dict)  # word: ids joined by commas
+    older: dict[str, str] = field(default_factory=dict)  # the same of words not used lately
+    changed: dict[str, bytes] = field(default_factory=dict)  # what the ids decode to, where that is not the word
 
     def __post_init__(self) -> None:
         self.words = regex.compile(self.pattern.replace(r"[^\s", f"[^{WHITE}").replace(r"\s", f"[{WHITE}]").replace(r"\S", f"[^{WHITE}]"))
@@ -125,7 +126,9 @@ class Tokenizer:
         self.db.register("coded", pa.table({"word": pa.array(range(len(words)), pa.int32()), "ids": ids}))
         plain = self.db.sql(DECODE).to_arrow_table()["hex"].to_pylist()
         for word, own, hexed in zip(words, ids.to_pylist(), plain, strict=True):
-            self.coded[word] = ",".join(map(str, own)), bytes.fromhex(hexed)
+            self.coded[word] = ",".join(map(str, own))
+            if word.encode() != (decoded := bytes.fromhex(hexed)):
+                self.changed[word] = decoded
 
     def _from_heap(self, word: bytes) -> list[int]:
         """The contractions of ``CONTRACT`` for one long word: pairs wait in a heap by rank, then place."""
@@ -164,8 +167,8 @@ class Tokenizer:
             self.coded[word] = self.older.pop(word)
         self.learn(sorted(new - self.coded.keys()))
         for words in cut:
-            found = [self.coded[w] for w in words]
-            yield ",".join([ids for ids, _ in found]), b"".join([plain for _, plain in found])
+            plain = b"".join([self.changed.get(w, w.encode()) for w in words]) if self.changed else "".join(words).encode()
+            yield ",".join([self.coded[w] for w in words]), plain
 
 
 def parse_ranks(content: bytes) -> dict[bytes, int]:
