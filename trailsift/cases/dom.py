@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from trailsift.cases import fixtures as fx
 from trailsift.cases.base import case
 from trailsift.functions import elements as el
+from trailsift.functions import registry as rg
 from trailsift.operators import corpus as co
 from trailsift.operators import markdown as md
 from trailsift.operators import tree
@@ -331,6 +332,44 @@ def _(spark, sf):
     return co.label_values(_details(spark, sf), {"mode": "table"})
 
 
+# Three sites whose result pages and detail pages are read by different rules.
+SITES = [
+    {"site_id": "Org", "item_link_selector": "nav a[href]", "item_id_regex": r"//[^/]+/([A-Za-z]+)", "manifest_template": "https://org/{id}.json", "host_suffixes": ["example.org"],
+     "detail": {"mode": "dl", "header_fields": [{"selector": "body > h1.t", "label": "Title"}]}},
+    {"site_id": "net", "item_link_selector": "ul > li > a[href^='/t'], nav li a[href*='der']", "item_id_regex": r"/([a-z]{2,})$", "manifest_template": "https://net/{id}", "host_suffixes": ["example.net"],
+     "detail": {"section_selector": "section", "label_selector": "h4"}},
+    {"site_id": "com", "item_link_selector": "div a, article a", "item_id_regex": "/(.+)", "manifest_template": "https://com/{id}", "host_suffixes": ["example.com", "example.example"],
+     "detail": {"mode": "table", "section_selector": "body table", "header_fields": [{"selector": "h1", "label": "Name"}, {"selector": "section h4", "label": "Kind"}]}},
+]
+
+
+@case("udf_2_site_items", r"""
+WITH a AS (SELECT page_id, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS root, regexp_extract(url, '\.example\.([a-z]+)[/?#:]', 1) AS site, regexp_extract_all(html, '<a href="([^"]*)">', 1) AS hrefs FROM pages),
+b AS (SELECT page_id, root, site, unnest(hrefs) AS href, unnest(range(0, len(hrefs))) AS i FROM a),
+c AS (SELECT page_id, site, root || href AS url, CASE site WHEN 'org' THEN regexp_extract(href, '^/([A-Za-z]+)', 1)
+  WHEN 'net' THEN CASE WHEN starts_with(href, '/t') OR contains(href, 'der') THEN regexp_extract(href, '/([a-z]{2,})$', 1) END END AS id, i FROM b),
+d AS (SELECT page_id, site, id, arg_min(url, i) AS url, min(i) AS i FROM c WHERE id <> '' GROUP BY page_id, site, id)
+SELECT page_id, site, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS index, id, url, CASE site WHEN 'org' THEN 'https://org/' || id || '.json' ELSE 'https://net/' || id END AS manifest_url,
+  count(*) OVER (PARTITION BY page_id) AS total_found FROM d""")
+def _(spark, sf):
+    profiles = [rg.SiteProfile.of(p) for p in SITES]
+    return co.site_items(_nodes(spark, sf), _pages(spark, sf), profiles).select("page_id", "site", "index", "id", "url", "manifest_url", "total_found")
+
+
+@case("udf_2_site_labels", r"""
+WITH p AS (SELECT p_partkey AS page_id, p_partkey % 4 AS s, trim(regexp_replace(p_name, '\s+', ' ', 'g')) AS name, p_brand AS brand, p_type AS type, p_size AS size FROM part)
+SELECT page_id, CAST(1 AS BIGINT) AS ordinal, 'Title' AS label, name AS value FROM p WHERE s = 0
+UNION ALL SELECT page_id, 2, 'Brand', brand || ' ' || size FROM p WHERE s = 0 UNION ALL SELECT page_id, 3, 'Type', type FROM p WHERE s = 0
+UNION ALL SELECT page_id, 1, 'Kinds', brand || ', ' || type FROM p WHERE s = 1 UNION ALL SELECT page_id, 2, 'Size', 'about ' || size || ' cm' FROM p WHERE s = 1
+UNION ALL SELECT page_id, 1, 'Name', name FROM p WHERE s = 2 UNION ALL SELECT page_id, 2, 'Kind', 'Kinds' FROM p WHERE s = 2
+UNION ALL SELECT page_id, 3, 'Price', CAST(size AS VARCHAR) FROM p WHERE s = 2""")
+def _(spark, sf):
+    parts = fx.table(spark, sf, "part")
+    host = F.element_at(F.array(*map(F.lit, ["www.example.org", "example.net", "a.b.example.com", "elsewhere.example.edu"])), (F.col("p_partkey") % 4 + 1).cast("int"))
+    pages = parts.select(F.col("p_partkey").alias("page_id"), F.concat(F.lit("https://"), host, F.lit("/item")).alias("url"))
+    return co.site_labels(_details(spark, sf), pages, [rg.SiteProfile.of(p) for p in SITES])
+
+
 MANIFEST = """
 concat('{"id":"https://data.example.org/iiif/3/manifest/', p_partkey, '","label":{"en":["', p_brand, '"]},"metadata":[{"label":{"en":["Type"]},"value":{"en":["', p_type,
  '"]}}],"items":[{"items":[{"body":{"type":"Image","id":"https://data.example.org/image/iiif/3/a', p_partkey, '","service":[{"id":"https://data.example.org/image/iiif/3/a', p_partkey,

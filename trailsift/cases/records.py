@@ -314,6 +314,26 @@ def _(spark, sf):
     return ca.assign_sequences(new, used, 11).select("pos", "sequence")
 
 
+@case("win_8_recover_sequences", """
+WITH used AS (SELECT DISTINCT sequence * 2 AS n FROM fx_existing WHERE status = 'downloaded' AND pos % 3 <> 0),
+f AS (SELECT pos, CASE WHEN pos % 4 = 1 THEN NULL WHEN pos % 4 = 2 THEN pos // 2 ELSE pos * 2 + 5 * (pos % 3) END AS own FROM fx_incoming),
+kept AS (SELECT own AS n, min(pos) AS pos FROM f WHERE own >= 1 AND own NOT IN (SELECT n FROM used) GROUP BY own),
+reserved AS (SELECT n FROM used UNION SELECT n FROM kept),
+free AS (SELECT range AS n, row_number() OVER (ORDER BY range) AS rank FROM range(1, (SELECT CAST(max(n) * 2 + 1000 AS BIGINT) FROM reserved)) WHERE range NOT IN (SELECT n FROM reserved)),
+tops AS (
+  SELECT f.pos, k.n AS kept, greatest((SELECT max(n) FROM used), coalesce(max(k.n) OVER (ORDER BY f.pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS top
+  FROM f LEFT JOIN kept k USING (pos)
+), movers AS (SELECT pos, top, row_number() OVER (ORDER BY pos) AS i FROM tops WHERE kept IS NULL),
+leads AS (SELECT m.pos, i, (SELECT count(*) FROM free WHERE free.n <= m.top) AS below FROM movers m),
+ranks AS (SELECT pos, i + 1 + max(below - i) OVER (ORDER BY pos) AS rank FROM leads)
+SELECT pos, n AS sequence FROM ranks JOIN free USING (rank) UNION ALL SELECT pos, n FROM kept""")
+def _(spark, sf):
+    old, new = fx.halves(spark, sf)
+    used = ca.downloaded(old).where("pos % 3 <> 0").select((F.col("sequence") * 2).alias("sequence"))
+    files = new.select("pos", F.expr("CASE WHEN pos % 4 = 1 THEN NULL WHEN pos % 4 = 2 THEN pos DIV 2 ELSE pos * 2 + 5 * (pos % 3) END").alias("own"))
+    return ca.recover_sequences(files, used).select("pos", "sequence")
+
+
 @case("snk_2_upsert", """
 WITH o AS (SELECT sha256, max(pos) AS p FROM fx_existing WHERE status = 'downloaded' GROUP BY 1),
 n AS (SELECT sha256, max(pos) AS p, arg_max(title, pos) AS t FROM fx_incoming WHERE status = 'downloaded' GROUP BY 1),

@@ -447,6 +447,29 @@ def _(spark, sf):
     return hi.unique_names(a, ["run"], "name", "pos").select("run", "pos", "unique_name")
 
 
+@case("win_10_unique_paths", """
+WITH a AS (SELECT pos, 'dir' || (run % 3) AS folder, 'scan' || (pos % 40) AS stem, CASE WHEN pos % 5 = 0 THEN '' ELSE '.tif' END AS suffix FROM fx_actions),
+p AS (SELECT *, left(sha1(folder || '/' || stem || suffix), 8) AS digest, pos % 40 AS c, row_number() OVER (PARTITION BY folder, stem, suffix ORDER BY pos) AS rn FROM a),
+i AS (SELECT *, rn - 1 + CASE WHEN c % 4 = 0 THEN 1 ELSE 0 END AS idx,
+  list_filter(range(0, rn + 4), lambda x: NOT ((x = 0 AND c % 3 = 0) OR (x = 2 AND c % 6 = 0))) AS free FROM p),
+n AS (SELECT *, CASE WHEN idx > 0 THEN free[idx] END AS number FROM i)
+SELECT pos, folder, stem || CASE WHEN number IS NULL THEN '' WHEN number = 0 THEN '_' || digest ELSE '_' || digest || '_' || number END || suffix AS unique_name FROM n""")
+def _(spark, sf):
+    c = F.col("pos") % 40
+    suffix = F.when(F.col("pos") % 5 == 0, "").otherwise(".tif")
+    stem = F.concat(F.lit("scan"), c.cast("string"))
+    a = fx.actions(spark, sf).select("pos", F.concat(F.lit("dir"), (F.col("run") % 3).cast("string")).alias("folder"), F.concat(stem, suffix).alias("name"), c.alias("c"), stem.alias("stem"), suffix.alias("suffix"))
+    digest = F.substring(F.sha1(F.concat_ws("/", "folder", "name")), 1, 8)
+    # Files that are there: some names, some hashed names, some with a counter.
+    paths = a.select("folder", "name", "c", "stem", "suffix").distinct()
+    there = F.array_compact(F.array(
+        F.when(F.col("c") % 4 == 0, F.col("name")), F.when(F.col("c") % 3 == 0, F.concat("stem", F.lit("_"), digest, "suffix")),
+        F.when(F.col("c") % 6 == 0, F.concat("stem", F.lit("_"), digest, F.lit("_2"), "suffix")),
+    ))
+    existing = paths.select("folder", F.explode(there).alias("name"))
+    return hi.unique_paths(a.select("pos", "folder", "name"), existing, "folder", "name", "pos").select("pos", "folder", "unique_name")
+
+
 @case("win_11_first_seen", "SELECT run, url, min(pos) AS pos, arg_min(name, pos) AS name FROM fx_actions GROUP BY run, url")
 def _(spark, sf):
     return hi.first_seen(fx.actions(spark, sf), ["run", "url"], "pos", ["name"])

@@ -375,13 +375,11 @@ def missing_numbers(used: DataFrame, column: str, last: Column | int) -> DataFra
     return slices.select(F.explode(F.sequence("a", F.least("b", F.col("a") + size - 1))).alias(column))
 
 
-def assign_sequences(
-    new_rows: DataFrame, used: DataFrame, start: int, order: str = "pos", keys: Sequence[str] = (), out: str = "sequence"
-) -> DataFrame:
-    """Give new rows, in order, the next integers from ``start`` that are not in use (per ``keys``).
+def nth_free(rows: DataFrame, used: DataFrame, start: int, row: str, keys: Sequence[str] = (), out: str = "sequence") -> DataFrame:
+    """For rows with ``at``: the ``at``-th integer from ``start`` that is not in use (per ``keys``), as ``row`` and ``out``.
 
-    The i-th free integer lies in the gap whose running count of free integers reaches i.  Gaps and
-    rows are merged by that count and each row takes the gap that was last seen before it.
+    It lies in the gap whose running count of free integers reaches ``at``.  Gaps and rows are merged by that count and each row takes the
+    gap that was last seen before it.
     """
     keys = list(keys)
     taken = used.where(F.col(out) >= start).select(*keys, F.col(out).alias("n")).distinct()
@@ -391,10 +389,7 @@ def assign_sequences(
         numbered.select(*keys, (F.col("n") - start - (F.col("nth") - 1)).alias("at"), "nth")
         .groupBy(*keys, "at").agg(F.max("nth").alias("skipped"))
     )
-    rows = ordered.number_rows(new_rows, keys, [order], ordered.position_block(order), "__i")
-    narrow = rows.select(
-        *keys, F.col("__i").alias("at"), F.lit(None).cast("bigint").alias("skipped"), F.col(order).alias("__row")
-    )
+    narrow = rows.select(*keys, "at", F.lit(None).cast("bigint").alias("skipped"), F.col(row).alias("__row"))
     merged = gaps.select(*keys, "at", "skipped", F.lit(None).cast("bigint").alias("__row")).unionByName(narrow)
     # A gap that opens after ``at`` free integers serves rows at + 1 and later, so rows sort before it.
     placed = ordered.scan(
@@ -402,11 +397,45 @@ def assign_sequences(
         keys, ["at", "__side"], ordered.position_block("at"),
         [ordered.Scan("__skip", "max", F.col("skipped"))],
     ).where("__row IS NOT NULL")
-    numbers = placed.select(
-        *keys, F.col("__row").alias(order),
-        (F.lit(start - 1) + F.col("at") + F.coalesce("__skip", F.lit(0))).alias(out),
+    return placed.select(*keys, F.col("__row").alias(row), (F.lit(start - 1) + F.col("at") + F.coalesce("__skip", F.lit(0))).alias(out))
+
+
+def assign_sequences(
+    new_rows: DataFrame, used: DataFrame, start: int, order: str = "pos", keys: Sequence[str] = (), out: str = "sequence"
+) -> DataFrame:
+    """Give new rows, in order, the next integers from ``start`` that are not in use (per ``keys``)."""
+    keys = list(keys)
+    rows = ordered.number_rows(new_rows, keys, [order], ordered.position_block(order), "at")
+    numbers = nth_free(rows, used, start, order, keys, out)
+    return rows.drop("at", out).join(numbers, [*keys, order])
+
+
+def recover_sequences(files: DataFrame, used: DataFrame, order: str = "pos", own: str = "own", out: str = "sequence") -> DataFrame:
+    """Number recovered files: a file keeps its own number if nobody has it, others go on behind the largest number so far.
+
+    Own numbers that are free are reserved first, each for the first file (by ``order``) that bears it.  Then the others, in order, take
+    the next integer that is larger than every number so far, stored or kept before them, and not reserved.  Counted in free integers
+    that is a running maximum: the j-th of them gets at least one more than the one before, and more than lie below the largest number.
+    """
+    taken = used.select(F.col(out).cast("bigint").alias(out)).where(F.col(out) >= 1).distinct()
+    free = files.where(F.col(own) >= 1).select(F.col(own).cast("bigint").alias(out), order).join(taken, out, "left_anti")
+    # The file list is read again below, so the few columns that decide are cut off here.
+    kept = cut(free.groupBy(out).agg(F.min(order).alias(order)))
+    reserved = cut(taken.unionByName(kept.select(out)))
+    highest = taken.agg(F.coalesce(F.max(out), F.lit(0))).scalar()
+    marked = files.select(order).join(kept.withColumnRenamed(out, "__kept"), order, "left").withColumn("__stored", highest)
+    # In the order of the files: the largest number so far, and how many had to move on.
+    seen = ordered.scan(
+        marked, [], [order], ordered.position_block(order),
+        [ordered.Scan("__before", "max", F.col("__kept"), before=True), ordered.Scan("__i", "sum", F.col("__kept").isNull().cast("bigint"))],
     )
-    return rows.drop("__i", out).join(numbers, [*keys, order])
+    movers = seen.where("__kept IS NULL").select(order, "__i", F.greatest("__stored", F.coalesce("__before", F.lit(0))).alias("__top"))
+    below = ordered.number_rows(reserved, [], [out], ordered.position_block(out), "__nth").select(F.col(out).alias("__top"), (F.col(out) - F.col("__nth")).alias("__free"))
+    ranked = movers.join(below, "__top", "left").withColumn("__lead", F.coalesce("__free", F.lit(0)) - F.col("__i"))
+    ahead = ordered.scan(ranked, [], [order], ordered.position_block(order), [ordered.Scan("__most", "max", F.col("__lead"))])
+    rows = ahead.select(order, (F.col("__most") + F.col("__i") + 1).alias("at"))
+    numbers = nth_free(rows, reserved, 1, order, (), out).unionByName(kept.select(order, out))
+    return files.drop(out).join(numbers, order)
 
 
 def rank_records(records: DataFrame) -> DataFrame:

@@ -181,7 +181,7 @@ def unique_names(rows: DataFrame, scope: Sequence[str], name: str, position: str
     numbered = ordered.number_rows(rows, keys, [position], block, "__nth")
     literal = rows.select(
         *scope, F.regexp_extract(name, r"(?s)^(.*)_\d+$", 1).alias(name),
-        F.regexp_extract(name, r"_(\d{1,17})$", 1).try_cast("bigint").alias("__suffix"),
+        F.regexp_extract(name, r"_(\d+)$", 1).try_cast("bigint").alias("__suffix"),  # beyond a long no row gets there
     ).where(F.col("__suffix").isNotNull())
     again = assign_sequences(
         numbered.where("__nth > 1").select(*keys, position), literal, first, position, keys, "__suffix"
@@ -192,6 +192,32 @@ def unique_names(rows: DataFrame, scope: Sequence[str], name: str, position: str
     ).drop("__nth", "__suffix")
 
 
+def unique_paths(rows: DataFrame, existing: DataFrame, folder: str, name: str, position: str, out: str = "unique_name") -> DataFrame:
+    """File names that overwrite nothing: the first of a path keeps its name if no file has it, the others get the path's hash.
+
+    ``a.tif`` becomes ``a_`` and eight digits of the SHA-1 of the path, then the same with ``_1``, ``_2`` …  Forms that stand among the
+    existing files or in the data are skipped.
+    """
+    keys = [folder, name]
+    block = ordered.position_block(position)
+    parts = r"(?s)^(.+?)(\.[^.]+)?$"
+    digest = lambda n: F.substring(F.sha1(F.concat_ws("/", folder, n)), 1, 8)
+    everything = rows.select(*keys).unionByName(existing.select(*keys))
+    hashed = r"(?s)^(.+)_([0-9a-f]{8})(?:_([1-9]\d*))?(\.[^.]+)?$"
+    bare = F.concat(F.regexp_extract(name, hashed, 1), F.regexp_extract(name, hashed, 4))
+    literal = everything.where(F.col(name).rlike(hashed) & (digest(bare) == F.regexp_extract(name, hashed, 2))).select(
+        folder, bare.alias(name), F.coalesce(F.regexp_extract(name, hashed, 3).try_cast("bigint"), F.lit(0)).alias("__suffix")
+    )
+    numbered = ordered.number_rows(rows, keys, [position], block, "__nth")
+    held = existing.select(*keys).distinct().withColumn("__held", F.lit(True))
+    late = numbered.join(held, keys, "left").where((F.col("__nth") > 1) | F.col("__held"))
+    again = assign_sequences(late.select(*keys, position), literal, 0, position, keys, "__suffix")
+    count = F.when(F.col("__suffix") > 0, F.concat(F.lit("_"), F.col("__suffix").cast("string"))).otherwise("")
+    moved = F.concat(F.regexp_extract(name, parts, 1), F.lit("_"), digest(F.col(name)), count, F.regexp_extract(name, parts, 2))
+    joined = numbered.join(again, [*keys, position], "left")
+    return joined.withColumn(out, F.when(F.col("__suffix").isNull(), F.col(name)).otherwise(moved)).drop("__nth", "__suffix")
+
+
 def first_seen(rows: DataFrame, keys: Sequence[str], position: str, columns: Sequence[str]) -> DataFrame:
     """The first row of each distinct value, as a combining aggregate."""
     picked = F.min_by(F.struct(position, *columns), position).alias("__p")

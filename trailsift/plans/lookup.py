@@ -29,8 +29,7 @@ def pick(df: DataFrame, keys: Sequence[str], order: Column, columns: Sequence[st
 def spread(df: DataFrame) -> DataFrame:
     """Spread rows over all cores where the input has fewer splits than there are cores.
 
-    For costly per-row work on a few splits that would leave most cores idle.  An input with splits for a quarter of
-    the cores or more is left as it is: moving it would cost more than the idle cores.
+    For costly per-row work on a few splits that would leave cores idle.  An input with a split for every core stays as it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if 4 * df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

@@ -17,6 +17,8 @@ SQL_SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Texts go to Python in batches of this size, whatever the number of rows.
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
     # Keyed state of streams outgrows the heap; only this store also has timers and lists.
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
