@@ -1,6 +1,7 @@
 """Every operator on nulls, empty and long texts, ties, repeated rows, clashing names and empty tables."""
 
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -138,6 +139,16 @@ def test_secrets_of_odd_texts(spark):
     assert found[11].base_text == "assign:0:23,access:28:48" and found[4].base_text == found[5].spans_text == ""
 
 
+def test_owners_and_repositories(spark):
+    token, example, spread = "aB3dE6gH9kL2mN5pQ8sT1vWx", "zY8xW5vU2tS9rQ6pO3nM1lKj", "qW1eR2tY3uI4oP5aS6dF7gHj"
+    rows = [(k, token, f"l{k}", "one") for k in range(12)] + [(100 + k, example, "en", f"s{k}") for k in range(4)]
+    rows += [(200 + k, spread, f"l{k // 2}", f"s{k % 2}") for k in range(10)]
+    found = {r.id: r for r in secrets.scan(frame(spark, rows), F.col("source"), F.col("lang")).collect()}
+    assert all(found[k].n_live == 1 and (found[k].held[0].owners, found[k].held[0].repositories) == (1, 12) for k in range(12))
+    assert all(found[100 + k].n_live == 0 and found[100 + k].held[0].owners == 4 for k in range(4))
+    assert all(found[200 + k].n_live == 0 and (found[200 + k].held[0].owners, found[200 + k].held[0].repositories) == (2, 10) for k in range(10))
+
+
 def test_mixing_without_labels(spark):
     found = mixing.report(frame(spark, odd_rows()), labels(spark), TARGETS).collect()
     assert {tuple(r.steps) for r in found} == {(50, 50)}
@@ -160,6 +171,23 @@ def test_vectors(spark):
     assert embedding_dedup.dedup(docs.limit(0)).count() == 0
 
 
+def test_vectors_of_all_lengths(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = [(100 * n + k, [rng.gauss(0, 1) for _ in range(n)]) for n, many in ((8, 60), (5, 30), (3, 4)) for k in range(many)]
+    rows += [(i + 1_000_000, [x * 1.01 + 0.001 for x in v]) for i, v in rows] + [(7_000_000, rows[-1][1]), (8_000_000, [1.0] * 6)]
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+
+    def cosine(a, b):
+        return sum(x * y for x, y in zip(a, b, strict=True)) / (sum(x * x for x in a) * sum(y * y for y in b)) ** 0.5
+
+    want = {i: sum(len(v) == len(w) and i != j and cosine(v, w) >= 0.9 for j, w in rows) for i, v in rows}
+    for block in (1_500, 20):  # one index; an index for each of two lengths
+        monkeypatch.setattr(embedding_dedup, "BLOCK", block)
+        found = {r.id: r for r in embedding_dedup.dedup(docs).collect()}
+        assert {i: r.n_links for i, r in found.items()} == want
+        assert found[1_000_300].component_id == 300 and found[8_000_000].component_id == 8_000_000
+
+
 def test_pages(spark):
     rows = [(1, None, None), (2, "", ""), (3, "not a url", "plain <b>text"), (3, "not a url", "plain <b>text"), (None, "http://h/x", "<p>" + "w " * 200_000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("path", F.lit("clash")).withColumn("host", F.lit("clash"))

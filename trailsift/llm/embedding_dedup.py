@@ -9,12 +9,16 @@ link is lost.  A pair counts if either of the two visits the other's list.  Rera
 Lists and their queries are dealt in blocks, so a list that holds a third of all vectors is many tasks.  Tasks return per vector the
 number of its links and its place in a spanning forest of the links they saw, never the pairs.
 
-Defined results: a vector that is null, zero, holds null or non-finite components, or is not of the most frequent length links with
-nothing; an empty table gives an empty result; rows with equal ids are separate rows; other columns are never looked at.
+Vectors of different lengths never link.  The most frequent length has an index of its own, and so has every other length of more than
+``BLOCK`` classes; the classes of a smaller one are compared with each other, each length in a task of its own.
+
+Defined results: a vector that is null, zero, or holds null or non-finite components links with nothing; an empty table gives an empty result; rows with equal ids are separate rows; other columns are never looked at.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -176,20 +180,40 @@ def links(classes: DataFrame, book: Codebook, least: float) -> DataFrame:
     return members.union(queries).groupBy("list", "mb", "qb").applyInPandas(meet, "node long, links long, root long")
 
 
+def _compared(least: float):  # noqa: ANN202
+    """Links among all classes of one length, in the form of ``links``."""
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        vectors, n, nodes = np.stack(pdf["vector"]), pdf["n"].to_numpy(), pdf["node"].to_numpy()
+        i, j = _linked(vectors, vectors, np.triu(np.ones((len(nodes), len(nodes)), bool), 1), least)
+        found = np.bincount(i, weights=n[j], minlength=len(nodes)) + np.bincount(j, weights=n[i], minlength=len(nodes))
+        root = _forest(i, j, len(nodes))
+        return pd.DataFrame({"node": nodes, "links": found.astype(np.int64), "root": nodes[root]})[found > 0]
+
+    return compare
+
+
 def dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = SIMILARITY) -> DataFrame:
     """Per row: ``id``, ``n_links`` (other rows linked directly), ``component_id`` (least id of the component)."""
     rows = stored(_numbered(vectors, id_col, vector_col), "vectors")
-    lengths = rows.filter(F.col("key").isNotNull()).groupBy(F.size("vector").alias("length")).count().orderBy(F.desc("count"), "length").first()
-    if lengths is None:
-        return rows.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
-    fits = F.col("key").isNotNull() & (F.size("vector") == lengths["length"])
+    fits = F.col("key").isNotNull()
     grouped = rows.filter(fits).groupBy("key").agg(F.min("id").alias("least_id"), F.count("*").alias("n"), F.first("vector").alias("vector"))
-    classes = stored(grouped.withColumn("node", F.monotonically_increasing_id()), "vector-classes")
-    total = classes.count()
-    draw = F.xxhash64("key", F.lit("train"))
-    sample = classes.select(draw.alias("draw"), "vector").orderBy("draw").limit(TRAINED).collect()
-    book = Codebook(_unit(np.array([r["vector"] for r in sample])), min(LISTS, 1 + total // LIST_SIZE))
-    found = stored(links(classes, book, least), "vector-links")
+    classes = stored(grouped.withColumn("node", F.monotonically_increasing_id()).withColumn("length", F.size("vector")), "vector-classes")
+    lengths = sorted(((r["count"], r["length"]) for r in classes.groupBy("length").count().collect()), reverse=True)
+    if not lengths:
+        return rows.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    indexed = [lengths[0], *((total, length) for total, length in lengths[1:] if total > BLOCK)]
+    parts = []
+    for total, length in indexed:
+        own = classes.filter(F.col("length") == length)
+        draw = F.xxhash64("key", F.lit("train"))
+        sample = own.select(draw.alias("draw"), "vector").orderBy("draw").limit(TRAINED).collect()
+        book = Codebook(_unit(np.array([r["vector"] for r in sample])), min(LISTS, 1 + total // LIST_SIZE))
+        parts.append(links(own, book, least))
+    if len(lengths) > len(indexed):
+        rest = classes.filter(~F.col("length").isin([length for _, length in indexed]))
+        parts.append(rest.groupBy("length").applyInPandas(_compared(least), "node long, links long, root long"))
+    found = stored(reduce(DataFrame.union, parts), "vector-links")
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     placed = classes.select("key", "node", "n", "least_id").join(counts, "node", "left").join(roots, "node", "left").select(

@@ -96,34 +96,37 @@ WITH kinds(kind, name, pattern, part, least) AS (VALUES
   (0, 'assign', '((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2, 8),
   (1, 'access', 'AKIA[A-Z0-9]+', 0, 16), (2, 'hex', '[0-9a-f]+', 0, 32), (3, 'live', '[A-Za-z0-9+/_-]{24,}', 0, 24)
 ), texts AS (
-  SELECT doc_id, coalesce(text, '') AS t, coalesce(source, '') AS owner FROM documents
+  SELECT doc_id, coalesce(text, '') AS t, coalesce(source, '') AS owner, concat_ws('/', source, lang) AS repository FROM documents
 ), cut AS (
-  SELECT doc_id, owner, kind, least, string_split_regex(t, pattern) AS gaps, regexp_extract_all(t, pattern, 0) AS hits,
+  SELECT doc_id, owner, repository, kind, least, string_split_regex(t, pattern) AS gaps, regexp_extract_all(t, pattern, 0) AS hits,
     CASE part WHEN 2 THEN regexp_extract_all(t, pattern, 2) ELSE regexp_extract_all(t, pattern, 0) END AS vals
   FROM texts, kinds
 ), places AS (
   SELECT *, list_transform(gaps, lambda x: length(x)) AS g, list_transform(hits, lambda x: length(x)) AS h, unnest(range(1, len(hits) + 1)) AS i FROM cut
 ), found AS (
-  SELECT doc_id, owner, kind, vals[i] AS val, CAST(list_sum(g[1:i]) + coalesce(list_sum(h[1:i - 1]), 0) AS BIGINT) AS a, h[i] AS size
+  SELECT doc_id, owner, repository, kind, vals[i] AS val, CAST(list_sum(g[1:i]) + coalesce(list_sum(h[1:i - 1]), 0) AS BIGINT) AS a, h[i] AS size
   FROM places WHERE length(vals[i]) >= least
-), spans AS (SELECT doc_id, owner, kind, val, a, a + size AS b FROM found),
+), spans AS (SELECT doc_id, owner, repository, kind, val, a, a + size AS b FROM found),
 base AS (SELECT * FROM spans WHERE kind < 3),
 tokens AS (
   SELECT * FROM spans s WHERE kind = 3 AND regexp_matches(val, '[a-z]') AND regexp_matches(val, '[A-Z]') AND regexp_matches(val, '[0-9]')
     AND len(list_distinct(string_split(val, ''))) >= 12
     AND NOT EXISTS (SELECT 1 FROM base WHERE base.doc_id = s.doc_id AND base.a < s.b AND s.a < base.b)
 ), both_kinds AS (SELECT * FROM base UNION ALL SELECT * FROM tokens),
-owners AS (SELECT val, count(DISTINCT owner) > 3 AS copied FROM both_kinds GROUP BY val),
-judged AS (SELECT b.*, copied FROM both_kinds b JOIN owners USING (val)),
+counts AS (SELECT val, count(DISTINCT owner) AS n_owners, count(DISTINCT (owner, repository)) AS n_repositories FROM both_kinds GROUP BY val),
+owners AS (SELECT *, n_owners > 3 OR (n_owners > 1 AND n_repositories > 8) AS copied FROM counts),
+judged AS (SELECT b.*, copied, n_owners, n_repositories FROM both_kinds b JOIN owners USING (val)),
 sums AS (
   SELECT doc_id, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access, count(*) FILTER (WHERE kind = 2) AS n_hex,
     coalesce(string_agg(name || ':' || a || ':' || b, ',' ORDER BY a, kind) FILTER (WHERE kind < 3), '') AS base_text,
     coalesce(string_agg(name || ':' || a || ':' || b, ',' ORDER BY a, kind) FILTER (WHERE kind < 3 OR NOT copied), '') AS spans,
-    CAST(count(*) FILTER (WHERE kind = 3 AND NOT copied) AS INTEGER) AS n_live, CAST(count(*) FILTER (WHERE kind < 3 AND copied) AS INTEGER) AS n_copied
+    CAST(count(*) FILTER (WHERE kind = 3 AND NOT copied) AS INTEGER) AS n_live, CAST(count(*) FILTER (WHERE kind < 3 AND copied) AS INTEGER) AS n_copied,
+    max(n_owners) AS most_owners, max(n_repositories) AS most_repositories
   FROM judged JOIN kinds USING (kind) GROUP BY doc_id
 )
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base_text, '')) AS base_sha256,
-  coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied
+  coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied,
+  coalesce(most_owners, 0) AS most_owners, coalesce(most_repositories, 0) AS most_repositories
 FROM texts LEFT JOIN sums USING (doc_id)
 """,
 )
@@ -133,6 +136,7 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         F.col("id").alias("doc_id"), *(secrets.count_of(kind).alias(f"n_{kind}") for kind in ("assign", "access", "hex")),
         F.sha2("base_text", 256).alias("base_sha256"), F.col("spans_text").alias("spans"), "n_live", "n_copied",
+        *(F.coalesce(F.array_max(f"held.{kind}"), F.lit(0).cast("long")).alias(f"most_{kind}") for kind in ("owners", "repositories")),
     )
 
 

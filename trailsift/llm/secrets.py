@@ -2,13 +2,15 @@
 
 All expressions run inside the JVM.  The gaps that ``split`` leaves between the matches of a pattern give the place of each match.
 Every candidate value is hashed; the hashes are counted over the whole corpus by distinct owners and by distinct repositories (an
-owner's parts).  A value that more than ``max_owners`` owners hold is a widely copied example; a token in nobody else's texts looks
-live and is reported as a span of its own.  Base spans are always reported.
+owner's parts).  A value is a widely copied example if more than ``max_owners`` owners hold it, or more than one owner and more than
+``max_repositories`` repositories in all.  A value in ever so many repositories of one owner is that owner's own: such a token looks live
+and is reported as a span of its own.  Base spans are always reported, with both counts beside them.
 
 Counting combines per map task (value, owner, repository), so an example that a third of all rows repeat costs one row per task.
 
 Defined results: a null text counts as empty and has no spans; null owners and repositories count as one owner and repository;
-repeated rows each get the full result; an empty table gives an empty result; other columns are never looked at.
+repeated rows each get the full result; a very long text is one row, searched whole by expressions of the JVM; an empty table gives an
+empty result; other columns are never looked at.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ TOKEN_PARTS = ["[a-z]", "[A-Z]", "[0-9]"]
 TOKEN_CHARACTERS = 12  # different characters at least
 KINDS = [*(kind for kind, *_ in BASE), "live"]
 MAX_OWNERS = 3
+MAX_REPOSITORIES = 8
 
 SPAN = "struct<start: int, kind: int, end: int, hash: binary>"
 
@@ -95,22 +98,25 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(F.sort_array(spans), word), ",")
 
 
-def scan(docs: DataFrame, owner: Column, repository: Column, id_col: str = "doc_id", text_col: str = "text", max_owners: int = MAX_OWNERS) -> DataFrame:
+def scan(docs: DataFrame, owner: Column, repository: Column, id_col: str = "doc_id", text_col: str = "text",
+         max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
     """Per document: id, base spans, all spans (array of start, kind, end), and how many base values are widely copied.
 
     ``base`` and ``spans`` are arrays; ``base_text`` and ``spans_text`` say them as ``kind:start:end`` in order of start and kind.
+    ``held`` tells of every candidate, reported or not, how many owners and repositories have its value, and whether it is copied.
     """
     found = stored(candidates(docs, id_col, text_col, owner, repository), "secret-candidates")
-    owners = ownership(found).withColumn("copied", F.col("owners") > max_owners).select("hash", "copied")
+    widely = (F.col("owners") > max_owners) | ((F.col("owners") > 1) & (F.col("repositories") > max_repositories))
+    owners = ownership(found).withColumn("copied", widely)
     spans = found.select("row", F.explode(F.concat("base", "tokens")).alias("span")).select("row", "span.*")
-    judged = spans.join(owners, "hash").groupBy("row").agg(F.collect_set(F.struct("start", "kind", "end", "copied")).alias("judged"))
+    judged = spans.join(owners, "hash").groupBy("row").agg(F.collect_set(F.struct("start", "kind", "end", "copied", "owners", "repositories")).alias("judged"))
     plain = lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))
-    seen = F.coalesce("judged", F.array().cast("array<struct<start: int, kind: int, end: int, copied: boolean>>"))
+    seen = F.coalesce("judged", F.array().cast("array<struct<start: int, kind: int, end: int, copied: boolean, owners: bigint, repositories: bigint>>"))
     base = F.transform("base", plain)
     live = F.transform(F.filter(seen, lambda s: (s["kind"] == len(BASE)) & ~s["copied"]), plain)
     out = found.join(judged, "row", "left").select(
         "id", base.alias("base"), F.concat(base, live).alias("spans"), F.size(live).alias("n_live"),
-        F.size(F.filter(seen, lambda s: (s["kind"] < len(BASE)) & s["copied"])).alias("n_copied"),
+        F.size(F.filter(seen, lambda s: (s["kind"] < len(BASE)) & s["copied"])).alias("n_copied"), F.sort_array(seen).alias("held"),
     )
     return out.withColumns({"base_text": _joined(F.col("base")), "spans_text": _joined(F.col("spans"))})
 
