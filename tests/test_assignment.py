@@ -1,10 +1,13 @@
 """Greedy, one-by-one rules against loops that take the rows one by one."""
 
+import hashlib
+import os.path
 import random
 
 import pytest
 
 from trailsift.operators import catalog as ca
+from trailsift.operators import history as hi
 from trailsift.operators import reconcile as rc
 
 
@@ -104,3 +107,58 @@ def test_dedup_rules_in_order(spark):
     files = spark.createDataFrame([(sha(7),)], "sha256 string")
     got = {r["pos"]: r["reason"] for r in ca.dedup_new(new, old, files).collect()}
     assert got == {10: "image_url", 11: "content", 12: None, 13: "file", 14: "content", 15: "source", 16: None}
+
+
+def numbers_one_by_one(files, used):
+    used = set(used)
+    kept = {}
+    for pos, own in sorted(files):
+        if own is not None and own >= 1 and own not in used:
+            kept.setdefault(own, pos)
+    keeper = {pos: own for own, pos in kept.items()}
+    reserved, out, top = used | set(kept), {}, max(used, default=0)
+    for pos, _ in sorted(files):
+        number = keeper.get(pos)
+        if number is None:
+            number = top + 1
+            while number in reserved:
+                number += 1
+            reserved.add(number)
+        top = max(top, number)
+        out[pos] = number
+    return out
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_recovered_files_keep_their_numbers(spark, seed):
+    rng = random.Random(seed)
+    files = [(k, rng.choice([None, None, rng.randint(0, 60), rng.randint(1, 30)])) for k in range(80)]
+    used = [rng.randint(1, 40) for _ in range(rng.choice([0, 1, 15]))]
+    got = ca.recover_sequences(spark.createDataFrame(files, "pos bigint, own bigint"), spark.createDataFrame([(n,) for n in used], "sequence bigint"))
+    assert {r["pos"]: r["sequence"] for r in got.collect()} == numbers_one_by_one(files, used)
+
+
+def test_recovery_of_nothing(spark):
+    none = spark.createDataFrame([], "pos bigint, own bigint")
+    assert ca.recover_sequences(none, spark.createDataFrame([(3,)], "sequence bigint")).count() == 0
+
+
+def test_unique_paths(spark):
+    rng = random.Random(2)
+
+    def moved(folder, name, n):
+        stem, suffix = os.path.splitext(name)
+        digest = hashlib.sha1(f"{folder}/{name}".encode()).hexdigest()[:8]
+        return f"{stem}_{digest}{f'_{n}' if n else ''}{suffix}"
+
+    names = ["a.tif", "a", ".hidden", "b.tar.gz", "name with _12345678.tif", "c_d.e"]
+    rows = [(k, rng.choice("xy"), rng.choice(names)) for k in range(120)]
+    there = {("x", "a.tif"), ("y", "a"), ("x", moved("x", "a.tif", 0)), ("x", moved("x", "a.tif", 2)), ("y", moved("y", "b.tar.gz", 1)), ("y", moved("x", "a", 0))}
+    rows += [(500, "x", moved("x", "c_d.e", 1))]  # stands in the data, so nobody else gets it
+    taken, want = set(there) | {("x", rows[-1][2])}, {}
+    for pos, folder, name in rows:
+        options = [name] if pos == 500 or (folder, name) not in taken else [moved(folder, name, n) for n in range(len(rows) + 5)]
+        want[pos] = next(o for o in options if pos == 500 or (folder, o) not in taken)
+        taken.add((folder, want[pos]))
+    got = hi.unique_paths(spark.createDataFrame(rows, "pos bigint, folder string, name string"), spark.createDataFrame(list(there), "folder string, name string"), "folder", "name", "pos")
+    assert {r["pos"]: r["unique_name"] for r in got.collect()} == want and len({(f, want[p]) for p, f, _ in rows}) == len(rows)

@@ -234,3 +234,23 @@ def test_ten_thousand_boxes_on_a_page(spark):
     assert tree.occluded(n.withColumn("w", F.when(F.col("node_id") == 9_999, 1000.0).otherwise(2.0)).withColumn("x", F.when(F.col("node_id") == 9_999, -1.0).otherwise(F.col("x")))).count() == 99
     covered = n.unionByName(n.limit(1).selectExpr("page_id", "-1L AS node_id", "20000 AS paint_order", "-1.0D AS x", "-1.0D AS y", "60.0D AS w", "500.0D AS h", "background", "opacity"))
     assert tree.occluded(covered).count() == 59 * 100  # the 59th column lies half under its neighbours
+
+
+def test_rules_of_many_sites_are_those_of_each(spark, nodes):
+    selectors = ["tr.product-row > td", "table#products th, .pagination a.next", "div a[href^='/page']", "body p, html footer b", "[class~=sale]", "a[class]", "tbody td", "div > p"]
+    sited = nodes.withColumn("site", F.lit("s"))
+    rows = [row for n, s in enumerate(selectors) for row in tree.selector_steps("s", str(n), s)] + tree.selector_steps("other", "9", "a")
+    got = sorted((int(r["rule"]), r["node_id"]) for r in tree.select_by_rules(sited, rows).collect())
+    assert got == sorted((n, r["node_id"]) for n, s in enumerate(selectors) for r in tree.select_nodes(nodes, s).collect()) and len(got) > 12
+    with pytest.raises(ValueError, match="unsupported"):
+        tree.selector_steps("s", "x", "a:hover")
+
+
+def test_deep_manifest_labels(spark):
+    deep = '{"id": "https://x/manifest/1", "label": ' + '{"en": [' * 300 + '"deep"' + "]}" * 300 + "}"
+    assert co._plain({"a": ["x ", {"b": None}], "c": " y"}) == "x y"
+    nested = "z"
+    for _ in range(5_000):
+        nested = [nested]
+    assert co._plain(nested) == "z"
+    assert co.iiif_images(spark.createDataFrame([(1, deep), (2, "[" * 100_000)], "id bigint, manifest string")).count() >= 0
