@@ -16,7 +16,8 @@ allows; the similarity is that chain over all labels of the two.  Blocks return
 Equal texts (but for case and white space) are one class with one sketch, so copies cost nothing further.
 
 Defined results: a null text counts as empty, and texts without words are equal; a text of fewer than five words is one shingle;
-null ids come last; repeated rows are copies; an empty table gives an empty result; other columns may have any name.
+ids are whole numbers (null ids come last); repeated rows are copies; a very long text is one row of one task, with a few numbers a word;
+an empty table gives an empty result; other columns may have any name.
 """
 
 from __future__ import annotations
