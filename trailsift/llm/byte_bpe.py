@@ -18,7 +18,6 @@ import hashlib
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
 
 import duckdb
 import numpy as np
@@ -28,8 +27,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trailsift.llm.common import pieces
+from trailsift.llm.common import KEPT, pieces
 
+USER = "byte_bpe"
 LONG_WORD = 256  # bytes
 KEPT_WORDS = 300_000  # words in use after which a task forgets those that were not used since it last did so
 ROUND_WORDS = 30_000  # words of one recursive query
@@ -175,10 +175,13 @@ def parse_ranks(content: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, content.splitlines()) if token}
 
 
-@lru_cache(maxsize=1)
 def _tokenizer(ranks: bytes, pattern: str) -> Tokenizer:
     """Kept by a Python worker from task to task, with the words that it knows."""
-    return Tokenizer(parse_ranks(ranks), pattern)
+    key, known = KEPT.get(USER, (None, None))
+    if key != (ranks, pattern):
+        known = Tokenizer(parse_ranks(ranks), pattern)
+        KEPT[USER] = (ranks, pattern), known
+    return known
 
 
 def _chunks(texts: list[str]) -> Iterator[list[str]]:
@@ -202,7 +205,7 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(ranks, pattern)
-        for batch in pieces(batches):
+        for batch in pieces(batches, user=USER):
             counts, ids, coded, plain = [], [], [], []
             for chunk in _chunks([t or "" for t in batch["text"].to_pylist()]):
                 for joined, decoded in tokenizer.code(chunk):

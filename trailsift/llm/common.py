@@ -28,8 +28,17 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def pieces(batches: Iterable[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
-    """Short pieces of Arrow batches, for work that keeps more in memory than a batch; Spark bounds the bytes of a batch itself."""
+# What a Python worker keeps from task to task, by the operator that uses it.
+KEPT: dict[str, object] = {}
+
+
+def pieces(batches: Iterable[pa.RecordBatch], rows: int = BATCH_ROWS, user: str = "") -> Iterator[pa.RecordBatch]:
+    """Short pieces of Arrow batches, for work that keeps more in memory than a batch; Spark bounds the bytes of a batch itself.
+
+    A worker that goes on to another operator forgets what it kept for the last one.
+    """
+    for other in [name for name in KEPT if name != user]:
+        del KEPT[other]
     for batch in batches:
         for k in range(0, batch.num_rows, rows):
             yield batch.slice(k, rows)
