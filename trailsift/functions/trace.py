@@ -222,7 +222,11 @@ def extract_urls(text: Column, guarded: bool = False) -> Column:
 
     def matches(pattern: str) -> Column:
         # Marks around each match: a piece is then "match END text up to the next match".
-        pieces = F.split(F.regexp_replace(bare, f"({pattern})", f"{START}$1{END}"), START)
+        marked = F.split(F.regexp_replace(bare, f"({pattern})", f"{START}$1{END}"), START)
+        # As the element of a list the pieces are a variable below; named as they are, every match would search the whole text again.
+        return F.flatten(F.transform(F.array(marked), found))
+
+    def found(pieces: Column) -> Column:
         # Every earlier piece holds a match of four characters or more, so six cover the 20 before.
         def before(i: Column) -> Column:
             near = F.slice(pieces, F.greatest(i - 5, F.lit(1)), F.least(i, F.lit(6)))
