@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,9 +14,51 @@ from trailsift.operators import corpus as co
 from trailsift.operators import markdown as md
 from trailsift.operators import network as nw
 from trailsift.operators import tree
+from trailsift.session import scratch_path
 from trailsift.sources import html as ht
 
 
+def planned(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def detail_nodes(spark):
+    html = "<dl><dt>A</dt><dd>1</dd></dl><section><h4>K</h4><a>x</a></section><table><tr><th>P</th><td>7</td></tr></table>"
+    pages = spark.range(40).select(F.col("id").alias("page_id"), F.lit(html).alias("html"))
+    return ht.stored_nodes(pages, scratch_path(spark, "nodes"))
+
+
+@pytest.mark.parametrize("profile", [{"section_selector": "section"}, {"mode": "dl"}, {"mode": "table"}])
+def test_label_pairs_are_not_gathered_in_the_driver(spark, profile):
+    found = co.label_values(detail_nodes(spark), profile)
+    assert "Broadcast" not in planned(found)
+    label, value = {"section_selector": ("K", "x"), "dl": ("A", "1"), "table": ("P", "7")}[profile.get("mode", "section_selector")]
+    assert {tuple(r)[1:] for r in found.collect()} == {(1, label, value)} and found.count() == 40
+
+
+def test_rules_of_sites_gather_only_the_rules_in_the_driver(spark):
+    nodes = detail_nodes(spark)
+    rows = [*tree.selector_steps("s", "table", "table tr"), *tree.selector_steps("s", "label", "section > h4")]
+    assert "BroadcastHashJoin [page_id" not in planned(tree.select_by_rules(nodes.withColumn("site", F.lit("s")), rows))
+    pages = spark.range(40).select(F.col("id").alias("page_id"), F.lit("https://example.org/x").alias("url"))
+    profile = rg.SiteProfile.of({"site_id": "s", "item_link_selector": "a", "item_id_regex": "x", "manifest_template": "{id}", "host_suffixes": ["example.org"]})
+    assert "BroadcastHashJoin [page_id" not in planned(co._sited(nodes, pages, [profile]))
+
+
+def test_small_pages_go_out_together():
+    pages = pa.RecordBatch.from_arrays([pa.array(range(100)), pa.array(["<p>a</p>"] * 99 + [None])], names=["page_id", "html"])
+    out = list(ht.node_batches([pages]))
+    assert len(out) == 1 and out[0].num_rows == 198
+    long = pa.RecordBatch.from_arrays([pa.array(range(4)), pa.array(["<br>" * ht.NODES_TOGETHER] * 3 + [""])], names=["page_id", "html"])
+    assert [b.num_rows for b in ht.node_batches([long])] == [ht.NODES_TOGETHER] * 3
+
+
+def test_an_address_is_not_looked_for_once_a_match(spark):
+    found = spark.createDataFrame([("never go to www.a.org or see https://b.org/x, b.org",)], "t string").select(tr.extract_urls(F.col("t"), guarded=True).alias("u"))
+    assert found._jdf.queryExecution().analyzed().toString().count(tr.FULL_URL) == 1
+    assert found.first()["u"] == ["https://b.org/x", "https://b.org"]
+
+
 def blocks(spark, text):
     """Blocks of one text, the same by the operator and by the table function."""
     rows = sorted(tuple(r)[1:] for r in md.markdown_blocks(spark.createDataFrame([(1, text)], "doc_id int, text string")).collect())

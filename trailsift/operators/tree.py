@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailsift.functions import elements as el
+from trailsift.plans.lookup import sorted_side
 
 KEY = ["page_id", "node_id"]
 
@@ -418,10 +419,10 @@ def select_nodes(nodes: DataFrame, selector: str) -> DataFrame:
             holders = hits.select("page_id", F.col("node_id").alias("__anc"))
             below = nodes.where(compound(part))
             if child:
-                hits = below.join(holders, (below["page_id"] == holders["page_id"]) & (below["parent_id"] == holders["__anc"]), "left_semi")
+                hits = below.join(sorted_side(holders), (below["page_id"] == holders["page_id"]) & (below["parent_id"] == holders["__anc"]), "left_semi")
             else:
                 reach = below.select("page_id", "node_id", F.explode("anc_ids").alias("__anc"))
-                hits = below.join(reach.join(holders, ["page_id", "__anc"], "left_semi").select(*KEY), KEY, "left_semi")
+                hits = below.join(sorted_side(reach.join(sorted_side(holders), ["page_id", "__anc"], "left_semi").select(*KEY)), KEY, "left_semi")
             child = False
         found = hits if found is None else found.unionByName(hits).dropDuplicates(KEY)
     return found
@@ -480,7 +481,8 @@ def select_by_rules(nodes: DataFrame, rows: Sequence[tuple]) -> DataFrame:
         holders = valid.select("page_id", "rule", "alternative", F.col("node_id").alias("__anc"))
         asked = matched.where(F.col("k") == k)
         reach = asked.select(*own, F.explode(F.when(F.col("child"), F.array("parent_id")).otherwise(F.col("anc_ids"))).alias("__anc"))
-        valid = asked.join(reach.join(holders, ["page_id", "rule", "alternative", "__anc"], "left_semi").select(*own), own, "left_semi")
+        reached = reach.join(sorted_side(holders), ["page_id", "rule", "alternative", "__anc"], "left_semi").select(*own)
+        valid = asked.join(sorted_side(reached), own, "left_semi")
         found = found.unionByName(valid.where("last"))
     return found.drop("alternative", "k", "child", "last").dropDuplicates([*KEY, "rule"])
 
@@ -494,8 +496,8 @@ def node_text(nodes: DataFrame, chosen: DataFrame) -> DataFrame:
     texts = nodes.where(F.col("tag") == "#text").select("page_id", "ord", "text", F.explode("anc_ids").alias("node_id"))
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda s: s["text"]), "")
     # Only texts below chosen elements are gathered.
-    joined = texts.join(chosen.select(*KEY), KEY, "left_semi").groupBy(*KEY).agg(whole.alias("text_content"))
-    return chosen.join(joined, KEY, "left").withColumn("text_content", F.coalesce("text_content", F.lit("")))
+    joined = texts.join(sorted_side(chosen.select(*KEY)), KEY, "left_semi").groupBy(*KEY).agg(whole.alias("text_content"))
+    return chosen.join(sorted_side(joined), KEY, "left").withColumn("text_content", F.coalesce("text_content", F.lit("")))
 
 
 def find_elements(nodes: DataFrame, selector: str, attributes: Sequence[str] = (), max_results: int = 50) -> DataFrame:

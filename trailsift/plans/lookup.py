@@ -26,6 +26,15 @@ def pick(df: DataFrame, keys: Sequence[str], order: Column, columns: Sequence[st
     return df.groupBy(*keys).agg(chosen.alias("__picked")).select(*keys, "__picked.*")
 
 
+def sorted_side(df: DataFrame) -> DataFrame:
+    """``df`` as a join side that is never broadcast, for sides that grow with the pages.
+
+    The planner knows a stored node table by the size of its files only.  Pages alike are a hundredth of their size there, so sides of
+    hundreds of MB would pass for small ones and be gathered in the driver.
+    """
+    return df.hint("merge")
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Spread rows over all cores where the input has fewer splits than there are cores.
 
