@@ -81,6 +81,29 @@ def test_silent_requests_come_out_once_and_whole(spark):
     assert set(got) == {"slow", "early", "never", "tick"} and got["tick"][2] is None  # the end came after its time
 
 
+def test_state_is_kept_by_buckets(spark):
+    path = scratch_path(spark, "many")
+    events = spark.range(3000).select(F.lit("requestWillBeSent").alias("event"), F.concat(F.lit("r"), "id").alias("request_id"), F.lit("f").alias("frame_id"),
+        (1e6 + F.col("id") / 1000).alias("at"), F.lit("https://h/x").alias("url"), F.col("id").alias("pos"))
+    events.write.json(f"{path}/in/0")
+    assert st.drain(keyed.har_stream(st.network_events_stream(spark, f"{path}/in")), path).count() == 0
+    assert spark.read.format("statestore").option("stateVarName", "held").load(f"{path}/checkpoint").count() <= keyed.BUCKETS
+    schema = "run bigint, pos bigint, ts timestamp, name string, params string, url string, dom_text string, element_count int"
+    acts = spark.range(3000).selectExpr("id run", "id pos", "timestamp_seconds(1000 + id % 7) ts", "'click' name", "'{}' params", "'u' url", "'d' dom_text", "1 element_count")
+    acts.write.json(f"{path}/acts")
+    assert st.drain(keyed.loop_stream(st.json_stream(spark, f"{path}/acts", schema), span="1 minute"), f"{path}/loops").count() == 0
+    assert spark.read.format("statestore").option("stateVarName", "held").load(f"{path}/loops/checkpoint").count() <= keyed.RUN_BUCKETS
+
+
+def test_the_inventory_is_no_state(spark):
+    files = spark.createDataFrame(INVENTORY, "file_name string, sha256 string")
+    path = scratch_path(spark, "few")
+    feed(spark, path, 0, [record(3), record(4, sha="")])
+    assert sorted((r["kind"], r["adopted"]) for r in st.import_stream(st.records_stream(spark, f"{path}/in", FIELDS), files, path).collect()) == [("insert", True)] * 2
+    assert spark.read.format("statestore").option("stateVarName", "image").load(f"{path}/checkpoint").count() == 2
+    assert "Distinct" not in keyed.import_changes(st.records_stream(spark, f"{path}/in", FIELDS), files)._jdf.queryExecution().analyzed().toString()
+
+
 def test_loops_keep_little_and_are_forgotten(spark):
     path = scratch_path(spark, "loops")
     schema = "run bigint, pos bigint, ts timestamp, name string, params string, url string, dom_text string, element_count int"

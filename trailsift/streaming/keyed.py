@@ -1,16 +1,20 @@
 """Streaming operators with state of their own per key, dropped by timers of the event time.
 
 State lives in the state store of the query (RocksDB), not in Python: a key that holds a third of a batch's rows is read piece by piece,
-and what it keeps is bounded by its state, not by its rows.  A batch asks only for the state of its own keys.
+and what it keeps is bounded by its state, not by its rows.  A batch asks only for the state of the buckets its keys lie in.
 """
 
 from __future__ import annotations
 
+import pickle
+from collections import Counter, deque
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -28,6 +32,45 @@ def _milliseconds(duration: str) -> int:
     return int(pd.Timedelta(duration).total_seconds() * 1000)
 
 
+# Buckets of keys whose state is kept together.  A call to the state store costs more than the work on a row, so many keys share each.
+BUCKETS = 256
+# Waiting actions cost calls for each bucket and slice of time, so there are fewer.
+RUN_BUCKETS = 64
+
+
+def _bucket(key: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").alias("bucket")
+
+
+class _Timed:
+    """The value of a bucket and its one timer."""
+
+    def __init__(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getValueState("held", "value binary, timer bigint")
+        self.timer: int | None = None
+
+    def get(self, empty: Any) -> Any:
+        found = self.held.get()
+        self.timer = None if found is None else found[1]
+        return empty if found is None else pickle.loads(found[0])
+
+    def put(self, value: Any, timer: int | None) -> None:
+        """Keep ``value`` until ``timer``; follows ``get``.  Without a timer nothing is kept."""
+        if self.timer is not None and self.timer != timer:
+            self.handle.deleteTimer(self.timer)
+        if timer is None:
+            self.held.clear()
+            return
+        if self.timer != timer:
+            self.handle.registerTimer(timer)
+        self.held.update((pickle.dumps(value), timer))
+
+    def passed(self, timerValues: Any, expiredTimerInfo: Any) -> int:
+        """Times before this have passed: the watermark, as timers go off below it."""
+        return max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs() + 1)
+
+
 # ---- requests ------------------------------------------------------------------------------------------
 
 ENTRY = (
@@ -41,88 +84,86 @@ class Requests(StatefulProcessor):
 
     The later event of a kind wins by ``pos``; events before the request do not count.  Sizes of data that came before its request
     wait under their position, because an even earlier request may still claim them.
+
+    Requests are kept by buckets of their ids: a bucket's open requests are one value with one timer, the earliest of theirs.  A state
+    and a timer for each request would cost several calls to the state store for each.
     """
 
-    FACTS = (
-        "since bigint, sent_pos bigint, url string, frame_id string, type string, sent double, answered_pos bigint, answered double, "
-        "content bigint, finished_pos bigint, finished double, encoded bigint, failed_pos bigint, failed double, received bigint, waiting bigint, due bigint"
-    )
-    NAMES = [part.strip().split(" ")[0] for part in FACTS.split(",")]
+    FACTS = [
+        "since", "sent_pos", "url", "frame_id", "type", "sent", "answered_pos", "answered", "content", "finished_pos", "finished", "encoded", "failed_pos",
+        "failed", "received", "early", "due",
+    ]
 
     def __init__(self, timeout: str, grace: str) -> None:
         self.timeout, self.grace = _milliseconds(timeout), _milliseconds(grace)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.facts = handle.getValueState("facts", self.FACTS)
-        self.early = handle.getMapState("early", "pos bigint", "size bigint")
-
-    def _known(self) -> dict:
-        held = self.facts.get()
-        return dict.fromkeys(self.NAMES) | {"received": 0, "waiting": 0} if held is None else dict(zip(self.NAMES, held, strict=True))
+        self.timed = _Timed(handle)
 
     def _later(self, facts: dict, kind: str, pos: int, values: dict) -> None:
         if facts[f"{kind}_pos"] is None or pos > facts[f"{kind}_pos"]:
-            facts.update(values | {f"{kind}_pos": pos})
+            facts.update(values)
+            facts[f"{kind}_pos"] = pos
 
-    def _take(self, facts: dict, row: Row) -> None:
-        pos = row["pos"]
-        if row["event"] == "requestWillBeSent" and (row["url"] or "").lower().startswith("https://"):
-            self._later(facts, "sent", pos, {"url": row["url"], "frame_id": row["frame_id"], "type": row["type"], "sent": row["at"]})
+    def _take(self, facts: dict, event: str, pos: int, at: float, size: int | None, url: str | None, frame: str | None, kind: str | None) -> None:
+        if event == "requestWillBeSent" and (url or "").lower().startswith("https://"):
+            self._later(facts, "sent", pos, {"url": url, "frame_id": frame, "type": kind, "sent": at})
             if facts["since"] is None or pos < facts["since"]:
                 facts["since"] = pos
-                claimed = [(held, size) for (held,), (size,) in (self.early.iterator() if facts["waiting"] else ()) if held > pos]
-                for held, size in claimed:
-                    facts["received"] += size
-                    facts["waiting"] -= 1
-                    self.early.removeKey((held,))
-        elif row["event"] == "responseReceived":
-            self._later(facts, "answered", pos, {"answered": row["at"], "content": row["size"]})
-        elif row["event"] == "loadingFinished":
-            self._later(facts, "finished", pos, {"finished": row["at"], "encoded": row["size"]})
-        elif row["event"] == "loadingFailed":
-            self._later(facts, "failed", pos, {"failed": row["at"]})
-        elif row["event"] == "dataReceived":
+                for held in [held for held in facts["early"] or () if held > pos]:
+                    facts["received"] += facts["early"].pop(held)
+        elif event == "responseReceived":
+            self._later(facts, "answered", pos, {"answered": at, "content": size})
+        elif event == "loadingFinished":
+            self._later(facts, "finished", pos, {"finished": at, "encoded": size})
+        elif event == "loadingFailed":
+            self._later(facts, "failed", pos, {"failed": at})
+        elif event == "dataReceived":
             if facts["since"] is not None and pos > facts["since"]:
-                facts["received"] += row["size"] or 0
+                facts["received"] += size or 0
             else:
-                self.early.updateValue((pos,), (row["size"] or 0,))
-                facts["waiting"] += 1
+                if facts["early"] is None:
+                    facts["early"] = {}
+                facts["early"][pos] = size or 0
 
     def _after(self, facts: dict, kind: str) -> bool:
         return facts["since"] is not None and facts[f"{kind}_pos"] is not None and facts[f"{kind}_pos"] > facts["since"]
 
-    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        facts, first = self._known(), None
-        for row in rows:
-            self._take(facts, row)
-            first = row["at"] if first is None else min(first, row["at"])
-        ends = [facts[kind] for kind in ("finished", "failed") if self._after(facts, kind)]
-        if ends:
-            due = int(max(ends) * 1000) + self.grace
-        else:
-            due = int((first if facts["sent"] is None else facts["sent"]) * 1000) + self.timeout
-        if facts["due"] != due:
-            self.handle.registerTimer(due)  # an earlier one is told by not being due any more
-            facts["due"] = due
-        self.facts.update(tuple(facts[name] for name in self.NAMES))
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        open_, first = self.timed.get({}), {}
+        for piece in rows:
+            sizes = [size if given else None for size, given in zip(piece["size"].tolist(), piece["sized"].tolist(), strict=True)]
+            columns = [piece[c].tolist() for c in ("request_id", "event", "pos", "at", "url", "frame_id", "type")]
+            for (rid, event, pos, at, url, frame, kind), size in zip(zip(*columns, strict=True), sizes, strict=True):
+                if rid not in open_:
+                    open_[rid] = dict.fromkeys(self.FACTS) | {"received": 0}
+                self._take(open_[rid], event, pos, at, size, url, frame, kind)
+                if rid not in first or at < first[rid]:
+                    first[rid] = at
+        for rid, began in first.items():
+            facts = open_[rid]
+            ends = [facts[kind] for kind in ("finished", "failed") if self._after(facts, kind)]
+            if ends:
+                facts["due"] = int(max(ends) * 1000) + self.grace
+            else:
+                facts["due"] = int((began if facts["sent"] is None else facts["sent"]) * 1000) + self.timeout
+        self.timed.put(open_, min((facts["due"] for facts in open_.values()), default=None))
         return iter(())
 
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
-        facts = self._known()
-        if facts["due"] != expiredTimerInfo.getExpiryTimeInMs():
-            return
-        self.facts.clear()
-        if facts["waiting"]:
-            self.early.clear()
-        if facts["since"] is not None:
-            answered, finished = self._after(facts, "answered"), self._after(facts, "finished")
-            yield Row(
-                request_id=key[0], url=facts["url"], frame_id=facts["frame_id"], type=facts["type"], ts_request=facts["sent"],
-                ts_response=facts["answered"] if answered else None, ts_finished=facts["finished"] if finished else None,
-                content_length=facts["content"] if answered else None, encoded_length=facts["encoded"] if finished else None,
-                received=facts["received"], failed=self._after(facts, "failed"),
-            )
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        passed = self.timed.passed(timerValues, expiredTimerInfo)
+        open_, out = self.timed.get({}), []
+        for rid in [rid for rid, facts in open_.items() if facts["due"] < passed]:
+            facts = open_.pop(rid)
+            if facts["since"] is not None:
+                answered, finished = self._after(facts, "answered"), self._after(facts, "finished")
+                out.append((
+                    rid, facts["url"], facts["frame_id"], facts["type"], facts["sent"], facts["answered"] if answered else None, facts["finished"] if finished else None,
+                    facts["content"] if answered else None, facts["encoded"] if finished else None, facts["received"], self._after(facts, "failed"),
+                ))
+        self.timed.put(open_, min((facts["due"] for facts in open_.values()), default=None))
+        if out:
+            yield pd.DataFrame(out, columns=[part.strip().split(" ")[0] for part in ENTRY.split(",")], dtype=object)
 
     def close(self) -> None:
         pass
@@ -135,66 +176,94 @@ def har_stream(events: DataFrame, timeout: str = "30 minutes", grace: str = "1 s
     """
     at = F.timestamp_micros((F.col("at") * 1_000_000).cast("bigint"))
     timed = events.where("request_id IS NOT NULL AND at IS NOT NULL AND pos IS NOT NULL").withColumn("time", at).withWatermark("time", delay)
-    asked = timed.select("request_id", "time", "pos", "event", "url", "frame_id", "type", "at", "size")
-    return asked.groupBy("request_id").transformWithState(Requests(timeout, grace), ENTRY, "append", "eventTime")
+    asked = timed.select(
+        _bucket("request_id", BUCKETS), "request_id", "time", "pos", "event", "url", "frame_id", "type", "at", F.coalesce("size", F.lit(0)).alias("size"), F.col("size").isNotNull().alias("sized")
+    )
+    return asked.groupBy("bucket").transformWithStateInPandas(Requests(timeout, grace), ENTRY, "append", "eventTime")
 
 
 # ---- loops ---------------------------------------------------------------------------------------------
 
-STEP = "struct<pos: bigint, exempt: boolean, hash: string, fingerprint: string>"
+STEPS_TOGETHER = 200_000
 
 
 class Loops(StatefulProcessor):
     """Repetition among the last actions and stagnation of the page, in the order of time and position.
 
-    Actions wait in slices of time until the watermark has passed their slice; a timer then takes the slice's actions in order.  A run
+    Actions wait in slices of time until the watermark has passed their slice; a timer then takes the slices' actions in order.  A run
     keeps ``window`` hashes and the last fingerprint; it is forgotten after ``keep`` without actions.
+
+    Runs are kept by buckets: a slice holds the waiting actions of all runs of its bucket, and the bucket has one timer.
     """
 
     def __init__(self, window: int, span: str, keep: str) -> None:
         self.window, self.span, self.keep = window, _milliseconds(span), _milliseconds(keep)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.waiting = handle.getMapState("waiting", "slice bigint", f"steps array<{STEP}>")
-        self.recent = handle.getListState("recent", "hash string")
-        self.last = handle.getValueState("last", "fingerprint string, stagnant bigint, until bigint")
+        self.timed = _Timed(handle)
+        self.waiting = handle.getMapState("waiting", "slice bigint", "steps binary")
+
+    def _wait(self, slices: set[int], steps: dict[int, list[tuple]]) -> None:
+        for end, added in steps.items():
+            if end in slices:
+                added = pickle.loads(self.waiting.getValue((end,))[0]) + added
+            slices.add(end)
+            self.waiting.updateValue((end,), (pickle.dumps(added),))
+        steps.clear()
+
+    def _put(self, slices: set[int], runs: dict) -> None:
+        times = [*([min(slices)] if slices else ()), *(until for _, _, _, until in runs.values())]
+        self.timed.put((slices, runs), min(times, default=None))
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        slices, runs = self.timed.get((set(), {}))
+        steps: dict[int, list[tuple]] = {}
+        taken = 0
         for piece in rows:
-            ends = (piece["time"].map(lambda t: int(t.timestamp() * 1000)) // self.span + 1) * self.span
-            for end, part in piece.groupby(ends):
-                slot = (int(end),)
-                steps = [(int(r.pos), bool(r.exempt), _given(r.hash), _given(r.fingerprint)) for r in part.itertuples(index=False)]
-                if self.waiting.containsKey(slot):
-                    steps = [*map(tuple, self.waiting.getValue(slot)[0]), *steps]
-                else:
-                    self.handle.registerTimer(slot[0])
-                self.waiting.updateValue(slot, (steps,))
+            for end, *step in zip(*(piece[c].tolist() for c in ("end", "run", "pos", "exempt", "hash", "fingerprint")), strict=True):
+                steps.setdefault(int(end), []).append(tuple(step))
+            taken += len(piece)
+            if taken >= STEPS_TOGETHER:
+                self._wait(slices, steps)
+                taken = 0
+        self._wait(slices, steps)
+        self._put(slices, runs)
         return iter(())
 
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        slot = (now,)
-        if self.waiting.containsKey(slot):
-            recent = [r[0] for r in self.recent.get()]
-            fingerprint, stagnant, _ = self.last.get() if self.last.exists() else (None, 0, None)
-            out = []
-            for pos, exempt, digest, seen in sorted(map(tuple, self.waiting.getValue(slot)[0])):
+    def _follow(self, runs: dict, end: int, steps: list[tuple]) -> Iterator[tuple]:
+        for run, of_run in groupby(sorted(steps, key=lambda s: (s[0] or "", s[1], s[2], s[3] or "", s[4] or "")), key=itemgetter(0)):
+            held, fingerprint, stagnant, until = runs.get(run, ((), None, 0, end))
+            if until < end:  # forgotten
+                held, fingerprint, stagnant = (), None, 0
+            recent, counts = deque(held), Counter(held)
+            for _, pos, exempt, digest, seen in of_run:
                 stagnant = stagnant + 1 if seen == fingerprint else 0
                 fingerprint = seen
                 if not exempt:
-                    recent = [*recent, digest][-self.window :]
-                out.append((key[0], pos, max(map(recent.count, recent), default=0), stagnant))
-            self.waiting.removeKey(slot)
-            if recent:
-                self.recent.put([(digest,) for digest in recent])
-            self.last.update((fingerprint, stagnant, now + self.keep))
-            self.handle.registerTimer(now + self.keep)
-            yield pd.DataFrame(out, columns=["run", "pos", "repetitions", "stagnant"])
-        elif self.last.exists() and self.last.get()[2] == now:
-            self.recent.clear()
-            self.last.clear()
+                    recent.append(digest)
+                    counts[digest] += 1
+                    if len(recent) > self.window:
+                        gone = recent.popleft()
+                        counts[gone] -= 1
+                        if not counts[gone]:
+                            del counts[gone]
+                yield None if run is None else int(run), pos, max(counts.values(), default=0), stagnant
+            runs[run] = (tuple(recent), fingerprint, stagnant, end + self.keep)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        passed = self.timed.passed(timerValues, expiredTimerInfo)
+        slices, runs = self.timed.get((set(), {}))
+        out: list[tuple] = []
+        for end in sorted(end for end in slices if end < passed):
+            out.extend(self._follow(runs, end, pickle.loads(self.waiting.getValue((end,))[0])))
+            self.waiting.removeKey((end,))
+            slices.remove(end)
+            if len(out) >= STEPS_TOGETHER:
+                yield pd.DataFrame(out, columns=["run", "pos", "repetitions", "stagnant"], dtype=object)
+                out = []
+        self._put(slices, {run: held for run, held in runs.items() if held[3] >= passed})
+        if out:
+            yield pd.DataFrame(out, columns=["run", "pos", "repetitions", "stagnant"], dtype=object)
 
     def close(self) -> None:
         pass
@@ -205,11 +274,13 @@ def loop_stream(actions: DataFrame, window: int = 20, span: str = "10 seconds",
 
     A slice of ``span`` comes out once the watermark has passed it; its actions are all that is held of a batch's rows.
     """
+    length = _milliseconds(span)
     ready = actions.withWatermark("ts", delay).select(
-        "run", F.col("ts").alias("time"), "pos", tr.loop_exempt(F.col("name")).alias("exempt"), tr.action_hash(F.col("name"), F.col("params")).alias("hash"),
+        _bucket("run", RUN_BUCKETS), F.col("ts").alias("time"), ((F.floor(F.unix_millis("ts") / length) + 1) * length).alias("end"), F.col("run").cast("bigint").cast("string").alias("run"), "pos",
+        tr.loop_exempt(F.col("name")).alias("exempt"), tr.action_hash(F.col("name"), F.col("params")).alias("hash"),
         tr.page_fingerprint(F.col("url"), F.col("dom_text"), F.col("element_count")).alias("fingerprint"),
     )
-    return ready.groupBy("run").transformWithStateInPandas(
+    return ready.groupBy("bucket").transformWithStateInPandas(
         Loops(window, span, keep), "run bigint, pos bigint, repetitions bigint, stagnant bigint", "append", "eventTime"
     )
 
@@ -224,20 +295,17 @@ COUNTERS = 64
 class Import(StatefulProcessor):
     """Insert or refresh by content; a file nobody referred to is adopted by the first record that does.
 
-    State per content: the position it was first imported at, and whether its file is an orphan.  Stored images and the inventory of
-    files come in as initial state, so a batch reads neither.
+    State per content: the position it was first imported at.  Stored images come in as initial state, so a batch does not read them.
+    An imported content is that of a file of the inventory, so the file is an orphan until the content is first inserted; the inventory
+    needs no state of its own, which would be a key for every file.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.image = handle.getValueState("image", "first_pos bigint")
-        self.orphan = handle.getValueState("orphan", "since bigint")
 
     def handleInitialState(self, key: Any, initialState: pd.DataFrame, timerValues: Any) -> None:
         for row in initialState.itertuples(index=False):
-            if row.kind == "image":
-                self.image.update((int(row.first_pos),))
-            else:
-                self.orphan.update((0,))
+            self.image.update((int(row.first_pos),))
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         count, first, last = 0, None, None
@@ -252,9 +320,7 @@ class Import(StatefulProcessor):
             if kind == "insert":
                 self.image.update((began,))
             began = self.image.get()[0]
-            adopted = self.orphan.exists()
-            if adopted:
-                self.orphan.clear()
+            adopted = kind == "insert" and _given(key[0]) is not None
         said = [_given(last[c]) for c in ("title", "page_url", "image_url")] if kind in ("insert", "refresh") else [None] * 3
         content = key[0] if kind in ("insert", "refresh") else None
         yield pd.DataFrame([(content, kind, began, int(last["pos"]), count, *said, adopted)], columns=[part.strip().split(" ")[0] for part in CHANGE.split(",")])
@@ -276,12 +342,8 @@ def import_changes(records: DataFrame, files: DataFrame, images: DataFrame | Non
         F.when(F.col("outcome") == "imported", F.col("actual_sha256")).otherwise(other).alias("content"),
         "pos", "outcome", *(tx.strip(F.coalesce(c, F.lit(""))).alias(c) for c in ("title", "page_url", "image_url")),
     )
-    orphans = files.where("sha256 IS NOT NULL").select(F.col("sha256").alias("content")).distinct().select("content", F.lit("orphan").alias("kind"), F.lit(0).cast("bigint").alias("first_pos"))
-    stored = orphans
-    if images is not None:
-        held = images.select(F.col("sha256").alias("content"), F.lit("image").alias("kind"), "first_pos")
-        stored = held.unionByName(orphans.join(held.select("content"), "content", "left_anti"))
-    return keyed.groupBy("content").transformWithStateInPandas(Import(), CHANGE, "append", "none", stored.groupBy("content"))
+    held = None if images is None else images.select(F.col("sha256").alias("content"), "first_pos").groupBy("content")
+    return keyed.groupBy("content").transformWithStateInPandas(Import(), CHANGE, "append", "none", held)
 
 
 def images_of(changes: DataFrame) -> DataFrame:
