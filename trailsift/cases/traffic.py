@@ -19,7 +19,7 @@ from trailsift.operators import reconcile as rc
 from trailsift.operators import rules as ru
 from trailsift.sources import records as sr
 from trailsift.sources import sinks
-from trailsift.sources.tables import VersionedTable, case_path, read_or_empty
+from trailsift.sources.tables import VersionedTable, case_path, foldered, read_or_empty
 from trailsift.streaming import keyed
 from trailsift.streaming import streams as st
 
@@ -285,7 +285,7 @@ def _(spark, sf):
         F.lit('}], "state": {"url": "'), URL, F.lit('"}, "metadata": {"step_start_time": 0, "step_end_time": '), F.col("seconds").cast("string"), F.lit("}}"),
     )
     docs = a.join(last, "run").withColumn("js", js).groupBy("run").agg(F.expr(HISTORY_DOC).alias("value"))
-    docs.repartition(8, "run").write.partitionBy("run").option("maxRecordsPerFile", 1).text(path)
+    foldered(docs, "run").option("maxRecordsPerFile", 1).text(path)
     h = sr.read_history(spark, f"{path}/*")
     return h.select(
         F.regexp_extract("run", r"run=(\d+)", 1).cast("bigint").alias("run"), "step", F.when(F.col("model_output").isNotNull(), True).alias("has_output"),
@@ -371,7 +371,7 @@ def _(spark, sf):
 def _(spark, sf):
     path = case_path(spark, "texts")
     docs = fx.table(spark, sf, "documents").select("doc_id", "text", F.floor(F.col("doc_id") / 16).cast("bigint").alias("folder"))
-    docs.repartition("folder").sortWithinPartitions("folder", "doc_id").drop("doc_id").write.partitionBy("folder").text(path)
+    foldered(docs, "folder", "doc_id").text(path)
     read = sr.read_text_like(spark, f"{path}/*", "txt")
     return read.select(F.regexp_extract("file", r"folder=(\d+)", 1).cast("bigint").alias("folder"), F.md5("text").alias("digest"))
 

@@ -19,6 +19,8 @@ SQL_SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Texts go to Python in batches of this size, whatever the number of rows.
     "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
+    # A query that reads a folder for each run or document would list each in a task of its own, up to 10,000 tasks.
+    "spark.sql.sources.parallelPartitionDiscovery.parallelism": "128",
     # Keyed state of streams outgrows the heap; only this store also has timers and lists.
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 
 from trailsift.operators.catalog import upsert_by_key
@@ -14,6 +14,18 @@ def case_path(spark: SparkSession, label: str) -> str:
     return scratch_path(spark, label)
 
 
+def foldered(df: DataFrame, column: str, order: str | None = None) -> DataFrameWriter:
+    """A writer of a folder for each value of ``column``, however many, into a path that nobody reads before the job is done.
+
+    ``order`` orders the rows of a folder and is not written.  The number of files tells the work, not their bytes, so all cores write;
+    and tasks put their own files in place, where by default the driver would move them all, one after another.
+    """
+    dealt = df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, column)
+    if order:
+        dealt = dealt.sortWithinPartitions(column, order).drop(order)
+    return dealt.write.partitionBy(column).option("mapreduce.fileoutputcommitter.algorithm.version", "2")
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
