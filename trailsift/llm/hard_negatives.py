@@ -79,9 +79,13 @@ class Lists:
             upto = min(n, depth + step)
             front = self.order[depth:upto, favoured[rising]]
             back = self.order[n - upto : n - depth, favoured[~rising]]
-            read = np.unique(np.concatenate([front.ravel(), back.ravel()]))
-            fresh = read[~met[read]]
-            met[fresh] = True
+            read = np.zeros(n, bool)
+            read[front.ravel()] = read[back.ravel()] = True
+            fresh = np.flatnonzero(read & ~met)
+            met |= read
+            if met.all():  # long before the lists end: no row is left for a threshold
+                yield fresh, self.rows[fresh] @ anchor, -math.inf
+                return
             last = np.where(rising, self.order[upto - 1, favoured], self.order[n - upto, favoured])
             threshold = (anchor[favoured] * self.rows[last, favoured]).sum() if upto < n else -math.inf
             yield fresh, self.rows[fresh] @ anchor, threshold
