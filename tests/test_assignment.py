@@ -59,6 +59,45 @@ def test_assign_files_once(spark, seed):
     assert {r["pos"]: r["assigned"] for r in got.collect()} == one_by_one(records, files)
 
 
+def assigned(spark, records, files):
+    got = rc.assign_files_once(
+        spark.createDataFrame(records, "pos bigint, a string, b string, file_size bigint"),
+        spark.createDataFrame(files, "file_name string, file_size bigint"), ["a", "b"],
+    )
+    return [(r["pos"], r["assigned"]) for r in got.collect()]
+
+
+def test_assignment_takes_no_round_for_each_record_of_a_chain(spark, monkeypatch):
+    # Each record wants a file of the next size, which the record before it might have taken by size.
+    n, cuts = 12, []
+    files = [(f"f{i}", i) for i in range(1, n + 2)]
+    records = [(n - i, f"f{i + 1}", None, i) for i in range(1, n + 1)]
+    plain = rc.cut
+    monkeypatch.setattr(rc, "cut", lambda df: cuts.append(1) or plain(df))
+    assert dict(assigned(spark, records, files)) == one_by_one(records, files) == {n - i: f"f{i + 1}" for i in range(1, n + 1)}
+    assert len(cuts) < 3 * n
+
+
+def test_gifts_by_size_pass_on_losses(spark):
+    rng = random.Random(5)
+    records, files = [], []
+    for k in range(150):  # sizes and names of their own, turns mixed
+        own = [(f"f{k}_{i}", 10 * k + rng.randrange(1, 6)) for i in range(rng.randrange(1, 9))]
+        names = [None, "gone.jpg", *[f for f, _ in own]]
+        records += [(rng.random(), rng.choice(names), rng.choice(names), rng.choice([None, 0, *[10 * k + s for s in range(1, 6)]])) for _ in range(14)]
+        files += own
+    records = [(pos, *rest) for pos, (_, *rest) in enumerate(sorted(records, key=lambda r: r[0]))]
+    assert dict(assigned(spark, records, files)) == one_by_one(records, files)
+
+
+def test_assignment_of_rows_that_come_twice(spark):
+    files = [("a", 1), ("a", 1), ("b", 2), ("c", 3), ("d", 3), (None, 4), ("e", None)]
+    records = [(0, "b", "b", 5), (0, "b", "b", 5), (1, None, None, 1), (2, "x/c", None, None), (3, None, None, 3), (3, None, None, 3), (4, "e", "d", 4), (None, "a", None, 1)]
+    got = assigned(spark, records, files)
+    assert len(got) == len(records)  # a file listed twice is not the only one of its size
+    assert set(got) == {(0, "b"), (1, None), (2, "c"), (3, "d"), (4, "e"), (None, None)}
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_reconcile_late(spark, seed):
     rng = random.Random(seed)

@@ -4,90 +4,133 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailsift.functions import text as tx
 from trailsift.functions import urls as u
-from trailsift.plans import ordered
 from trailsift.session import cut
 
 GRAM = 8
+NEVER = (1 << 63) - 1  # later than any turn
 
 
 def assign_files_once(records: DataFrame, files: DataFrame, names: Sequence[str]) -> DataFrame:
     """Each record, in ``pos`` order, takes its first candidate that is unused at its turn.
 
     Candidates are the ``names`` columns in order; failing those, the only unused file of the record's
-    ``file_size``.  Adds ``assigned`` (NULL without a file).
+    ``file_size``.  Adds ``assigned`` (NULL without a file).  Rows of one ``pos`` are one turn.
 
-    Rounds, each settling every record whose turn no open earlier record can still change.  A taken
-    file leaves all lists at once.  Within one size, records that are sure of a named file and records
-    that must go by size are replayed together: the unused files before each are the files of the size
-    less the sure takers before it, a running count over blocks, so neither a hot file nor a hot size
-    costs more rounds.
+    First the names alone are settled; with the size rule a file can only go earlier than that, never later.
+    A size gives away at most one file by the rule, its last one, between the turns that take its last two files
+    by name.  Such a gift may take a file from the record that was to have it, which then goes on to its other
+    names or its own size.  Those moves are worked out again, with the sizes they touch, until nothing moves.
+    That state is the only one: each round is right for one more turn, and wrong guesses settle side by side.
     """
-    wanted = records.select(
-        "pos", F.posexplode(F.array(*[F.regexp_replace(F.coalesce(n, F.lit("")), r"^.*/", "") for n in names])).alias("p", "file_name")
-    ).where("file_name <> ''")
-    unused = cut(files.select("file_name", "file_size"))
-    pairs = cut(wanted.join(unused, "file_name").groupBy("pos", "file_name", "file_size").agg(F.min("p").alias("p")))
+    listed = F.transform(F.array(*names), lambda n: F.regexp_replace(F.coalesce(n, F.lit("")), r"^.*/", ""))
+    known = records.where("pos IS NOT NULL")
     size = F.when(F.col("file_size") > 0, F.col("file_size"))
-    turns = cut(records.select("pos", size.alias("file_size")))
-    won: DataFrame | None = None
-    while not turns.isEmpty():
-        spent = turns.join(pairs.select("pos"), "pos", "left_anti")
-        namers = pairs.groupBy("file_name", "file_size").agg(F.min("pos").alias("pos"))
-        best = pairs.groupBy("pos").agg(F.min_by("file_name", "p").alias("file_name"))
-        # A head is the first namer of its best file.  It cannot lose that file to the size rule while
-        # all earlier records of the file's size are heads with files of their own size.
-        heads = best.join(namers, ["pos", "file_name"]).withColumnRenamed("file_size", "__file_size")
-        sure = heads.join(turns, "pos").where(F.col("__file_size") == F.col("file_size")).select("pos")
-        doubtful = turns.join(sure, "pos", "left_anti").where("file_size IS NOT NULL").groupBy(
-            F.col("file_size").alias("__file_size")
-        ).agg(F.min("pos").alias("__doubt"))
-        named = (
-            heads.join(doubtful, "__file_size", "left")
-            .where(F.col("__doubt").isNull() | (F.col("__doubt") >= F.col("pos"))).select("pos", "file_name")
+    turns = cut(known.select("pos", size.alias("file_size")).distinct())
+    wanted = known.select("pos", F.posexplode(F.array_distinct(listed)).alias("p", "file_name")).where("file_name <> ''")
+    pairs = cut(wanted.join(files.select("file_name").distinct(), "file_name").select("pos", "p", "file_name"))
+    taken = _first_come(pairs)
+    owners = cut(taken.join(turns, "pos").select("pos", "p", "file_name", F.col("file_size").alias("own_size")))
+    owned = owners.select("file_name", F.col("pos").alias("owner"), F.col("own_size").alias("owner_size"))
+    never = F.lit(NEVER).cast("bigint")
+    lots = cut(
+        files.where("file_size > 0").select("file_size", "file_name").join(owned, "file_name", "left")
+        .select("file_size", "file_name", F.coalesce("owner", never).alias("owner"), "owner_size")
+    )
+    idle = cut(turns.where("file_size IS NOT NULL").join(owners, "pos", "left_anti"))
+    # The other names a record could still get, once it has lost its file.
+    spare = pairs.join(owners.select("pos", F.col("p").alias("__p")).distinct(), "pos").where("p > __p").drop("__p")
+    spare = spare.join(owned, "file_name", "left").where("owner IS NULL OR pos < owner")
+    homes = lots.join(spare.select("file_name"), "file_name", "left_semi").groupBy("file_name").agg(F.collect_set("file_size").alias("homes"))
+    spare = cut(spare.join(homes, "file_name", "left"))
+
+    base = cut(_last_of_sizes(lots.withColumn("named_at", F.col("owner")), idle))
+    move = ["pos", "own_size", "file_name"]
+    gifts, moves, count = base, None, 0
+    while True:
+        gone = gifts.select("file_name", "pos")
+        losers = gifts.where(F.col("owner") < never).select(
+            F.col("owner").alias("pos"), F.col("owner_size").alias("own_size"), F.col("file_size").alias("by_size")
         )
-        safe = heads.join(sure, "pos", "left_semi").select("pos", "file_name", F.col("__file_size").alias("file_size"))
-        # What could still change a size: records neither sure nor out of names, and all other open wishes.
-        unsure = turns.where("file_size IS NOT NULL").join(safe, "pos", "left_anti").join(spent, "pos", "left_anti").select("file_size", "pos")
-        wishes = pairs.join(safe, ["pos", "file_name"], "left_anti").select("file_size", "pos")
-        horizon = cut(unsure.unionByName(wishes).groupBy("file_size").agg(F.min("pos").alias("__until")))
-
-        def before(rows: DataFrame) -> DataFrame:
-            return rows.join(horizon, "file_size", "left").where(F.col("__until").isNull() | (F.col("pos") < F.col("__until"))).drop("__until")
-
-        due = cut(before(spent))
-        takers = cut(before(safe))
-        line = takers.select("file_size", "pos", F.lit(1).cast("bigint").alias("takes")).unionByName(
-            due.where("file_size IS NOT NULL").select("file_size", "pos", F.lit(0).cast("bigint").alias("takes"))
+        if moves is not None:
+            moved = moves.where("file_name IS NOT NULL")
+            gone = gone.unionByName(moved.select("file_name", "pos"))
+            losers = losers.unionByName(
+                moved.where("owner IS NOT NULL").select(
+                    F.col("owner").alias("pos"), F.col("owner_size").alias("own_size"), F.lit(None).cast("bigint").alias("by_size")
+                )
+            )
+        gone = gone.groupBy("file_name").agg(F.min("pos").alias("__gone"))
+        choices = (
+            spare.join(losers.select("pos"), "pos", "left_semi").join(gone, "file_name", "left")
+            .where("__gone IS NULL OR __gone >= pos").groupBy("pos")
+            .agg(F.min(F.struct("p", "file_name", "owner", "owner_size", "homes")).alias("__to"))
         )
-        replay = ordered.scan(
-            line, ["file_size"], ["pos"], ordered.position_block("pos"), [ordered.Scan("gone", "sum", F.col("takes"), before=True)]
+        # Who lost the last file of their own size finds no other there.
+        now = cut(
+            losers.join(choices, "pos", "left").where("__to IS NOT NULL OR own_size <> coalesce(by_size, -1)")
+            .select("pos", "own_size", *[F.col("__to")[c].alias(c) for c in ("file_name", "owner", "owner_size", "homes")]).distinct()
         )
-        stock = unused.groupBy("file_size").agg(F.count("*").alias("stock"))
-        # The first record by size that finds one file left takes it; after it the size is empty.
-        last = cut(
-            replay.join(stock, "file_size").where("takes = 0 AND stock - gone = 1").groupBy("file_size").agg(F.min("pos").alias("__last"))
+        was, count = count, now.count()
+        if count == was and (count == 0 or now.select(*move).subtract(moves.select(*move)).isEmpty()):
+            break
+        moves = now
+        claims = moves.where("file_name IS NOT NULL").groupBy("file_name").agg(F.min("pos").alias("__claim"))
+        late = moves.where("file_name IS NULL").select(F.col("own_size").alias("file_size"), "pos")
+        touched = cut(
+            late.select("file_size").unionByName(moves.select(F.explode("homes").alias("file_size"))).distinct()
         )
-        kept = takers.join(last, "file_size", "left").where(F.col("__last").isNull() | (F.col("pos") < F.col("__last")))
-        sized = unused.join(last, "file_size").join(kept.select("file_name"), "file_name", "left_anti").select(
-            F.col("__last").alias("pos"), "file_name"
+        again = _last_of_sizes(
+            lots.join(touched, "file_size", "left_semi").join(claims, "file_name", "left")
+            .withColumn("named_at", F.least("owner", "__claim")).drop("__claim"),
+            idle.join(touched, "file_size", "left_semi").select("file_size", "pos").unionByName(late),
         )
-        named = named.unionByName(kept.select("pos", "file_name")).distinct()
-        taken = cut(named.unionByName(sized))
-        settled = cut(due.select("pos").unionByName(taken.select("pos")))
-        won = taken if won is None else won.unionByName(taken)
-        turns = cut(turns.join(settled, "pos", "left_anti"))
-        unused = cut(unused.join(taken.select("file_name"), "file_name", "left_anti"))
-        pairs = cut(pairs.join(settled, "pos", "left_anti").join(taken.select("file_name"), "file_name", "left_anti"))
-    if won is None:
-        return records.withColumn("assigned", F.lit(None).cast("string"))
+        gifts = cut(base.join(touched, "file_size", "left_anti").unionByName(again))
+    won = owners.select("pos", "file_name").distinct().join(losers.select("pos"), "pos", "left_anti").unionByName(gifts.select("pos", "file_name"))
+    if moves is not None:
+        won = won.unionByName(moves.where("file_name IS NOT NULL").select("pos", "file_name").distinct())
     return records.join(won.select("pos", F.col("file_name").alias("assigned")), "pos", "left")
 
 
+def _first_come(pairs: DataFrame) -> DataFrame:
+    """(pos, p, file_name) when each record, in ``pos`` order, takes its first unused name.
+
+    Rounds, each settling all records that are the first namer of their best file.
+    """
+    won = pairs.limit(0)
+    while not pairs.isEmpty():
+        first = pairs.groupBy("file_name").agg(F.min("pos").alias("pos"))
+        best = pairs.groupBy("pos").agg(F.min(F.struct("p", "file_name")).alias("__best")).select("pos", "__best.p", "__best.file_name")
+        heads = cut(best.join(first, ["pos", "file_name"]).select("pos", "p", "file_name"))
+        won = won.unionByName(heads)
+        pairs = cut(pairs.join(heads.select("pos"), "pos", "left_anti").join(heads.select("file_name"), "file_name", "left_anti"))
+    return won
+
+
+def _last_of_sizes(lots: DataFrame, idle: DataFrame) -> DataFrame:
+    """For each size the first record without a name to take that finds one file left there, and that file.
+
+    ``lots`` has the turn at which each file is ``named_at``.  One file is left after the last turn but one of the
+    size's files, until the last.
+    """
+    late_first = Window.partitionBy("file_size").orderBy(F.desc("named_at"))
+    ends = (
+        lots.withColumn("__n", F.row_number().over(late_first)).where("__n <= 2").groupBy("file_size").agg(
+            F.max_by(F.struct("file_name", "owner", "owner_size"), "named_at").alias("__last"), F.max("named_at").alias("__until"),
+            F.when(F.count("*") > 1, F.min("named_at")).alias("__after"),
+        ).where("__after IS NULL OR __after < __until")
+    )
+    return (
+        idle.join(ends, "file_size").where("pos <= __until AND (__after IS NULL OR pos > __after)")
+        .groupBy("file_size").agg(F.min("pos").alias("pos"), F.any_value("__last").alias("__last"))
+        .select("file_size", "pos", "__last.file_name", "__last.owner", "__last.owner_size")
+    )
+
+
 def contains_pairs(needles: DataFrame, texts: DataFrame, needle: str, text: str) -> DataFrame:
     """(needle, text) pairs where the text contains the needle, without comparing all pairs.
 
