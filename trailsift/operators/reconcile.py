@@ -19,7 +19,8 @@ def assign_files_once(records: DataFrame, files: DataFrame, names: Sequence[str]
     """Each record, in ``pos`` order, takes its first candidate that is unused at its turn.
 
     Candidates are the ``names`` columns in order; failing those, the only unused file of the record's
-    ``file_size``.  Adds ``assigned`` (NULL without a file).  Rows of one ``pos`` are one turn.
+    ``file_size``.  Adds ``assigned`` (NULL without a file).  Rows of one ``pos`` are one turn.  A size that lists
+    a file twice gives none away.
 
     First the names alone are settled; with the size rule a file can only go earlier than that, never later.
     A size gives away at most one file by the rule, its last one, between the turns that take its last two files
@@ -37,8 +38,10 @@ def assign_files_once(records: DataFrame, files: DataFrame, names: Sequence[str]
     owners = cut(taken.join(turns, "pos").select("pos", "p", "file_name", F.col("file_size").alias("own_size")))
     owned = owners.select("file_name", F.col("pos").alias("owner"), F.col("own_size").alias("owner_size"))
     never = F.lit(NEVER).cast("bigint")
+    listings = files.where("file_size > 0").groupBy("file_size", "file_name").agg(F.count("*").alias("__n"))
+    unclear = listings.where("__n > 1").select("file_size")
     lots = cut(
-        files.where("file_size > 0").select("file_size", "file_name").join(owned, "file_name", "left")
+        listings.join(owned, "file_name", "left").join(unclear, "file_size", "left_anti")
         .select("file_size", "file_name", F.coalesce("owner", never).alias("owner"), "owner_size")
     )
     idle = cut(turns.where("file_size IS NOT NULL").join(owners, "pos", "left_anti"))
