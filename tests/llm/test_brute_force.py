@@ -364,6 +364,23 @@ def test_transform_search():
         assert long.tolist() == want
 
 
+def test_search_takes_many_bytes_a_level(monkeypatch):
+    rng = np.random.default_rng(5)
+    common = rng.integers(0, 4, 250)
+    parts = [np.concatenate([common[k % 40 : 215 + k], rng.integers(0, 4, 20), [300 + k]]) for k in range(30)]
+    symbols = np.concatenate(parts)
+    levels, sort = [], suffix_dedup._ranks_in
+    monkeypatch.setattr(suffix_dedup, "_ranks_in", lambda values, bits: levels.append(len(values)) or sort(values, bits))
+    order = suffix_dedup.suffix_order(symbols, 512)
+    text = symbols.tolist()
+    assert order.tolist() == sorted(range(len(text)), key=lambda k: text[k:])
+    for least, most in ((200, 10), (207, 17), (13, 13)):
+        levels.clear()
+        long = suffix_dedup.long_neighbours(symbols, order, least)
+        assert long.tolist() == [False] + [text[a : a + least] == text[b : b + least] for a, b in zip(order[:-1], order[1:], strict=True)]
+        assert long.any() and len(levels) <= most
+
+
 def test_pages(spark):
     pages = duckdb.sql(f"SELECT page_id, url, html FROM '{SF}/pages.parquet'").fetchall()
     found = {r.page_id: r for r in run(spark, "op10_html_extraction")}

@@ -8,8 +8,8 @@ Neighbouring windows with the same anchor form a context, a stretch of at most 3
 * different contexts of one anchor: their bytes are compared.
 
 For that, contexts are dealt by anchor to blocks of bounded size.  A block sorts its suffixes, and a breadth-first search extends intervals
-of the transform backwards, one byte a level.  Each level finds the neighbours of the suffix order whose common prefix has just that
-length; after 200 levels the neighbours not yet found share a window.  An anchor with more than ``CONTEXTS`` different contexts, as at the
+of the transform backwards, 20 bytes a level.  Each level finds the neighbours of the suffix order whose common prefix ends within it;
+after 200 bytes, ten levels, the neighbours not yet found share a window.  An anchor with more than ``CONTEXTS`` different contexts, as at the
 edge of a passage that very many documents share, would overfill a block: its windows are counted by their hash, in Spark.
 
 Texts move once to meet their anchors; after that only texts with undecided contexts do.
@@ -38,6 +38,7 @@ ANCHOR = 64  # bytes; shorter ones are repeated by chance more often, longer one
 REACH = WINDOW - ANCHOR + 1  # anchors of a window
 CONTEXTS = 1_000  # different contexts of an anchor that a block takes
 BLOCK_BYTES = 750_000  # of contexts, on average
+STEP = 20  # bytes by which the search extends a common prefix at a level
 
 ANCHOR_SCHEMA = "row binary, hashes array<long>, contexts array<long>, starts array<int>, sizes array<int>"
 CUT_SCHEMA = "hash long, context long, several long, rid long, start int, size int, bytes binary"
@@ -143,49 +144,105 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], names)
 
 
+def _ranks_in(values: np.ndarray, bits: int) -> np.ndarray:
+    """Places of ``values`` (less than ``2**bits``) in ascending order; value and place are sorted as one number where they fit in it."""
+    width = len(values).bit_length()
+    if bits + width > 63:
+        return np.argsort(values, kind="stable")
+    packed = (values << width) | np.arange(len(values))
+    packed.sort()
+    return packed & ((1 << width) - 1)
+
+
 def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes in order, by doubling the length they are compared on; ``symbols`` tells all suffixes apart within ``depth``."""
-    width = int(symbols.max()) + 2
+    """Suffixes in order, by doubling the length they are compared on; ``symbols`` tells all suffixes apart within ``depth``.
+
+    A suffix that stands alone in its class has its place and is not sorted again.
+    """
+    n, width = len(symbols), int(symbols.max()) + 2
     # As many symbols as fit in 62 bits make the first key.
     length = max(1, int(62 / np.log2(width)))
-    key = np.zeros(len(symbols), np.int64)
+    key = np.zeros(n, np.int64)
     for k in range(length):
         key *= width
-        key[: max(len(symbols) - k, 0)] += symbols[k:] + 1
+        key[: max(n - k, 0)] += symbols[k:] + 1
+    order = np.argsort(key)
+    key = key[order]
+    tied = np.arange(n)  # places not settled yet
+    rank = np.empty(n, np.int64)
+    at = order.copy()
+    bits = n.bit_length()
     while True:
-        order = np.argsort(key)
-        ranked = key[order]
-        new = ranked[1:] != ranked[:-1]
-        if new.all() or length >= depth:
+        edge = np.ones(len(at) + 1, bool)
+        np.not_equal(key[1:], key[:-1], out=edge[1:-1])
+        first = np.flatnonzero(edge[:-1])
+        heads = np.repeat(tied[first], np.diff(first, append=len(at)))
+        rank[at] = heads
+        more = np.flatnonzero(~(edge[:-1] & edge[1:]))
+        if not len(more) or length >= depth:
             return order
-        rank = np.zeros(len(key), np.int64)
-        rank[order[1:]] = np.cumsum(new)
-        key = rank * (len(key) + 1)
-        key[: max(len(key) - length, 0)] += rank[length:] + 1
+        tied, heads, at = tied[more], heads[more], at[more]
+        ahead = at + length
+        key = np.where(ahead < n, rank[np.minimum(ahead, n - 1)] + 1, 0)
+        if 3 * bits <= 63:
+            key |= heads << bits
+            key <<= bits
+            key |= at
+            key.sort()
+            at = key & ((1 << bits) - 1)
+            key >>= bits
+        else:
+            by = np.lexsort((key, heads))
+            at, key = at[by], ((heads << bits) | key)[by]
+        order[tied] = at
         length *= 2
 
 
+def _grams(symbols: np.ndarray, order: np.ndarray, size: int) -> np.ndarray:
+    """For each place of the suffix order: the number of its class by the first ``size`` symbols."""
+    n, width = len(order), int(symbols.max()) + 1
+    packed_size = min(size, max(1, int(62 / np.log2(width))))
+    packed = np.zeros(n, np.int64)
+    for k in range(packed_size):
+        packed *= width
+        packed += np.roll(symbols, -k)
+    edge = np.ones(n, bool)
+    edge[1:] = False
+    for k in range(0, size, packed_size):
+        own = packed[(order + min(k, size - packed_size)) % n]
+        edge[1:] |= own[1:] != own[:-1]
+    return np.cumsum(edge)
+
+
 def long_neighbours(symbols: np.ndarray, order: np.ndarray, least: int) -> np.ndarray:
     """For each place of the suffix order: is the common prefix with the place before it ``least`` symbols or longer?
 
-    Level by level, intervals of suffixes with a common prefix of ``level`` symbols are extended by the symbols before them.  The first
-    interval that ends just before a place shows the length of the common prefix there; intervals that show nothing new are dropped.
+    Level by level, intervals of suffixes with a common prefix are extended by the ``STEP`` symbols before them (by one, for what is left
+    of ``least``).  The first interval that ends just before a place shows that the common prefix there ends within the level; intervals
+    that show nothing new are dropped.
     """
     n = len(order)
-    before = symbols[order - 1]
-    back = np.empty(n, np.int64)
-    back[np.argsort(before * n + np.arange(n))] = np.arange(n)  # where the suffix one symbol longer stands
+    bits = n.bit_length()
+    place = np.empty(n, np.int64)
+    place[order] = np.arange(n)
     unknown = np.ones(n + 1, bool)
     unknown[0] = unknown[n] = False
     low, high = np.array([0]), np.array([n - 1])
-    for _ in range(least):
+    step = 0
+    for size in [STEP] * (least // STEP) + [1] * (least % STEP):
+        if step != size:
+            step = size
+            # Where the suffix that begins ``step`` symbols earlier stands, and what these symbols are.
+            back, grams = place[(order - step) % n], _grams(symbols, order, step)
         sizes = high - low + 1
         owner = np.repeat(np.arange(len(low)), sizes)
-        places = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + low[owner]
+        places = np.arange(len(owner)) + np.repeat(low - (np.cumsum(sizes) - sizes), sizes)
         longer = back[places]
-        by = np.argsort(longer)
-        longer, owner, symbol = longer[by], owner[by], before[places][by]
-        last = np.concatenate([(owner[1:] != owner[:-1]) | (symbol[1:] != symbol[:-1]), [True]])
+        by = _ranks_in(longer, bits)
+        longer, owner = longer[by], owner[by]
+        gram = grams[longer]
+        last = np.ones(len(owner), bool)
+        last[:-1] = (owner[1:] != owner[:-1]) | (gram[1:] != gram[:-1])
         first = np.concatenate([[True], last[:-1]])
         low, high = longer[first], longer[last]
         new = unknown[high + 1]
@@ -198,14 +255,12 @@ def long_neighbours(symbols: np.ndarray, order: np.ndarray, least: int) -> np.nd
 
 def _search(pdf: pd.DataFrame) -> pd.DataFrame:
     """Windows of the block's contexts that occur in another context: rid, start, size."""
-    parts = [np.frombuffer(b, np.uint8) for b in pdf["bytes"]]
+    parts = pdf["bytes"].tolist()
     lengths = np.array([len(p) for p in parts]) + 1
     starts = np.cumsum(lengths) - lengths
-    symbols = np.empty(lengths.sum(), np.int64)
+    symbols = np.frombuffer(b"\0".join([*parts, b""]), np.uint8).astype(np.int64)
     # Each context ends in a symbol of its own, so no common prefix runs over an end.
-    for k, (at, part) in enumerate(zip(starts, parts, strict=True)):
-        symbols[at : at + len(part)] = part
-        symbols[at + len(part)] = 256 + k
+    symbols[starts + lengths - 1] = 256 + np.arange(len(parts))
     order = suffix_order(symbols, 512)
     shared = long_neighbours(symbols, order, WINDOW)
     either = shared | np.concatenate([shared[1:], [False]])
