@@ -172,6 +172,30 @@ def test_tokens_are_those_of_the_library(spark, documents):
         assert ids == ",".join(map(str, encoding.encode_ordinary(text))) and decoded == text.encode()
 
 
+def test_words_take_one_query_at_ranks_in_any_order():
+    rng = np.random.default_rng(3)
+    tokens = sorted({"".join(rng.choice(list("abc"), size)).encode() for size in rng.integers(2, 7, 400)})
+    ranks = {bytes([b]): int(k) for b, k in enumerate(rng.permutation(256))} | dict(zip(tokens, map(int, 256 + 300 * rng.permutation(len(tokens))), strict=True))
+    encoding = tiktoken.Encoding("odd", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    tokenizer, queries = byte_bpe.Tokenizer(ranks, public_tokenizers.PATTERN), []
+
+    class Counted:
+        def __init__(self, db):
+            self.register, self.run = db.register, db.sql
+
+        def sql(self, query):
+            queries.append(query)
+            return self.run(query)
+
+    tokenizer.db = Counted(tokenizer.db)
+    words_of = ["x" + "".join(rng.choice(list("abc"), size)) for size in (*rng.integers(1, 60, 300), byte_bpe.LONG_WORD - 2, byte_bpe.LONG_WORD - 1)]
+    text = " ".join(words_of)
+    (ids, decoded), = tokenizer.code([text])
+    assert ids == ",".join(map(str, encoding.encode_ordinary(text))) and decoded == text.encode()
+    # One word of 257 bytes with its space goes by itself; all others are contracted and decoded together.
+    assert len(queries) == 2 and sum("RECURSIVE" in q for q in queries) == 1
+
+
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
 

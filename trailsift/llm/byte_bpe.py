@@ -3,7 +3,7 @@
 A text is cut into words by the tokenizer's pattern.  The words that a task has not seen yet become rows (word, position, token) of
 their bytes; a recursive query joins neighbours with the merge table and contracts the leftmost pair of the least rank of each word
 until no word has a pair left.  The ids of a word are its tokens in order of position; decoding joins ids with the vocabulary and
-puts the bytes together in order.  Each worker keeps the words it has used lately, up to a bound.  No shuffle.
+puts the bytes together in order, in the same query.  Each worker keeps the words it has used lately, up to a bound.  No shuffle.
 
 A word of more than ``LONG_WORD`` bytes takes the same contractions from a heap, since a recursive query contracts one pair a round.
 
@@ -37,33 +37,43 @@ CHUNK_CHARS = 3_000_000  # texts are taken together up to this size; a longer te
 # White space as the tokenizer's own regex engine has it (fixed values).
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
-# A token row has its place and its size in bytes, so its right neighbour begins where it ends.
-CONTRACT = """
-WITH RECURSIVE state(word, round, pos, size, token) AS (
-  SELECT word, 0, pos, 1, token FROM letters
+# A token row has its place and size in bytes, the next token of its word, and their pair: rank, then place and size of the left token
+# (at most ``LONG_WORD``) in one number.  Contracting a pair changes its right row and the row before it; the left row goes.  A word
+# without a pair is done and takes part in no further round.
+NEXT_RANK = 1 << 40
+NEXT_PLACE = 1 << 9
+PLACES = NEXT_RANK // NEXT_PLACE
+FIRST_TOKEN = 1 << 32
+
+# Ids and bytes of the words whose tokens are known.
+DECODE = """
+SELECT word, array_to_string(list(name ORDER BY place), ',') AS ids, array_to_string(list(hex ORDER BY place), '') AS hex
+FROM tokens JOIN vocabulary ON id = token GROUP BY word ORDER BY word
+"""
+CONTRACT = f"""
+WITH RECURSIVE state(word, place, size, token, next, pair, done) AS (
+  SELECT word, place, 1, token, next, m.rank * {NEXT_RANK}::BIGINT + place * {NEXT_PLACE}::BIGINT + 1, false
+  FROM letters LEFT JOIN merges m ON m.tokens = token * {FIRST_TOKEN}::BIGINT + next
   UNION ALL
   (
-    WITH pairs AS MATERIALIZED (
-      SELECT t.word, t.round, t.pos, t.size, t.token, n.size AS next_size, m.rank * 65536::BIGINT + t.pos AS rank_pos
-      FROM state t
-      LEFT JOIN state n ON n.word = t.word AND n.pos = t.pos + t.size
-      LEFT JOIN merges m ON m.first = t.token AND m.second = n.token
-    ), best AS (
-      SELECT word, min(rank_pos) % 65536 AS place, min(rank_pos) // 65536 AS merged, arg_min(pos + size, rank_pos) AS gone
-      FROM pairs WHERE rank_pos IS NOT NULL GROUP BY word
+    WITH best AS (
+      SELECT word, (pair // {NEXT_RANK})::INTEGER AS merged, (pair // {NEXT_PLACE} % {PLACES})::INTEGER AS first,
+        (pair // {NEXT_PLACE} % {PLACES} + pair % {NEXT_PLACE})::INTEGER AS second
+      FROM (SELECT word, min(pair) AS pair FROM state WHERE NOT done GROUP BY word)
+    ), met AS (
+      SELECT s.word, s.place, s.size, s.token, s.next, s.pair, merged, first, place = second AS grows, place + size = first AS precedes
+      FROM state s JOIN best b ON b.word = s.word WHERE NOT done AND place IS DISTINCT FROM first
+    ), moved AS (
+      SELECT word, CASE WHEN grows THEN first ELSE place END AS place, CASE WHEN grows THEN size + place - first ELSE size END AS size,
+        CASE WHEN grows THEN merged ELSE token END AS token, CASE WHEN precedes THEN merged ELSE next END AS next,
+        pair, grows OR precedes AS changed, merged IS NULL AS done
+      FROM met
     )
-    SELECT word, round + 1, pos, CASE WHEN pos = place THEN size + next_size ELSE size END, CASE WHEN pos = place THEN merged ELSE token END
-    FROM pairs JOIN best USING (word) WHERE pos <> gone
+    SELECT word, place, size, token, next, CASE WHEN changed THEN m.rank * {NEXT_RANK}::BIGINT + place * {NEXT_PLACE}::BIGINT + size ELSE pair END, done
+    FROM moved LEFT JOIN merges m ON m.tokens = CASE WHEN changed THEN token * {FIRST_TOKEN}::BIGINT + next END
   )
-)
-SELECT word, list(token::INTEGER ORDER BY pos) AS ids
-FROM state JOIN (SELECT word, max(round) AS round FROM state GROUP BY word) USING (word, round)
-GROUP BY word ORDER BY word
-"""
-DECODE = """
-SELECT word, string_agg(v.hex, '' ORDER BY i.n) AS hex
-FROM (SELECT word, unnest(ids) AS id, generate_subscripts(ids, 1) AS n FROM coded) i JOIN vocabulary v USING (id)
-GROUP BY word ORDER BY word
+), tokens AS (SELECT word, place, token FROM state WHERE done)
+{DECODE}
 """
 
 
@@ -90,11 +100,12 @@ class Tokenizer:
             for token, rank in self.ranks.items() for k in range(1, len(token))
             if token[:k] in self.ranks and token[k:] in self.ranks
         ]
-        first, second, rank = (pa.array(c, pa.int32()) for c in zip(*merges, strict=True))
+        first, second, rank = (np.array(c, np.int64) for c in zip(*merges, strict=True))
         self.single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB"})
-        merge_rows = pa.table({"first": first, "second": second, "rank": rank})
-        token_rows = pa.table({"id": pa.array(list(self.ranks.values()), pa.int32()), "hex": [t.hex() for t in self.ranks]})
+        merge_rows = pa.table({"tokens": first * FIRST_TOKEN + second, "rank": rank.astype(np.int32)})
+        ids = list(self.ranks.values())
+        token_rows = pa.table({"id": pa.array(ids, pa.int32()), "name": list(map(str, ids)), "hex": [t.hex() for t in self.ranks]})
         for name, rows in (("merges", merge_rows), ("vocabulary", token_rows)):
             self.db.register("rows", rows)
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM rows")
@@ -103,30 +114,37 @@ class Tokenizer:
         """Encode and decode words not seen before; a word that is a token is left whole."""
         whole = [w for w in words if w.encode() in self.ranks]
         if whole:
-            self._decode(whole, pa.array([[self.ranks[w.encode()]] for w in whole], pa.list_(pa.int32())))
+            self._decode(whole, [[self.ranks[w.encode()]] for w in whole])
             words = [w for w in words if w.encode() not in self.ranks]
         short = [w for w in words if len(w.encode()) <= LONG_WORD]
         for k in range(0, len(short), ROUND_WORDS):
             self._contract(short[k : k + ROUND_WORDS])
         if len(short) < len(words):
             for word in set(words) - set(short):
-                self._decode([word], pa.array([self._from_heap(word.encode())], pa.list_(pa.int32())))
+                self._decode([word], [self._from_heap(word.encode())])
 
     def _contract(self, words: list[str]) -> None:
         coded = [w.encode() for w in words]
         sizes = np.array([len(b) for b in coded])
-        starts = np.repeat(np.cumsum(sizes) - sizes, sizes)
+        token = self.single[np.frombuffer(b"".join(coded), np.uint8)]
+        last = np.zeros(len(token), bool)
+        last[np.cumsum(sizes) - 1] = True
         self.db.register("letters", pa.table({
-            "word": np.repeat(np.arange(len(words), dtype=np.int32), sizes), "pos": (np.arange(sizes.sum()) - starts).astype(np.int32),
-            "token": self.single[np.frombuffer(b"".join(coded), np.uint8)],
+            "word": np.repeat(np.arange(len(words), dtype=np.int32), sizes), "place": np.arange(len(token), dtype=np.int32),
+            "token": token, "next": pa.array(np.roll(token, -1), mask=last),
         }))
-        self._decode(words, self.db.sql(CONTRACT).to_arrow_table()["ids"].combine_chunks())
-
-    def _decode(self, words: list[str], ids: pa.Array) -> None:
-        self.db.register("coded", pa.table({"word": pa.array(range(len(words)), pa.int32()), "ids": ids}))
-        plain = self.db.sql(DECODE).to_arrow_table()["hex"].to_pylist()
-        for word, own, hexed in zip(words, ids.to_pylist(), plain, strict=True):
-            self.coded[word] = ",".join(map(str, own))
+        self._keep(words, CONTRACT)
+
+    def _decode(self, words: list[str], ids: list[list[int]]) -> None:
+        owner = np.repeat(np.arange(len(words), dtype=np.int32), [len(i) for i in ids])
+        token = np.concatenate([np.array(i, np.int32) for i in ids])
+        self.db.register("tokens", pa.table({"word": owner, "place": np.arange(len(owner)), "token": token}))
+        self._keep(words, DECODE)
+
+    def _keep(self, words: list[str], query: str) -> None:
+        found = self.db.sql(query).to_arrow_table()
+        self.coded.update(zip(words, found["ids"].to_pylist(), strict=True))
+        for word, hexed in zip(words, found["hex"].to_pylist(), strict=True):
             if word.encode() != (decoded := bytes.fromhex(hexed)):
                 self.changed[word] = decoded
 
@@ -168,7 +186,7 @@ class Tokenizer:
         self.learn(sorted(new - self.coded.keys()))
         for words in cut:
             plain = b"".join([self.changed.get(w, w.encode()) for w in words]) if self.changed else "".join(words).encode()
-            yield ",".join([self.coded[w] for w in words]), plain
+            yield ",".join(map(self.coded.__getitem__, words)), plain
 
 
 def parse_ranks(content: bytes) -> dict[bytes, int]:
